@@ -1,0 +1,5 @@
+"""No stream operators: the inventory has no stream source, watermark or state.
+
+The one incremental operator, resuming a partly scored table, is a batch
+anti join in ``clienttrace.sources.results``.
+"""
