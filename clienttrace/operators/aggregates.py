@@ -16,7 +16,9 @@ from clienttrace.operators.events import time_kind
 from clienttrace.operators.ranks import HOT_ROWS, exact_median
 from clienttrace.operators.sequences import order_events
 
-AMOUNT = F.abs(F.col("amount"))
+def amount_size() -> Column:
+    return F.abs(F.col("amount"))
+
 FEATURES = ("n_tx", "mean_amt", "std_amt", "median_amt", "n_mcc")
 
 
@@ -35,7 +37,7 @@ def client_features(events: DataFrame, category: str = "category", hot_rows: int
     most one row per category.
     """
     parts = events.groupBy("customer_id", category).agg(
-        F.count(F.lit(1)).alias("_n"), F.avg(AMOUNT).alias("_mean"), F.var_pop(AMOUNT).alias("_var"))
+        F.count(F.lit(1)).alias("_n"), F.avg(amount_size()).alias("_mean"), F.var_pop(amount_size()).alias("_var"))
     merged = parts.groupBy("customer_id").agg(
         F.sum("_n").alias("n_tx"),
         (F.sum(F.col("_n") * F.col("_mean")) / F.sum("_n")).alias("mean_amt"),
@@ -44,7 +46,7 @@ def client_features(events: DataFrame, category: str = "category", hot_rows: int
         F.count(category).alias("n_mcc"))
     between = F.aggregate("_groups", F.lit(0.0),
                           lambda s, g: s + g["_n"] * F.pow(g["_mean"] - F.col("mean_amt"), F.lit(2.0)))
-    medians = exact_median(events, ["customer_id"], AMOUNT, "median_amt", hot_rows)
+    medians = exact_median(events, ["customer_id"], amount_size(), "median_amt", hot_rows)
     return (merged.withColumn("std_amt", F.sqrt((F.col("_within") + between) / F.col("n_tx")))
             .join(medians, "customer_id")
             .select("customer_id", *FEATURES))
@@ -53,7 +55,7 @@ def client_features(events: DataFrame, category: str = "category", hot_rows: int
 def client_features_small(events: DataFrame, category: str = "category") -> DataFrame:
     """The three-column variant: count, mean |amount|, distinct categories."""
     parts = events.groupBy("customer_id", category).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(AMOUNT).alias("_sum"))
+        F.count(F.lit(1)).alias("_n"), F.sum(amount_size()).alias("_sum"))
     return parts.groupBy("customer_id").agg(
         F.sum("_n").alias("n_tx"), (F.sum("_sum") / F.sum("_n")).alias("mean_amt"),
         F.count(category).alias("n_mcc"))
@@ -147,11 +149,11 @@ def size_bands(events: DataFrame, small: float = 500, large: float = 5000) -> Da
 
 
 def band_columns(small: float, large: float) -> list[Column]:
-    return [F.count_if(AMOUNT < small).alias("n_small"), F.count_if(AMOUNT > large).alias("n_large")]
+    return [F.count_if(amount_size() < small).alias("n_small"), F.count_if(amount_size() > large).alias("n_large")]
 
 
 def amount_range(events: DataFrame) -> DataFrame:
-    return events.groupBy("customer_id").agg(F.min(AMOUNT).alias("min_amt"), F.max(AMOUNT).alias("max_amt"))
+    return events.groupBy("customer_id").agg(F.min(amount_size()).alias("min_amt"), F.max(amount_size()).alias("max_amt"))
 
 
 def category_diversity(events: DataFrame, category: str = "category", mode: str = "categories") -> DataFrame:
@@ -198,7 +200,7 @@ def half_trend(events: DataFrame, mode: str = "ratio", hot_rows: int = HOT_ROWS)
     ranked = order_events(events, "_no", "_n", hot_rows)
     early = F.col("_no") <= F.floor(F.col("_n") / 2)
     halves = ranked.groupBy("customer_id").agg(
-        F.avg(F.when(early, AMOUNT)).alias("first_half"), F.avg(F.when(~early, AMOUNT)).alias("second_half"))
+        F.avg(F.when(early, amount_size())).alias("first_half"), F.avg(F.when(~early, amount_size())).alias("second_half"))
     # The last bits of a mean depend on the order of addition; drop them so a
     # change of exactly 10 percent stays on one side.
     first, second = F.round("first_half", 6), F.round("second_half", 6)

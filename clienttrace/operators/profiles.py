@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clienttrace.functions.scalars import (amount_direction, fmt0, fmt2, fmt_pct, fmt_signed_pct, pct_floor)
-from clienttrace.operators.aggregates import (AMOUNT, band_columns, day_count_columns, day_share_columns,
+from clienttrace.operators.aggregates import (amount_size, band_columns, day_count_columns, day_share_columns,
                                               distinct_types, flow_columns, flow_ratio, half_trend, hour_of,
                                               span_columns)
 from clienttrace.operators.events import event_order, left_with_default, time_kind
@@ -36,9 +36,9 @@ def client_summary(events: DataFrame, category: str = "category", hour: Column |
     h = hour_of(events) if hour is None else hour
     day_parts = day_count_columns(h)
     parts = events.groupBy("customer_id", category).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(AMOUNT).alias("sum_abs"),
-        F.avg(AMOUNT).alias("mean"), F.var_pop(AMOUNT).alias("var"),
-        F.min(AMOUNT).alias("min_amt"), F.max(AMOUNT).alias("max_amt"),
+        F.count(F.lit(1)).alias("n"), F.sum(amount_size()).alias("sum_abs"),
+        F.avg(amount_size()).alias("mean"), F.var_pop(amount_size()).alias("var"),
+        F.min(amount_size()).alias("min_amt"), F.max(amount_size()).alias("max_amt"),
         F.min("time").alias("first"), F.max("time").alias("last"),
         F.count(h).alias("n_hours"), *day_parts,
         F.count_if((h >= 9) & (h < 18)).alias("daytime"),
@@ -56,11 +56,11 @@ def client_summary(events: DataFrame, category: str = "category", hour: Column |
         F.min("first").alias("first"), F.max("last").alias("last"),
         *[F.sum(c).alias(c) for c in sums],
         F.array_sort(F.collect_list(named)).alias("cats"),
-        F.count(category).alias("n_categories"),
-        F.count_distinct(F.when(F.col(category).isNotNull(), F.col("n"))).alias("n_counts"))
+        F.count(category).alias("n_categories"))
     between = F.aggregate("_groups", F.lit(0.0),
                           lambda s, g: s + g["n"] * F.pow(g["mean"] - F.col("mean_amt"), F.lit(2.0)))
     return (merged.withColumn("std_amt", F.sqrt((F.col("_within") + between) / F.col("n_tx")))
+            .withColumn("n_counts", F.size(F.array_distinct(F.transform("cats", lambda x: x["c"]))))
             .drop("_within", "_groups"))
 
 
@@ -96,7 +96,7 @@ def _with_span(summary: DataFrame, mode: str, rate_floor: int = 0) -> DataFrame:
 
 
 def _with_median(summary: DataFrame, events: DataFrame, hot_rows: int) -> DataFrame:
-    return summary.join(exact_median(events, ["customer_id"], AMOUNT, "median_amt", hot_rows), "customer_id")
+    return summary.join(exact_median(events, ["customer_id"], amount_size(), "median_amt", hot_rows), "customer_id")
 
 
 _ACTIVITY = ("- Transactions: ", "n_tx", " over ", "months", " months (", "per_month", "/month)\n")
@@ -135,7 +135,7 @@ def churn_profile(events: DataFrame, category: str = "category", k: int = 6, hot
 
 
 def age_short_profile(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    s = events.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_tx"), F.avg(AMOUNT).alias("mean_amt"))
+    s = events.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_tx"), F.avg(amount_size()).alias("mean_amt"))
     s = _with_median(s, events, hot_rows)
     return s.select("customer_id", _text(
         "Client profile:\n- Transactions: ", _whole("n_tx"), "\n",
@@ -255,7 +255,7 @@ def history_text(events: DataFrame, k: int = 50, date_style: str = "date", heade
         when = _text("Day ", F.floor("time").cast("string"))
     else:
         when = _text("Day ", F.datediff(F.col("time").cast("date"), F.lit("1970-01-01").cast("date")).cast("string"))
-    line = _text(when, ": ", amount_direction(F.col("amount")), " ", fmt0(AMOUNT), " at ", F.col(category))
+    line = _text(when, ": ", amount_direction(F.col("amount")), " ", fmt0(amount_size()), " at ", F.col(category))
     order = event_order(events)
     last = last_events(events, k).select("customer_id", F.struct(*order, line.alias("line")).alias("_item"))
     before, after = HISTORY_HEADERS[header].split("{n}")

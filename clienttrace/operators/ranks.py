@@ -72,11 +72,14 @@ def segmented_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     keys = list(keys)
     parts = keys + ["_segment"]
     hot = F.broadcast(hot_keys(df, keys, hot_rows))
-    rows = df.join(hot, keys, "left").withColumn("_segment", F.when(F.col("_hot_rows").isNotNull(), segment))
+    rows = (df.join(hot, keys, "left")
+            .withColumn("_segment", F.when(F.col("_hot_rows").isNotNull(), segment)).drop("_hot_rows"))
     below = (Window.partitionBy(*keys).orderBy("_segment")
              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = (df.join(hot, keys, "left_semi").withColumn("_segment", segment)
-               .groupBy(*parts).agg(F.count(F.lit(1)).alias("_rows"))
+    # Keeping _hot_rows here makes both joins read the same broadcast; with no
+    # hot key at all the whole branch is empty and AQE drops it and its join.
+    offsets = (df.join(hot, keys).withColumn("_segment", segment)
+               .groupBy(*parts).agg(F.count(F.lit(1)).alias("_rows"), F.first("_hot_rows").alias("_hot_rows"))
                .withColumn("_below", F.sum("_rows").over(below))
                .drop("_rows"))
     part = Window.partitionBy(*parts)

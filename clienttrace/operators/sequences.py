@@ -89,6 +89,10 @@ def build_sequences(events: DataFrame, arrays: Sequence[str], labels: DataFrame
         events = events.join(labels.select("customer_id"), "customer_id", "left_semi")
     ranked = order_events(events, "_no", "_n", hot_rows).where(F.col("_n") >= minimum)
     item = F.struct("_no", "time", *arrays)
+
+    def column(name: str) -> Column:
+        return F.transform("_items", lambda x: x[name]).alias(name)
+
     chunks = (ranked.withColumn("chunk", F.floor((F.col("_no") - 1) / chunk_events))
               .groupBy("customer_id", "chunk").agg(F.array_sort(F.collect_list(item)).alias("_items")))
     starts = (chunks.where(F.col("chunk") == 0)
@@ -98,7 +102,7 @@ def build_sequences(events: DataFrame, arrays: Sequence[str], labels: DataFrame
                .select("customer_id", "chunk",
                        F.transform("_items", lambda x: days_between(F.col("_first"), x["time"], kind).cast("float"))
                        .alias("event_time"),
-                       *[F.transform("_items", lambda x, name=name: x[name]).alias(name) for name in arrays]))
+                       *[column(name) for name in arrays]))
     if labels is not None:
         records = records.join(labels.select("customer_id", "target"), "customer_id")
     return records
