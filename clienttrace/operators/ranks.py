@@ -107,3 +107,24 @@ def exact_median(df: DataFrame, keys: Sequence[str], value: Column, out: str = "
     low, high = F.floor((F.col("_size") + 1) / 2), F.floor((F.col("_size") + 2) / 2)
     return (ranked.where((F.col("_rank") == low) | (F.col("_rank") == high))
             .groupBy(*keys).agg(F.avg("_value").alias(out)))
+
+
+def running_total(df: DataFrame, group: Sequence[str], seq: str, value: Column, out: str,
+                  block: int = 100_000) -> DataFrame:
+    """Adds the sum of ``value`` over this and all earlier rows of the group.
+
+    ``seq`` numbers the rows. Sums per block of ``seq`` are combined map side
+    and added to the running sum inside the block, so one long run is not one
+    task.
+    """
+    group = list(group)
+    parts = group + ["_block"]
+    rows = df.withColumn("_value", value).withColumn("_block", F.floor(F.col(seq) / block))
+    earlier = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (rows.groupBy(*parts).agg(F.sum("_value").alias("_sum"))
+              .withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)))
+              .drop("_sum"))
+    inside = Window.partitionBy(*parts).orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (rows.withColumn("_inside", F.sum("_value").over(inside)).join(blocks, parts)
+            .withColumn(out, F.col("_before") + F.col("_inside"))
+            .drop("_value", "_inside", "_before", "_block"))

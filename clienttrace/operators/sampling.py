@@ -7,6 +7,8 @@ rows is spread over all tasks.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,3 +121,19 @@ def assign_batches(df: DataFrame, size: int, seed: int = 42, key: str = "custome
 def first_n(df: DataFrame, n: int, *order: str) -> DataFrame:
     """The first rows in a fixed order, for candidate lists and trial runs."""
     return df.orderBy(*order).limit(n)
+
+
+def first_per_class(df: DataFrame, order: str, target: str = "target", keep: Sequence[str] = ("customer_id",),
+                    within: int | None = None) -> DataFrame:
+    """The first row of each class in a fixed order, optionally within the first rows."""
+    source = df.orderBy(order).limit(within) if within else df
+    return source.groupBy(target).agg(*[F.min_by(c, order).alias(c) for c in keep])
+
+
+def extreme_examples(preds: DataFrame, prob: str = "pred_prob", key: str = "customer_id") -> DataFrame:
+    """The ids with the highest and the lowest probability (the smaller id on a tie)."""
+    highest = F.max_by(key, F.struct(F.col(prob), -F.col(key)))
+    lowest = F.min_by(key, F.struct(F.col(prob), F.col(key)))
+    return preds.agg(F.array(F.struct(F.lit("highest").alias("end"), highest.alias(key)),
+                             F.struct(F.lit("lowest").alias("end"), lowest.alias(key))).alias("_ends")
+                     ).select(F.inline("_ends"))

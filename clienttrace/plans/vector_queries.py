@@ -148,8 +148,8 @@ def knn_vote_binary(spark, sf_dir):
 @query("knn_vote_multi", f"""
 WITH {VECTORS}, {_SPLIT}, {_knn_sql()},
 c AS (SELECT query_id, label, count(*) AS n FROM nn WHERE place <= 10 GROUP BY ALL),
-g AS (SELECT query_id, t.label, coalesce(n, 0) AS n FROM (SELECT DISTINCT query_id FROM c),
-  (SELECT unnest(range(0, 10))::int AS label) t LEFT JOIN c USING (query_id, label))
+al AS (SELECT * FROM (SELECT DISTINCT query_id FROM c), (SELECT unnest(range(0, 10))::int AS label)),
+g AS (SELECT query_id, label, coalesce(n, 0) AS n FROM al LEFT JOIN c USING (query_id, label))
 SELECT query_id, string_agg(n, ',' ORDER BY label) AS counts, arg_min(label, (-n, label)) AS top_class,
   {sql_num('max(n) / 10')} AS share FROM g GROUP BY query_id""")
 def knn_vote_multi(spark, sf_dir):
