@@ -6,7 +6,7 @@ import importlib
 
 from clienttrace.plans import registry
 
-MODULES = ("profile_queries", "event_queries", "vector_queries")
+MODULES = ("profile_queries", "event_queries", "vector_queries", "answer_queries", "model_queries")
 
 
 def _load() -> None:
