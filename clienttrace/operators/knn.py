@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clienttrace.operators.ranks import hash_order
+from clienttrace.session import written
 
 BASE_BLOCK = 20_000   # base vectors compared in one task
 QUERY_GROUP = 8_192   # queries compared in one task
@@ -41,8 +42,7 @@ def _unit(column: pd.Series, side: int) -> np.ndarray:
     A zero vector has distance 1 to everything: on each side it becomes an
     extra axis of its own, at right angles to all else.
     """
-    m = np.array(column.tolist(), dtype=np.float64)
-    m = m.reshape(len(column), -1)
+    m = np.stack(column.to_numpy()).astype(np.float64, copy=False)
     norm = np.linalg.norm(m, axis=1)
     zero = norm == 0
     m = m / np.where(zero, 1.0, norm)[:, None]
@@ -150,12 +150,21 @@ def _second_visits(queries: DataFrame, cells: _Cells, k: int) -> DataFrame:
     return queries.mapInPandas(visit, _VISIT)
 
 
-def _best_in_blocks(visits: DataFrame, base: DataFrame, k: int, groups: int) -> DataFrame:
-    """The best ``k`` per (query, block); both sides of a comparison are bounded."""
+def _best_in_blocks(visits: DataFrame, base: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` per (query, block); both sides of a comparison are bounded.
+
+    The queries visiting a cell are split into groups of ``QUERY_GROUP``; a
+    base block is repeated once per group of its own cell, so cells nobody
+    visits are not read into the shuffle at all.
+    """
     keys = ["cell", "block", "group"]
-    group = F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")
-    left = visits.withColumn("group", group)
-    right = base.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    # One row per visited cell, at most pivots x classes.
+    groups = F.broadcast(visits.where(F.col("block") == 0).groupBy("cell")
+                         .agg(F.ceil(F.count(F.lit(1)) / QUERY_GROUP).alias("groups")))
+    left = (visits.join(groups, "cell")
+            .withColumn("group", F.pmod(F.xxhash64("query_id"), F.col("groups"))).drop("groups"))
+    right = (base.join(groups, "cell")
+             .withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).drop("groups"))
 
     def best(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -190,32 +199,37 @@ def knn_join(query: DataFrame, base: DataFrame, k: int, key: str = "customer_id"
     base = base.select(F.col(key).cast("long").alias("base_id"), label.alias("label"),
                        F.col(vector).cast("array<double>").alias("vector"))
     query = query.select(F.col(key).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("vector"))
-    base_rows, query_rows = base.count(), query.count()
-    count = pivots or int(min(MAX_PIVOTS, max(1, base_rows ** 0.5 / 2)))
-    chosen = _choose_pivots(base, "vector", "base_id", count)
+    base_rows = base.count()
+    if pivots is None:
+        # A base that fits one block needs no pruning: one cell, one comparison.
+        pivots = 1 if base_rows <= BASE_BLOCK else int(min(MAX_PIVOTS, base_rows ** 0.5 / 2))
+    chosen = _choose_pivots(base, "vector", "base_id", pivots)
     assigned = _assign(base, chosen)
+    if len(chosen) > 1:
+        assigned = written(assigned, "knn-base")
     cells = _cells(assigned, chosen)
-    groups = max(1, -(-query_rows // QUERY_GROUP))
 
-    spark = base.sparkSession
-    facts = spark.createDataFrame(
+    facts = base.sparkSession.createDataFrame(
         [(int(lab), int(piv), i, int(cells.blocks[i])) for (lab, piv), i in cells.number.items()],
         "label int, pivot int, cell int, blocks int")
     blocks = (assigned.join(F.broadcast(facts), ["label", "pivot"])  # at most pivots x classes rows
               .withColumn("block", F.pmod(F.xxhash64("base_id"), F.col("blocks")).cast("int"))
               .select("cell", "block", "base_id", "label", "vector"))
 
-    first = _best_in_blocks(_first_visits(query, cells, k), blocks, k, groups)
     place = F.row_number().over(Window.partitionBy("query_id", "label").orderBy("distance", "base_id"))
-    nearest = first.withColumn("place", place).where(F.col("place") <= k)
-    # cos distance c and chord length h: h^2 = 2c
-    bounds = (nearest.where(F.col("place") == k)
-              .groupBy("query_id")
-              .agg(F.collect_list(F.struct("label", F.sqrt(F.greatest(F.lit(0.0), 2 * F.col("distance"))).alias("chord")))
-                   .alias("bounds")))
-    second = _best_in_blocks(_second_visits(query.join(bounds, "query_id", "left"), cells, k),
-                             blocks, k, groups)
-    result = (nearest.drop("place").unionByName(second).withColumn("place", place).where(F.col("place") <= k))
+
+    def best(found: DataFrame) -> DataFrame:
+        return found.withColumn("place", place).where(F.col("place") <= k)
+
+    result = best(_best_in_blocks(_first_visits(query, cells, k), blocks, k))
+    if len(chosen) > 1:
+        nearest = written(result, "knn-first")
+        # cos distance c and chord length h: h^2 = 2c
+        chord = F.sqrt(F.greatest(F.lit(0.0), 2 * F.col("distance")))
+        bounds = (nearest.where(F.col("place") == k).groupBy("query_id")
+                  .agg(F.collect_list(F.struct("label", chord.alias("chord"))).alias("bounds")))
+        second = _best_in_blocks(_second_visits(query.join(bounds, "query_id", "left"), cells, k), blocks, k)
+        result = best(nearest.drop("place").unionByName(second))
     return result if per_class else result.drop("label")
 
 

@@ -217,7 +217,7 @@ def infonce(pairs: DataFrame, a: str, b: str, batch: str = "batch_id", key: str
 
     def loss(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
-        x, y = (np.array(pdf[c].tolist(), dtype=np.float64) for c in (a, b))
+        x, y = (np.stack(pdf[c].to_numpy()).astype(np.float64) for c in (a, b))
         if normalise:
             x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) for m in (x, y))
         sims = x @ y.T / temperature

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -29,16 +29,30 @@ def build_session(app: str = "clienttrace", master: str | None = None, **setting
     return builder.getOrCreate()
 
 
+_local_root: str | None = None
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below ``spark.checkpoint.dir``.
 
     A cluster sets that to storage all executors see. Only a local session
     may go without it and then gets a temporary folder.
     """
+    global _local_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="clienttrace-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        _local_root = _local_root or tempfile.mkdtemp(prefix="clienttrace-")
+        root = _local_root
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read back.
+
+    Cuts the lineage for results used several times, and outlives executors.
+    """
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
