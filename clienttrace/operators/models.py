@@ -23,6 +23,7 @@ from clienttrace.operators import metrics
 from clienttrace.operators.aggregates import FEATURES
 from clienttrace.operators.sampling import stratified_kfold
 from clienttrace.operators.vectors import concat_vectors
+from clienttrace.session import written
 
 # Parameters of the reference runs under Spark's names.
 GRADIENT_BINARY = {"maxIter": 500, "stepSize": 0.02, "maxDepth": 6, "subsamplingRate": 0.5,
@@ -154,9 +155,9 @@ def oof_predictions(df: DataFrame, estimator, k: int = 5, seed: int = 42, key: s
     """Every row scored by the model that did not see its fold.
 
     ``df`` has ``features`` and ``label``. The k fits are separate distributed
-    jobs; the folds are kept because each fit reads them.
+    jobs; the folds are written because each fit reads them.
     """
-    folds = stratified_kfold(df, "label", k, seed, key).persist(StorageLevel.MEMORY_AND_DISK)
+    folds = written(stratified_kfold(df, "label", k, seed, key), "folds")
     out = None
     for i in range(k):
         model = fit_scaled(folds.where(F.col("fold") != i), estimator)

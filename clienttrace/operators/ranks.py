@@ -92,21 +92,37 @@ def segmented_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
             .drop("_inside", "_here", "_below", "_segment", "_hot_rows"))
 
 
-def value_segment(c: Column) -> Column:
-    """Slices of a non-negative number, each 1 % wide; never decreasing."""
-    return F.floor(F.log1p(c) * 100)
-
-
 def exact_median(df: DataFrame, keys: Sequence[str], value: Column, out: str = "median",
                  hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Exact median of a non-negative value per key (nulls ignored)."""
+    """Exact median of a non-negative value per key (nulls ignored).
+
+    Keys with up to ``hot_rows`` rows use Spark's ``median``, whose buffer they
+    bound. A hot key is counted per distinct value first (map side, spread by
+    value), and running counts over slices of values find the middle, so
+    neither its rows nor its copies of one value meet in one task.
+    """
     keys = list(keys)
     rows = df.select(*keys, value.cast("double").alias("_value")).where(F.col("_value").isNotNull())
-    ranked = segmented_rank(rows, keys, [F.col("_value")], value_segment(F.col("_value")),
-                            "_rank", "_size", hot_rows)
-    low, high = F.floor((F.col("_size") + 1) / 2), F.floor((F.col("_size") + 2) / 2)
-    return (ranked.where((F.col("_rank") == low) | (F.col("_rank") == high))
-            .groupBy(*keys).agg(F.avg("_value").alias(out)))
+    hot = F.broadcast(hot_keys(rows, keys, hot_rows))
+    cold = rows.join(hot, keys, "left_anti").groupBy(*keys).agg(F.median("_value").alias(out))
+
+    parts = keys + ["_slice"]
+    # Slices 0.01 percent wide: they never decrease with the value.
+    counts = (rows.join(hot, keys, "left_semi").groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_n"))
+              .withColumn("_slice", F.floor(F.log1p("_value") * 10_000)))
+    by_slice = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = (counts.groupBy(*parts).agg(F.sum("_n").alias("_in_slice"))
+              .withColumn("_below", F.coalesce(F.sum("_in_slice").over(by_slice), F.lit(0)))
+              .withColumn("_all", F.sum("_in_slice").over(Window.partitionBy(*keys))))
+    inside = Window.partitionBy(*parts).orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.col("_below") + F.col("_up_to")
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor((F.col("_all") + 2) / 2)
+
+    def holds(place: Column) -> Column:
+        return F.max(F.when((place > last - F.col("_n")) & (place <= last), F.col("_value")))
+    found = (counts.withColumn("_up_to", F.sum("_n").over(inside)).join(slices, parts)
+             .groupBy(*keys).agg(((holds(low) + holds(high)) / 2).alias(out)))
+    return cold.unionByName(found)
 
 
 def running_total(df: DataFrame, group: Sequence[str], seq: str, value: Column, out: str,

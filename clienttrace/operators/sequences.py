@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clienttrace.functions.scalars import fill_category
 from clienttrace.operators.events import event_order, hour_segment, time_kind
-from clienttrace.operators.ranks import HOT_ROWS, bucketed_rank, segmented_rank
+from clienttrace.operators.ranks import HOT_ROWS, bucketed_rank, hot_keys, segmented_rank
 
 
 def category_codes(df: DataFrame, column: str, fill: str | int = "UNK") -> DataFrame:
@@ -87,22 +87,33 @@ def build_sequences(events: DataFrame, arrays: Sequence[str], labels: DataFrame
     """
     if labels is not None:
         events = events.join(labels.select("customer_id"), "customer_id", "left_semi")
-    ranked = order_events(events, "_no", "_n", hot_rows).where(F.col("_n") >= minimum)
-    item = F.struct("_no", "time", *arrays)
+    kind = time_kind(events)
+    order = [c for c in ("time", "tie") if c in events.columns]
+    limit = min(chunk_events, hot_rows)
+    hot = F.broadcast(hot_keys(events, ["customer_id"], limit))
+
+    # Up to ``limit`` events: one shuffle, sorted inside the row.
+    item = F.struct(*order, *arrays)
+    short = (events.join(hot, "customer_id", "left_anti")
+             .groupBy("customer_id").agg(F.array_sort(F.collect_list(item)).alias("_items"))
+             .where(F.size("_items") >= minimum)
+             .select("customer_id", F.lit(0).cast("long").alias("chunk"), F.col("_items")[0]["time"].alias("_first"),
+                     F.col("_items")))
+    # Longer ones: numbered hour by hour, then cut.
+    starts = events.groupBy("customer_id").agg(F.min("time").alias("_first"))
+    long = (order_events(events.join(hot, "customer_id", "left_semi"), "_no", "_n", limit)
+            .where(F.col("_n") >= minimum)
+            .withColumn("chunk", F.floor((F.col("_no") - 1) / chunk_events))
+            .groupBy("customer_id", "chunk").agg(F.array_sort(F.collect_list(item)).alias("_items"))
+            .join(starts, "customer_id")
+            .select("customer_id", "chunk", "_first", "_items"))
 
     def column(name: str) -> Column:
         return F.transform("_items", lambda x: x[name]).alias(name)
 
-    chunks = (ranked.withColumn("chunk", F.floor((F.col("_no") - 1) / chunk_events))
-              .groupBy("customer_id", "chunk").agg(F.array_sort(F.collect_list(item)).alias("_items")))
-    starts = (chunks.where(F.col("chunk") == 0)
-              .select("customer_id", F.col("_items")[0]["time"].alias("_first")))
-    kind = time_kind(events)
-    records = (chunks.join(starts, "customer_id")
-               .select("customer_id", "chunk",
-                       F.transform("_items", lambda x: days_between(F.col("_first"), x["time"], kind).cast("float"))
-                       .alias("event_time"),
-                       *[column(name) for name in arrays]))
+    since = F.transform("_items", lambda x: days_between(F.col("_first"), x["time"], kind).cast("float"))
+    records = short.unionByName(long).select(
+        "customer_id", "chunk", since.alias("event_time"), *[column(name) for name in arrays])
     if labels is not None:
         records = records.join(labels.select("customer_id", "target"), "customer_id")
     return records

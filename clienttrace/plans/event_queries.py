@@ -414,7 +414,7 @@ def event_sequences(spark, sf_dir):
     return records.select(
         "customer_id", "target", F.size("event_time").alias("n_events"),
         text("event_time", lambda x: x.cast("int").cast("string")).alias("event_times"),
-        text("log_amount", lambda x: F.call_function("format_number", x, F.lit("0.0000"))).alias("amounts"),
+        text("log_amount", lambda x: x.cast("decimal(12,4)").cast("string")).alias("amounts"),
         text("category_index", lambda x: x.cast("string")).alias("categories"))
 
 
@@ -434,7 +434,7 @@ def sequence_slices(spark, sf_dir):
     records = sequences.build_sequences(clicks(spark, sf_dir), ["amount"])
     slices = sequences.sample_slices(records, ["amount", "event_time"])
     return slices.select("customer_id", "slice_no", "slice_length", "slice_start", F.array_join(
-        F.transform("amount", lambda x: F.call_function("format_number", x, F.lit("0.00"))), ",").alias("amounts"))
+        F.transform("amount", lambda x: x.cast("decimal(12,2)").cast("string")), ",").alias("amounts"))
 
 
 # --- sampling ---------------------------------------------------------------
