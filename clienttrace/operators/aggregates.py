@@ -171,7 +171,7 @@ def top_categories(events: DataFrame, k: int = 6, category: str = "category") ->
 def distinct_types(events: DataFrame, kind: str, k: int = 5) -> DataFrame:
     """Number of transaction types and the text of the most frequent ``k``."""
     counts = events.groupBy("customer_id", kind).agg(F.count(F.lit(1)).alias("cnt"))
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("cnt")).alias("c"), F.col(kind).alias("t"))))
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("cnt")).alias("c"), F.col(kind).alias("t"))))
     return (counts.where(F.col(kind).isNotNull())
             .groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_types"), ordered.alias("_types"))
             .select("customer_id", "n_types",

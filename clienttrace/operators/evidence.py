@@ -93,7 +93,7 @@ def top_factors(attributions: Column, k: int = 3) -> Column:
     """The ``k`` entries with the largest |phi|; ties keep the feature order."""
     numbered = F.transform(attributions, lambda x, i: F.struct(
         (-F.abs(x["phi"])).alias("size"), i.alias("i"), x.alias("x")))
-    return F.transform(F.slice(F.array_sort(numbered), 1, k), lambda x: x["x"])
+    return F.transform(F.slice(F.sort_array(numbered), 1, k), lambda x: x["x"])
 
 
 # --- evidence texts ---------------------------------------------------------

@@ -55,7 +55,7 @@ def client_summary(events: DataFrame, category: str = "category", hour: Column |
         F.min("min_amt").alias("min_amt"), F.max("max_amt").alias("max_amt"),
         F.min("first").alias("first"), F.max("last").alias("last"),
         *[F.sum(c).alias(c) for c in sums],
-        F.array_sort(F.collect_list(named)).alias("cats"),
+        F.sort_array(F.collect_list(named)).alias("cats"),
         F.count(category).alias("n_categories"))
     between = F.aggregate("_groups", F.lit(0.0),
                           lambda s, g: s + g["n"] * F.pow(g["mean"] - F.col("mean_amt"), F.lit(2.0)))
@@ -259,7 +259,7 @@ def history_text(events: DataFrame, k: int = 50, date_style: str = "date", heade
     order = event_order(events)
     last = last_events(events, k).select("customer_id", F.struct(*order, line.alias("line")).alias("_item"))
     before, after = HISTORY_HEADERS[header].split("{n}")
-    lines = last.groupBy("customer_id").agg(F.array_sort(F.collect_list("_item")).alias("_items"))
+    lines = last.groupBy("customer_id").agg(F.sort_array(F.collect_list("_item")).alias("_items"))
     return lines.select("customer_id", F.concat(
         F.lit(before), F.size("_items").cast("string"), F.lit(after + "\n"),
         F.array_join(F.transform("_items", lambda x: x["line"]), "\n")).alias("history"))

@@ -245,7 +245,7 @@ def demo_messages(demos: DataFrame, cot: bool = False, query: str = "query_id")
     reasoning = cot_reasoning(F.col("profile"), F.col("label")) if cot else None
     pair = F.array(_message("user", _cat(F.col("profile"), "\nClassify this client.")),
                    _message("assistant", demo_answer(F.col("label"), reasoning)))
-    collected = F.array_sort(F.collect_list(F.struct("position", pair.alias("pair"))))
+    collected = F.sort_array(F.collect_list(F.struct("position", pair.alias("pair"))))
     return (demos.groupBy(query).agg(collected.alias("_turns"))
             .select(query, F.flatten(F.transform("_turns", lambda x: x["pair"])).alias("demos")))
 
@@ -268,7 +268,7 @@ def few_shot_block(examples: DataFrame, style: str = "numbered") -> DataFrame:
             return _cat("Example ", n, ":\n", x["profile"], "\nAnswer: ", x["label"], "\n\n")
         head = _cat("\nProfile ", n, ":\n") if style == "profile_numbered" else F.lit("\nProfile:\n")
         return _cat(head, x["profile"], "\nAnswer: ", x["label"], "\n")
-    items = F.array_sort(F.collect_list(F.struct("position", "profile", "label")))
+    items = F.sort_array(F.collect_list(F.struct("position", "profile", "label")))
     return examples.agg(F.array_join(F.transform(items, text), "").alias("block"))
 
 

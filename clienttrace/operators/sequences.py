@@ -95,7 +95,7 @@ def build_sequences(events: DataFrame, arrays: Sequence[str], labels: DataFrame
     # Up to ``limit`` events: one shuffle, sorted inside the row.
     item = F.struct(*order, *arrays)
     short = (events.join(hot, "customer_id", "left_anti")
-             .groupBy("customer_id").agg(F.array_sort(F.collect_list(item)).alias("_items"))
+             .groupBy("customer_id").agg(F.sort_array(F.collect_list(item)).alias("_items"))
              .where(F.size("_items") >= minimum)
              .select("customer_id", F.lit(0).cast("long").alias("chunk"), F.col("_items")[0]["time"].alias("_first"),
                      F.col("_items")))
@@ -104,7 +104,7 @@ def build_sequences(events: DataFrame, arrays: Sequence[str], labels: DataFrame
     long = (order_events(events.join(hot, "customer_id", "left_semi"), "_no", "_n", limit)
             .where(F.col("_n") >= minimum)
             .withColumn("chunk", F.floor((F.col("_no") - 1) / chunk_events))
-            .groupBy("customer_id", "chunk").agg(F.array_sort(F.collect_list(item)).alias("_items"))
+            .groupBy("customer_id", "chunk").agg(F.sort_array(F.collect_list(item)).alias("_items"))
             .join(starts, "customer_id")
             .select("customer_id", "chunk", "_first", "_items"))
 

@@ -19,7 +19,7 @@ def _per_dimension(train: DataFrame, column: str, *stats: Callable[[Column], Col
     """
     dims = (train.select(F.posexplode(column).alias("_dim", "_x"))
             .groupBy("_dim").agg(*[s(F.col("_x").cast("double")).alias(f"_s{i}") for i, s in enumerate(stats)]))
-    packed = dims.agg(F.array_sort(F.collect_list(F.struct("_dim", *[f"_s{i}" for i in range(len(stats))]))).alias("_all"))
+    packed = dims.agg(F.sort_array(F.collect_list(F.struct("_dim", *[f"_s{i}" for i in range(len(stats))]))).alias("_all"))
     return packed.select(*[F.col("_all")[f"_s{i}"].alias(f"_s{i}") for i in range(len(stats))])
 
 
@@ -62,7 +62,7 @@ def masked_mean_pool(df: DataFrame, key: str, layer: str, token: str, vector: st
               .select(key, token, F.posexplode(vector).alias("_dim", "_x")))
     tokens = values.groupBy(key, token, "_dim").agg(F.avg(F.col("_x").cast("double")).alias("_x"))
     dims = tokens.groupBy(key, "_dim").agg(F.avg("_x").alias("_x"))
-    return (dims.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_dim", "_x"))).alias("_all"))
+    return (dims.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_dim", "_x"))).alias("_all"))
             .select(key, F.col("_all")["_x"].alias(vector)))
 
 

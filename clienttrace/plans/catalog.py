@@ -6,7 +6,8 @@ import importlib
 
 from clienttrace.plans import registry
 
-MODULES = ("profile_queries", "event_queries", "vector_queries", "answer_queries", "model_queries")
+MODULES = ("profile_queries", "event_queries", "vector_queries", "answer_queries", "model_queries",
+           "flow_queries")
 
 
 def _load() -> None:
