@@ -46,13 +46,14 @@ def linear_attribution(rows: DataFrame, weights: Mapping[str, float], background
 
 def attributions(model, rows: DataFrame, background: DataFrame, score: Column,
                  features: Sequence[str] = FEATURES, key: str = "customer_id", background_rows: int = 50,
-                 seed: int = 42) -> DataFrame:
+                 seed: int = 42, carry: Sequence[str] = ()) -> DataFrame:
     """Exact Shapley values of any Spark ML model over a few features.
 
     ``model`` scores a table with one column per feature (a pipeline starting
     with an assembler); ``score`` is the explained value on its result, e.g.
-    twice the raw prediction of a boosted tree model (log-odds). Absent
-    features take their values from a fixed sample of background rows. Every
+    twice the raw prediction of a boosted tree model (log-odds). ``carry``
+    names columns of the row the score may use, such as its predicted class
+    when one class of several is explained. Absent features take their values from a fixed sample of background rows. Every
     row becomes coalitions x background rows inside its own partition, and the
     scores are averaged map side before they are shuffled.
     """
@@ -64,7 +65,7 @@ def attributions(model, rows: DataFrame, background: DataFrame, score: Column,
               .select(*[F.col(f).cast("double") for f in features]).collect())
     literal = F.from_json(F.lit(json.dumps([list(r) for r in sample])), "array<array<double>>")
     present = [F.col("_mask").bitwiseAND(F.lit(1 << j)) != 0 for j in range(d)]
-    mixed = (rows.select(key, *[F.col(f).cast("double").alias(f"_x{j}") for j, f in enumerate(features)])
+    mixed = (rows.select(key, *carry, *[F.col(f).cast("double").alias(f"_x{j}") for j, f in enumerate(features)])
              .withColumn("_mask", F.explode(F.sequence(F.lit(0), F.lit(2 ** d - 1))))
              .withColumn("_b", F.explode(literal))
              .withColumns({f: F.when(present[j], F.col(f"_x{j}")).otherwise(F.col("_b")[j])
@@ -137,7 +138,8 @@ def evidence_text(kind: str, pos: str, neg: str, prob: Column | None = None, fac
                   votes: tuple[Column, Column, Column] | None = None, joint: str = "append") -> Column:
     """Evidence for a binary prompt.
 
-    ``kind``: ``none``, ``shap``, ``knn``, ``both`` or ``prediction``. ``prob``
+    ``kind``: ``none``, ``shap``, ``knn``, ``counts`` (votes without the
+    majority), ``both`` or ``prediction``. ``prob``
     is the model's positive probability, ``factors`` an attribution array,
     ``votes`` the columns (pos, neg, majority). ``both`` appends one text to
     the other or (``joint="compact"``) uses the shorter form.
@@ -147,6 +149,8 @@ def evidence_text(kind: str, pos: str, neg: str, prob: Column | None = None, fac
     if kind == "prediction":
         label, sure = _predicted(prob, pos, neg, strict=False)
         return _cat("ML model: predicts ", label, " (", sure, " confidence).")
+    if kind == "counts":
+        return _cat("\nSimilar clients: ", votes[0].cast("string"), f" {pos}, ", votes[1].cast("string"), f" {neg}.")
     shap = knn = None
     if kind in ("shap", "both"):
         label, sure = _predicted(prob, pos, neg, strict=True)
@@ -179,6 +183,12 @@ def churn_sentence(prob: Column, factors: Column, pos: str = "churn", neg: str =
                 f" {pos} prob). Key: ", factor_text(factors, "signed", pos), ".")
 
 
+def class_sentence(predicted: Column, factors: Column, labels: Mapping[int, str]) -> Column:
+    """One sentence with the predicted class and the sizes of its factors."""
+    return _cat("ML predicts '", case_label(predicted, labels), "'. Key factors: ",
+                factor_text(factors, "size", ""), ".")
+
+
 def class_evidence(kind: str, labels: Mapping[int, str], short: Sequence[str], predicted: Column | None = None,
                    factors: Column | None = None, counts: Column | None = None, k: int = 10) -> Column:
     """Evidence for a multiclass prompt: ``none``, ``shap``, ``knn`` or ``both``."""

@@ -364,21 +364,25 @@ SELECT customer_id, {_SHAP} AS shap, {_KNN} AS knn, {_SHAP} || {_KNN} AS both,
   'XGBoost predicts ''' || {_YES} || ''' (' || {f0('prob * 100')} || '% male confidence). Key factors: ' || impacts
    || '.' AS sentence,
   'Similar clients (top-10 nearest by transaction patterns): ' || {_VOTES} || ' (majority: ' || {_MAJORITY} || ').'
-   AS neighbours
+   AS neighbours, chr(10) || 'Similar clients: ' || {_VOTES} || '.' AS counts,
+  'ML predicts ''' || CASE WHEN prob > 0.5 THEN 'churn' ELSE 'stay' END || ''' (' || {f0('prob * 100')}
+   || '% churn prob). Key: ' || replace(impacts, 'impact=', '') || '.' AS churn_sentence
 FROM sg JOIN fa USING (customer_id)""")
 def evidence_texts(spark, sf_dir):
     return _signals(spark, sf_dir).select(
         "customer_id", _evidence("shap").alias("shap"), _evidence("knn").alias("knn"), _evidence("both").alias("both"),
         _evidence("both", joint="compact").alias("compact"), _evidence("prediction").alias("prediction"),
         evidence.impact_sentence(F.col("prob"), F.col("factors"), "male", "female").alias("sentence"),
-        evidence.knn_sentence(_votes(), "male", "female").alias("neighbours"))
+        evidence.knn_sentence(_votes(), "male", "female").alias("neighbours"), _evidence("counts").alias("counts"),
+        evidence.churn_sentence(F.col("prob"), F.col("factors")).alias("churn_sentence"))
 
 
 _AGE_NAME = """CASE {c} WHEN 0 THEN 'young (under 25)' WHEN 1 THEN 'adult (25-35)' WHEN 2 THEN 'middle-aged (35-55)'
   ELSE 'senior (over 55)' END"""
 _AGE_FACTORS = f"""af AS (SELECT customer_id, string_agg(feature || '=' || {f0('value')} || ' ('
      || CASE WHEN phi > 0 THEN 'high' ELSE 'low' END || ' → ' || {_AGE_NAME.format(c='customer_id % 4')} || ')',
-     '; ' ORDER BY place) AS factors
+     '; ' ORDER BY place) AS factors,
+   string_agg(feature || ' (' || printf('%.3f', round(abs(phi), 6)) || ')', '; ' ORDER BY place) AS sizes
   FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY -abs(round(phi, 9)), i) AS place FROM ph)
   WHERE place <= 3 GROUP BY customer_id),
 ct AS (SELECT customer_id, (customer_id % 5)::int AS a, (customer_id % 3)::int AS b, (customer_id % 2)::int AS c,
@@ -396,7 +400,8 @@ SELECT customer_id, 'ML model analysis:' || chr(10) || 'XGBoost predicts: ' || {
   'Evidence 1 - ML model:' || chr(10) || 'XGBoost predicts: ' || {_AGE_NAME.format(c='customer_id % 4')} || '.'
    || chr(10) || 'Key factors: ' || factors || '.' || chr(10) || chr(10) || 'Evidence 2 - Similar clients:' || chr(10)
    || 'Among 10 similar clients: ' || near || '.' || chr(10) || 'Majority: ' || {_AGE_NAME.format(c='top')} || '.'
-   AS both FROM y""")
+   AS both, 'ML predicts ''' || {_AGE_NAME.format(c='customer_id % 4')} || '''. Key factors: ' || sizes || '.'
+   AS sentence FROM y""")
 def class_evidence(spark, sf_dir):
     c = F.col("customer_id")
     rows = _signals(spark, sf_dir).withColumns({
@@ -406,7 +411,8 @@ def class_evidence(spark, sf_dir):
     def text(kind):
         return evidence.class_evidence(kind, prompts.AGE_LABELS, prompts.AGE_SHORT, F.col("cls"), F.col("factors"),
                                        F.col("counts")).alias(kind)
-    return rows.select("customer_id", text("shap"), text("knn"), text("both"))
+    return rows.select("customer_id", text("shap"), text("knn"), text("both"), evidence.class_sentence(
+        F.col("cls"), F.col("factors"), prompts.AGE_LABELS).alias("sentence"))
 
 
 _BRIEF = f"""{stats(merchant(SHORT), CLICK_ORDER)},

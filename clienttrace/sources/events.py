@@ -18,7 +18,7 @@ CHURN_EVENTS = ("PERIOD string, cl_id bigint, MCC int, channel_type string, curr
                 "amount double, trx_category string, target_flag int, target_sum double")
 AGE_EVENTS = "client_id bigint, trans_date int, small_group int, amount_rur double"
 AGE_LABELS = "client_id bigint, bins int"
-GENDER_SPEC = EventSpec("customer_id", "time", "amount", "tr_type", "mcc_code", ("tr_datetime", "mcc_code", "tr_type"))
+GENDER_SPEC = EventSpec("customer_id", "time", "amount", "tr_type", "mcc_code", ("mcc_code", "tr_type", "amount"))
 CHURN_SPEC = EventSpec("cl_id", "time", "amount", "trx_category", "MCC",
                        ("MCC", "channel_type", "currency", "trx_category", "amount"))
 AGE_SPEC = EventSpec("client_id", "trans_date", "amount_rur", "small_group", "small_group", ("small_group", "amount_rur"))

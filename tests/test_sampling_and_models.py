@@ -148,3 +148,19 @@ def test_evaluation_tables(scored_clients):
     assert all(0 <= r["value"] <= 1 for r in table)
     with pytest.raises(ValueError):
         models.evaluate_logreg(data, data, "regression")
+
+
+def test_shapley_of_the_predicted_class(scored_clients):
+    """Three classes: each row's own predicted class is explained."""
+    features = list("pq")
+    rows = scored_clients.withColumn("target", F.floor(F.col("p") * 3).cast("int"))
+    data = models.assemble(rows, features)
+    forest = models.tree_estimator("multiclass", models.QUICK_MULTICLASS)
+    fitted = models.fit_scaled(data, forest)
+    predicted = models.scored(fitted, data).select("customer_id", *features, "pred", F.array_max("probs").alias("top"))
+    model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), *fitted.stages]).fit(rows)
+    score = F.element_at(vector_to_array("probability"), F.col("pred") + 1)
+    found = evidence.attributions(model, predicted, predicted, score, features, background_rows=8, carry=["pred"])
+    for r in found.join(predicted.select("customer_id", "top"), "customer_id").collect():
+        assert abs(r["score"] - r["top"]) < 1e-9
+        assert abs(sum(a["phi"] for a in r["attributions"]) - (r["score"] - r["base_score"])) < 1e-9
