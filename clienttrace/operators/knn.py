@@ -128,6 +128,14 @@ def _first_visits(queries: DataFrame, cells: _Cells, k: int) -> DataFrame:
     return queries.mapInPandas(visit, _VISIT)
 
 
+def _all_visits(queries: DataFrame, cells: _Cells) -> DataFrame:
+    """Every query visits every block: one cell per class, nothing to rule out."""
+    listed = F.array(*[F.struct(F.lit(i).alias("cell"), F.lit(int(n)).alias("blocks"))
+                       for i, n in enumerate(cells.blocks)])
+    return (queries.select("query_id", "vector", F.inline(listed))
+            .select("query_id", "vector", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")))
+
+
 def _second_visits(queries: DataFrame, cells: _Cells, k: int) -> DataFrame:
     """Visits of the cells a first visit cannot rule out.
 
@@ -203,11 +211,16 @@ def knn_join(query: DataFrame, base: DataFrame, k: int, key: str = "customer_id"
     if pivots is None:
         # A base that fits one block needs no pruning: one cell, one comparison.
         pivots = 1 if base_rows <= BASE_BLOCK else int(min(MAX_PIVOTS, base_rows ** 0.5 / 2))
-    chosen = _choose_pivots(base, "vector", "base_id", pivots)
-    assigned = _assign(base, chosen)
-    if len(chosen) > 1:
-        assigned = written(assigned, "knn-base")
+    pruned = pivots > 1
+    if pruned:
+        chosen = _choose_pivots(base, "vector", "base_id", pivots)
+        assigned = written(_assign(base, chosen), "knn-base")
+    else:
+        chosen = np.zeros((1, 0))
+        assigned = base.withColumns({"pivot": F.lit(0), "to_pivot": F.lit(0.0)})
     cells = _cells(assigned, chosen)
+    if not len(cells.rows):
+        raise ValueError("the base has no vectors")
 
     facts = base.sparkSession.createDataFrame(
         [(int(lab), int(piv), i, int(cells.blocks[i])) for (lab, piv), i in cells.number.items()],
@@ -221,8 +234,9 @@ def knn_join(query: DataFrame, base: DataFrame, k: int, key: str = "customer_id"
     def best(found: DataFrame) -> DataFrame:
         return found.withColumn("place", place).where(F.col("place") <= k)
 
-    result = best(_best_in_blocks(_first_visits(query, cells, k), blocks, k))
-    if len(chosen) > 1:
+    visits = _first_visits(query, cells, k) if pruned else _all_visits(query, cells)
+    result = best(_best_in_blocks(visits, blocks, k))
+    if pruned:
         nearest = written(result, "knn-first")
         # cos distance c and chord length h: h^2 = 2c
         chord = F.sqrt(F.greatest(F.lit(0.0), 2 * F.col("distance")))

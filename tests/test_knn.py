@@ -34,7 +34,7 @@ def brute(query, base, k, per_class):
 
 
 @pytest.mark.parametrize("per_class", [None, "target"])
-@pytest.mark.parametrize("pivots", [None, 7])
+@pytest.mark.parametrize("pivots", [None, 1, 7])
 def test_exact_with_copies_zeros_and_small_blocks(spark, monkeypatch, per_class, pivots):
     monkeypatch.setattr(knn, "BASE_BLOCK", 25)
     monkeypatch.setattr(knn, "QUERY_GROUP", 10)
@@ -65,3 +65,11 @@ def test_fewer_base_vectors_than_k(spark):
     base, query = points(3, 1), points(2, 2)
     found = knn.knn_join(spark.createDataFrame(query, SCHEMA), spark.createDataFrame(base, SCHEMA), 10, pivots=2)
     assert found.count() == 6
+
+
+def test_small_base_needs_no_pivots(spark):
+    base, query = points(60, 4, zeros=2), points(9, 5, zeros=1)
+    found = knn.knn_join(spark.createDataFrame(query, SCHEMA), spark.createDataFrame(base, SCHEMA), 5)
+    assert {(r["query_id"], r["base_id"], r["place"]) for r in found.collect()} == brute(query, base, 5, None)
+    with pytest.raises(ValueError, match="no vectors"):
+        knn.knn_join(spark.createDataFrame(query, SCHEMA), spark.createDataFrame([], SCHEMA), 5)
