@@ -25,7 +25,7 @@ from clienttrace.operators.sampling import stratified_kfold
 from clienttrace.operators.vectors import concat_vectors
 from clienttrace.session import written
 
-# Parameters of the reference runs under Spark's names.
+# Parameters of the published runs under Spark's names.
 GRADIENT_BINARY = {"maxIter": 500, "stepSize": 0.02, "maxDepth": 6, "subsamplingRate": 0.5,
                    "featureSubsetStrategy": "0.75", "minInstancesPerNode": 50}
 GRADIENT_MULTICLASS = {"numTrees": 1000, "maxDepth": 12, "subsamplingRate": 0.75, "featureSubsetStrategy": "0.75",

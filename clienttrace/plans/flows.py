@@ -49,8 +49,9 @@ def client_evidence(client_events: DataFrame, labels: DataFrame, vector_table: D
     Trained and searched on the train split only; test clients come out.
     """
     split = sampling.stratified_split(labels, seed=seed)
-    features = events.left_with_default(split, aggregates.client_features(client_events),
-                                        {f: 0.0 for f in aggregates.FEATURES})
+    # Read by every pass of the fit and by the explanation: kept.
+    features = written(events.left_with_default(split, aggregates.client_features(client_events),
+                                                {f: 0.0 for f in aggregates.FEATURES}), "features")
     train, test = (features.where(F.col("split") == s) for s in ("train", "test"))
     model = Pipeline(stages=[VectorAssembler(inputCols=list(aggregates.FEATURES), outputCol="features"),
                              GBTClassifier(labelCol="target", seed=seed, **(params or models.EXTREME_BINARY))]).fit(train)
