@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from clienttrace.llm import bpe
+from clienttrace.llm import bpe, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,3 +29,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op6_bpe(spark, sf_dir):
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER))
+
+
+@query
+def op5_simhash(spark, sf_dir):
+    return simhash.groups(table(spark, sf_dir, "documents"))
