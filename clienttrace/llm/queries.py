@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clienttrace.llm import bpe, simhash
+from clienttrace.llm import bpe, simhash, toxicity
+from clienttrace.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,3 +36,12 @@ def op6_bpe(spark, sf_dir):
 @query
 def op5_simhash(spark, sf_dir):
     return simhash.groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = fold("doc_id", 5) == 0
+    machine = toxicity.fit(docs, labels, ~held_out)
+    return toxicity.score(docs, machine).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
