@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clienttrace.llm import bpe, simhash, toxicity
+from clienttrace.llm import bpe, language, simhash, toxicity
 from clienttrace.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,3 +45,11 @@ def op1_toxicity(spark, sf_dir):
     machine = toxicity.fit(docs, labels, ~held_out)
     return toxicity.score(docs, machine).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op10_language(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = fold("doc_id", 4) == 2
+    return language.predict(docs, language.fit(docs, ~held_out)).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score")
