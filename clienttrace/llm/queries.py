@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clienttrace.llm import bpe, language, simhash, toxicity
+from clienttrace.llm import bpe, decontaminate, language, simhash, toxicity
 from clienttrace.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,3 +53,8 @@ def op10_language(spark, sf_dir):
     held_out = fold("doc_id", 4) == 2
     return language.predict(docs, language.fit(docs, ~held_out)).select(
         "doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op8_decontaminate(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
