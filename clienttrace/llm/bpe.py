@@ -16,15 +16,14 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clienttrace.llm.common import columns
+from clienttrace.llm.common import map_texts
 
 LONG_WORD = 96
 CACHE_WORDS = 500_000
@@ -186,15 +185,12 @@ def encode(docs: DataFrame, tokenizer: str, id_column: str = "doc_id", text_colu
     with open(tokenizer, encoding="utf-8") as f:
         definition = docs.sparkSession.sparkContext.broadcast(f.read())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(texts: list[str | None]) -> tuple[list[bytes], list[str]]:
         bpe = _bpe(definition)
-        for batch in batches:
-            ids = [bpe.encode(t) if t else b"" for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"], "ids": ids, "decoded": [bpe.decode(x) for x in ids]})
+        ids = [bpe.encode(t) if t else b"" for t in texts]
+        return ids, [bpe.decode(x) for x in ids]
 
-    rows = columns(docs, id_column, text_column).toDF("id", "text")
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"id {kind}, ids binary, decoded string").withColumnRenamed("id", id_column)
+    return map_texts(docs, id_column, text_column, {"ids": pa.binary(), "decoded": pa.string()}, run)
 
 
 def digests(encoded: DataFrame, id_column: str = "doc_id") -> DataFrame:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clienttrace.session import written
 
-__all__ = ["fold", "raw", "written"]
+__all__ = ["columns", "fold", "keep_texts", "map_texts", "raw", "written"]
+
+#: Spark's names of the Arrow types the operators return.
+TYPES = {pa.binary(): "binary", pa.string(): "string", pa.int64(): "long", pa.float64(): "double"}
 
 
 def fold(id_column: str, parts: int) -> Column:
@@ -23,3 +29,28 @@ def raw(text: str | None) -> bytes:
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """Just these columns; whatever else a table carries, under any name, stays behind."""
     return df.select(*(F.col(f"`{n}`") for n in names))
+
+
+def map_texts(docs: DataFrame, id_column: str, text_column: str, out: dict[str, pa.DataType],
+              fn: Callable[[list[str | None]], Iterable[list]]) -> DataFrame:
+    """The ids of all rows, unchanged, with the columns ``fn`` makes of a batch of whole texts."""
+    def run(batches):
+        for batch in batches:
+            made = fn(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(m, t) for m, t in zip(made, out.values()))], ["id", *out])
+
+    rows = columns(docs, id_column, text_column).toDF("id", "text")
+    schema = ", ".join([f"id {rows.schema['id'].dataType.simpleString()}", *(f"{n} {TYPES[t]}" for n, t in out.items())])
+    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_column)
+
+
+def keep_texts(docs: DataFrame, text_column: str, keep: Callable[[str | None], bool]) -> DataFrame:
+    """The rows of ``docs``, in all columns, whose text ``keep`` accepts."""
+    at = docs.columns.index(text_column)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([keep(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -8,19 +8,19 @@
 3. Randomised SVD of the passage-term matrix A, in one distributed pass: with a
    Gaussian test matrix W the tasks sum A'(A W), passages normalised by their
    sketch; the driver orthogonalises that (terms x rank, bounded by the
-   benchmark) together with a Gaussian sketch of the items, which count as
-   passages of overwhelming weight: directions that only the benchmark has are kept too.
+   benchmark) together with the items' passages, which count as rows of
+   overwhelming weight: directions that only the benchmark has are kept too.
 4. Every passage of two blocks (overlapping by one) is compared with all items
-   by the cosine in the latent space. A passage without any rare term cannot
-   reach ``LEAST_COSINE``: frequent terms are so chosen that their part of every
-   item stays below it. Such passages are passed over.
+   by the cosine in the latent space. For each term the largest weight it has in
+   any item is known; passages which with these cannot reach ``LEAST_COSINE``
+   cannot with any item, and are passed over.
 5. Of a candidate the longest common subsequence of item and surroundings is
    found. It counts as contaminated if it covers ``COPY`` of the item's words;
    or ``PARAPHRASE`` of them while its answer (the last quarter) is covered by ``ANSWER``.
 
 Passages of a document stay in its task: after the statistics nothing is
-shuffled. The benchmark is the stated query set; it is taken in blocks of
-``ITEMS`` items, each held by every task.
+shuffled. The benchmark is the stated query set; it is taken in blocks of about
+``ITEM_WORDS`` words, each held by every task.
 """
 
 from __future__ import annotations
@@ -30,17 +30,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clienttrace.llm.common import columns, written
+from clienttrace.llm.common import columns, map_texts, written
 
-BLOCK = 16
+BLOCK = 8
 RANK = 32
-ITEM_RANK = 192
-ITEMS = 2_000
+#: Words of the items in a block; bounds the terms and the latent space.
+ITEM_WORDS = 10_000
 LEAST_WORDS = 8
-LEAST_COSINE = 0.45
+LEAST_COSINE = 0.6
 COPY = 0.7
 PARAPHRASE = 0.55
 ANSWER = 0.8
@@ -93,34 +94,26 @@ class Benchmark:
         for r, (_, t) in enumerate(self.passages):
             np.add.at(rows[r], t, self.idf[t])
         self.rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
-        # The most frequent terms, as long as no item's part in them reaches the least cosine.
-        order = np.argsort(-df, kind="stable")
-        part = np.sqrt(np.cumsum(self.rows[:, order] ** 2, axis=1).max(axis=0))
-        self.rare = np.ones(self.terms, bool)
-        self.rare[order[:int(np.searchsorted(part, 0.9 * LEAST_COSINE))]] = False
+        # At the last place stands what is no term (-1): it lengthens a passage and meets no item.
+        self.squares = np.append(self.idf, np.median(self.idf) if self.terms else 1.0) ** 2
+        self.most = np.append(self.idf * self.rows.max(axis=0, initial=0.0), 0.0)
 
     def test_matrix(self) -> np.ndarray:
         return np.random.default_rng(11).normal(0, 1, (self.terms, RANK)).astype("f4")
 
     def turn(self, sketch: np.ndarray) -> None:
         """The latent space from A'(A W) and the items."""
-        k = min(len(self.passages), ITEM_RANK)
-        mix = np.eye(k) if k == len(self.passages) else np.random.default_rng(13).normal(0, 1, (len(self.passages), k))
         basis, strength, _ = np.linalg.svd(np.hstack([
-            sketch / max(np.linalg.norm(sketch), 1e-12), 1e3 * (self.rows.T @ mix)]), full_matrices=False)
+            sketch / max(np.linalg.norm(sketch), 1e-12), 1e3 * self.rows.T]), full_matrices=False)
         basis = basis[:, strength > 1e-9 * max(strength.max(), 1e-300)]
-        self.latent = (basis * self.idf[:, None]).astype("f4")
-        self.queries = (self.rows @ basis).astype("f4")
+        # What a term adds to the latent product of a passage and each item passage.
+        self.near = ((basis * self.idf[:, None]) @ (self.rows @ basis).T).astype("f4")
 
 
 def _tokens(docs: DataFrame, bench, id_column: str, text_column: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = bench.value.number
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "terms": [number[slots(t)].tobytes() for t in batch["text"]]})
-
-    rows = columns(docs, id_column, text_column).toDF("id", "text")
-    return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, terms binary")
+    return map_texts(docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text")),
+                     "id", "text", {"terms": pa.binary()},
+                     lambda texts: [[bench.value.number[slots(t)].tobytes() for t in texts]])
 
 
 def _blocks(batch: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -199,34 +192,27 @@ def _sketch(tokens: DataFrame, bench) -> np.ndarray:
 
 def candidates(terms: np.ndarray, b: Benchmark) -> list[tuple[int, int, int, float]]:
     """``(first word, end, item, cosine)`` of the passages of a document that are near an item passage."""
-    known = np.flatnonzero(terms >= 0)
-    if not len(known) or not len(b.ids):
-        return []
-    t = terms[known]
-    block = known // BLOCK
-    n = int(block[-1]) + 1
-    rare = np.bincount(block, weights=b.rare[t], minlength=n + 1)
-    wanted = np.flatnonzero(rare[:-1] + rare[1:])
-    if not len(wanted):
+    if not len(terms) or not b.ids:
         return []
-    need = np.zeros(n + 1, bool)
-    need[wanted] = need[wanted + 1] = True
-    use = need[block]
-    t, block = t[use], block[use]
-    norms = np.bincount(block, weights=b.idf[t] ** 2, minlength=n + 1)
-    starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-    place = np.zeros(n + 1, np.int64)
-    sums = np.zeros((len(starts) + 1, b.latent.shape[1]), "f4")
-    # A slice of blocks at a time keeps the gathered rows few.
-    for s in range(0, len(starts), 2048):
-        lo, hi = starts[s], starts[s + 2048] if s + 2048 < len(starts) else len(t)
-        sums[s + 1:s + 2049] = np.add.reduceat(b.latent[t[lo:hi]], starts[s:s + 2048] - lo, axis=0)
-    place[block[starts]] = np.arange(1, len(starts) + 1)
+    starts = np.arange(0, len(terms), BLOCK)
+
+    def by_passage(values: np.ndarray) -> np.ndarray:
+        sums = np.add.reduceat(values[terms], starts, axis=0)
+        sums[:-1] += sums[1:]
+        return sums
+
+    norms = np.sqrt(by_passage(b.squares))
+    wanted = np.flatnonzero(by_passage(b.most) >= LEAST_COSINE * np.maximum(norms, 1e-9))
     found = []
-    for s in range(0, len(wanted), 4096):
-        w = wanted[s:s + 4096]
-        near = (sums[place[w]] + sums[place[w + 1]]) @ b.queries.T
-        near /= np.sqrt(np.maximum(norms[w] + norms[w + 1], 1e-12))[:, None]
+    # A slice at a time keeps the gathered rows few.
+    for s in range(0, len(wanted), 512):
+        w = wanted[s:s + 512]
+        inside = (w * BLOCK)[:, None] + np.arange(2 * BLOCK)[None, :]
+        t = np.where(inside < len(terms), terms[np.minimum(inside, len(terms) - 1)], -1)
+        known = t >= 0
+        # A wanted passage has a known term, so no sum is empty.
+        near = np.add.reduceat(b.near[t[known]], np.cumsum(known.sum(axis=1)) - known.sum(axis=1), axis=0)
+        near /= norms[w][:, None]
         for i, q in zip(*np.nonzero(near >= LEAST_COSINE)):
             found.append((int(w[i]) * BLOCK, (int(w[i]) + 2) * BLOCK, b.passages[q][0], float(near[i, q])))
     return found
@@ -270,10 +256,11 @@ def _prepare(docs: DataFrame, items: list[tuple[int, str]], id_column: str, text
 
 
 def _item_blocks(benchmark: DataFrame, item_column: str, text_column: str) -> Iterator[list[tuple[int, str]]]:
-    """The query set in blocks of at most about ``ITEMS`` items."""
+    """The query set in blocks of about ``ITEM_WORDS`` words."""
     rows = columns(benchmark, item_column, text_column).toDF("item", "text").where(
         "item is not null and text is not null").distinct()
-    blocks = max(1, -(-rows.count() // ITEMS))
+    words = rows.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    blocks = max(1, -(-words // ITEM_WORDS))
     for k in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).orderBy("item", "text")
         yield [(r["item"], r["text"]) for r in part.toLocalIterator()]
@@ -294,16 +281,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     for items in _item_blocks(benchmark, item_column, item_text_column):
         bench, tokens = _prepare(docs, items, id_column, text_column)
 
-        def run(batches: Iterator[pd.DataFrame], bench=bench) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch], bench=bench) -> Iterator[pa.RecordBatch]:
             b = bench.value
             for batch in batches:
-                yield pd.DataFrame(
-                    [(i, b.ids[m[0]], *m[1:]) for i, packed in zip(batch["id"], batch["terms"])
-                     for m in _verify(np.frombuffer(packed, "<i4"), b)],
-                    columns=["id", "item", "cosine", "share", "answer_share", "first_word"])
-
-        part = tokens.mapInPandas(run, f"id {kinds[0]}, item {kinds[1]}, cosine double, share double, "
-                                       "answer_share double, first_word long")
+                found = [(row, b.ids[m[0]], *m[1:]) for row, packed in enumerate(batch.column(1).to_pylist())
+                         for m in _verify(np.frombuffer(packed, "<i4"), b)]
+                if found:
+                    rows, *made = map(list, zip(*found))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *map(pa.array, made)], [
+                        "id", "item", "cosine", "share", "answer_share", "first_word"])
+
+        part = tokens.mapInArrow(run, f"id {kinds[0]}, item {kinds[1]}, cosine double, share double, "
+                                      "answer_share double, first_word long")
         found = part if found is None else found.unionByName(part)
     return found.withColumnsRenamed({"id": id_column, "item": item_column})
 

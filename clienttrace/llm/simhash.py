@@ -23,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clienttrace.llm.common import columns, raw, written
+from clienttrace.llm.common import map_texts, raw, written
 from clienttrace.llm.components import components
 
 SHINGLE = 3
@@ -57,13 +58,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``id, fp``: the fingerprint of each row's whole text."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "fp": [fingerprint(t) for t in batch["text"]]})
-
-    rows = columns(docs, id_column, text_column).toDF("id", "text")
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"id {kind}, fp long").withColumnRenamed("id", id_column)
+    return map_texts(docs, id_column, text_column, {"fp": pa.int64()}, lambda texts: [[fingerprint(t) for t in texts]])
 
 
 def _close(a: str, b: str) -> Column:
