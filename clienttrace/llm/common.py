@@ -7,15 +7,12 @@ from collections.abc import Callable, Iterable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from clienttrace.session import written
 
 __all__ = ["columns", "fold", "keep_texts", "map_texts", "raw", "written"]
 
-#: Spark's names of the Arrow types the operators return.
-TYPES = {pa.binary(): "binary", pa.string(): "string", pa.int64(): "long", pa.float64(): "double"}
-
-
 def fold(id_column: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")), F.lit(parts))
@@ -41,7 +38,7 @@ def map_texts(docs: DataFrame, id_column: str, text_column: str, out: dict[str,
                 [batch.column(0), *(pa.array(m, t) for m, t in zip(made, out.values()))], ["id", *out])
 
     rows = columns(docs, id_column, text_column).toDF("id", "text")
-    schema = ", ".join([f"id {rows.schema['id'].dataType.simpleString()}", *(f"{n} {TYPES[t]}" for n, t in out.items())])
+    schema = ", ".join([f"id {rows.schema['id'].dataType.simpleString()}", *(f"{n} {from_arrow_type(t).simpleString()}" for n, t in out.items())])
     return rows.mapInArrow(run, schema).withColumnRenamed("id", id_column)
 
 

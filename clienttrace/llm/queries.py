@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clienttrace.llm import bpe, decontaminate, language, simhash, toxicity
+from clienttrace.llm import bpe, decontaminate, language, licenses, neighbours, simhash, toxicity, urls, warc
 from clienttrace.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,3 +58,42 @@ def op10_language(spark, sf_dir):
 @query
 def op8_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op2_neighbours(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
+
+@query
+def op3_licenses(spark, sf_dir):
+    return licenses.summary(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+@query
+def op4_warc(spark, sf_dir):
+    _, revisits = warc.archive(table(spark, sf_dir, "pages"))
+    return warc.read_archives(spark, revisits, payloads=False).select(
+        F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"))
+
+
+SQL["op4_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS h,
+    min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, payload_bytes::bigint AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(h, (i // 4) * 5 + 1, 5))::bigint >> (15 - (i % 4) * 5)) & 31)::int + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d"""
+
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+         ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+@query
+def op7_urls(spark, sf_dir):
+    return urls.judge(table(spark, sf_dir, "pages"), RULES)
