@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clienttrace.llm import bpe, decontaminate, language, licenses, neighbours, simhash, toxicity, urls, warc
+from clienttrace.llm import bpe, decontaminate, language, licenses, neighbours, pitman_yor, simhash, toxicity, urls, warc
 from clienttrace.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +97,8 @@ RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 @query
 def op7_urls(spark, sf_dir):
     return urls.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+@query
+def op9_pitman_yor(spark, sf_dir):
+    return pitman_yor.score(table(spark, sf_dir, "documents"), fold("doc_id", 10) != 0)
