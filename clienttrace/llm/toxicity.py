@@ -22,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clienttrace.llm.common import columns, written
+from clienttrace.llm.common import columns, keep_texts, map_texts, written
 
 BUCKETS = 1 << 18
 FACTORS = 8
@@ -143,13 +144,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "doc
     known = known.groupBy("id").agg((F.max("label") > 0).cast("int").alias("label"))
     texts = columns(docs.where(learn), id_column, text_column).toDF("id", "text")
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"key": batch["key"], "label": batch["label"],
-                                "terms": [terms(t).tobytes() for t in batch["text"]]})
-
-    rows = written(texts.join(known, "id").select(F.xxhash64("id").alias("key"), "label", "text").mapInPandas(
-        pack, "key long, label int, terms binary"), "labelled")
+    packed = map_texts(texts.where("id is not null"), "id", "text", {"terms": pa.binary()},
+                       lambda batch: [[terms(t).tobytes() for t in batch]])
+    # Labels grow with the documents, so they are never broadcast; terms are moved instead of texts.
+    rows = written(packed.join(known.hint("merge"), "id").select(
+        F.xxhash64("id").alias("key"), "label", "terms"), "labelled")
     toxic, other, n_toxic, n_other = _counts(rows)
     ratio = ratios(toxic, other, n_toxic, n_other)
     if not n_toxic or not n_other:
@@ -192,23 +191,12 @@ def score(docs: DataFrame, machine: Machine, id_column: str = "doc_id", text_col
     """``id, score``: 0 to 1 per row; null and empty texts get the score of no terms. Nothing is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "score": [m.score(t) for t in batch["text"]]})
-
-    rows = columns(docs, id_column, text_column).toDF("id", "text")
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInPandas(run, f"id {kind}, score double").withColumnRenamed("id", id_column)
+    return map_texts(docs, id_column, text_column, {"score": pa.float64()},
+                     lambda texts: [[shared.value.score(t) for t in texts]])
 
 
 def keep_clean(docs: DataFrame, machine: Machine, text_column: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, whole and in all columns, that score below ``threshold``."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for batch in batches:
-            yield batch[[m.score(t) < threshold for t in batch[text_column]]]
-
-    return docs.mapInPandas(run, docs.schema)
+    return keep_texts(docs, text_column, lambda text: shared.value.score(text) < threshold)
