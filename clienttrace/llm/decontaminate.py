@@ -105,7 +105,7 @@ class Benchmark:
         """The latent space from A'(A W) and the items."""
         basis, strength, _ = np.linalg.svd(np.hstack([
             sketch / max(np.linalg.norm(sketch), 1e-12), 1e3 * self.rows.T]), full_matrices=False)
-        basis = basis[:, strength > 1e-9 * max(strength.max(), 1e-300)]
+        basis = basis[:, strength > 1e-9 * max(strength.max(initial=0.0), 1e-300)]
         # What a term adds to the latent product of a passage and each item passage.
         self.near = ((basis * self.idf[:, None]) @ (self.rows @ basis).T).astype("f4")
 
