@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from clienttrace.functions.scalars import div_floor, pct_floor
 from clienttrace.operators.events import time_kind
-from clienttrace.operators.ranks import HOT_ROWS, exact_median
+from clienttrace.operators.ranks import HOT_ROWS, exact_median, join_groups
 from clienttrace.operators.sequences import order_events
 
 FEATURES = ("n_tx", "mean_amt", "std_amt", "median_amt", "n_mcc")
@@ -35,13 +35,14 @@ def client_features(events: DataFrame, category: str = "category", hot_rows: int
 
     With the distinct count Spark combines the other measures per (client,
     category) before and after the first shuffle, so a hot client moves at
-    most one row per category and task.
+    most one row per category and task. Clients without any amount stay, with
+    null amounts.
     """
     stats = events.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("n_tx"), F.avg(amount_size()).alias("mean_amt"),
         F.stddev_pop(amount_size()).alias("std_amt"), F.count_distinct(category).alias("n_mcc"))
     medians = exact_median(events, ["customer_id"], amount_size(), "median_amt", hot_rows)
-    return stats.join(medians, "customer_id").select("customer_id", *FEATURES)
+    return join_groups(stats, medians, ["customer_id"], "left").select("customer_id", *FEATURES)
 
 
 def client_features_small(events: DataFrame, category: str = "category") -> DataFrame:

@@ -31,9 +31,11 @@ from clienttrace.session import written
 
 BASE_BLOCK = 20_000   # base vectors compared in one task
 QUERY_GROUP = 8_192   # queries compared in one task
+VISIT_ROWS = 10_000   # visit rows, each with its vector, made at a time
 MAX_PIVOTS = 512      # pivots are sent to every task: at most 512 vectors
 _DIGITS = 9           # distances are rounded so copies of a vector tie exactly
-_SLACK = 1e-7         # room for rounding when a cell is ruled out
+_ROUNDED = 10.0 ** -_DIGITS  # a rounded distance may be this much too small (half of it by rounding)
+_SLACK = 1e-7         # room for float arithmetic when a cell is ruled out
 
 
 def _unit(column: pd.Series, side: int) -> np.ndarray:
@@ -97,14 +99,16 @@ def _cells(assigned: DataFrame, pivots: np.ndarray) -> _Cells:
 _VISIT = "query_id long, vector array<double>, cell int, block int"
 
 
-def _spread(query_ids: np.ndarray, vectors: list, pairs: np.ndarray, cells: _Cells) -> pd.DataFrame:
-    """Visit rows for (query position, cell) pairs, one per block of the cell."""
+def _spread(query_ids: np.ndarray, vectors: list, pairs: np.ndarray, cells: _Cells) -> Iterator[pd.DataFrame]:
+    """Visit rows for (query position, cell) pairs, one per block of the cell, ``VISIT_ROWS`` at a time."""
     at, cell = pairs
     times = cells.blocks[cell]
     at, cell = np.repeat(at, times), np.repeat(cell, times)
     block = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-    return pd.DataFrame({"query_id": query_ids[at], "vector": [vectors[i] for i in at],
-                         "cell": cell.astype("int32"), "block": block.astype("int32")})
+    for start in range(0, len(at), VISIT_ROWS):
+        part = slice(start, start + VISIT_ROWS)
+        yield pd.DataFrame({"query_id": query_ids[at[part]], "vector": [vectors[i] for i in at[part]],
+                            "cell": cell[part].astype("int32"), "block": block[part].astype("int32")})
 
 
 def _home_cells(d: np.ndarray, cells: _Cells, k: int) -> np.ndarray:
@@ -124,7 +128,7 @@ def _first_visits(queries: DataFrame, cells: _Cells, k: int) -> DataFrame:
         for pdf in batches:
             if len(pdf):
                 d = _chord(_unit(pdf["vector"], 0), cells.pivots)
-                yield _spread(pdf["query_id"].to_numpy(), pdf["vector"].tolist(), _home_cells(d, cells, k), cells)
+                yield from _spread(pdf["query_id"].to_numpy(), pdf["vector"].tolist(), _home_cells(d, cells, k), cells)
     return queries.mapInPandas(visit, _VISIT)
 
 
@@ -154,7 +158,7 @@ def _second_visits(queries: DataFrame, cells: _Cells, k: int) -> DataFrame:
                     limit[i, cells.label == b["label"]] = b["chord"]
             open_cells = d[:, cells.pivot] - cells.radius <= limit + _SLACK
             open_cells[home[0], home[1]] = False
-            yield _spread(pdf["query_id"].to_numpy(), pdf["vector"].tolist(), np.vstack(np.nonzero(open_cells)), cells)
+            yield from _spread(pdf["query_id"].to_numpy(), pdf["vector"].tolist(), np.vstack(np.nonzero(open_cells)), cells)
     return queries.mapInPandas(visit, _VISIT)
 
 
@@ -196,24 +200,24 @@ def _best_in_blocks(visits: DataFrame, base: DataFrame, k: int) -> DataFrame:
 
 
 def knn_join(query: DataFrame, base: DataFrame, k: int, key: str = "customer_id", vector: str = "embedding",
-             per_class: str | None = None, pivots: int | None = None) -> DataFrame:
+             per_class: str | None = None, pivots: int = 1) -> DataFrame:
     """The ``k`` nearest base vectors of every query vector.
 
     Result: ``query_id, base_id, distance, place`` and, with ``per_class`` (an
     integer column of the base), ``label``: then the nearest ``k`` within every
     class. Equal distances are ordered by base id; a zero vector has distance 1.
+
+    ``pivots`` chooses how, never what: with one, every query meets every block
+    of the base; with more (at most ``MAX_PIVOTS``), cells that cannot hold
+    anything nearer are ruled out first, which pays for large clustered bases.
     """
     label = F.col(per_class).cast("int") if per_class else F.lit(0)
     base = base.select(F.col(key).cast("long").alias("base_id"), label.alias("label"),
                        F.col(vector).cast("array<double>").alias("vector"))
     query = query.select(F.col(key).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("vector"))
-    base_rows = base.count()
-    if pivots is None:
-        # A base that fits one block needs no pruning: one cell, one comparison.
-        pivots = 1 if base_rows <= BASE_BLOCK else int(min(MAX_PIVOTS, base_rows ** 0.5 / 2))
     pruned = pivots > 1
     if pruned:
-        chosen = _choose_pivots(base, "vector", "base_id", pivots)
+        chosen = _choose_pivots(base, "vector", "base_id", min(pivots, MAX_PIVOTS))
         assigned = written(_assign(base, chosen), "knn-base")
     else:
         chosen = np.zeros((1, 0))
@@ -238,8 +242,9 @@ def knn_join(query: DataFrame, base: DataFrame, k: int, key: str = "customer_id"
     result = best(_best_in_blocks(visits, blocks, k))
     if pruned:
         nearest = written(result, "knn-first")
-        # cos distance c and chord length h: h^2 = 2c
-        chord = F.sqrt(F.greatest(F.lit(0.0), 2 * F.col("distance")))
+        # cos distance c and chord length h: h^2 = 2c. Near zero the rounding of c
+        # is a large part of h, so it is added to c before the root.
+        chord = F.sqrt(F.greatest(F.lit(0.0), 2 * (F.col("distance") + _ROUNDED)))
         bounds = (nearest.where(F.col("place") == k).groupBy("query_id")
                   .agg(F.collect_list(F.struct("label", chord.alias("chord"))).alias("bounds")))
         second = _best_in_blocks(_second_visits(query.join(bounds, "query_id", "left"), cells, k), blocks, k)
@@ -248,6 +253,6 @@ def knn_join(query: DataFrame, base: DataFrame, k: int, key: str = "customer_id"
 
 
 def knn_join_per_class(query: DataFrame, base: DataFrame, k_per_class: int = 2, target: str = "target",
-                       key: str = "customer_id", vector: str = "embedding") -> DataFrame:
+                       key: str = "customer_id", vector: str = "embedding", pivots: int = 1) -> DataFrame:
     """The nearest ``k_per_class`` base vectors within every label."""
-    return knn_join(query, base, k_per_class, key, vector, per_class=target)
+    return knn_join(query, base, k_per_class, key, vector, per_class=target, pivots=pivots)

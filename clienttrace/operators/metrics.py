@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clienttrace.functions.vectors import euclidean_distance, l2_normalize, log_softmax, softmax, total
+from clienttrace.operators.ranks import join_groups
 
 # Score slices: fine enough that no task gets a large part of the scores.
 SCORE_SLICES = 4096
@@ -26,10 +27,11 @@ def roc_auc(preds: DataFrame, group: Sequence[str] = (), target: str = "target",
     Rows are first counted per distinct score, map side. Each positive then
     needs the negatives below it: those in lower score slices (a small table)
     plus those below it inside its own slice. Null for groups with one class.
+    Null and NaN scores rank nothing and are left out; null is a group like any other.
     """
     group = list(group)
     parts = group + ["_slice"]
-    counts = (preds.where(F.col(score).isNotNull())
+    counts = (preds.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
               .groupBy(*group, F.col(score).cast("double").alias("_score"))
               .agg(F.count_if(F.col(target) == 1).alias("_pos"), F.count_if(F.col(target) != 1).alias("_neg"))
               .withColumn("_slice", F.floor(F.col("_score") * SCORE_SLICES)))
@@ -39,8 +41,7 @@ def roc_auc(preds: DataFrame, group: Sequence[str] = (), target: str = "target",
               .drop("_slice_neg"))
     inside = Window.partitionBy(*parts).orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
     wins = F.col("_pos") * (F.col("_below") + F.col("_inside") + F.col("_neg") / 2)
-    return (counts.withColumn("_inside", F.coalesce(F.sum("_neg").over(inside), F.lit(0)))
-            .join(slices, parts)
+    return (join_groups(counts.withColumn("_inside", F.coalesce(F.sum("_neg").over(inside), F.lit(0))), slices, parts)
             .groupBy(*group)
             .agg(F.try_divide(F.sum(wins), F.sum("_pos").cast("double") * F.sum("_neg")).alias(out)))
 
@@ -121,7 +122,7 @@ def running_metric(preds: DataFrame, every: int, seq: str = "seq", group: Sequen
     counts = preds.groupBy(*group, block.alias("_block"), F.col(score).cast("double").alias("_score")).agg(
         F.count_if(F.col(target) == 1).alias("_pos"), F.count_if(F.col(target) != 1).alias("_neg"))
     last = counts.groupBy(*group).agg(F.max("_block").alias("_last"))
-    counts = counts.join(last, group) if group else counts.withColumn("_last", last.scalar())
+    counts = join_groups(counts, last, group) if group else counts.withColumn("_last", last.scalar())
     prefixes = (counts.withColumn("_prefix", F.explode(F.sequence("_block", "_last")))
                 .groupBy(*group, "_prefix", "_score")
                 .agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg")))

@@ -16,7 +16,7 @@ from clienttrace.operators.aggregates import (amount_size, band_columns, day_cou
                                               distinct_types, flow_columns, flow_ratio, half_trend, hour_of,
                                               span_columns)
 from clienttrace.operators.events import event_order, left_with_default, time_kind
-from clienttrace.operators.ranks import HOT_ROWS, exact_median
+from clienttrace.operators.ranks import HOT_ROWS, exact_median, join_groups
 from clienttrace.operators.sequences import last_events
 
 # Texts for clients without events.
@@ -96,7 +96,8 @@ def _with_span(summary: DataFrame, mode: str, rate_floor: int = 0) -> DataFrame:
 
 
 def _with_median(summary: DataFrame, events: DataFrame, hot_rows: int) -> DataFrame:
-    return summary.join(exact_median(events, ["customer_id"], amount_size(), "median_amt", hot_rows), "customer_id")
+    medians = exact_median(events, ["customer_id"], amount_size(), "median_amt", hot_rows)
+    return join_groups(summary, medians, ["customer_id"], "left")
 
 
 _ACTIVITY = ("- Transactions: ", "n_tx", " over ", "months", " months (", "per_month", "/month)\n")
@@ -255,7 +256,8 @@ def history_text(events: DataFrame, k: int = 50, date_style: str = "date", heade
         when = _text("Day ", F.floor("time").cast("string"))
     else:
         when = _text("Day ", F.datediff(F.col("time").cast("date"), F.lit("1970-01-01").cast("date")).cast("string"))
-    line = _text(when, ": ", amount_direction(F.col("amount")), " ", fmt0(amount_size()), " at ", F.col(category))
+    line = _text(when, ": ", amount_direction(F.col("amount")), " ", fmt0(amount_size()), " at ",
+                 F.coalesce(F.col(category), F.lit("Other")))
     order = event_order(events)
     last = last_events(events, k).select("customer_id", F.struct(*order, line.alias("line")).alias("_item"))
     before, after = HISTORY_HEADERS[header].split("{n}")

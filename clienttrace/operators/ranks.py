@@ -26,6 +26,13 @@ def hash_order(key: Column, seed: int) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(f"-{seed}")))
 
 
+def join_groups(rows: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Facts per group joined to rows; null is a group like any other."""
+    renamed = facts.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    return rows.join(renamed, same, how).drop(*(f"_of_{k}" for k in keys))
+
+
 def bucketed_rank(df: DataFrame, group: Sequence[str], bucket: Column, order: Sequence[Column],
                   rank: str = "rank", size: str = "group_rows") -> DataFrame:
     """Adds the 1-based rank in the group and the group's row count.
@@ -43,16 +50,16 @@ def bucketed_rank(df: DataFrame, group: Sequence[str], bucket: Column, order: Se
               .withColumn(size, F.sum("_rows").over(Window.partitionBy(*group)))
               .drop("_rows"))
     inside = F.row_number().over(Window.partitionBy(*parts).orderBy(*order))
-    return (rows.withColumn("_inside", inside).join(counts, parts)
+    return (join_groups(rows.withColumn("_inside", inside), counts, parts)
             .withColumn(rank, F.col("_inside") + F.col("_below"))
             .drop("_inside", "_below", "_bucket"))
 
 
 def hash_rank(df: DataFrame, group: Sequence[str], key: str, seed: int,
               rank: str = "rank", size: str = "group_rows") -> DataFrame:
-    """Rank by ``hash_order`` in each group, in 4096 even buckets per group."""
+    """Rank by ``hash_order`` in each group, in 65,536 even buckets per group."""
     rows = df.withColumn("_hash", hash_order(F.col(key), seed))
-    return bucketed_rank(rows, group, F.substring("_hash", 1, 3), [F.col("_hash"), F.col(key)],
+    return bucketed_rank(rows, group, F.substring("_hash", 1, 4), [F.col("_hash"), F.col(key)],
                          rank, size).drop("_hash")
 
 
@@ -141,6 +148,6 @@ def running_total(df: DataFrame, group: Sequence[str], seq: str, value: Column,
               .withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)))
               .drop("_sum"))
     inside = Window.partitionBy(*parts).orderBy(seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (rows.withColumn("_inside", F.sum("_value").over(inside)).join(blocks, parts)
+    return (join_groups(rows.withColumn("_inside", F.sum("_value").over(inside)), blocks, parts)
             .withColumn(out, F.col("_before") + F.col("_inside"))
             .drop("_value", "_inside", "_before", "_block"))

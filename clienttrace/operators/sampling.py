@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clienttrace.operators.ranks import hash_order, hash_rank
+from clienttrace.operators.ranks import hash_order, hash_rank, join_groups
 
 
 def stratified_split(df: DataFrame, target: str = "target", test_fraction: float = 0.1, seed: int = 42,
@@ -45,9 +45,9 @@ def stratified_kfold(df: DataFrame, target: str = "target", k: int = 5, seed: in
 def sample_n(df: DataFrame, n: int = 3000, seed: int = 42, key: str = "customer_id") -> DataFrame:
     """``n`` rows without replacement, or all if there are fewer.
 
-    The limit is the operator; every task keeps only its own first ``n``.
+    Rows are ranked in hash buckets, so that any ``n`` stays spread over the tasks.
     """
-    return df.orderBy(hash_order(F.col(key), seed), key).limit(n)
+    return hash_rank(df, [], key, seed, "_rank", "_size").where(F.col("_rank") <= n).drop("_rank", "_size")
 
 
 def stratified_sample_n(df: DataFrame, target: str = "target", n: int = 5000, seed: int = 42,
@@ -66,7 +66,7 @@ def stratified_sample_n(df: DataFrame, target: str = "target", n: int = 5000, se
               .withColumn("_place", F.row_number().over(
                   everything.orderBy((share - F.col("_whole")).desc(), F.col(target))))
               .select(target, (F.col("_whole") + (F.col("_place") <= F.col("_rest")).cast("int")).alias("_quota")))
-    return (hash_rank(df, [target], key, seed, "_rank", "_size").join(quotas, target)
+    return (hash_rank(df, [target], key, seed, "_rank", "_size").transform(join_groups, quotas, [target])
             .where(F.col("_rank") <= F.col("_quota"))
             .drop("_rank", "_size", "_quota"))
 

@@ -162,24 +162,24 @@ def token_probability(spark, sf_dir):
 
 @query("class_probability", f"""
 WITH x AS (SELECT vec_id, i, (i - 1) % 4 AS cls, embedding[i]::double * 5 AS s FROM embeddings,
-   (SELECT unnest(range(1, 13))::int AS i)),
+   (SELECT unnest(range(1, 65))::int AS i)),
 p AS (SELECT vec_id, i, cls, exp(s) / sum(exp(s)) OVER (PARTITION BY vec_id) AS p,
-   exp(s) / sum(exp(s)) OVER (PARTITION BY vec_id, i <= 8) AS b FROM x),
+   exp(s) / sum(exp(s)) OVER (PARTITION BY vec_id) AS b FROM x),
 c AS (SELECT vec_id, cls, sum(p) AS p FROM p GROUP BY ALL)
 SELECT vec_id, string_agg(printf('%.5f', round(p, 8)), ',' ORDER BY cls) AS probs,
   arg_min(cls, (-p, cls))::int AS predicted, any_value(l.lp) AS logit_prob
-FROM c JOIN (SELECT vec_id, {sql_num('sum(b) FILTER (i <= 4)', 6)} AS lp FROM p WHERE i <= 8 GROUP BY vec_id) l
+FROM c JOIN (SELECT vec_id, {sql_num('sum(b) FILTER (i <= 32)', 6)} AS lp FROM p GROUP BY vec_id) l
 USING (vec_id) GROUP BY vec_id""")
 def class_probability(spark, sf_dir):
     def scaled(start, n):
         return F.transform(F.slice("embedding", start, n), lambda x: x.cast("double") * 5)
-    scores = F.transform(scaled(1, 12), lambda x, i: F.struct((i % 4).alias("cls"), x.alias("score")))
+    scores = F.transform(scaled(1, 64), lambda x, i: F.struct((i % 4).alias("cls"), x.alias("score")))
     probs = an.class_probability(scores, 4)
     return table(spark, sf_dir, "embeddings").select(
         "vec_id", F.array_join(F.transform(probs, lambda p: F.call_function(
             "format_number", F.round(p, 8), F.lit("0.00000"))), ",").alias("probs"),
         argmax_class(probs).alias("predicted"),
-        num(an.logit_probability(scaled(1, 4), scaled(5, 4)), 6).alias("logit_prob"))
+        num(an.logit_probability(scaled(1, 32), scaled(33, 32)), 6).alias("logit_prob"))
 
 
 _CLASS_TEXT = """CASE event_id % 7 WHEN 0 THEN concat('{"label": ', cast(event_id % 5 AS string), '}')

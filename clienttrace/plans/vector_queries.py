@@ -136,6 +136,22 @@ def knn_per_class(spark, sf_dir):
     return knn.knn_join_per_class(test, train, 2).withColumn("distance", num("distance", 6))
 
 
+@query("knn_join_pruned", f"""
+WITH {VECTORS}, {_SPLIT}, {_knn_sql()}
+SELECT query_id, base_id, place, {sql_num('distance', 6)} AS distance FROM nn WHERE place <= 10""")
+def knn_join_pruned(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    return knn.knn_join(test, train, 10, pivots=24).withColumn("distance", num("distance", 6))
+
+
+@query("knn_per_class_pruned", f"""
+WITH {VECTORS}, {_SPLIT}, {_knn_sql(', label')}
+SELECT query_id, base_id, label, place, {sql_num('distance', 6)} AS distance FROM nn WHERE place <= 2""")
+def knn_per_class_pruned(spark, sf_dir):
+    train, test = _split(spark, sf_dir)
+    return knn.knn_join_per_class(test, train, 2, pivots=24).withColumn("distance", num("distance", 6))
+
+
 @query("knn_vote_binary", f"""
 WITH {VECTORS}, {_SPLIT}, {_knn_sql()}
 SELECT query_id, sum(y)::bigint AS pos, 10 - sum(y)::bigint AS neg, (sum(y) > 5)::int AS majority
@@ -316,9 +332,9 @@ def delta_points(spark, sf_dir):
 
 # --- losses -----------------------------------------------------------------
 
-# Logits from the first four components, a teacher from the next four.
+# Logits from the first half of the components, a teacher from the second.
 _LOGITS = """lg AS (SELECT vec_id, label, (label >= 5)::int AS y, i, embedding[i]::double * 3 AS a,
-   embedding[i + 4]::double * 3 AS b FROM embeddings, (SELECT unnest(range(1, 5))::int AS i)),
+   embedding[i + 32]::double * 3 AS b FROM embeddings, (SELECT unnest(range(1, 33))::int AS i)),
 sm AS (SELECT *, a - ln(sum(exp(a)) OVER w) AS la, b - ln(sum(exp(b)) OVER w) AS lb FROM lg
    WINDOW w AS (PARTITION BY vec_id))"""
 
@@ -326,9 +342,9 @@ sm AS (SELECT *, a - ln(sum(exp(a)) OVER w) AS la, b - ln(sum(exp(b)) OVER w) AS
 def _logits(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     def scaled(start):
-        return F.transform(F.slice("embedding", start, 4), lambda x: x.cast("double") * 3)
+        return F.transform(F.slice("embedding", start, 32), lambda x: x.cast("double") * 3)
     return e.select("vec_id", "label", (F.col("label") >= 5).cast("int").alias("y"),
-                    scaled(1).alias("a"), scaled(5).alias("b"))
+                    scaled(1).alias("a"), scaled(33).alias("b"))
 
 
 @query("kl_losses", f"""

@@ -75,3 +75,21 @@ def test_empty_input(spark):
     e = events(spark).where("false")
     assert sequences.order_events(e).count() == 0
     assert profiles.client_profile(e).count() == 0
+
+
+def test_null_groups_are_kept(spark):
+    from clienttrace.operators import aggregates, metrics, profiles, sampling
+
+    rows = spark.createDataFrame([(i, None if i < 3 else i % 2) for i in range(10)], "customer_id long, target int")
+    assert sampling.stratified_split(rows).count() == 10
+    assert sampling.stratified_kfold(rows).count() == 10
+    assert sampling.sample_n(rows, 4).count() == 4
+    preds = spark.createDataFrame([("m", 1, 0.9), ("m", 0, 0.1), (None, 1, 0.2), (None, 0, 0.1), (None, 1, float("nan"))],
+                                  "model string, target int, score double")
+    assert {(r["model"], r["roc_auc"]) for r in metrics.roc_auc(preds, ["model"]).collect()} == {("m", 1.0), (None, 1.0)}
+    tx = spark.sql("""SELECT * FROM VALUES (1L, timestamp'2024-01-01', 5.0D, 'a'), (1L, timestamp'2024-01-02', 7.0D, null),
+        (2L, timestamp'2024-01-01', null, 'a') AS t(customer_id, time, amount, category)""")
+    assert aggregates.client_features(tx).count() == 2
+    assert profiles.client_profile(tx).count() == 2
+    history = {r["customer_id"]: r["history"] for r in profiles.history_text(tx).collect()}
+    assert history[1].count("\n") == 2 and "Other" in history[1]
