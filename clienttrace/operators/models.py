@@ -36,6 +36,7 @@ EXTREME_MULTICLASS = {"numTrees": 300, "maxDepth": 6, "subsamplingRate": 0.8, "f
 LOGISTIC = {"C": 1.0, "maxIter": 1000}
 # Small settings for quick runs.
 QUICK_BINARY = {"maxIter": 5, "stepSize": 0.1, "maxDepth": 3}
+QUICK_EXTREME = {"maxIter": 8, "stepSize": 0.1, "maxDepth": 4, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
 QUICK_MULTICLASS = {"numTrees": 10, "maxDepth": 5}
 QUICK_LOGISTIC = {"C": 1.0, "maxIter": 50}
 TASKS = ("binary", "multiclass")

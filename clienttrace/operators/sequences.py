@@ -121,20 +121,35 @@ def build_sequences(events: DataFrame, arrays: Sequence[str], labels: DataFrame
 
 def sample_slices(records: DataFrame, arrays: Sequence[str], split_count: int = 5, cnt_min: int = 15,
                   cnt_max: int = 75, seed: int = 42) -> DataFrame:
-    """``split_count`` random contiguous sub-sequences per client record.
+    """``split_count`` random contiguous sub-sequences per client.
 
     Length is drawn from [cnt_min, min(cnt_max, n)] and the start evenly from
-    what then fits, both from md5 of (client, slice, seed). Records shorter
-    than ``cnt_min`` give their whole sequence.
+    what then fits, both from md5 of (client, slice, seed). Clients with fewer
+    than ``cnt_min`` events give their whole sequence. Positions are those of
+    the whole history: a slice that lies across chunks is put together from
+    them (at most ``cnt_max`` events).
     """
-    n = F.size(arrays[0])
+    keys = [c for c, kind in records.dtypes if not kind.startswith("array") and c != "chunk"]
+    by_client = Window.partitionBy("customer_id")
+    n, before = F.col("_n"), F.col("_before")
+    placed = records.select(*keys, "chunk", *arrays).withColumns({
+        "_here": F.size(arrays[0]), "_n": F.sum(F.size(arrays[0])).over(by_client),
+        "_before": F.coalesce(F.sum(F.size(arrays[0])).over(
+            by_client.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
 
     def draw(purpose: str) -> Column:
-        text = F.concat_ws("-", F.col("customer_id"), F.col("chunk"), F.col("slice_no"), F.lit(f"{purpose}-{seed}"))
+        text = F.concat_ws("-", F.col("customer_id"), F.lit(0), F.col("slice_no"), F.lit(f"{purpose}-{seed}"))
         return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
     low, high = F.least(F.lit(cnt_min), n), F.least(F.lit(cnt_max), n)
-    return (records.withColumn("slice_no", F.explode(F.sequence(F.lit(1), F.lit(split_count))))
-            .withColumn("slice_length", (low + draw("length") % (high - low + 1)).cast("int"))
-            .withColumn("slice_start", (1 + draw("start") % (n - F.col("slice_length") + 1)).cast("int"))
-            .withColumns({a: F.slice(a, F.col("slice_start"), F.col("slice_length")) for a in arrays}))
+    first = F.greatest(F.col("slice_start"), before + 1)
+    last = F.least(F.col("slice_start") + F.col("slice_length") - 1, before + F.col("_here"))
+    pieces = (placed.withColumn("slice_no", F.explode(F.sequence(F.lit(1), F.lit(split_count))))
+              .withColumn("slice_length", (low + draw("length") % (high - low + 1)).cast("int"))
+              .withColumn("slice_start", (1 + draw("start") % (n - F.col("slice_length") + 1)).cast("int"))
+              .withColumns({"_first": (first - before).cast("int"), "_last": (last - before).cast("int")})
+              .where((F.col("_first") <= F.col("_last")) | (n == 0))
+              .withColumns({a: F.slice(a, F.col("_first"), F.col("_last") - F.col("_first") + 1) for a in arrays}))
+    parts = pieces.groupBy(*keys, "slice_no", "slice_length", "slice_start").agg(
+        F.sort_array(F.collect_list(F.struct("chunk", *arrays))).alias("_parts"))
+    return parts.withColumns({a: F.flatten(F.col("_parts")[a]) for a in arrays}).drop("_parts")

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.ml.feature import IDF, HashingTF, Tokenizer, Word2Vec
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,16 +72,18 @@ def embed_sequences(records: DataFrame, category: str, amount: str, dim: int = 6
     """A vector per client learned from its event tokens, without labels.
 
     Tokens are ``category:amount bucket``; the client vector is the mean of its
-    token vectors. The vocabulary (categories x buckets) bounds the model.
+    token vectors, over all chunks of a long history. The vocabulary
+    (categories x buckets) bounds the model.
     """
+    keys = [c for c, kind in records.dtypes if not kind.startswith("array") and c != "chunk"]
     tokens = F.zip_with(category, amount, lambda c, a: F.concat(
         c.cast("string"), F.lit(":"), F.floor(F.log2(F.abs(a) + 1)).cast("string")))
     rows = records.withColumn("_tokens", tokens)
     model = Word2Vec(vectorSize=dim, seed=seed, minCount=minimum, maxIter=iterations, numPartitions=partitions,
                      inputCol="_tokens", outputCol="_vector").fit(rows)
-    return (model.transform(rows)
-            .withColumn("embedding", vector_to_array("_vector", "float32"))
-            .drop("_tokens", "_vector"))
+    mean = Summarizer.mean(F.col("_vector"), F.size("_tokens").cast("double"))
+    return (model.transform(rows).groupBy(*keys).agg(mean.alias("_mean"))
+            .select(*keys, vector_to_array("_mean", "float32").alias("embedding")))
 
 
 def embed_texts(df: DataFrame, text: str = "text", key: str = "customer_id", dim: int = 256,

@@ -69,11 +69,15 @@ def client_evidence(client_events: DataFrame, labels: DataFrame, vector_table: D
 def enrichment_grid(client_events: DataFrame, labels: DataFrame, vector_table: DataFrame, scorer: scoring.Scorer,
                     task: prompts.Task, model: str, category: str = "category",
                     params: Mapping[str, object] | None = None) -> DataFrame:
-    """AUC and valid share of every strategy x evidence cell for one scorer."""
+    """AUC and valid share of every strategy x evidence cell for one scorer.
+
+    Few-shot examples come from the train split, so no prompt holds a test client's label.
+    """
     pos, neg = task.pos, task.neg
     texts = profiles.client_profile(client_events, category)
+    shown = sampling.stratified_split(labels).where("split = 'train'").drop("split")
     block = prompts.few_shot_block(
-        sampling.first_per_class(texts.join(labels, "customer_id"), "customer_id", keep=["profile"]).select(
+        sampling.first_per_class(texts.join(shown, "customer_id"), "customer_id", keep=["profile"]).select(
             (2 - F.col("target")).alias("position"), "profile",
             F.when(F.col("target") == 1, pos).otherwise(neg).alias("label"))).scalar()
     known = client_evidence(client_events, labels, vector_table, params=params)

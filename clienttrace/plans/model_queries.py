@@ -45,7 +45,7 @@ def logreg_eval(spark, sf_dir):
 @query("evaluate_all")
 def evaluate_all(spark, sf_dir):
     return models.evaluate_all(*_vector_split(spark, sf_dir, "binary_target"), "binary",
-                               gradient=models.QUICK_BINARY, extreme=models.QUICK_BINARY,
+                               gradient=models.QUICK_BINARY, extreme=models.QUICK_EXTREME,
                                logistic=models.QUICK_LOGISTIC)
 
 
@@ -109,12 +109,11 @@ def sequence_embedding(spark, sf_dir):
     events = clicks(spark, sf_dir).withColumn("log_amount", signed_log1p(F.col("amount")))
     records = sequences.build_sequences(events, ["category", "amount", "log_amount"], click_labels(spark, sf_dir))
     learned = vec.embed_sequences(records, "category", "amount", dim=16)
-    return learned.select("customer_id", "target", F.size("embedding").alias("dim"),
-                          F.element_at("embedding", 1).alias("first"))
+    return learned.select("customer_id", "target", F.size("embedding").alias("dim"), "embedding")
 
 
 @query("text_embedding")
 def text_embedding(spark, sf_dir):
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
     made = vec.embed_texts(texts, "text", "doc_id", dim=64)
-    return made.select("doc_id", F.size("embedding").alias("dim"), F.element_at("embedding", 1).alias("first"))
+    return made.select("doc_id", F.size("embedding").alias("dim"), "embedding")

@@ -93,3 +93,19 @@ def test_null_groups_are_kept(spark):
     assert profiles.client_profile(tx).count() == 2
     history = {r["customer_id"]: r["history"] for r in profiles.history_text(tx).collect()}
     assert history[1].count("\n") == 2 and "Other" in history[1]
+
+
+def test_chunks_of_a_history_are_one_client(spark):
+    from clienttrace.operators import sequences, vectors
+
+    e = spark.sql("""SELECT id % 3 AS customer_id, timestamp'2024-01-01' + make_interval(0, 0, 0, 0, int(id)) AS time,
+        id AS tie, id * 1.0D AS amount, concat('c', id % 4) AS category FROM range(90)""")
+
+    def made(chunk_events):
+        records = sequences.build_sequences(e, ["amount", "category"], chunk_events=chunk_events)
+        slices = sequences.sample_slices(records, ["amount"], cnt_min=5, cnt_max=25)
+        learned = vectors.embed_sequences(records, "category", "amount", dim=4)
+        return ({tuple(r) for r in slices.selectExpr("customer_id", "slice_no", "slice_start", "array_join(amount, ',')").collect()},
+                learned.count())
+    whole, cut = made(1_000_000), made(20)
+    assert whole == cut and len(whole[0]) == 15 and whole[1] == 3
