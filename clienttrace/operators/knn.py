@@ -83,7 +83,8 @@ def _assign(base: DataFrame, pivots: np.ndarray) -> DataFrame:
                 d = _chord(_unit(pdf["vector"], 1), pivots)
                 pivot = d.argmin(axis=1)
                 yield pdf.assign(pivot=pivot.astype("int32"), to_pivot=d[np.arange(len(d)), pivot])
-    return base.mapInPandas(nearest, "base_id long, label int, vector array<double>, pivot int, to_pivot double")
+    return base.mapInPandas(nearest, f"base_id {_kind(base, 'base_id')}, label int, vector array<double>, pivot int, "
+                                     "to_pivot double")
 
 
 def _cells(assigned: DataFrame, pivots: np.ndarray) -> _Cells:
@@ -96,7 +97,12 @@ def _cells(assigned: DataFrame, pivots: np.ndarray) -> _Cells:
                   rows, facts["radius"].to_numpy(), -(-rows // BASE_BLOCK))
 
 
-_VISIT = "query_id long, vector array<double>, cell int, block int"
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
+def _visit_schema(queries: DataFrame) -> str:
+    return f"query_id {_kind(queries, 'query_id')}, vector array<double>, cell int, block int"
 
 
 def _spread(query_ids: np.ndarray, vectors: list, pairs: np.ndarray, cells: _Cells) -> Iterator[pd.DataFrame]:
@@ -129,7 +135,7 @@ def _first_visits(queries: DataFrame, cells: _Cells, k: int) -> DataFrame:
             if len(pdf):
                 d = _chord(_unit(pdf["vector"], 0), cells.pivots)
                 yield from _spread(pdf["query_id"].to_numpy(), pdf["vector"].tolist(), _home_cells(d, cells, k), cells)
-    return queries.mapInPandas(visit, _VISIT)
+    return queries.mapInPandas(visit, _visit_schema(queries))
 
 
 def _all_visits(queries: DataFrame, cells: _Cells) -> DataFrame:
@@ -159,7 +165,7 @@ def _second_visits(queries: DataFrame, cells: _Cells, k: int) -> DataFrame:
             open_cells = d[:, cells.pivot] - cells.radius <= limit + _SLACK
             open_cells[home[0], home[1]] = False
             yield from _spread(pdf["query_id"].to_numpy(), pdf["vector"].tolist(), np.vstack(np.nonzero(open_cells)), cells)
-    return queries.mapInPandas(visit, _VISIT)
+    return queries.mapInPandas(visit, _visit_schema(queries))
 
 
 def _best_in_blocks(visits: DataFrame, base: DataFrame, k: int) -> DataFrame:
@@ -196,7 +202,8 @@ def _best_in_blocks(visits: DataFrame, base: DataFrame, k: int) -> DataFrame:
         return pd.concat(out)
 
     return (left.groupBy(*keys).cogroup(right.groupBy(*keys))
-            .applyInPandas(best, "query_id long, base_id long, label int, distance double"))
+            .applyInPandas(best, f"query_id {_kind(visits, 'query_id')}, base_id {_kind(base, 'base_id')}, label int, "
+                                 "distance double"))
 
 
 def knn_join(query: DataFrame, base: DataFrame, k: int, key: str = "customer_id", vector: str = "embedding",
@@ -212,9 +219,9 @@ def knn_join(query: DataFrame, base: DataFrame, k: int, key: str = "customer_id"
     anything nearer are ruled out first, which pays for large clustered bases.
     """
     label = F.col(per_class).cast("int") if per_class else F.lit(0)
-    base = base.select(F.col(key).cast("long").alias("base_id"), label.alias("label"),
+    base = base.select(F.col(key).alias("base_id"), label.alias("label"),
                        F.col(vector).cast("array<double>").alias("vector"))
-    query = query.select(F.col(key).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("vector"))
+    query = query.select(F.col(key).alias("query_id"), F.col(vector).cast("array<double>").alias("vector"))
     pruned = pivots > 1
     if pruned:
         chosen = _choose_pivots(base, "vector", "base_id", min(pivots, MAX_PIVOTS))

@@ -49,6 +49,35 @@ def embeddings_round_trip(spark, sf_dir):
                        num(F.element_at("embedding", 1), 6).alias("first"), "split")
 
 
+@query("predictions_round_trip", """
+SELECT customer_id, target, pred_label, pred_prob, f FROM (SELECT vec_id AS customer_id, (label >= 5)::int AS target,
+  label AS pred_label, round(embedding[1]::double, 6) + 0.0 AS pred_prob FROM embeddings), (VALUES ('csv'), ('parquet')) t(f)""")
+def predictions_round_trip(spark, sf_dir):
+    """Predictions written as CSV and as Parquet, both read back."""
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("customer_id"), (F.col("label") >= 5).cast("int").alias("target"),
+        F.col("label").cast("int").alias("pred_label"),
+        (F.round(F.element_at("embedding", 1).cast("double"), 6) + 0.0).alias("pred_prob"), "embedding")
+    out = None
+    for fmt in ("csv", "parquet"):
+        folder = shared_folder(spark, "predictions")
+        res.write_predictions(rows, folder, fmt)
+        schema = "customer_id bigint, target int, pred_prob double, pred_label int"
+        back = spark.read.schema(schema).option("header", True).format(fmt).load(folder).withColumn("f", F.lit(fmt))
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
+@query("metrics_round_trip", f"""
+SELECT event_type AS model, count(*) AS n, {sql_num('avg(value)', 4)} AS mean FROM events GROUP BY event_type""")
+def metrics_round_trip(spark, sf_dir):
+    """A metric table written as CSV and read back."""
+    folder = shared_folder(spark, "metrics")
+    res.write_metrics(table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("model")).agg(
+        F.count("*").alias("n"), num(F.avg("value"), 4).alias("mean")), folder)
+    return spark.read.schema("model string, n bigint, mean double").option("header", True).csv(folder)
+
+
 def _client_vectors(spark, sf_dir):
     return vectors(spark, sf_dir).select("customer_id", "embedding")
 

@@ -84,3 +84,11 @@ def test_small_base_needs_no_pivots(spark):
     assert {(r["query_id"], r["base_id"], r["place"]) for r in found.collect()} == brute(query, base, 5, None)
     with pytest.raises(ValueError, match="no vectors"):
         knn.knn_join(spark.createDataFrame(query, SCHEMA), spark.createDataFrame([], SCHEMA), 5)
+
+
+@pytest.mark.parametrize("pivots", [1, 5])
+def test_text_ids(spark, pivots):
+    rows = [(f"c{i}", r[1], 0) for i, r in enumerate(points(40, 6))]
+    df = spark.createDataFrame(rows, "customer_id string, embedding array<float>, target int")
+    found = knn.knn_join(df, df, 1, pivots=pivots).collect()
+    assert len(found) == 40 and all(r["query_id"] == r["base_id"] for r in found)
