@@ -20,7 +20,10 @@ from clienttrace.plans import catalog  # noqa: E402
 HEADLINE = ("client_profile", "churn_profile", "rich_profile", "history_text", "client_features", "top_categories",
             "half_trend", "event_sequences", "category_encoding", "stratified_split", "kfold", "max_abs_scale",
             "knn_join", "knn_vote_binary", "roc_auc", "accuracy_f1", "infonce", "parse_json", "messages", "budget",
-            "score_prompts", "logreg_eval")
+            "score_prompts", "logreg_eval", "knn_join_pruned", "running_auc")
+
+# Of these, what reads the order lines.
+SHIPMENTS = ("churn_profile", "event_sequences", "category_encoding", "client_profile", "client_features", "half_trend")
 
 
 def main() -> None:
@@ -31,10 +34,20 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     known = catalog.queries()
 
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled() -> int:
+        executors = store.executorList(False)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    moved: dict[str, int] = {}
+
     def run(name: str) -> float:
-        start = time.perf_counter()
+        before, start = shuffled(), time.perf_counter()
         known[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        return round(time.perf_counter() - start, 3)
+        took = round(time.perf_counter() - start, 3)
+        moved[name] = shuffled() - before
+        return took
 
     run("activity_span")
     times = {name: run(name) for name in HEADLINE}
@@ -42,7 +55,8 @@ def main() -> None:
     spark.stop()
     print(json.dumps({"metric": "headline_queries_wall_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
                       "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
-                      "cpus": int(cpus), "lineitem_rows": lineitem}))
+                      "cpus": int(cpus), "lineitem_rows": lineitem, "shuffle_bytes": {n: moved[n] for n in times},
+                      "lineitem_rows_per_sec": {n: round(lineitem / s) for n, s in times.items() if n in SHIPMENTS}}))
 
 
 if __name__ == "__main__":
