@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
+from math import factorial
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,13 +76,10 @@ def attributions(model, rows: DataFrame, background: DataFrame, score: Column,
                            for j, f in enumerate(features)}))
     values = (model.transform(mixed).groupBy(key, "_mask")
               .agg(F.avg(score).alias("_v"), *[F.first(f"_x{j}").alias(f"_x{j}") for j in range(d)]))
-    factorial = [1.0]
-    for i in range(1, d + 1):
-        factorial.append(factorial[-1] * i)
     size = F.bit_count("_mask").cast("int")
-    join_weight = F.element_at(F.array(*[F.lit(factorial[s - 1] * factorial[d - s] / factorial[d] if s else 0.0)
+    join_weight = F.element_at(F.array(*[F.lit(factorial(s - 1) * factorial(d - s) / factorial(d) if s else 0.0)
                                          for s in range(d + 1)]), size + 1)
-    leave_weight = F.element_at(F.array(*[F.lit(factorial[s] * factorial[d - s - 1] / factorial[d] if s < d else 0.0)
+    leave_weight = F.element_at(F.array(*[F.lit(factorial(s) * factorial(d - s - 1) / factorial(d) if s < d else 0.0)
                                           for s in range(d + 1)]), size + 1)
     phi = [F.sum(F.when(present[j], F.col("_v") * join_weight).otherwise(-F.col("_v") * leave_weight)).alias(f"_p{j}")
            for j in range(d)]
@@ -90,6 +91,110 @@ def attributions(model, rows: DataFrame, background: DataFrame, score: Column,
             .select(key, "score", "base_score", F.array(*items).alias("attributions")))
 
 
+@dataclass
+class Leaves:
+    """The leaves of a tree model: per leaf and feature the range (low, high] that leads there, and its value."""
+
+    low: np.ndarray
+    high: np.ndarray
+    value: np.ndarray
+
+    def masks(self, x: np.ndarray) -> np.ndarray:
+        """For each row and leaf a bit per feature that is in the leaf's range; NaN goes right, as in Spark's trees."""
+        x = np.where(np.isnan(x), np.inf, x)[:, None, :]
+        inside = ((x > self.low) | np.isneginf(self.low)) & (x <= self.high)
+        return (inside << np.arange(x.shape[2])).sum(axis=2)
+
+
+def boosted_leaves(model, features: int, scale: float = 2.0) -> Leaves:
+    """Leaves of a fitted boosted tree model, values times tree weight and ``scale`` (2: log-odds)."""
+    low, high, value = [], [], []
+    for tree, weight in zip(model.trees, model.treeWeights):
+        todo = [(tree._java_obj.rootNode(), np.full(features, -np.inf), np.full(features, np.inf))]
+        while todo:
+            node, lo, hi = todo.pop()
+            if node.subtreeDepth() == 0:
+                low.append(lo)
+                high.append(hi)
+                value.append(node.prediction() * weight * scale)
+                continue
+            j, at = node.split().featureIndex(), node.split().threshold()
+            left, right = hi.copy(), lo.copy()
+            left[j], right[j] = min(hi[j], at), max(lo[j], at)
+            todo += [(node.leftChild(), lo, left), (node.rightChild(), right, hi)]
+    return Leaves(np.array(low), np.array(high), np.array(value))
+
+
+def tree_attributions(leaves: Leaves, rows: DataFrame, background: DataFrame, features: Sequence[str] = FEATURES,
+                      key: str = "customer_id") -> DataFrame:
+    """Exact Shapley values of a tree model over the whole background.
+
+    A leaf's value counts for a coalition if the row's features in it and a
+    background row's other features lie in the leaf's ranges. So all the
+    background has to tell is, per leaf, how many of its rows have which
+    features in range: leaves x coalitions counts, combined map side. From
+    these the shares of every (leaf, mask) follow once, and a row only sums
+    those of its own masks; it is never multiplied by the background.
+    """
+    d = len(features)
+    if d > 12:
+        raise ValueError("more than 12 features need sampled coalitions")
+    n_leaves, coalitions = len(leaves.value), 1 << d
+    step = max(1, (1 << 20) // max(1, n_leaves * d))
+
+    def numbers(df: DataFrame, *keep: str) -> DataFrame:
+        return df.select(*keep, *[F.col(f).cast("double").alias(f"_x{j}") for j, f in enumerate(features)])
+
+    def masks(pdf: pd.DataFrame) -> Iterator[tuple[slice, np.ndarray]]:
+        x = pdf[[f"_x{j}" for j in range(d)]].to_numpy(float)
+        for start in range(0, len(x), step):
+            yield slice(start, start + step), leaves.masks(x[start:start + step])
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros(n_leaves * coalitions, np.int64)
+        for pdf in batches:
+            for _, m in masks(pdf):
+                seen += np.bincount((m + np.arange(n_leaves) * coalitions).ravel(), minlength=len(seen))
+        used = np.flatnonzero(seen)
+        yield pd.DataFrame({"cell": used, "n": seen[used]})
+
+    found = numbers(background).mapInPandas(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(n_leaves * coalitions)
+    for row in found:
+        counts[row["cell"]] = row["n"]
+    counts = counts.reshape(n_leaves, coalitions)
+    total = max(counts.sum(axis=1).max(initial=0.0), 1.0)
+    every = np.arange(coalitions)
+    # Share of the background with at least the features outside a coalition in range.
+    rest = np.stack([counts[:, (every & ~s & (coalitions - 1)) == (~s & (coalitions - 1))].sum(axis=1) / total
+                     for s in range(coalitions)], axis=1) * leaves.value[:, None]
+    phi = np.zeros((n_leaves, coalitions, d))
+    for s in range(coalitions):
+        size = s.bit_count()
+        held = (every & s) == s
+        for j in range(d):
+            inside = bool(s >> j & 1)
+            others = size - inside
+            weight = factorial(others) * factorial(d - others - 1) / factorial(d)
+            phi[:, held, j] += (weight if inside else -weight) * rest[:, s, None]
+    base = float(rest[:, 0].sum())
+
+    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out, score = np.zeros((len(pdf), d)), np.zeros(len(pdf))
+            for part, m in masks(pdf):
+                out[part] = phi[np.arange(n_leaves), m].sum(axis=1)
+                score[part] = (m == coalitions - 1) @ leaves.value
+            yield pdf.assign(score=score, base_score=base, **{f"_p{j}": out[:, j] for j in range(d)})
+
+    given = numbers(rows, key)
+    schema = ", ".join([f"{key} {given.schema[key].dataType.simpleString()}", *(f"_x{j} double" for j in range(d)),
+                        "score double", "base_score double", *(f"_p{j} double" for j in range(d))])
+    items = [F.struct(F.lit(f).alias("feature"), F.col(f"_x{j}").alias("value"), F.col(f"_p{j}").alias("phi"))
+             for j, f in enumerate(features)]
+    return given.mapInPandas(explain, schema).select(key, "score", "base_score", F.array(*items).alias("attributions"))
+
+
 def top_factors(attributions: Column, k: int = 3) -> Column:
     """The ``k`` entries with the largest |phi|; ties keep the feature order."""
     numbered = F.transform(attributions, lambda x, i: F.struct(

@@ -12,7 +12,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +54,8 @@ def client_evidence(client_events: DataFrame, labels: DataFrame, vector_table: D
     train, test = (features.where(F.col("split") == s) for s in ("train", "test"))
     model = Pipeline(stages=[VectorAssembler(inputCols=list(aggregates.FEATURES), outputCol="features"),
                              GBTClassifier(labelCol="target", seed=seed, **(params or models.EXTREME_BINARY))]).fit(train)
-    log_odds = 2 * F.element_at(vector_to_array("rawPrediction"), 2)
-    explained = evidence.attributions(model, test, train, log_odds).select(
+    leaves = evidence.boosted_leaves(model.stages[-1], len(aggregates.FEATURES))
+    explained = evidence.tree_attributions(leaves, test, train).select(
         "customer_id", evidence.top_factors(F.col("attributions"), 3).alias("factors"),
         (1 / (1 + F.exp(-F.col("score")))).alias("prob"))
     placed = vector_table.join(split, "customer_id")

@@ -7,12 +7,13 @@ full parameters are the operators' defaults.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from clienttrace.functions.scalars import signed_log1p
 from clienttrace.operators import aggregates, evidence, models, sampling, sequences
 from clienttrace.operators import vectors as vec
-from clienttrace.plans.registry import query
+from clienttrace.plans.registry import num, query, sql_num
 from clienttrace.plans.roles import click_labels, clicks, customer_labels, shipments, table, vectors
 
 
@@ -88,19 +89,48 @@ def soft_student(spark, sf_dir):
     return models.scored(student, known).select("customer_id", "label", "score", "pred")
 
 
+# A small tree over the first three components: (low, high] per leaf, and its value.
+_LEAVES = evidence.Leaves(
+    np.array([[-np.inf, -np.inf, -np.inf], [-np.inf, 0.05, -np.inf], [0.0, -np.inf, -np.inf], [0.0, -np.inf, -0.05]]),
+    np.array([[0.0, 0.05, np.inf], [0.0, np.inf, np.inf], [np.inf, np.inf, -0.05], [np.inf, np.inf, np.inf]]),
+    np.array([1.0, 2.5, -1.0, 4.0]))
+_TREE = "CASE WHEN {0}.a <= 0 THEN CASE WHEN {1}.b <= 0.05 THEN 1 ELSE 2.5 END WHEN {2}.c <= -0.05 THEN -1 ELSE 4 END"
+
+
+def _mean(*given: str) -> str:
+    """The mean over all rows y, with the features named taken from x."""
+    return "avg((" + _TREE.format(*("x" if f in given else "y" for f in "abc")) + ")::double)"
+
+
+@query("tree_shapley", f"""
+WITH e AS (SELECT vec_id, embedding[1]::double AS a, embedding[2]::double AS b, embedding[3]::double AS c FROM embeddings),
+v AS (SELECT x.vec_id, {_mean()} AS n, {_mean('a')} AS a, {_mean('b')} AS b, {_mean('c')} AS c, {_mean('a', 'b')} AS ab,
+  {_mean('a', 'c')} AS ac, {_mean('b', 'c')} AS bc, {_mean('a', 'b', 'c')} AS abc FROM e x, e y GROUP BY x.vec_id)
+SELECT vec_id, {sql_num('abc', 6)} AS score, {sql_num('n', 6)} AS base_score,
+  {sql_num('(a - n) / 3 + (ab - b + ac - c) / 6 + (abc - bc) / 3', 6)} AS phi_a,
+  {sql_num('(b - n) / 3 + (ab - a + bc - c) / 6 + (abc - ac) / 3', 6)} AS phi_b,
+  {sql_num('(c - n) / 3 + (ac - a + bc - b) / 6 + (abc - ab) / 3', 6)} AS phi_c FROM v""")
+def tree_shapley(spark, sf_dir):
+    """Attributions over the whole table as background, of a fixed tree."""
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", *[F.element_at("embedding", i + 1).alias(c) for i, c in enumerate("abc")])
+    found = evidence.tree_attributions(_LEAVES, rows, rows, ["a", "b", "c"], "vec_id")
+    return found.select("vec_id", num("score", 6).alias("score"), num("base_score", 6).alias("base_score"), *(
+        num(F.col("attributions")[i]["phi"], 6).alias(f"phi_{c}") for i, c in enumerate("abc")))
+
+
 @query("shapley")
 def shapley(spark, sf_dir):
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
     events = clicks(spark, sf_dir)
     rows = aggregates.client_features(events).join(click_labels(spark, sf_dir), "customer_id")
     assembler = VectorAssembler(inputCols=list(aggregates.FEATURES), outputCol="features")
     trees = GBTClassifier(labelCol="target", seed=42, **models.QUICK_BINARY)
     model = Pipeline(stages=[assembler, trees]).fit(rows)
-    log_odds = 2 * F.element_at(vector_to_array("rawPrediction"), 2)
-    found = evidence.attributions(model, rows, rows, log_odds)
+    leaves = evidence.boosted_leaves(model.stages[-1], len(aggregates.FEATURES))
+    found = evidence.tree_attributions(leaves, rows, rows)
     return found.select("customer_id", "score", "base_score", F.inline("attributions"))
 
 

@@ -164,3 +164,19 @@ def test_shapley_of_the_predicted_class(scored_clients):
     for r in found.join(predicted.select("customer_id", "top"), "customer_id").collect():
         assert abs(r["score"] - r["top"]) < 1e-9
         assert abs(sum(a["phi"] for a in r["attributions"]) - (r["score"] - r["base_score"])) < 1e-9
+
+
+def test_tree_attributions_equal_every_background_row(scored_clients):
+    features = list("pqrst")
+    model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"),
+                             GBTClassifier(labelCol="target", maxIter=3, maxDepth=3, seed=1)]).fit(scored_clients)
+    score = 2 * F.element_at(vector_to_array("rawPrediction"), 2)
+    some = scored_clients.limit(10)
+    slow = {r["customer_id"]: r for r in evidence.attributions(
+        model, some, scored_clients, score, features, background_rows=1_000).collect()}
+    fast = evidence.tree_attributions(evidence.boosted_leaves(model.stages[-1], 5), some, scored_clients, features)
+    for r in fast.collect():
+        want = slow[r["customer_id"]]
+        assert abs(r["score"] - want["score"]) < 1e-9 and abs(r["base_score"] - want["base_score"]) < 1e-9
+        for a, b in zip(r["attributions"], want["attributions"]):
+            assert a["feature"] == b["feature"] and abs(a["phi"] - b["phi"]) < 1e-9
