@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.ml.feature import IDF, HashingTF, Tokenizer, Word2Vec
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,17 +54,17 @@ def masked_mean_pool(df: DataFrame, key: str, layer: str, token: str, vector: st
                      last_layers: int) -> DataFrame:
     """Mean over the last layers of each token, then over the unmasked tokens.
 
-    Input is one row per (id, layer, token). Both means are combined per
-    dimension, so a long text is spread over tasks.
+    Input is one row per (id, layer, token). Both means are vector sums
+    combined map side, so a vector is never cut into rows and a long text is
+    spread over tasks.
     """
     top = df.groupBy(key).agg(F.max(layer).alias("_top"))
     values = (df.where(F.col(mask) == 1).join(top, key)
               .where(F.col(layer) > F.col("_top") - last_layers)
-              .select(key, token, F.posexplode(vector).alias("_dim", "_x")))
-    tokens = values.groupBy(key, token, "_dim").agg(F.avg(F.col("_x").cast("double")).alias("_x"))
-    dims = tokens.groupBy(key, "_dim").agg(F.avg("_x").alias("_x"))
-    return (dims.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_dim", "_x"))).alias("_all"))
-            .select(key, F.col("_all")["_x"].alias(vector)))
+              .select(key, token, array_to_vector(F.col(vector).cast("array<double>")).alias("_x")))
+    tokens = values.groupBy(key, token).agg(Summarizer.mean(F.col("_x")).alias("_x"))
+    pooled = tokens.groupBy(key).agg(Summarizer.mean(F.col("_x")).alias("_x"))
+    return pooled.select(key, vector_to_array("_x").alias(vector))
 
 
 def embed_sequences(records: DataFrame, category: str, amount: str, dim: int = 64, seed: int = 42,
