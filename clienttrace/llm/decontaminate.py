@@ -46,6 +46,8 @@ COPY = 0.7
 PARAPHRASE = 0.55
 ANSWER = 0.8
 SLOTS = 20
+#: Words summed at a time, a multiple of a passage; bounds the memory of a task.
+SLICE = 1 << 18
 
 _WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
@@ -117,7 +119,7 @@ def _tokens(docs: DataFrame, bench, id_column: str, text_column: str) -> DataFra
 
 
 def _blocks(batch: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Known terms of a batch, the double block each is in, and the number of those; about a million words at a time."""
+    """Known terms of a batch, the double block each is in, and the number of those; some ``SLICE`` words at a time."""
     size, held = 0, []
 
     def joined():
@@ -130,11 +132,13 @@ def _blocks(batch: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
         return terms[terms >= 0], block[terms >= 0], int(first[-1])
 
     for packed in batch:
-        held.append(np.frombuffer(packed, "<i4"))
-        size += len(held[-1])
-        if size > 1 << 20:
-            yield joined()
-            size, held = 0, []
+        terms = np.frombuffer(packed, "<i4")
+        for start in range(0, len(terms), SLICE):
+            held.append(terms[start:start + SLICE])
+            size += len(held[-1])
+            if size >= SLICE:
+                yield joined()
+                size, held = 0, []
     if held:
         yield joined()
 
