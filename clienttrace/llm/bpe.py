@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from clienttrace.llm.common import map_texts
 
 LONG_WORD = 96
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 
 # How byte-level BPE cuts a text, and Unicode White_Space (without 1C-1F, which some libraries add).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
