@@ -27,6 +27,8 @@ from clienttrace.llm.common import columns, written
 BUCKETS = 1 << 15
 SHARDS = 4
 EPOCHS = 2
+#: Up to so many languages their shares are sent to the texts; beyond, both are shuffled.
+BROADCAST_LANGUAGES = 10_000
 UNKNOWN = "und"
 TEMPERATURES = np.geomspace(0.02, 5.0, 56)
 #: Code points counted at a time, so that a very long text needs little memory.
@@ -159,6 +161,8 @@ def fit(docs: DataFrame, learn: Column, id_column: str = "doc_id", text_column:
     share = docs.sparkSession.createDataFrame(
         [(lang, i, min(1.0, fit_rows_per_language / sizes[lang])) for i, lang in enumerate(langs)],
         "lang string, label int, share double")
+    if len(langs) <= BROADCAST_LANGUAGES:
+        share = F.broadcast(share)
     key = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.col("text")))
     picked = rows.withColumn("key", key).join(share, "lang").where(
         F.pmod("key", F.lit(1 << 30)) / (1 << 30) < F.col("share")).select(
