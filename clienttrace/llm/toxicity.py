@@ -156,7 +156,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "doc
         return Machine(ratio, prior, np.zeros(BUCKETS), np.zeros((BUCKETS, FACTORS)))
     prior = float(np.log(n_toxic / n_other))
     share = [min(1.0, fit_rows / 2 / n) for n in (n_other, n_toxic)]
-    # A hash of the id picks the sample; rows left out of a class are made up for by weight.
+    # Rows left out of a class are made up for by weight, whatever the size; the mean weight of the sample is 1.
+    weight = [(share[0] * n_other + share[1] * n_toxic) / (n_other + n_toxic) / s for s in share]
+    # A hash of the id picks the sample.
     unit = F.pmod(F.col("key"), F.lit(1 << 30)) / (1 << 30)
     picked = rows.where(unit < F.when(F.col("label") == 1, share[1]).otherwise(share[0])).withColumn(
         "shard", F.pmod(F.shiftrightunsigned("key", 32), F.lit(SHARDS)))
@@ -164,8 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "doc
 
     def shard(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["key", "label"])
-        data = [(np.frombuffer(t, "<i4"), y, min(1 / share[y], 20.0))
-                for t, y in zip(group["terms"], group["label"])]
+        data = [(np.frombuffer(t, "<i4"), y, weight[y]) for t, y in zip(group["terms"], group["label"])]
         m = train(data, *seen.value, prior, (n_toxic, n_other))
         w0, w, v = start(prior)
         used = np.flatnonzero((m.w != w) | (m.v != v).any(axis=1))

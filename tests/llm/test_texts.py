@@ -100,6 +100,14 @@ def test_toxicity_held_out_pairs(spark, frame):
     assert sum(right) / len(right) >= 0.9
 
 
+def test_toxicity_sample_keeps_the_prior(spark, frame):
+    """Far more rows than are fitted: where terms say nothing, the score stays the toxic share."""
+    rows = [(i, "plain words") for i in range(8_000)]
+    known = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    machine = toxicity.fit(frame(rows), known, fold_column("doc_id", 5) != 9, fit_rows=80)
+    assert 0.06 < machine.score("plain words") < 0.2
+
+
 def test_toxicity_pair_term_is_learned():
     """With single weights alone this cannot be told: one of two terms is fine, both are not."""
     a, b = np.array([1], "<i4"), np.array([2], "<i4")
