@@ -1,20 +1,15 @@
-"""Benchmark passages in documents, by latent semantic retrieval and an ordered comparison.
+"""Benchmark passages in documents, by TF-IDF retrieval and an ordered comparison.
 
 1. Documents are read once: every word that occurs in a benchmark item becomes
    its term number, any other -1. Only these numbers are kept (written to the
    shared folder) and used from then on.
 2. Passages are blocks of ``BLOCK`` words; a term's weight is its inverse
    passage frequency over all of them.
-3. Randomised SVD of the passage-term matrix A, in one distributed pass: with a
-   Gaussian test matrix W the tasks sum A'(A W), passages normalised by their
-   sketch; the driver orthogonalises that (terms x rank, bounded by the
-   benchmark) together with the items' passages, which count as rows of
-   overwhelming weight: directions that only the benchmark has are kept too.
-4. Every passage of two blocks (overlapping by one) is compared with all items
-   by the cosine in the latent space. For each term the largest weight it has in
+3. Every passage of two blocks (overlapping by one) is compared with all items
+   by the TF-IDF cosine. For each term the largest weight it has in
    any item is known; passages which with these cannot reach ``LEAST_COSINE``
    cannot with any item, and are passed over.
-5. Of a candidate the longest common subsequence of item and surroundings is
+4. Of a candidate the longest common subsequence of item and surroundings is
    found. It counts as contaminated if it covers ``COPY`` of the item's words;
    or ``PARAPHRASE`` of them while its answer (the last quarter) is covered by ``ANSWER``.
 
@@ -37,8 +32,7 @@ from pyspark.sql import functions as F
 from clienttrace.llm.common import columns, map_texts, written
 
 BLOCK = 8
-RANK = 32
-#: Words of the items in a block; bounds the terms and the latent space.
+#: Words of the items in a block; bounds the terms.
 ITEM_WORDS = 10_000
 LEAST_WORDS = 8
 LEAST_COSINE = 0.6
@@ -75,7 +69,7 @@ def common_length(a: np.ndarray, b: np.ndarray) -> int:
 
 
 class Benchmark:
-    """One block of items: their terms, and later the weights and the latent space."""
+    """One block of items: their terms, and later the weights."""
 
     def __init__(self, items: list[tuple[int, str]]):
         found = [(i, slots(t)) for i, t in items]
@@ -99,17 +93,8 @@ class Benchmark:
         # At the last place stands what is no term (-1): it lengthens a passage and meets no item.
         self.squares = np.append(self.idf, np.median(self.idf) if self.terms else 1.0) ** 2
         self.most = np.append(self.idf * self.rows.max(axis=0, initial=0.0), 0.0)
-
-    def test_matrix(self) -> np.ndarray:
-        return np.random.default_rng(11).normal(0, 1, (self.terms, RANK)).astype("f4")
-
-    def turn(self, sketch: np.ndarray) -> None:
-        """The latent space from A'(A W) and the items."""
-        basis, strength, _ = np.linalg.svd(np.hstack([
-            sketch / max(np.linalg.norm(sketch), 1e-12), 1e3 * self.rows.T]), full_matrices=False)
-        basis = basis[:, strength > 1e-9 * max(strength.max(initial=0.0), 1e-300)]
-        # What a term adds to the latent product of a passage and each item passage.
-        self.near = ((basis * self.idf[:, None]) @ (self.rows @ basis).T).astype("f4")
+        # What a term adds to the product of a passage and each item passage.
+        self.near = (self.rows * self.idf).T.astype("f4")
 
 
 def _tokens(docs: DataFrame, bench, id_column: str, text_column: str) -> DataFrame:
@@ -160,40 +145,6 @@ def _frequencies(tokens: DataFrame, terms: int) -> tuple[np.ndarray, int]:
     return df[:terms], int(df[terms])
 
 
-def _sketch(tokens: DataFrame, bench) -> np.ndarray:
-    """A'(A W) over all passages, summed by blocks of 256 terms."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        b = bench.value
-        weighted = b.test_matrix() * b.idf[:, None].astype("f4")
-        total = np.zeros((b.terms, RANK))
-        for batch in batches:
-            for t, block, n in _blocks(batch["terms"]):
-                if not len(t):
-                    continue
-                starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-                y = np.add.reduceat(weighted[t], starts, axis=0)
-                y /= np.maximum((y ** 2).sum(axis=1, keepdims=True), 1e-12)  # row and sketch are both normalised
-                own = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(t)]))
-                order = np.argsort(t, kind="stable")
-                s = np.flatnonzero(np.r_[True, t[order][1:] != t[order][:-1]])
-                total[t[order][s]] += np.add.reduceat(y[own[order]], s, axis=0)
-        total *= b.idf[:, None]
-        yield pd.DataFrame([(k, total[k:k + 256].astype("f4").tobytes()) for k in range(0, b.terms, 256)
-                            if total[k:k + 256].any()], columns=["at", "part"])
-
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        part = sum(np.frombuffer(p, "f4").astype("f8") for p in group["part"])
-        return pd.DataFrame({"at": group["at"].iloc[:1], "part": [part.tobytes()]})
-
-    parts = tokens.select("terms").mapInPandas(run, "at int, part binary").groupBy("at").applyInPandas(
-        add, "at int, part binary").collect()
-    total = np.zeros((bench.value.terms, RANK))
-    for row in parts:
-        part = np.frombuffer(row["part"], "f8").reshape(-1, RANK)
-        total[row["at"]:row["at"] + len(part)] = part
-    return total
-
-
 def candidates(terms: np.ndarray, b: Benchmark) -> list[tuple[int, int, int, float]]:
     """``(first word, end, item, cosine)`` of the passages of a document that are near an item passage."""
     if not len(terms) or not b.ids:
@@ -251,11 +202,10 @@ def _verify(terms: np.ndarray, b: Benchmark) -> list[tuple[int, float, float, fl
 
 
 def _prepare(docs: DataFrame, items: list[tuple[int, str]], id_column: str, text_column: str):
-    """The broadcast benchmark with its latent space, and the documents' term numbers."""
+    """The broadcast benchmark with its weights, and the documents' term numbers."""
     context, b = docs.sparkSession.sparkContext, Benchmark(items)
     tokens = written(_tokens(docs, context.broadcast(b), id_column, text_column), "terms")
     b.weigh(*_frequencies(tokens, b.terms))
-    b.turn(_sketch(tokens, context.broadcast(b)) if b.terms else np.zeros((0, RANK)))
     return context.broadcast(b), tokens
 
 
