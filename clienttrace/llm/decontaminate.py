@@ -5,10 +5,12 @@
    shared folder) and used from then on.
 2. Passages are blocks of ``BLOCK`` words; a term's weight is its inverse
    passage frequency over all of them.
-3. Every passage of two blocks (overlapping by one) is compared with all items
-   by the TF-IDF cosine. For each term the largest weight it has in
-   any item is known; passages which with these cannot reach ``LEAST_COSINE``
-   cannot with any item, and are passed over.
+3. Every passage of two blocks (overlapping by one) is compared with all item
+   passages by the share of the item passage's weight that it holds. It does not
+   depend on the other words of either, and stays below that of a changed copy at the
+   worst alignment (``LEAST_SHARE``). For each term the largest share it has in any
+   item is known; passages which with these cannot reach it are passed over.
+   ``cosine`` is the TF-IDF cosine of the best of them.
 4. Of a candidate the longest common subsequence of item and surroundings is
    found. It counts as contaminated if it covers ``COPY`` of the item's words;
    or ``PARAPHRASE`` of them while its answer (the last quarter) is covered by ``ANSWER``.
@@ -35,10 +37,12 @@ BLOCK = 8
 #: Words of the items in a block; bounds the terms.
 ITEM_WORDS = 10_000
 LEAST_WORDS = 8
-LEAST_COSINE = 0.6
 COPY = 0.7
 PARAPHRASE = 0.55
 ANSWER = 0.8
+#: Of an item passage's weight. PARAPHRASE of the words at the worst alignment, 12 of 16, is 0.41
+#: on average; the rest is for words of unequal weight.
+LEAST_SHARE = 0.25
 SLOTS = 20
 #: Words summed at a time, a multiple of a passage; bounds the memory of a task.
 SLICE = 1 << 18
@@ -89,12 +93,15 @@ class Benchmark:
         rows = np.zeros((len(self.passages), self.terms))
         for r, (_, t) in enumerate(self.passages):
             np.add.at(rows[r], t, self.idf[t])
-        self.rows = rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+        self.norms = np.maximum(np.linalg.norm(rows, axis=1), 1e-12)
         # At the last place stands what is no term (-1): it lengthens a passage and meets no item.
         self.squares = np.append(self.idf, np.median(self.idf) if self.terms else 1.0) ** 2
-        self.most = np.append(self.idf * self.rows.max(axis=0, initial=0.0), 0.0)
-        # What a term adds to the product of a passage and each item passage.
-        self.near = (self.rows * self.idf).T.astype("f4")
+        # What each word of a term adds to the share of the item passages that have the term.
+        shares = (rows * self.idf / self.norms[:, None] ** 2).T
+        self.most = np.append(shares.max(axis=1, initial=0.0), 0.0)
+        term, self.at = np.nonzero(shares)
+        self.adds = shares[term, self.at]
+        self.first = np.searchsorted(term, np.arange(self.terms + 1))
 
 
 def _tokens(docs: DataFrame, bench, id_column: str, text_column: str) -> DataFrame:
@@ -157,19 +164,23 @@ def candidates(terms: np.ndarray, b: Benchmark) -> list[tuple[int, int, int, flo
         return sums
 
     norms = np.sqrt(by_passage(b.squares))
-    wanted = np.flatnonzero(by_passage(b.most) >= LEAST_COSINE * np.maximum(norms, 1e-9))
-    found = []
-    # A slice at a time keeps the gathered rows few.
-    for s in range(0, len(wanted), 512):
-        w = wanted[s:s + 512]
+    # A hair less, for the order in which numbers are added up.
+    wanted = np.flatnonzero(by_passage(b.most) >= LEAST_SHARE - 1e-9)
+    found, width = [], len(b.passages)
+    # A slice at a time keeps the sums few.
+    for s in range(0, len(wanted), 256):
+        w = wanted[s:s + 256]
         inside = (w * BLOCK)[:, None] + np.arange(2 * BLOCK)[None, :]
         t = np.where(inside < len(terms), terms[np.minimum(inside, len(terms) - 1)], -1)
-        known = t >= 0
-        # A wanted passage has a known term, so no sum is empty.
-        near = np.add.reduceat(b.near[t[known]], np.cumsum(known.sum(axis=1)) - known.sum(axis=1), axis=0)
-        near /= norms[w][:, None]
-        for i, q in zip(*np.nonzero(near >= LEAST_COSINE)):
-            found.append((int(w[i]) * BLOCK, (int(w[i]) + 2) * BLOCK, b.passages[q][0], float(near[i, q])))
+        own = np.nonzero(t >= 0)[0]
+        t = t[t >= 0]
+        n = b.first[t + 1] - b.first[t]
+        spot = np.repeat(b.first[t] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        shares = np.bincount(np.repeat(own, n) * width + b.at[spot], b.adds[spot], len(w) * width)
+        for hit in np.flatnonzero(shares >= LEAST_SHARE).tolist():
+            i, q = divmod(hit, width)
+            found.append((int(w[i]) * BLOCK, (int(w[i]) + 2) * BLOCK, b.passages[q][0],
+                          float(shares[hit] * b.norms[q] / norms[w[i]])))
     return found
 
 

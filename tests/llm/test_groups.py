@@ -286,6 +286,34 @@ def test_decontaminate_plants(spark, frame, odd_texts):
     assert decontaminate.contaminated(frame([]), bench).count() == 0
 
 
+def _common_words(item, copy):
+    number = {w: i for i, w in enumerate(dict.fromkeys(item))}
+    return _common([number[w] for w in item], [number.get(w, -1) for w in copy]) / len(item)
+
+
+def test_decontaminate_changed_copies_at_every_offset(spark, frame):
+    """Whatever the ordered comparison accepts is retrieved: 20 to 40% of the words changed, all alignments."""
+    stems = tuple("ba ke lo xi wu zo ra ti mu ne po sy".split())
+    rng = np.random.default_rng(12)
+    items = [(k, words(1_900 + k, 15 + 4 * k, stems)) for k in range(10)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows, want = [], set()
+    for rate in (0.2, 0.3, 0.35, 0.4):
+        for k, text in items:
+            for offset in range(8):
+                item, i = text.split(), 3_000 + len(rows)
+                copy = [f"other{j}" if rng.random() < rate else w for j, w in enumerate(item)]
+                share = _common_words(item, copy)
+                answer = _common_words(item[-max(1, len(item) // 4):], copy)
+                body = words(5_000 + len(rows), 100, ("qui", "vor", "zel", "tam")).split()
+                rows.append((i, " ".join(body[:40 + offset] + copy + body[40 + offset:])))
+                if share >= 0.7 or share >= 0.55 and answer >= 0.8:
+                    want.add((i, k))
+    assert len(want) > 150
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(frame(rows), bench).collect()}
+    assert got == want
+
+
 def test_decontaminate_blocks_of_items_change_nothing(spark, frame, monkeypatch):
     items = [(k, words(900 + k, 40)) for k in range(6)]
     rows = [(i, words(i, 60) + " " + items[i % 6][1]) for i in range(12)]
