@@ -28,7 +28,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clienttrace.llm import jaccard
 from clienttrace.llm.common import map_texts, raw, written
 from clienttrace.llm.components import components
 
@@ -174,15 +173,13 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
         id_column, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 5,
-                similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` with one row left of each group of near copies: that of its smallest id.
+def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one row left of each component of ``groups``: that of its smallest id.
 
-    Near copies have ``shingle``-word shingles of at least ``similarity``, wider
-    than three bits; see ``jaccard``. Of several rows with that id one stays. Rows without an id cannot be told
+    Of several rows with that id one stays. Rows without an id cannot be told
     apart by it; they stay and do not push out others.
     """
     known = docs.where(F.col(f"`{id_column}`").isNotNull())
-    kept = jaccard.groups(known, id_column, text_column, shingle, similarity).select(F.col("component_id").alias(id_column)).distinct()
+    kept = groups(known, id_column, text_column).select(F.col("component_id").alias(id_column)).distinct()
     once = known.join(kept, id_column, "left_semi").dropDuplicates([id_column]).select(*(f"`{c}`" for c in docs.columns))
     return once.unionByName(docs.where(F.col(f"`{id_column}`").isNull()))
