@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clienttrace.llm import bpe, decontaminate, language, licenses, neighbours, pitman_yor, simhash, toxicity, urls, warc
+from clienttrace.llm import (
+    bpe, decontaminate, language, licenses, neighbours, pitman_yor, repair, simhash, toxicity, urls, warc)
 from clienttrace.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,3 +103,8 @@ def op7_urls(spark, sf_dir):
 @query
 def op9_pitman_yor(spark, sf_dir):
     return pitman_yor.score(table(spark, sf_dir, "documents"), fold("doc_id", 10) != 0)
+
+
+@query
+def op12_repair(spark, sf_dir):
+    return repair.repairs(table(spark, sf_dir, "conversations"))

@@ -34,5 +34,5 @@ def test_stages_take_odd_rows(spark, sf_dir, frame, odd_texts):
 def test_registered():
     found = queries()
     assert [n for n in found if n.startswith("op")] and "pipeline" in found
-    assert len([n for n in found if n.startswith("op") and n[2].isdigit()]) == 10
+    assert len([n for n in found if n.startswith("op") and n[2].isdigit()]) == 13
     assert set(registered.SQL) <= set(oracle_sql())
