@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clienttrace.llm import (
-    bpe, decontaminate, language, licenses, neighbours, pitman_yor, repair, simhash, toxicity, urls, warc)
+    bpe, decontaminate, language, licenses, neighbours, pitman_yor, repair, simhash, toxicity, trie, urls,
+    warc)
 from clienttrace.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +109,33 @@ def op9_pitman_yor(spark, sf_dir):
 @query
 def op12_repair(spark, sf_dir):
     return repair.repairs(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_trie(spark, sf_dir):
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+SQL["op13_trie"] = """
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, conv_id - conv_id % 5 AS base, xor(list_reduce(list_transform(range(0, 8 * length(conv_id::varchar)),
+      lambda i: (ascii(substr(conv_id::varchar, (i // 8 + 1)::bigint, 1)) >> (i % 8)::int) & 1)::bigint[],
+    lambda a, b: xor(a >> 1, CASE WHEN (xor(a, b) & 1) = 1 THEN 3988292384 ELSE 0 END), 4294967295::bigint), 4294967295::bigint) % 9 AS h
+  FROM t GROUP BY ALL),
+seq AS (SELECT i.conv_id, 0 AS own, pos, role, text FROM ids i JOIN t ON t.conv_id = i.base AND pos <= h
+  UNION ALL SELECT i.conv_id, 1, pos, role, text FROM ids i JOIN t ON t.conv_id = i.conv_id AND pos > h),
+whole AS (SELECT conv_id, coalesce(list({'role': role, 'text': text} ORDER BY own, pos) FILTER (pos IS NOT NULL), []) AS turns
+  FROM ids LEFT JOIN seq USING (conv_id) GROUP BY conv_id),
+members AS (SELECT conv_id, unnest(range(0, len(turns) + 1)) AS depth, turns FROM whole),
+nodes AS (SELECT turns[1:depth] AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(octet_length(encode(any_value(turns[depth].text))), 0) AS size,
+    string_agg(conv_id::varchar, ',' ORDER BY conv_id) FILTER (len(turns) = depth) AS ends FROM members GROUP BY ALL),
+children AS (SELECT node[1:depth - 1] AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+valued AS (SELECT nodes.*, coalesce(n, 0) AS n_children, (n_convs - 1) * size AS saved
+  FROM nodes LEFT JOIN children USING (node)),
+above AS (SELECT node[1:d] AS node, sum((n_children = 0)::int) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM valued) GROUP BY ALL)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves::bigint AS n_leaves,
+  saved_tokens::bigint AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM valued v JOIN above USING (node) LEFT JOIN valued p ON v.depth > 0 AND p.depth = v.depth - 1 AND p.node = v.node[1:v.depth - 1]"""

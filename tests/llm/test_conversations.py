@@ -8,7 +8,7 @@ from itertools import groupby
 
 import pytest
 
-from clienttrace.llm import queries, repair
+from clienttrace.llm import queries, repair, trie
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -122,3 +122,60 @@ def test_repair_stretches_and_powers_change_nothing():
                         for _ in range(rng.choice((1, 1, 2, 7, 33))))
         cost, audit, _ = _brute_repair([("sua?"[s >> 2], "x", names[s & 3]) for s in symbols])
         assert repair.repair(symbols) == repair.repair(symbols, stretch=4) == (cost, audit)
+
+
+def _brute_trie(turns):
+    """The contract over whole prefixes."""
+    convs = {}
+    for c, t, role, text in turns:
+        if c is not None:
+            convs.setdefault(c, []).append((t, role or "", text or ""))
+    digest = lambda r: hashlib.md5(f"{len(r[1])}:{r[1]}:{r[2]}".encode()).digest() + len(r[2].encode()).to_bytes(4)
+    for c, rows in convs.items():
+        rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, digest(r)))
+        convs[c] = [r[1:] for r in rows]
+    members = {}
+    rebuilt = {}
+    for c, own in convs.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        rest = c - c % 5 if c >= 0 else c + (-c) % 5
+        rebuilt[c] = tuple(convs.get(rest, [])[:h]) + tuple(own[h:])
+        for d in range(len(rebuilt[c]) + 1):
+            members.setdefault(rebuilt[c][:d], []).append(c)
+    children, leaves, saved = {n: 0 for n in members}, {n: 0 for n in members}, {n: 0 for n in members}
+    for n in members:
+        if n:
+            children[n[:-1]] += 1
+    for n, m in members.items():
+        for d in range(len(n) + 1):
+            leaves[n[:d]] += not children[n]
+            saved[n[:d]] += (len(m) - 1) * len(n[-1][1].encode()) if n else 0
+    return [(min(m), len(n), min(members[n[:-1]]) if n else None, len(m), children[n], leaves[n], saved[n],
+             hashlib.sha256(",".join(str(c) for c in sorted(m) if rebuilt[c] == n).encode()).hexdigest())
+            for n, m in members.items()]
+
+
+NODE = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+def _tree(df):
+    return sorted((tuple(r[f] for f in NODE) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize("stretch", [trie.STRETCH, 1])
+def test_trie_against_brute_force(spark, monkeypatch, stretch):
+    monkeypatch.setattr(trie, "STRETCH", stretch)
+    rng = random.Random(4)
+    rows = _random_turns(3, 150, 12)
+    shared = [("user", "Hello."), ("assistant", "Hi, é."), ("user", "a"), ("assistant", "b")] * 8
+    for c in range(1_000, 1_200):
+        rows += [(c, t, r, x if rng.random() < 0.97 else f"{x}{c % 3}") for t, (r, x) in enumerate(shared[:rng.randint(0, 32)])]
+    assert _tree(trie.prefix_trie(_turns(spark, rows))) == sorted(_brute_trie(rows), key=str)
+
+
+def test_trie_long_conversation_copies_and_empty_table(spark):
+    rows = [(5, t, "user", f"turn {t % 300}") for t in range(600)] + [(10, t, "user", f"turn {t % 300}") for t in range(400)]
+    rows += [(c, t, "user", "the same") for c in range(100, 700) for t in range(2)]
+    assert _tree(trie.prefix_trie(_turns(spark, rows))) == sorted(_brute_trie(rows), key=str)
+    assert trie.prefix_trie(_turns(spark, [])).collect() == []
+    assert trie.prefix_trie(_turns(spark, [(None, 1, "user", "x")])).collect() == []
