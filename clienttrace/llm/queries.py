@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clienttrace.llm import (
-    bpe, decontaminate, language, licenses, neighbours, pitman_yor, repair, simhash, toxicity, trie, urls,
-    warc)
+    bpe, decontaminate, language, licenses, neighbours, pitman_yor, repair, simhash, substrings, toxicity,
+    trie, urls, warc)
 from clienttrace.llm.common import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,3 +139,21 @@ above AS (SELECT node[1:d] AS node, sum((n_children = 0)::int) AS n_leaves, sum(
 SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves::bigint AS n_leaves,
   saved_tokens::bigint AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
 FROM valued v JOIN above USING (node) LEFT JOIN valued p ON v.depth > 0 AND p.depth = v.depth - 1 AND p.node = v.node[1:v.depth - 1]"""
+
+
+@query
+def op11_substrings(spark, sf_dir):
+    return substrings.digests(substrings.kept(table(spark, sf_dir, "documents")))
+
+
+SQL["op11_substrings"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, i, array_to_string(words[i:i + 19], ' ') AS sequence
+  FROM (SELECT *, unnest(range(1, len(words) - 18)) AS i FROM d)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY sequence ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM again),
+numbered AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM d),
+left_over AS (SELECT doc_id, count(gone.i) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone.i IS NULL) AS kept
+  FROM numbered LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN left_over USING (doc_id)"""
