@@ -1,9 +1,7 @@
-"""Classifiers on Spark ML: evaluation, out-of-fold scores, soft labels.
+"""Classifiers: evaluation, out-of-fold scores, soft labels.
 
-Boosted trees are Spark's. Trees, learning rate, depth, row and column sampling
-carry over; leaf penalties and leaf counts do not exist there, so scores are
-comparable, not equal. ``GBTClassifier`` is binary; several classes use a
-random forest.
+Boosted trees are those of ``boosting``, for two and for several classes;
+logistic regression is Spark's.
 """
 
 from __future__ import annotations
@@ -11,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import MaxAbsScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -21,24 +19,17 @@ from pyspark.storagelevel import StorageLevel
 from clienttrace.functions.vectors import argmax_class, clip_and_renormalize
 from clienttrace.operators import metrics
 from clienttrace.operators.aggregates import FEATURES
+from clienttrace.operators.boosting import BoostedModel, Booster, Boosting
 from clienttrace.operators.sampling import stratified_kfold
 from clienttrace.operators.vectors import concat_vectors
 from clienttrace.session import written
 
-# Parameters of the published runs under Spark's names.
-GRADIENT_BINARY = {"maxIter": 500, "stepSize": 0.02, "maxDepth": 6, "subsamplingRate": 0.5,
-                   "featureSubsetStrategy": "0.75", "minInstancesPerNode": 50}
-GRADIENT_MULTICLASS = {"numTrees": 1000, "maxDepth": 12, "subsamplingRate": 0.75, "featureSubsetStrategy": "0.75",
-                       "minInstancesPerNode": 50}
-EXTREME_BINARY = {"maxIter": 300, "stepSize": 0.1, "maxDepth": 6, "subsamplingRate": 0.8,
-                  "featureSubsetStrategy": "0.8"}
-EXTREME_MULTICLASS = {"numTrees": 300, "maxDepth": 6, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
+# Parameters of the published runs.
+GRADIENT_BINARY = Boosting(rounds=500, rate=0.02, depth=6, leaves=31, rows=0.5, columns=0.75, least_rows=50, alpha=1.0, penalty=1.0)
+GRADIENT_MULTICLASS = Boosting(rounds=1000, rate=0.02, depth=12, leaves=50, rows=0.75, columns=0.75, least_rows=50, alpha=1.0,
+                               penalty=1.0)
+EXTREME = Boosting(rounds=300, rate=0.1, depth=6, rows=0.8, columns=0.8, least_hessian=1.0, penalty=1.0)
 LOGISTIC = {"C": 1.0, "maxIter": 1000}
-# Small settings for quick runs.
-QUICK_BINARY = {"maxIter": 5, "stepSize": 0.1, "maxDepth": 3}
-QUICK_EXTREME = {"maxIter": 8, "stepSize": 0.1, "maxDepth": 4, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
-QUICK_MULTICLASS = {"numTrees": 10, "maxDepth": 5}
-QUICK_LOGISTIC = {"C": 1.0, "maxIter": 50}
 TASKS = ("binary", "multiclass")
 
 
@@ -58,10 +49,10 @@ def assemble(df: DataFrame, features: Sequence[str] = FEATURES, target: str = "t
     return rows.withColumn("label", F.col(target).cast("double"))
 
 
-def tree_estimator(task: str, params: Mapping[str, object], seed: int = 42):
+def tree_estimator(task: str, params: Boosting | None = None, seed: int = 42) -> Booster:
+    """Boosted trees for a task; the label's values say how many classes there are."""
     _check(task)
-    kind = GBTClassifier if task == "binary" else RandomForestClassifier
-    return kind(featuresCol="scaled", labelCol="label", seed=seed, **params)
+    return Booster(params or (GRADIENT_BINARY if task == "binary" else GRADIENT_MULTICLASS), seed)
 
 
 def logistic_estimator(rows: int, params: Mapping[str, object] = LOGISTIC):
@@ -71,7 +62,9 @@ def logistic_estimator(rows: int, params: Mapping[str, object] = LOGISTIC):
 
 
 def fit_scaled(train: DataFrame, estimator, scale: bool = True):
-    """Max-abs scaling (fitted on train) and the estimator as one pipeline model."""
+    """Max-abs scaling (fitted on train) and the estimator as one pipeline model; scaling does not change trees."""
+    if isinstance(estimator, Booster):
+        return estimator.fit(train)
     if scale:
         first = MaxAbsScaler(inputCol="features", outputCol="scaled")
     else:
@@ -81,7 +74,9 @@ def fit_scaled(train: DataFrame, estimator, scale: bool = True):
 
 def scored(model, rows: DataFrame) -> DataFrame:
     """Adds ``probs ARRAY<DOUBLE>``, ``score`` (class 1) and ``pred``."""
-    result = model.transform(rows).withColumn("probs", vector_to_array("probability"))
+    result = model.transform(rows)
+    if not isinstance(model, BoostedModel):
+        result = result.withColumn("probs", vector_to_array("probability"))
     return (result.withColumn("score", F.element_at("probs", 2))
             .withColumn("pred", argmax_class(F.col("probs")))
             .drop("scaled", "rawPrediction", "probability", "prediction"))
@@ -107,11 +102,9 @@ def _measure(result: DataFrame, task: str, with_f1: bool) -> DataFrame:
     return out
 
 
-def evaluate_gbt(train: DataFrame, test: DataFrame, task: str, params: Mapping[str, object] | None = None,
+def evaluate_gbt(train: DataFrame, test: DataFrame, task: str, params: Boosting | None = None,
                  seed: int = 42, with_f1: bool = True) -> DataFrame:
-    """Boosted trees (several classes: a forest) on scaled vectors: ``metric, value``."""
-    _check(task)
-    params = params or (GRADIENT_BINARY if task == "binary" else GRADIENT_MULTICLASS)
+    """Boosted trees: ``metric, value``."""
     model = fit_scaled(train, tree_estimator(task, params, seed))
     return _measure(scored(model, test), task, with_f1)
 
@@ -124,11 +117,10 @@ def evaluate_logreg(train: DataFrame, test: DataFrame, task: str,
 
 
 def evaluate_all(train: DataFrame, test: DataFrame, task: str, seed: int = 42,
-                 gradient: Mapping[str, object] | None = None, extreme: Mapping[str, object] | None = None,
+                 gradient: Boosting | None = None, extreme: Boosting = EXTREME,
                  logistic: Mapping[str, object] = LOGISTIC) -> DataFrame:
     """Long table ``model, metric, value`` of the three classifiers."""
     _check(task)
-    extreme = extreme or (EXTREME_BINARY if task == "binary" else EXTREME_MULTICLASS)
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     parts = {"gradient_boosting": evaluate_gbt(train, test, task, gradient, seed),
              "extreme_boosting": evaluate_gbt(train, test, task, extreme, seed, with_f1=False),
@@ -142,7 +134,7 @@ def evaluate_all(train: DataFrame, test: DataFrame, task: str, seed: int = 42,
 
 
 def compare_vector_sets(train: DataFrame, test: DataFrame, a: str, b: str, task: str,
-                        params: Mapping[str, object] | None = None, target: str = "target") -> DataFrame:
+                        params: Boosting | None = None, target: str = "target") -> DataFrame:
     """The same classifier on vectors a, b and both side by side."""
     out = None
     for name, column in (("a", a), ("b", b), ("both", "_both")):
@@ -155,13 +147,18 @@ def compare_vector_sets(train: DataFrame, test: DataFrame, a: str, b: str, task:
 def oof_predictions(df: DataFrame, estimator, k: int = 5, seed: int = 42, key: str = "customer_id") -> DataFrame:
     """Every row scored by the model that did not see its fold.
 
-    ``df`` has ``features`` and ``label``. The k fits are separate distributed
-    jobs; the folds are written because each fit reads them.
+    ``df`` has ``features`` and ``label``. Boosted trees of all folds are fitted
+    side by side, other fits are separate jobs; the folds are written because
+    each fit reads them.
     """
     folds = written(stratified_kfold(df, "label", k, seed, key), "folds")
+    fitted = None
+    if isinstance(estimator, Booster):
+        others = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: i != F.col("fold"))
+        fitted = estimator.fit_parts(folds.withColumn("part", others), key)
     out = None
     for i in range(k):
-        model = fit_scaled(folds.where(F.col("fold") != i), estimator)
+        model = fitted[i] if fitted else fit_scaled(folds.where(F.col("fold") != i), estimator)
         part = scored(model, folds.where(F.col("fold") == i))
         out = part if out is None else out.unionByName(part)
     return out.drop("features")

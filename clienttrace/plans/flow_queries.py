@@ -85,19 +85,17 @@ def _client_vectors(spark, sf_dir):
 @query("flow_embeddings")
 def flow_embeddings(spark, sf_dir):
     return flows.evaluate_embeddings(
-        clicks(spark, sf_dir), click_labels(spark, sf_dir), dim=16, seeds=(42, 123),
-        params={"gradient": models.QUICK_BINARY, "extreme": models.QUICK_BINARY, "logistic": models.QUICK_LOGISTIC})
+        clicks(spark, sf_dir), click_labels(spark, sf_dir), seeds=(42, 123))
 
 
 @query("flow_enrichment_grid")
 def flow_enrichment_grid(spark, sf_dir):
     return flows.enrichment_grid(
         with_merchant(clicks(spark, sf_dir)), click_labels(spark, sf_dir), _client_vectors(spark, sf_dir), md5_scorer,
-        prompts.GENDER, "md5", "merchant", params=models.QUICK_BINARY)
+        prompts.GENDER, "md5", "merchant")
 
 
 @query("flow_response_transfer")
 def flow_response_transfer(spark, sf_dir):
     rows = vectors(spark, sf_dir).select("customer_id", "embedding", F.col("binary_target").alias("target"))
-    return flows.response_transfer(rows, models.TEACHER_SHARE["gender"], teacher_params=models.QUICK_MULTICLASS,
-                                   student_params=models.QUICK_LOGISTIC)
+    return flows.response_transfer(rows, models.TEACHER_SHARE["gender"])

@@ -9,9 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,12 +17,13 @@ from clienttrace.functions.scalars import signed_log1p
 from clienttrace.functions.vectors import total
 from clienttrace.operators import (aggregates, events, evidence, knn, metrics, models, profiles, prompts, sampling,
                                    scoring, sequences, vectors)
+from clienttrace.operators.boosting import Boosting
 from clienttrace.session import written
 
 
 def evaluate_embeddings(client_events: DataFrame, labels: DataFrame, task: str = "binary", dim: int = 64,
                         seeds: Sequence[int] = (42,), minimum: int = 25,
-                        params: Mapping[str, Mapping[str, object]] | None = None) -> DataFrame:
+                        params: Mapping[str, object] | None = None) -> DataFrame:
     """Metrics of three classifiers on learned client vectors, mean and std over seeds."""
     params = params or {}
     log_events = client_events.withColumn("log_amount", signed_log1p(F.col("amount")))
@@ -42,7 +40,7 @@ def evaluate_embeddings(client_events: DataFrame, labels: DataFrame, task: str =
 
 
 def client_evidence(client_events: DataFrame, labels: DataFrame, vector_table: DataFrame, k: int = 10,
-                    params: Mapping[str, object] | None = None, seed: int = 42) -> DataFrame:
+                    params: Boosting | None = None, seed: int = 42) -> DataFrame:
     """Per test client: model probability, top factors and neighbour votes.
 
     Trained and searched on the train split only; test clients come out.
@@ -52,10 +50,8 @@ def client_evidence(client_events: DataFrame, labels: DataFrame, vector_table: D
     features = written(events.left_with_default(split, aggregates.client_features(client_events),
                                                 {f: 0.0 for f in aggregates.FEATURES}), "features")
     train, test = (features.where(F.col("split") == s) for s in ("train", "test"))
-    model = Pipeline(stages=[VectorAssembler(inputCols=list(aggregates.FEATURES), outputCol="features"),
-                             GBTClassifier(labelCol="target", seed=seed, **(params or models.EXTREME_BINARY))]).fit(train)
-    leaves = evidence.boosted_leaves(model.stages[-1], len(aggregates.FEATURES))
-    explained = evidence.tree_attributions(leaves, test, train).select(
+    model = models.tree_estimator("binary", params or models.EXTREME, seed).fit(models.assemble(train))
+    explained = evidence.tree_attributions(model.leaves(), test, train).select(
         "customer_id", evidence.top_factors(F.col("attributions"), 3).alias("factors"),
         (1 / (1 + F.exp(-F.col("score")))).alias("prob"))
     placed = vector_table.join(split, "customer_id")
@@ -67,7 +63,7 @@ def client_evidence(client_events: DataFrame, labels: DataFrame, vector_table: D
 
 def enrichment_grid(client_events: DataFrame, labels: DataFrame, vector_table: DataFrame, scorer: scoring.Scorer,
                     task: prompts.Task, model: str, category: str = "category",
-                    params: Mapping[str, object] | None = None) -> DataFrame:
+                    params: Boosting | None = None) -> DataFrame:
     """AUC and valid share of every strategy x evidence cell for one scorer.
 
     Few-shot examples come from the train split, so no prompt holds a test client's label.
@@ -102,7 +98,7 @@ def enrichment_grid(client_events: DataFrame, labels: DataFrame, vector_table: D
 
 
 def response_transfer(vector_table: DataFrame, alpha: float, classes: int = 2, k: int = 5, seed: int = 42,
-                      teacher_params: Mapping[str, object] | None = None,
+                      teacher_params: Boosting | None = None,
                       student_params: Mapping[str, object] = models.LOGISTIC) -> DataFrame:
     """Student trained on labels mixed with out-of-fold teacher probabilities.
 
@@ -111,7 +107,7 @@ def response_transfer(vector_table: DataFrame, alpha: float, classes: int = 2, k
     """
     split = sampling.stratified_split(models.as_features(vector_table), seed=seed)
     train, test = (split.where(F.col("split") == s) for s in ("train", "test"))
-    teacher = models.tree_estimator("multiclass", teacher_params or models.GRADIENT_MULTICLASS, seed)
+    teacher = models.tree_estimator("multiclass", teacher_params, seed)
     soft = models.teacher_soft_labels(train, teacher, k, seed).select("customer_id", "soft_labels")
     known = written(events.align_by_id(train, soft), "teacher")
     student = models.soft_label_student(known, alpha, classes, params=student_params)

@@ -1,8 +1,8 @@
 """Classifiers, attributions and learned vectors over the given tables.
 
-Their results depend on Spark's own fitting, so there is no SQL counterpart;
-the tests check their properties. Small settings keep the runs short; the
-full parameters are the operators' defaults.
+All models have their full parameters. What hundreds of rounds give has no SQL;
+the sums, splits and leaf values of the first rounds have, and what must hold of
+any fit is checked from the scores.
 """
 
 from __future__ import annotations
@@ -11,10 +11,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from clienttrace.functions.scalars import signed_log1p
-from clienttrace.operators import aggregates, evidence, models, sampling, sequences
+from clienttrace.operators import aggregates, boosting, evidence, models, sampling, sequences
 from clienttrace.operators import vectors as vec
+from clienttrace.operators.boosting import Boosting
 from clienttrace.plans.registry import num, query, sql_num
 from clienttrace.plans.roles import click_labels, clicks, customer_labels, shipments, table, vectors
+from clienttrace.session import written
 
 
 def _vector_split(spark, sf_dir, target):
@@ -30,24 +32,22 @@ def _client_rows(spark, sf_dir):
 
 @query("gbt_eval")
 def gbt_eval(spark, sf_dir):
-    return models.evaluate_gbt(*_vector_split(spark, sf_dir, "binary_target"), "binary", models.QUICK_BINARY)
+    return models.evaluate_gbt(*_vector_split(spark, sf_dir, "binary_target"), "binary")
 
 
 @query("forest_eval")
 def forest_eval(spark, sf_dir):
-    return models.evaluate_gbt(*_vector_split(spark, sf_dir, "target"), "multiclass", models.QUICK_MULTICLASS)
+    return models.evaluate_gbt(*_vector_split(spark, sf_dir, "target"), "multiclass")
 
 
 @query("logreg_eval")
 def logreg_eval(spark, sf_dir):
-    return models.evaluate_logreg(*_vector_split(spark, sf_dir, "target"), "multiclass", models.QUICK_LOGISTIC)
+    return models.evaluate_logreg(*_vector_split(spark, sf_dir, "target"), "multiclass")
 
 
 @query("evaluate_all")
 def evaluate_all(spark, sf_dir):
-    return models.evaluate_all(*_vector_split(spark, sf_dir, "binary_target"), "binary",
-                               gradient=models.QUICK_BINARY, extreme=models.QUICK_EXTREME,
-                               logistic=models.QUICK_LOGISTIC)
+    return models.evaluate_all(*_vector_split(spark, sf_dir, "binary_target"), "binary")
 
 
 @query("compare_vectors")
@@ -56,13 +56,13 @@ def compare_vectors(spark, sf_dir):
                                          F.slice("embedding", 33, 32).alias("b"))
     split = sampling.stratified_split(rows)
     return models.compare_vector_sets(split.where("split = 'train'"), split.where("split = 'test'"), "a", "b",
-                                      "multiclass", models.QUICK_MULTICLASS)
+                                      "multiclass")
 
 
 @query("oof_predictions")
 def oof_predictions(spark, sf_dir):
     rows = _client_rows(spark, sf_dir)
-    scored = models.oof_predictions(rows, models.tree_estimator("multiclass", models.QUICK_MULTICLASS))
+    scored = models.oof_predictions(rows, models.tree_estimator("multiclass"))
     return scored.select("customer_id", "label", "fold", "score", "pred")
 
 
@@ -70,22 +70,22 @@ def oof_predictions(spark, sf_dir):
 def holdout_predictions(spark, sf_dir):
     split = sampling.stratified_split(_client_rows(spark, sf_dir), "label")
     scored = models.holdout_predictions(split.where("split = 'train'"), split.where("split = 'test'"),
-                                        models.tree_estimator("binary", models.QUICK_BINARY))
+                                        models.tree_estimator("binary"))
     return scored.select("customer_id", "label", "score", "pred")
 
 
 @query("soft_labels")
 def soft_labels(spark, sf_dir):
     rows = models.as_features(vectors(spark, sf_dir))
-    return models.teacher_soft_labels(rows, models.tree_estimator("multiclass", models.QUICK_MULTICLASS))
+    return models.teacher_soft_labels(rows, models.tree_estimator("multiclass"))
 
 
 @query("soft_student")
 def soft_student(spark, sf_dir):
     rows = models.as_features(vectors(spark, sf_dir), target="binary_target")
-    soft = models.teacher_soft_labels(rows, models.tree_estimator("multiclass", models.QUICK_MULTICLASS))
+    soft = models.teacher_soft_labels(rows, models.tree_estimator("multiclass"))
     known = rows.join(soft.select("customer_id", "soft_labels"), "customer_id")
-    student = models.soft_label_student(known, models.TEACHER_SHARE["gender"], 2, params=models.QUICK_LOGISTIC)
+    student = models.soft_label_student(known, models.TEACHER_SHARE["gender"], 2)
     return models.scored(student, known).select("customer_id", "label", "score", "pred")
 
 
@@ -121,19 +121,67 @@ def tree_shapley(spark, sf_dir):
 
 @query("shapley")
 def shapley(spark, sf_dir):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
     events = clicks(spark, sf_dir)
-    rows = aggregates.client_features(events).join(click_labels(spark, sf_dir), "customer_id")
-    assembler = VectorAssembler(inputCols=list(aggregates.FEATURES), outputCol="features")
-    trees = GBTClassifier(labelCol="target", seed=42, **models.QUICK_BINARY)
-    model = Pipeline(stages=[assembler, trees]).fit(rows)
-    leaves = evidence.boosted_leaves(model.stages[-1], len(aggregates.FEATURES))
+    rows = models.assemble(aggregates.client_features(events).join(click_labels(spark, sf_dir), "customer_id"))
+    rows = written(rows, "features")
+    leaves = models.tree_estimator("binary", models.EXTREME).fit(rows).leaves()
     found = evidence.tree_attributions(leaves, rows, rows)
     return found.select("customer_id", "score", "base_score", F.inline("attributions"))
 
 
+# Two rounds of stumps over eight components and ten classes, bins a sixteenth wide.
+_STUMPS = Boosting(rounds=2, rate=0.1, depth=1, least_rows=20, alpha=1.0, penalty=1.0)
+_CUTS = [k / 16 - 1 for k in range(33)]
+
+
+def _shrink(g: str) -> str:
+    return f"sign({g}) * greatest(abs({g}) - 1, 0)"
+
+
+def _stump_round(turn: int) -> str:
+    """CTEs of a round: class probabilities, sums per bin, splits, the best of each class, leaf values, new scores."""
+    r = turn
+    left, right, whole = ((f"{x}.g", f"{x}.h") for x in ("l", "r", "w"))
+    gain = " + ".join(f"pow({_shrink(g)}, 2) / ({h} + 1)" for g, h in (left, right)) + f" - pow({_shrink(whole[0])}, 2) / ({whole[1]} + 1)"
+    return f"""
+p{r} AS (SELECT vec_id, class, exp(score) / sum(exp(score)) OVER (PARTITION BY vec_id) AS p FROM s{r}),
+d{r} AS (SELECT vec_id, class, p - (label = class)::int AS g, p * (1 - p) * 10 / 9 AS h FROM p{r} JOIN embeddings USING (vec_id)),
+b{r} AS (SELECT class, f, bin, sum(g) AS g, sum(h) AS h, count(*) AS n FROM d{r} JOIN x USING (vec_id) GROUP BY ALL),
+w{r} AS (SELECT class, f, sum(g) AS g, sum(h) AS h, sum(n) AS n FROM b{r} GROUP BY ALL),
+l{r} AS (SELECT class, f, k.bin, sum(g) AS g, sum(h) AS h, sum(n) AS n FROM b{r} b JOIN (SELECT unnest(range(33)) AS bin) k
+  ON b.bin <= k.bin GROUP BY ALL),
+c{r} AS (SELECT l.class, l.f, l.bin, {gain} AS gain, l.g AS lg, l.h AS lh, l.n AS ln, r.g AS rg, r.h AS rh, r.n AS rn
+  FROM l{r} l JOIN w{r} w ON l.class = w.class AND l.f = w.f
+  JOIN LATERAL (SELECT w.g - l.g AS g, w.h - l.h AS h, w.n - l.n AS n) r ON true WHERE l.n >= 20 AND r.n >= 20),
+t{r} AS (SELECT *, -0.1 * ({_shrink('lg')}) / (lh + 1) AS lv, -0.1 * ({_shrink('rg')}) / (rh + 1) AS rv FROM c{r}
+  QUALIFY row_number() OVER (PARTITION BY class ORDER BY round(gain, 9) DESC, f, bin) = 1),
+s{r + 1} AS (SELECT vec_id, class, score + CASE WHEN x.bin <= t.bin THEN lv ELSE rv END AS score
+  FROM s{r} JOIN t{r} t USING (class) JOIN x USING (vec_id, f))"""
+
+
+@query("boosting_rounds", f"""
+WITH x AS (SELECT vec_id, f, greatest(0, least(33, ceil((embedding[f + 1]::double + 1) * 16)))::int AS bin
+  FROM embeddings, (SELECT unnest(range(8)) AS f)),
+s0 AS (SELECT vec_id, class, ln((SELECT count(*) FROM embeddings WHERE label = class) / (SELECT count(*) FROM embeddings)) AS score
+  FROM embeddings, (SELECT unnest(range(10)) AS class)),{_stump_round(0)},{_stump_round(1)}
+SELECT round, class::int AS class, f::int AS feature, bin / 16 - 1 AS threshold, {', '.join(
+    f"{sql_num(c, 6)} AS {n}" for c, n in (('lg', 'left_gradient'), ('lh', 'left_hessian'), ('lv', 'left_value'),
+                                           ('rg', 'right_gradient'), ('rh', 'right_hessian'), ('rv', 'right_value')))},
+  ln::bigint AS left_rows, rn::bigint AS right_rows
+FROM (SELECT 0 AS round, * FROM t0 UNION ALL SELECT 1, * FROM t1)""")
+def boosting_rounds(spark, sf_dir):
+    """The stumps of the first two rounds, from sums over all rows."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 8).alias("v"), "label")
+    model = boosting.fit_distributed(models.as_features(rows, "v", "label"), _STUMPS, key="vec_id", edges=[_CUTS] * 8)
+    nodes = boosting.as_table(spark, model)
+    facts = ["gradient", "hessian", "value"]
+    top = nodes.where("node = 0").select("round", "class", "feature", "threshold")
+    for side, node in (("left", 1), ("right", 2)):
+        top = top.join(nodes.where(F.col("node") == node).select("round", "class", F.col("rows").alias(f"{side}_rows"), *(
+            num(c, 6).alias(f"{side}_{c}") for c in facts)), ["round", "class"])
+    return top
+
+
 @query("sequence_embedding")
 def sequence_embedding(spark, sf_dir):
     events = clicks(spark, sf_dir).withColumn("log_amount", signed_log1p(F.col("amount")))

@@ -3,13 +3,16 @@ import math
 
 import pytest
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from clienttrace.operators import evidence, metrics, models, sampling
+from clienttrace.operators.boosting import Boosting
+
+QUICK = Boosting(rounds=10, rate=0.3, depth=3)
 
 
 @pytest.fixture(scope="module")
@@ -125,7 +128,7 @@ def test_shapley_of_a_linear_model(scored_clients):
 
 def test_out_of_fold_and_soft_labels(scored_clients):
     data = models.assemble(scored_clients, list("pqrst"))
-    estimator = models.tree_estimator("multiclass", models.QUICK_MULTICLASS)
+    estimator = models.tree_estimator("multiclass", QUICK)
     oof = models.oof_predictions(data, estimator, k=3).collect()
     assert sorted(r["customer_id"] for r in oof) == list(range(120))
     assert {r["fold"] for r in oof} == {0, 1, 2}
@@ -133,15 +136,14 @@ def test_out_of_fold_and_soft_labels(scored_clients):
     for r in soft.collect():
         assert abs(sum(r["soft_labels"]) - 1) < 1e-9 and min(r["soft_labels"]) > 0
     known = data.join(soft.select("customer_id", "soft_labels"), "customer_id")
-    student = models.soft_label_student(known, 0.1, 2, params=models.QUICK_LOGISTIC)
+    student = models.soft_label_student(known, 0.1, 2)
     result = models.scored(student, known.withColumnRenamed("label", "target2").withColumn("label", F.col("target2")))
     assert metrics.roc_auc(result, target="label").first()[0] > 0.9
 
 
 def test_evaluation_tables(scored_clients):
     data = models.assemble(scored_clients, list("pqrst"))
-    table = models.evaluate_all(data, data, "binary", gradient=models.QUICK_BINARY, extreme=models.QUICK_BINARY,
-                                logistic=models.QUICK_LOGISTIC).collect()
+    table = models.evaluate_all(data, data, "binary", gradient=QUICK, extreme=QUICK).collect()
     assert {(r["model"], r["metric"]) for r in table} == {
         ("gradient_boosting", "roc_auc"), ("gradient_boosting", "accuracy"), ("gradient_boosting", "f1"),
         ("extreme_boosting", "roc_auc"), ("logistic_regression", "roc_auc")}
@@ -155,7 +157,7 @@ def test_shapley_of_the_predicted_class(scored_clients):
     features = list("pq")
     rows = scored_clients.withColumn("target", F.floor(F.col("p") * 3).cast("int"))
     data = models.assemble(rows, features)
-    forest = models.tree_estimator("multiclass", models.QUICK_MULTICLASS)
+    forest = RandomForestClassifier(featuresCol="scaled", labelCol="label", numTrees=10, maxDepth=5, seed=42)
     fitted = models.fit_scaled(data, forest)
     predicted = models.scored(fitted, data).select("customer_id", *features, "pred", F.array_max("probs").alias("top"))
     model = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), *fitted.stages]).fit(rows)
