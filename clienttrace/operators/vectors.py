@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.ml.feature import IDF, HashingTF, Tokenizer, Word2Vec
+from pyspark.ml.feature import IDF, HashingTF, Tokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clienttrace.operators import embedding
+from clienttrace.session import written
+
 
 def _per_dimension(train: DataFrame, column: str, *stats: Callable[[Column], Column]) -> DataFrame:
     """One row: an array per statistic, in dimension order.
@@ -67,23 +70,15 @@ def masked_mean_pool(df: DataFrame, key: str, layer: str, token: str, vector: st
     return pooled.select(key, vector_to_array("_x").alias(vector))
 
 
-def embed_sequences(records: DataFrame, category: str, amount: str, dim: int = 64, seed: int = 42,
-                    minimum: int = 1, iterations: int = 1, partitions: int = 1) -> DataFrame:
-    """A vector per client learned from its event tokens, without labels.
+def embed_sequences(records: DataFrame, category: str, amount: str, dim: int = embedding.DIM,
+                    window: int = embedding.WINDOW) -> DataFrame:
+    """A vector per client learned from its event tokens, without labels; see ``embedding``.
 
-    Tokens are ``category:amount bucket``; the client vector is the mean of its
-    token vectors, over all chunks of a long history. The vocabulary
-    (categories x buckets) bounds the model.
+    The result does not depend on partitioning or on how a long history is cut in chunks.
     """
-    keys = [c for c, kind in records.dtypes if not kind.startswith("array") and c != "chunk"]
-    tokens = F.zip_with(category, amount, lambda c, a: F.concat(
-        c.cast("string"), F.lit(":"), F.floor(F.log2(F.abs(a) + 1)).cast("string")))
-    rows = records.withColumn("_tokens", tokens)
-    model = Word2Vec(vectorSize=dim, seed=seed, minCount=minimum, maxIter=iterations, numPartitions=partitions,
-                     inputCol="_tokens", outputCol="_vector").fit(rows)
-    mean = Summarizer.mean(F.col("_vector"), F.size("_tokens").cast("double"))
-    return (model.transform(rows).groupBy(*keys).agg(mean.alias("_mean"))
-            .select(*keys, vector_to_array("_mean", "float32").alias("embedding")))
+    matrix = embedding.mutual_information(written(embedding.token_pairs(records, category, amount, window), "pairs"))
+    return embedding.client_means(records, category, amount, embedding.token_vectors(matrix, dim)).withColumn(
+        "embedding", F.col("embedding").cast("array<float>"))
 
 
 def embed_texts(df: DataFrame, text: str = "text", key: str = "customer_id", dim: int = 256,

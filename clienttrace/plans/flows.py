@@ -29,9 +29,9 @@ def evaluate_embeddings(client_events: DataFrame, labels: DataFrame, task: str =
     log_events = client_events.withColumn("log_amount", signed_log1p(F.col("amount")))
     records = written(sequences.build_sequences(log_events, ["category", "amount", "log_amount"], labels, minimum),
                       "records")
+    embedded = models.as_features(written(vectors.embed_sequences(records, "category", "amount", dim), "embedded"))
     runs = None
     for seed in seeds:
-        embedded = models.as_features(vectors.embed_sequences(records, "category", "amount", dim, seed))
         split = sampling.stratified_split(embedded.select("customer_id", "target", "features", "label"), seed=seed)
         table = models.evaluate_all(split.where("split = 'train'"), split.where("split = 'test'"), task, seed,
                                     **params).withColumn("seed", F.lit(seed))

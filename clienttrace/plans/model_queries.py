@@ -10,13 +10,14 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from clienttrace.functions.scalars import signed_log1p
-from clienttrace.operators import aggregates, boosting, evidence, models, sampling, sequences
+from clienttrace.operators import aggregates, boosting, embedding, evidence, models, sampling, sequences
 from clienttrace.operators import vectors as vec
 from clienttrace.operators.boosting import Boosting
 from clienttrace.plans.registry import num, query, sql_num
 from clienttrace.plans.roles import click_labels, clicks, customer_labels, shipments, table, vectors
-from clienttrace.session import written
+from clienttrace.plans.sqltext import CLICK_ORDER, CLICKS
+from clienttrace.session import shared_folder, written
+from clienttrace.sources import results as res
 
 
 def _vector_split(spark, sf_dir, target):
@@ -182,12 +183,57 @@ def boosting_rounds(spark, sf_dir):
     return top
 
 
+def _click_records(spark, sf_dir):
+    return sequences.build_sequences(clicks(spark, sf_dir), ["category", "amount"], click_labels(spark, sf_dir))
+
+
+_PAIRS = f"""
+WITH {CLICKS}, t AS (SELECT customer_id, row_number() OVER (PARTITION BY customer_id ORDER BY {CLICK_ORDER}) AS i,
+    coalesce(category, '') || ':' || coalesce(floor(log2(abs(amount) + 1))::bigint::varchar, '') AS token FROM ev),
+o AS (SELECT x.token AS a, y.token AS b FROM t x JOIN t y USING (customer_id) WHERE y.i - x.i BETWEEN 1 AND 5),
+pairs AS (SELECT a, b, count(*) AS n FROM (SELECT a, b FROM o UNION ALL SELECT b, a FROM o) GROUP BY ALL),
+m AS (SELECT a, sum(n) AS n FROM pairs GROUP BY a),
+pmi AS (SELECT p.a, p.b, p.n, ln(p.n::double * (SELECT sum(n) FROM pairs) / (x.n::double * y.n)) AS w
+  FROM pairs p JOIN m x ON p.a = x.a JOIN m y ON p.b = y.a)"""
+
+
+@query("token_pairs", f"""{_PAIRS}
+SELECT a, b, n::bigint AS n, {sql_num('greatest(w, 0)', 6)} AS w FROM pmi""")
+def token_pairs(spark, sf_dir):
+    """Pairs of event tokens that lie near each other, and their mutual information."""
+    pairs = embedding.token_pairs(_click_records(spark, sf_dir), "category", "amount")
+    weights = embedding.mutual_information(pairs)
+    return pairs.join(weights, ["a", "b"], "left").select("a", "b", "n", num(F.coalesce("w", F.lit(0.0)), 6).alias("w"))
+
+
+@query("client_projections", f"""{_PAIRS},
+s AS (SELECT token AS b, j, CASE WHEN md5(token || '-' || j)[1] < '8' THEN 1.0 ELSE -1.0 END::double AS sign
+  FROM (SELECT DISTINCT a AS token FROM pmi WHERE w > 0), (SELECT unnest(range(8)) AS j)),
+y AS (SELECT a, j, sum(w * sign) AS v FROM pmi JOIN s USING (b) WHERE w > 0 GROUP BY ALL)
+SELECT customer_id, j::int AS place, {sql_num('avg(v)', 6)} AS value FROM t JOIN y ON t.token = y.a GROUP BY ALL""")
+def client_projections(spark, sf_dir):
+    """Clients as means of their tokens' lines of the matrix, projected on fixed signs: one pass of the solver."""
+    records = written(_click_records(spark, sf_dir), "records")
+    matrix = written(embedding.mutual_information(embedding.token_pairs(records, "category", "amount")), "matrix")
+    fixed = matrix.select("a").distinct().select("a", embedding.signs(F.col("a"), 8).alias("v"))
+    lines = embedding.product(matrix, fixed).select(F.col("a").alias("token"), F.col("v").alias("vector"))
+    made = embedding.client_means(records, "category", "amount", lines)
+    return made.select("customer_id", F.posexplode("embedding").alias("place", "value")).withColumn("value", num("value", 6))
+
+
 @query("sequence_embedding")
 def sequence_embedding(spark, sf_dir):
-    events = clicks(spark, sf_dir).withColumn("log_amount", signed_log1p(F.col("amount")))
-    records = sequences.build_sequences(events, ["category", "amount", "log_amount"], click_labels(spark, sf_dir))
-    learned = vec.embed_sequences(records, "category", "amount", dim=16)
-    return learned.select("customer_id", "target", F.size("embedding").alias("dim"), "embedding")
+    """Learned vectors beside the clients' features, stored per split and read back."""
+    learned = vec.embed_sequences(_click_records(spark, sf_dir), "category", "amount")
+    joined = learned.join(aggregates.client_features(clicks(spark, sf_dir)), "customer_id")
+    whole = F.concat("embedding", F.array(*(F.col(c).cast("float") for c in aggregates.FEATURES)))
+    folder = shared_folder(spark, "embeddings")
+    res.write_embeddings(sampling.stratified_split(joined.select("customer_id", "target", whole.alias("embedding"))), folder, "clicks")
+    out = None
+    for split in ("train", "test"):
+        part = res.read_embeddings(spark, folder, "clicks", 42, split)
+        out = part if out is None else out.unionByName(part)
+    return out.select("customer_id", "target", "split", F.size("embedding").alias("dim"), "embedding")
 
 
 @query("text_embedding")
