@@ -1,7 +1,7 @@
 """Per-client aggregates.
 
 Everything that can be combined map side is; only exact medians and the
-half-way trend need an order, and both go through ``segmented_rank``.
+half-way trend need an order, and both go through ``ordered_rank``.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from clienttrace.functions.scalars import div_floor, pct_floor
 from clienttrace.operators.events import time_kind
-from clienttrace.operators.ranks import HOT_ROWS, exact_median, join_groups
+from clienttrace.operators.ranks import exact_median, join_groups
 from clienttrace.operators.sequences import order_events
+from clienttrace.session import written
 
 FEATURES = ("n_tx", "mean_amt", "std_amt", "median_amt", "n_mcc")
 
@@ -30,7 +31,17 @@ def category_counts(events: DataFrame, category: str = "category") -> DataFrame:
     return counts.withColumn("share", F.col("cnt") / whole)
 
 
-def client_features(events: DataFrame, category: str = "category", hot_rows: int = HOT_ROWS) -> DataFrame:
+def event_columns(events: DataFrame) -> list[str]:
+    """The columns events are ordered by."""
+    return [c for c in ("time", "tie") if c in events.columns]
+
+
+def kept(events: DataFrame, *names: str) -> DataFrame:
+    """Clients, amounts and the named columns, written once for what reads them several times."""
+    return written(events.select(*dict.fromkeys(["customer_id", "amount", *names])), "events")
+
+
+def client_features(events: DataFrame, category: str = "category") -> DataFrame:
     """Count, mean, population std and exact median of |amount|, distinct categories.
 
     With the distinct count Spark combines the other measures per (client,
@@ -38,10 +49,11 @@ def client_features(events: DataFrame, category: str = "category", hot_rows: int
     most one row per category and task. Clients without any amount stay, with
     null amounts.
     """
+    events = kept(events, category)
     stats = events.groupBy("customer_id").agg(
         F.count(F.lit(1)).alias("n_tx"), F.avg(amount_size()).alias("mean_amt"),
         F.stddev_pop(amount_size()).alias("std_amt"), F.count_distinct(category).alias("n_mcc"))
-    medians = exact_median(events, ["customer_id"], amount_size(), "median_amt", hot_rows)
+    medians = exact_median(events, ["customer_id"], amount_size(), "median_amt")
     return join_groups(stats, medians, ["customer_id"], "left").select("customer_id", *FEATURES)
 
 
@@ -181,27 +193,35 @@ def distinct_types(events: DataFrame, kind: str, k: int = 5) -> DataFrame:
                     .alias("top_types")))
 
 
-def half_trend(events: DataFrame, mode: str = "ratio", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Mean |amount| of the first ``n // 2`` events against the rest.
-
-    ``ratio``: increasing above 1.1 times, decreasing below 0.9 times, else
-    stable (one event: stable). ``change``: the relative change and its
-    direction only beyond 10 percent, from a first half above 0.
-    """
-    ranked = order_events(events, "_no", "_n", hot_rows)
+def half_means(events: DataFrame) -> DataFrame:
+    """Mean |amount| of a client's first ``n // 2`` events and of the rest."""
+    ranked = order_events(events.select("customer_id", "amount", *event_columns(events)), "_no", "_n")
     early = F.col("_no") <= F.floor(F.col("_n") / 2)
-    halves = ranked.groupBy("customer_id").agg(
+    return ranked.groupBy("customer_id").agg(
         F.avg(F.when(early, amount_size())).alias("first_half"), F.avg(F.when(~early, amount_size())).alias("second_half"))
+
+
+def trend_columns(mode: str = "ratio") -> dict[str, Column]:
+    """``trend`` (and ``change``) of two half means, see ``half_trend``."""
     # The last bits of a mean depend on the order of addition; drop them so a
     # change of exactly 10 percent stays on one side.
     first, second = F.round("first_half", 6), F.round("second_half", 6)
     if mode == "ratio":
         high, low = F.round(first * 1.1, 6), F.round(first * 0.9, 6)
-        text = F.when(second > high, "increasing").when(second < low, "decreasing").otherwise("stable")
-        return halves.withColumn("trend", text)
-    change = F.when(first > 0, F.round((second - first) / first, 9))
-    return (halves.withColumn("change", F.when(F.abs(change) > 0.1, change))
-            .withColumn("trend", F.when(F.col("change") > 0, "increasing").when(F.col("change") < 0, "declining")))
+        return {"trend": F.when(second > high, "increasing").when(second < low, "decreasing").otherwise("stable")}
+    relative = F.when(first > 0, F.round((second - first) / first, 9))
+    change = F.when(F.abs(relative) > 0.1, relative)
+    return {"change": change, "trend": F.when(change > 0, "increasing").when(change < 0, "declining")}
+
+
+def half_trend(events: DataFrame, mode: str = "ratio") -> DataFrame:
+    """Mean |amount| of the first ``n // 2`` events against the rest.
+
+    ``ratio``: increasing above 1.1 times, decreasing below 0.9 times, else
+    stable (one event: stable). ``change``: the relative change and its
+    direction only beyond 10 percent, from a first half above 0.
+    """
+    return half_means(events).withColumns(trend_columns(mode))
 
 
 def class_distribution(df: DataFrame, classes: Sequence[int], target: str = "target") -> DataFrame:

@@ -130,9 +130,9 @@ def token_vectors(matrix: DataFrame, dim: int = DIM, passes: int = PASSES) -> Da
     size, axes = size[lead], axes[:, lead]
     strong = np.abs(size) > np.abs(size).max(initial=0) * 1e-9
     turned = _turned(both, "v", np.where(strong, axes * np.sqrt(np.abs(size)), 0))
-    cubes = turned.select("a", F.transform("v", lambda x: x * x * x).alias("c")).agg(
+    cubes = turned.select(F.transform("v", lambda x: x * x * x).alias("c")).groupBy(F.lit("all")).agg(
         vector_to_array(Summarizer.sum(array_to_vector("c"))).alias("c")).first()
-    side = np.where(np.array(cubes["c"] if cubes and cubes["c"] else [1.0] * dim) < 0, -1.0, 1.0)
+    side = np.where(np.array(cubes["c"] if cubes else [1.0] * dim) < 0, -1.0, 1.0)
     return _turned(turned, "v", np.diag(side)).select(F.col("a").alias("token"), F.col("v").alias("vector"))
 
 

@@ -37,13 +37,6 @@ def time_kind(df: DataFrame) -> str:
     return "days" if df.schema["time"].dataType.simpleString() in ("double", "float", "int", "bigint") else "timestamp"
 
 
-def hour_segment(df: DataFrame) -> Column:
-    """An hour number that never decreases with time; splits hot clients."""
-    if time_kind(df) == "days":
-        return F.floor(F.col("time") * 24)
-    return F.date_trunc("hour", F.col("time"))
-
-
 def keep_labelled(events: DataFrame, labels: DataFrame, key: str = "customer_id") -> DataFrame:
     return events.join(labels.select(key), key, "left_semi")
 

@@ -15,9 +15,18 @@ from pyspark.sql import functions as F
 
 from clienttrace.functions.vectors import euclidean_distance, l2_normalize, log_softmax, softmax, total
 from clienttrace.operators.ranks import join_groups
+from clienttrace.session import written
 
-# Score slices: fine enough that no task gets a large part of the scores.
-SCORE_SLICES = 4096
+# Slices with about equally many distinct scores, whatever their spread.
+SCORE_SLICES = 64
+
+
+def with_slices(counts: DataFrame, score: str) -> DataFrame:
+    """Adds ``_slice``: the number of bounds below a score, bounds from a quantile sketch of all distinct scores."""
+    shares = F.array(*[F.lit(i / SCORE_SLICES) for i in range(1, SCORE_SLICES)])
+    bounds = counts.agg(F.percentile_approx(score, shares, 1000)).scalar()
+    below = F.size(F.filter("_bounds", lambda b: b < F.col(score)))
+    return counts.withColumn("_bounds", bounds).withColumn("_slice", below).drop("_bounds")
 
 
 def roc_auc(preds: DataFrame, group: Sequence[str] = (), target: str = "target", score: str = "score",
@@ -33,8 +42,8 @@ def roc_auc(preds: DataFrame, group: Sequence[str] = (), target: str = "target",
     parts = group + ["_slice"]
     counts = (preds.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")))
               .groupBy(*group, F.col(score).cast("double").alias("_score"))
-              .agg(F.count_if(F.col(target) == 1).alias("_pos"), F.count_if(F.col(target) != 1).alias("_neg"))
-              .withColumn("_slice", F.floor(F.col("_score") * SCORE_SLICES)))
+              .agg(F.count_if(F.col(target) == 1).alias("_pos"), F.count_if(F.col(target) != 1).alias("_neg")))
+    counts = with_slices(counts, "_score")
     lower_slices = Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = (counts.groupBy(*parts).agg(F.sum("_neg").alias("_slice_neg"))
               .withColumn("_below", F.coalesce(F.sum("_slice_neg").over(lower_slices), F.lit(0)))
@@ -114,29 +123,55 @@ def running_metric(preds: DataFrame, every: int, seq: str = "seq", group: Sequen
     """AUC and accuracy (at 0.5) over the first n rows, n = every, 2*every, ..., all.
 
     ``seq`` numbers the rows of a group from 1. Rows are counted per (block of
-    ``every``, score) first; only these counts are repeated for the later
-    prefixes they belong to.
+    ``every``, score), map side. A pair of a positive and a negative counts in
+    every prefix from the later block of the two on. Pairs are met in the nodes
+    of a binary tree over the blocks: there the counts of the earlier half and
+    of the later half meet for the first time, ordered by score. So a count goes
+    to one node per level, log2(blocks) of them, and running sums give all
+    prefixes. Null and NaN scores rank nothing, as in ``roc_auc``; their rows
+    count in ``n_rows`` alone. Null is a group like any other.
     """
     group = list(group)
-    block = F.floor((F.col(seq) - 1) / every)
-    counts = preds.groupBy(*group, block.alias("_block"), F.col(score).cast("double").alias("_score")).agg(
-        F.count_if(F.col(target) == 1).alias("_pos"), F.count_if(F.col(target) != 1).alias("_neg"))
-    last = counts.groupBy(*group).agg(F.max("_block").alias("_last"))
-    counts = join_groups(counts, last, group) if group else counts.withColumn("_last", last.scalar())
-    prefixes = (counts.withColumn("_prefix", F.explode(F.sequence("_block", "_last")))
-                .groupBy(*group, "_prefix", "_score")
-                .agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg")))
-    below = (Window.partitionBy(*group, "_prefix").orderBy("_score")
-             .rowsBetween(Window.unboundedPreceding, -1))
-    wins = F.col("_pos") * (F.coalesce(F.col("_below"), F.lit(0)) + F.col("_neg") / 2)
+    rows = preds.select(*group, F.floor((F.col(seq) - 1) / every).cast("long").alias("_block"), F.col(target).alias("_y"),
+                        F.col(score).cast("double").alias("_score"))
+    counts = written(rows.groupBy(*group, "_block", "_score").agg(
+        F.count_if(F.col("_y") == 1).alias("_pos"), F.count_if(F.col("_y") != 1).alias("_neg"), F.count(F.lit(1)).alias("_all")), "counts")
+    scored = F.col("_score").isNotNull() & ~F.isnan("_score")
+    ranked = counts.where(scored)
+    top = (counts.agg(F.max("_block")).first()[0] or 0).bit_length()
+
+    # At level l a node is 2^l blocks and its later half has bit l - 1 set; level 0 is a block by itself.
+    levels = F.array(*[F.struct(F.lit(n).alias("_level"), F.shiftright("_block", n).alias("_node"),
+                                (F.shiftright("_block", max(n - 1, 0)) % 2 == 1).alias("_later")) for n in range(top + 1)])
+    nodes = with_slices(ranked, "_score").select("*", F.inline(levels))
+    own = F.col("_level") == 0
+    nodes = nodes.withColumns({"_enemies": F.when(own | ~F.col("_later"), F.col("_neg")).otherwise(0),
+                               "_friends": F.when(~own & ~F.col("_later"), F.col("_pos")).otherwise(0)})
+    at, parts = [*group, "_level", "_node"], [*group, "_level", "_node", "_slice"]
+    lower = Window.partitionBy(*at).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = nodes.groupBy(*parts).agg(F.sum("_enemies").alias("_e"), F.sum("_friends").alias("_f")).select(
+        *parts, F.coalesce(F.sum("_e").over(lower), F.lit(0)).alias("_e_below"), F.coalesce(F.sum("_f").over(lower), F.lit(0)).alias("_f_below"),
+        F.sum("_f").over(Window.partitionBy(*at)).alias("_f_all"))
+    upto = Window.partitionBy(*parts).orderBy("_score").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    equal = Window.partitionBy(*parts, "_score")
+    met = join_groups(nodes.withColumns({
+        "_e_upto": F.sum("_enemies").over(upto), "_f_upto": F.sum("_friends").over(upto),
+        "_e_equal": F.sum("_enemies").over(equal), "_f_equal": F.sum("_friends").over(equal)}), slices, parts)
+    beaten = F.col("_pos") * (F.col("_e_below") + F.col("_e_upto") - F.col("_e_equal") / 2)
+    lost = F.col("_neg") * (F.col("_f_all") - F.col("_f_below") - F.col("_f_upto") + F.col("_f_equal") / 2)
+    wins = met.groupBy(*group, "_block").agg(F.sum(F.when(own, beaten).when(F.col("_later"), beaten + lost).otherwise(0.0)).alias("_wins"))
+
     right = F.when(F.col("_score") >= 0.5, F.col("_pos")).otherwise(F.col("_neg"))
-    rows = F.sum(F.col("_pos") + F.col("_neg"))
-    return (prefixes.withColumn("_below", F.sum("_neg").over(below))
-            .groupBy(*group, "_prefix")
-            .agg(rows.alias("n_rows"),
-                 F.try_divide(F.sum(wins), F.sum("_pos").cast("double") * F.sum("_neg")).alias("roc_auc"),
-                 (F.sum(right) / rows).alias("accuracy"))
-            .drop("_prefix"))
+    blocks = counts.groupBy(*group, "_block").agg(
+        F.sum("_all").alias("_all"), *(F.coalesce(F.sum(F.when(scored, c)), F.lit(0)).alias(n) for n, c in (
+            ("_pos", F.col("_pos")), ("_neg", F.col("_neg")), ("_right", right))))
+    so_far = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = join_groups(blocks, wins, [*group, "_block"], "left").select(
+        *group, *(F.sum(c).over(so_far).alias(c) for c in ("_all", "_pos", "_neg", "_right")),
+        F.sum(F.coalesce("_wins", F.lit(0.0))).over(so_far).alias("_wins"))
+    return totals.select(*group, F.col("_all").alias("n_rows"),
+                         F.try_divide(F.col("_wins"), F.col("_pos").cast("double") * F.col("_neg")).alias("roc_auc"),
+                         F.try_divide(F.col("_right").cast("double"), F.col("_pos") + F.col("_neg")).alias("accuracy"))
 
 
 def strategy_matrix(results: DataFrame, metric: str, strategies: str = "strategy", enrichment: str = "enrichment",

@@ -3,7 +3,8 @@
 All profiles start from ``client_summary``: one row per (client, category),
 combined map side, then merged to one row per client. Catalyst drops the
 measures a profile does not print. Medians and trends, which need an order,
-are joined on; all sides are already spread by client.
+are joined on. A profile reads its events once, into a table of the columns it
+needs, and works on that.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ from pyspark.sql import functions as F
 
 from clienttrace.functions.scalars import (amount_direction, fmt0, fmt2, fmt_pct, fmt_signed_pct, pct_floor)
 from clienttrace.operators.aggregates import (amount_size, band_columns, day_count_columns, day_share_columns,
-                                              distinct_types, flow_columns, flow_ratio, half_trend, hour_of,
-                                              span_columns)
+                                              distinct_types, event_columns, flow_columns, flow_ratio, half_trend, hour_of,
+                                              kept, span_columns)
 from clienttrace.operators.events import event_order, left_with_default, time_kind
-from clienttrace.operators.ranks import HOT_ROWS, exact_median, join_groups
+from clienttrace.operators.ranks import exact_median, join_groups
 from clienttrace.operators.sequences import last_events
 
 # Texts for clients without events.
@@ -95,27 +96,35 @@ def _with_span(summary: DataFrame, mode: str, rate_floor: int = 0) -> DataFrame:
     return summary.withColumns(span_columns(F.col("n_tx"), F.col("first"), F.col("last"), kind, mode, rate_floor))
 
 
-def _with_median(summary: DataFrame, events: DataFrame, hot_rows: int) -> DataFrame:
-    medians = exact_median(events, ["customer_id"], amount_size(), "median_amt", hot_rows)
+def _read(events: DataFrame, category: str, hour: Column | None = None, *more: str) -> tuple[DataFrame, Column | None]:
+    """The columns of a profile, read once, and the hour if it is not that of the time."""
+    if hour is not None:
+        events = events.withColumn("_hour", hour)
+    names = [category, *event_columns(events), *more, *(["_hour"] if hour is not None else [])]
+    return kept(events, *names), None if hour is None else F.col("_hour")
+
+
+def _with_median(summary: DataFrame, events: DataFrame) -> DataFrame:
+    medians = exact_median(events, ["customer_id"], amount_size(), "median_amt")
     return join_groups(summary, medians, ["customer_id"], "left")
 
 
-_ACTIVITY = ("- Transactions: ", "n_tx", " over ", "months", " months (", "per_month", "/month)\n")
+# Fixed value: the line on a client's activity.
+ACTIVITY = "- Transactions: %d over %d months (%d/month)\n"
 
 
 def _activity() -> Column:
-    names = {"n_tx", "months", "per_month"}
-    return _text(*[_whole(p) if p in names else p for p in _ACTIVITY])
+    return F.format_string(ACTIVITY, "n_tx", "months", "per_month")
 
 
 def _share(part: str) -> Column:
     return fmt0(F.col(part) * 100 / F.col("n_tx"))
 
 
-def client_profile(events: DataFrame, category: str = "category", hour: Column | None = None, k: int = 6,
-                   hot_rows: int = HOT_ROWS) -> DataFrame:
+def client_profile(events: DataFrame, category: str = "category", hour: Column | None = None, k: int = 6) -> DataFrame:
     """Activity, spending, top categories and time pattern of a client."""
-    s = _with_median(_with_span(client_summary(events, category, hour), "calendar"), events, hot_rows)
+    events, hour = _read(events, category, hour)
+    s = _with_median(_with_span(client_summary(events, category, hour), "calendar"), events)
     return s.select("customer_id", _text(
         "Client profile:\n", _activity(),
         "- Spending: avg ", fmt0(F.col("mean_amt")), " RUB, median ", fmt0(F.col("median_amt")),
@@ -124,10 +133,11 @@ def client_profile(events: DataFrame, category: str = "category", hour: Column |
         "- Time pattern: ", _share("daytime"), "% daytime, ", _share("late"), "% evening").alias("profile"))
 
 
-def churn_profile(events: DataFrame, category: str = "category", k: int = 6, hot_rows: int = HOT_ROWS) -> DataFrame:
+def churn_profile(events: DataFrame, category: str = "category", k: int = 6) -> DataFrame:
     """Activity, spending, top categories and the trend of the second half."""
-    s = _with_median(_with_span(client_summary(events, category), "elapsed"), events, hot_rows)
-    s = s.join(half_trend(events, "ratio", hot_rows).select("customer_id", "trend"), "customer_id")
+    events, _ = _read(events, category)
+    s = _with_median(_with_span(client_summary(events, category), "elapsed"), events)
+    s = s.join(half_trend(events, "ratio").select("customer_id", "trend"), "customer_id")
     return s.select("customer_id", _text(
         "Client profile:\n", _activity(),
         "- Spending: avg ", fmt0(F.col("mean_amt")), " RUB, median ", fmt0(F.col("median_amt")), "\n",
@@ -135,9 +145,10 @@ def churn_profile(events: DataFrame, category: str = "category", k: int = 6, hot
         "- Activity trend: ", F.col("trend")).alias("profile"))
 
 
-def age_short_profile(events: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def age_short_profile(events: DataFrame) -> DataFrame:
+    events = kept(events)
     s = events.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_tx"), F.avg(amount_size()).alias("mean_amt"))
-    s = _with_median(s, events, hot_rows)
+    s = _with_median(s, events)
     return s.select("customer_id", _text(
         "Client profile:\n- Transactions: ", _whole("n_tx"), "\n",
         "- Spending: avg ", fmt0(F.col("mean_amt")), " RUB, median ", fmt0(F.col("median_amt"))).alias("profile"))
@@ -151,10 +162,10 @@ def brief_profile(events: DataFrame, category: str = "category", k: int = 6) ->
         ". Categories: ", _top(k, "plain"), ".").alias("profile"))
 
 
-def brief_age_profile(events: DataFrame, category: str = "category", k: int = 6, diversity: str = "categories",
-                      hot_rows: int = HOT_ROWS) -> DataFrame:
+def brief_age_profile(events: DataFrame, category: str = "category", k: int = 6, diversity: str = "categories") -> DataFrame:
     """One line with median and diversity, see ``category_diversity`` for its modes."""
-    s = _with_median(client_summary(events, category), events, hot_rows)
+    events, _ = _read(events, category)
+    s = _with_median(client_summary(events, category), events)
     n = _whole("n_categories" if diversity == "categories" else "n_counts")
     return s.select("customer_id", _text(
         "Client with ", _whole("n_tx"), " transactions across ", n, " categories. Avg amount: ",
@@ -163,9 +174,10 @@ def brief_age_profile(events: DataFrame, category: str = "category", k: int = 6,
 
 
 def age_profile(events: DataFrame, group: str = "category", k: int = 6, diversity: str = "categories",
-                compact: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
+                compact: bool = False) -> DataFrame:
     """Activity, spending, size bands, diversity and top group ids."""
-    s = _with_median(_with_span(client_summary(events, group), "calendar", rate_floor=1), events, hot_rows)
+    events, _ = _read(events, group)
+    s = _with_median(_with_span(client_summary(events, group), "calendar", rate_floor=1), events)
     n = _whole("n_categories" if diversity == "categories" else "n_counts")
     small = pct_floor(F.col("n_small"), F.col("n_tx")).cast("string")
     large = pct_floor(F.col("n_large"), F.col("n_tx")).cast("string")
@@ -185,10 +197,11 @@ def age_profile(events: DataFrame, group: str = "category", k: int = 6, diversit
 
 
 def rich_profile(events: DataFrame, category: str = "category", kind: str | None = None, k: int = 8,
-                 hour: Column | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+                 hour: Column | None = None) -> DataFrame:
     """The long profile in sentences; sentences without a value are left out."""
-    s = _with_median(client_summary(events, category, hour), events, hot_rows)
-    s = s.join(half_trend(events, "change", hot_rows).select("customer_id", "change", "trend"), "customer_id")
+    events, hour = _read(events, category, hour, *([kind] if kind else []))
+    s = _with_median(client_summary(events, category, hour), events)
+    s = s.join(half_trend(events, "change").select("customer_id", "change", "trend"), "customer_id")
     s = s.withColumn("ratio", flow_ratio())
     types = F.lit(None).cast("string")
     if kind:
@@ -212,10 +225,10 @@ def rich_profile(events: DataFrame, category: str = "category", kind: str | None
         types).alias("profile"))
 
 
-def flow_profile(events: DataFrame, category: str = "category", k: int = 6, diversity: str = "categories",
-                 hot_rows: int = HOT_ROWS) -> DataFrame:
+def flow_profile(events: DataFrame, category: str = "category", k: int = 6, diversity: str = "categories") -> DataFrame:
     """The shorter sentence profile with money flow."""
-    s = _with_median(client_summary(events, category), events, hot_rows)
+    events, _ = _read(events, category)
+    s = _with_median(client_summary(events, category), events)
     n = _whole("n_categories" if diversity == "categories" else "n_counts")
     return s.select("customer_id", _text(
         "Bank client with ", _whole("n_tx"), " transactions across ", n, " categories. ",
@@ -225,9 +238,10 @@ def flow_profile(events: DataFrame, category: str = "category", k: int = 6, dive
         "Income: ", _whole("n_income"), " txns (total ", fmt0(F.col("total_income")), ").").alias("profile"))
 
 
-def top5_profile(events: DataFrame, group: str = "category", k: int = 5, hot_rows: int = HOT_ROWS) -> DataFrame:
+def top5_profile(events: DataFrame, group: str = "category", k: int = 5) -> DataFrame:
     """Count, spending and the raw top groups as ``(group, count)`` pairs."""
-    s = _with_median(client_summary(events, group), events, hot_rows)
+    events, _ = _read(events, group)
+    s = _with_median(client_summary(events, group), events)
     return s.select("customer_id", _text(
         "Transactions: ", _whole("n_tx"), "\n",
         "Spending: avg ", fmt0(F.col("mean_amt")), " RUB, median ", fmt0(F.col("median_amt")),

@@ -1,24 +1,29 @@
 """Ranks and order statistics that never put a whole hot group into one task.
 
-Two ways, both exact:
+Two ways, both exact and the same for every size of group:
 
 * ``bucketed_rank`` splits every group by an order-preserving bucket (a prefix
   of a hash, of a string, or a slice of a number), ranks inside the buckets and
   adds the number of rows in lower buckets. Used where few groups hold all rows
   (classes, the whole table).
-* ``segmented_rank`` does that only for keys with more than ``hot_rows`` rows.
-  All other groups are at most that big and take one plain window.
+* ``ordered_rank`` sorts all rows by group and order in even ranges, so a hot
+  group lies in as many partitions as it fills. Rows are numbered as they stream
+  by; only groups cut by the end of a partition, two per partition at most, need
+  the counts of the partitions before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A plain window sorts one group in one task; this many rows fit easily.
-HOT_ROWS = 1_000_000
+from clienttrace.session import written
 
 
 def hash_order(key: Column, seed: int) -> Column:
@@ -63,73 +68,96 @@ def hash_rank(df: DataFrame, group: Sequence[str], key: str, seed: int,
                          rank, size).drop("_hash")
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows; reads only the key columns."""
-    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_hot_rows"))
-            .where(F.col("_hot_rows") > hot_rows))
+def _changes(batch: pa.RecordBatch, at: Sequence[int], before: list | None) -> np.ndarray:
+    """Places of a batch where a new group starts; nulls are equal."""
+    new = np.zeros(batch.num_rows, bool)
+    new[0] = before is None or [batch.column(i)[0].as_py() for i in at] != before
+    for i in at:
+        a, b = batch.column(i).slice(1), batch.column(i).slice(0, batch.num_rows - 1)
+        one_null = pc.xor(pc.is_null(a), pc.is_null(b))
+        new[1:] |= pc.fill_null(pc.or_kleene(pc.not_equal(a, b), one_null), False).to_numpy(zero_copy_only=False)
+        new[1:] |= one_null.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
 
 
-def segmented_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], segment: Column,
-                   rank: str = "rank", size: str = "group_rows", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Adds rank and row count per key, splitting only hot keys by ``segment``.
+def _number(batches: Iterator[pa.RecordBatch], at: Sequence[int]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows with their number in the group, the group's rows here, the partition, and whether it may go on elsewhere.
 
-    ``segment`` must not decrease along ``order``. The hot keys are at most
-    ``rows / hot_rows`` (a million in 10^12 rows), which bounds the broadcast.
+    The group in hand is kept until it ends; it is a part of one partition at most.
     """
-    keys = list(keys)
-    parts = keys + ["_segment"]
-    hot = F.broadcast(hot_keys(df, keys, hot_rows))
-    rows = (df.join(hot, keys, "left")
-            .withColumn("_segment", F.when(F.col("_hot_rows").isNotNull(), segment)).drop("_hot_rows"))
-    below = (Window.partitionBy(*keys).orderBy("_segment")
-             .rowsBetween(Window.unboundedPreceding, -1))
-    # Keeping _hot_rows here makes both joins read the same broadcast; with no
-    # hot key at all the whole branch is empty and AQE drops it and its join.
-    offsets = (df.join(hot, keys).withColumn("_segment", segment)
-               .groupBy(*parts).agg(F.count(F.lit(1)).alias("_rows"), F.first("_hot_rows").alias("_hot_rows"))
-               .withColumn("_below", F.sum("_rows").over(below))
-               .drop("_rows"))
-    part = Window.partitionBy(*parts)
-    return (rows
-            .withColumn("_inside", F.row_number().over(part.orderBy(*order)))
-            .withColumn("_here", F.count(F.lit(1)).over(part))
-            .join(offsets, parts, "left")
-            .withColumn(rank, F.col("_inside") + F.coalesce(F.col("_below"), F.lit(0)))
-            .withColumn(size, F.coalesce(F.col("_hot_rows"), F.col("_here")))
-            .drop("_inside", "_here", "_below", "_segment", "_hot_rows"))
-
-
-def exact_median(df: DataFrame, keys: Sequence[str], value: Column, out: str = "median",
-                 hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Exact median of a non-negative value per key (nulls ignored).
-
-    Keys with up to ``hot_rows`` rows use Spark's ``median``, whose buffer they
-    bound. A hot key is counted per distinct value first (map side, spread by
-    value), and running counts over slices of values find the middle, so
-    neither its rows nor its copies of one value meet in one task.
+    part = TaskContext.get().partitionId()
+    held: list[pa.RecordBatch] = []
+    before, started = None, False
+
+    def made(batch: pa.RecordBatch, inside: np.ndarray, here: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
+        added = [pa.array(inside, pa.int64()), pa.array(here, pa.int64()), pa.array(np.full(len(inside), part), pa.int32()), pa.array(edge, pa.bool_())]
+        return pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "_inside", "_here", "_part", "_edge"])
+
+    def closed(edge: bool) -> Iterator[pa.RecordBatch]:
+        here, done = sum(b.num_rows for b in held), 0
+        for b in held:
+            n = b.num_rows
+            yield made(b, np.arange(done + 1, done + n + 1), np.full(n, here), np.full(n, edge))
+            done += n
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        starts = _changes(batch, at, before)
+        before = [batch.column(i)[batch.num_rows - 1].as_py() for i in at]
+        if not len(starts):
+            held.append(batch)
+            continue
+        if starts[0]:
+            held.append(batch.slice(0, starts[0]))
+        if held:
+            yield from closed(not started)
+            started = True
+        whole = batch.slice(starts[0], starts[-1] - starts[0])
+        if whole.num_rows:
+            sizes = np.diff(starts)
+            here = np.repeat(sizes, sizes)
+            edge = np.zeros(whole.num_rows, bool)
+            if not started:
+                edge[:sizes[0]] = True
+                started = True
+            yield made(whole, np.arange(whole.num_rows) - np.repeat(starts[:-1] - starts[0], sizes) + 1, here, edge)
+        held = [batch.slice(starts[-1])]
+    if held:
+        yield from closed(True)
+
+
+def ordered_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank: str = "rank",
+                 size: str = "group_rows") -> DataFrame:
+    """Adds the 1-based rank along ``order`` in the group and the group's row count.
+
+    One shuffle into even ranges, written; rows with equal keys and order share a partition.
     """
     keys = list(keys)
+    by = [*(F.col(k) for k in keys), *order]
+    rows = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    at = [df.columns.index(k) for k in keys]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    laid = written(rows.mapInArrow(lambda batches: _number(batches, at),
+                                   f"{fields}, _inside long, _here long, _part int, _edge boolean"), "ordered")
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    cut = laid.where("_edge and _inside = 1").select(
+        *keys, "_part", F.coalesce(F.sum("_here").over(earlier), F.lit(0)).alias("_below"),
+        F.sum("_here").over(Window.partitionBy(*keys)).alias("_whole"))
+    # Two groups per partition at most.
+    return (join_groups(laid, F.broadcast(cut), [*keys, "_part"], "left")
+            .withColumn(rank, F.col("_inside") + F.coalesce("_below", F.lit(0)))
+            .withColumn(size, F.coalesce("_whole", "_here"))
+            .drop("_inside", "_here", "_part", "_edge", "_below", "_whole"))
+
+
+def exact_median(df: DataFrame, keys: Sequence[str], value: Column, out: str = "median") -> DataFrame:
+    """Exact median of a value per group (nulls ignored): the mean of the one or two rows in the middle."""
+    keys = list(keys)
     rows = df.select(*keys, value.cast("double").alias("_value")).where(F.col("_value").isNotNull())
-    hot = F.broadcast(hot_keys(rows, keys, hot_rows))
-    cold = rows.join(hot, keys, "left_anti").groupBy(*keys).agg(F.median("_value").alias(out))
-
-    parts = keys + ["_slice"]
-    # Slices 0.01 percent wide: they never decrease with the value.
-    counts = (rows.join(hot, keys, "left_semi").groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_n"))
-              .withColumn("_slice", F.floor(F.log1p("_value") * 10_000)))
-    by_slice = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = (counts.groupBy(*parts).agg(F.sum("_n").alias("_in_slice"))
-              .withColumn("_below", F.coalesce(F.sum("_in_slice").over(by_slice), F.lit(0)))
-              .withColumn("_all", F.sum("_in_slice").over(Window.partitionBy(*keys))))
-    inside = Window.partitionBy(*parts).orderBy("_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = F.col("_below") + F.col("_up_to")
-    low, high = F.floor((F.col("_all") + 1) / 2), F.floor((F.col("_all") + 2) / 2)
-
-    def holds(place: Column) -> Column:
-        return F.max(F.when((place > last - F.col("_n")) & (place <= last), F.col("_value")))
-    found = (counts.withColumn("_up_to", F.sum("_n").over(inside)).join(slices, parts)
-             .groupBy(*keys).agg(((holds(low) + holds(high)) / 2).alias(out)))
-    return cold.unionByName(found)
+    ranked = ordered_rank(rows, keys, [F.col("_value")], "_rank", "_n")
+    middle = F.col("_rank").between(F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2))
+    return ranked.where(middle).groupBy(*keys).agg(F.avg("_value").alias(out))
 
 
 def running_total(df: DataFrame, group: Sequence[str], seq: str, value: Column, out: str,

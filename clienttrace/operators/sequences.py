@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clienttrace.functions.scalars import fill_category
-from clienttrace.operators.events import event_order, hour_segment, time_kind
-from clienttrace.operators.ranks import HOT_ROWS, bucketed_rank, hot_keys, segmented_rank
+from clienttrace.operators.events import event_order, time_kind
+from clienttrace.operators.ranks import bucketed_rank, ordered_rank
+
+#: Events of a client in one row of sequences.
+CHUNK_EVENTS = 1_000_000
 
 
 def category_codes(df: DataFrame, column: str, fill: str | int = "UNK") -> DataFrame:
@@ -48,14 +51,9 @@ def days_between(start: Column, end: Column, kind: str) -> Column:
     return F.timestamp_diff("MICROSECOND", start, end) / F.lit(86400e6)
 
 
-def order_events(events: DataFrame, rank: str = "event_no", size: str = "n_events",
-                 hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Adds the 1-based position of each event of a client and the event count.
-
-    No global sort; a client with more than ``hot_rows`` events is ranked hour
-    by hour.
-    """
-    return segmented_rank(events, ["customer_id"], event_order(events), hour_segment(events), rank, size, hot_rows)
+def order_events(events: DataFrame, rank: str = "event_no", size: str = "n_events") -> DataFrame:
+    """Adds the 1-based position of each event of a client and the event count."""
+    return ordered_rank(events, ["customer_id"], event_order(events), rank, size)
 
 
 def event_time_since_first(events: DataFrame, out: str = "event_time") -> DataFrame:
@@ -77,7 +75,7 @@ def last_events(events: DataFrame, k: int) -> DataFrame:
 
 
 def build_sequences(events: DataFrame, arrays: Sequence[str], labels: DataFrame | None = None,
-                    minimum: int = 1, chunk_events: int = HOT_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+                    minimum: int = 1, chunk_events: int = CHUNK_EVENTS) -> DataFrame:
     """Client records: time-ordered parallel arrays of equal length.
 
     Result: ``customer_id, chunk, [target,] event_time`` (days since the first
@@ -89,30 +87,21 @@ def build_sequences(events: DataFrame, arrays: Sequence[str], labels: DataFrame
         events = events.join(labels.select("customer_id"), "customer_id", "left_semi")
     kind = time_kind(events)
     order = [c for c in ("time", "tie") if c in events.columns]
-    limit = min(chunk_events, hot_rows)
-    hot = F.broadcast(hot_keys(events, ["customer_id"], limit))
-
-    # Up to ``limit`` events: one shuffle, sorted inside the row.
-    item = F.struct(*order, *arrays)
-    short = (events.join(hot, "customer_id", "left_anti")
-             .groupBy("customer_id").agg(F.sort_array(F.collect_list(item)).alias("_items"))
-             .where(F.size("_items") >= minimum)
-             .select("customer_id", F.lit(0).cast("long").alias("chunk"), F.col("_items")[0]["time"].alias("_first"),
-                     F.col("_items")))
-    # Longer ones: numbered hour by hour, then cut.
-    starts = events.groupBy("customer_id").agg(F.min("time").alias("_first"))
-    long = (order_events(events.join(hot, "customer_id", "left_semi"), "_no", "_n", limit)
-            .where(F.col("_n") >= minimum)
-            .withColumn("chunk", F.floor((F.col("_no") - 1) / chunk_events))
-            .groupBy("customer_id", "chunk").agg(F.sort_array(F.collect_list(item)).alias("_items"))
-            .join(starts, "customer_id")
-            .select("customer_id", "chunk", "_first", "_items"))
+    needed = dict.fromkeys(["customer_id", *order, *arrays])
+    placed = order_events(events.select(*needed), "_no", "_n").where(F.col("_n") >= minimum)
+    # Clients of several chunks are few: at most rows / chunk_events.
+    starts = F.broadcast(placed.where((F.col("_no") == 1) & (F.col("_n") > chunk_events)).select(
+        "customer_id", F.col("time").alias("_start")))
+    records = (placed.groupBy("customer_id", F.floor((F.col("_no") - 1) / chunk_events).alias("chunk"))
+               .agg(F.sort_array(F.collect_list(F.struct(*order, *arrays))).alias("_items"))
+               .join(starts, "customer_id", "left")
+               .select("customer_id", "chunk", F.coalesce("_start", F.col("_items")[0]["time"]).alias("_first"), "_items"))
 
     def column(name: str) -> Column:
         return F.transform("_items", lambda x: x[name]).alias(name)
 
     since = F.transform("_items", lambda x: days_between(F.col("_first"), x["time"], kind).cast("float"))
-    records = short.unionByName(long).select(
+    records = records.select(
         "customer_id", "chunk", since.alias("event_time"), *[column(name) for name in arrays])
     if labels is not None:
         records = records.join(labels.select("customer_id", "target"), "customer_id")

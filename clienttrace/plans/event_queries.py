@@ -312,10 +312,11 @@ SELECT customer_id, CASE WHEN s > round(f * 1.1, 6) THEN 'increasing' WHEN s < r
   CASE WHEN f > 0 AND abs(round((s - f) / f, 9)) > 0.1 THEN CASE WHEN s > f THEN 'increasing' ELSE 'declining' END
     END AS direction FROM h""")
 def half_trend(spark, sf_dir):
-    events = shipments(spark, sf_dir)
-    change = ag.half_trend(events, "change").select("customer_id", num("change", 6).alias("change"),
-                                                   F.col("trend").alias("direction"))
-    return ag.half_trend(events).select("customer_id", "trend").join(change, "customer_id")
+    """Both readings of the same two means."""
+    change = ag.trend_columns("change")
+    return ag.half_means(shipments(spark, sf_dir)).select(
+        "customer_id", ag.trend_columns()["trend"].alias("trend"), num(change["change"], 6).alias("change"),
+        change["trend"].alias("direction"))
 
 
 @query("class_distribution", """

@@ -1,4 +1,4 @@
-"""Hot keys take another way; the results must be the same."""
+"""Ranks, medians and what is made of them, however rows lie and however large a group is."""
 
 import datetime as dt
 import random
@@ -21,34 +21,49 @@ def events(spark):
 
 
 def test_order_and_median_of_hot_clients(spark):
-    e = events(spark)
-    for hot in (10, 10**6):
-        ranked = sequences.order_events(e, hot_rows=hot).collect()
+    for parts in (1, 7):
+        e = events(spark).repartition(parts)
+        ranked = sequences.order_events(e).collect()
         for c in {r["customer_id"] for r in ranked}:
             own = sorted((r for r in ranked if r["customer_id"] == c), key=lambda r: r["event_no"])
             assert [r["event_no"] for r in own] == list(range(1, len(own) + 1))
             assert {r["n_events"] for r in own} == {len(own)}
             assert [(r["time"], r["id"]) for r in own] == sorted((r["time"], r["id"]) for r in own)
-        medians = {r[0]: r[1] for r in ranks.exact_median(e, ["customer_id"], F.abs("amount"), hot_rows=hot).collect()}
+        medians = {r[0]: r[1] for r in ranks.exact_median(e, ["customer_id"], F.abs("amount")).collect()}
         for c, value in medians.items():
             assert abs(value - statistics.median(abs(r[2]) for r in ROWS if r[0] == c)) < 1e-9
 
 
-def test_profiles_do_not_depend_on_the_hot_path(spark):
-    e = events(spark)
-    for make in (profiles.client_profile, profiles.churn_profile, profiles.rich_profile, aggregates.client_features,
-                 aggregates.half_trend):
-        plain = sorted(map(str, make(e).collect()))
-        split = sorted(map(str, make(e, hot_rows=20).collect()))
-        assert len(plain) == len(split) == 9
-        if make not in (aggregates.half_trend, aggregates.client_features):
-            assert plain == split
+def test_ordered_rank_over_any_partitions(spark):
+    """Null groups, groups over many partitions, equal rows, small batches."""
+    rows = [(None if i % 11 == 0 else "a" if i < 1500 else f"k{i % 40}", i % 3, i * 37 % 500) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "k string, j int, v long")
+    for batch, parts in ((4096, 8), (16, 3)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = ranks.ordered_rank(df, ["k", "j"], [F.col("v")], "r", "n").collect()
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4096)
+            spark.conf.set("spark.sql.shuffle.partitions", 8)
+        groups = {}
+        for k, j, v in rows:
+            groups.setdefault((k, j), []).append(v)
+        want = sorted((str(k), j, v, r, len(g)) for (k, j), g in groups.items() for r, v in enumerate(sorted(g), 1))
+        assert sorted((str(r["k"]), r["j"], r["v"], r["r"], r["n"]) for r in got) == want
+
+
+def test_profiles_do_not_depend_on_partitions(spark):
+    for make in (profiles.client_profile, profiles.churn_profile, profiles.rich_profile, aggregates.half_trend):
+        plain, split = (sorted(map(str, make(events(spark).repartition(n)).select("customer_id", name).collect()))
+                        for n in (1, 9) for name in ["trend" if make is aggregates.half_trend else "profile"])
+        assert len(plain) == 9 and plain == split
 
 
 def test_long_histories_continue_in_chunks(spark):
     e = events(spark)
     whole = {r["customer_id"]: r["amount"] for r in sequences.build_sequences(e, ["amount"]).collect()}
-    chunks = sequences.build_sequences(e, ["amount"], chunk_events=50, hot_rows=40).orderBy("customer_id", "chunk")
+    chunks = sequences.build_sequences(e, ["amount"], chunk_events=50).orderBy("customer_id", "chunk")
     joined, times = {}, {}
     for r in chunks.collect():
         assert len(r["amount"]) == len(r["event_time"]) <= 50
