@@ -206,6 +206,12 @@ def _best_in_blocks(visits: DataFrame, base: DataFrame, k: int) -> DataFrame:
                                  "distance double"))
 
 
+def _usable(rows: DataFrame, key: str) -> DataFrame:
+    """Rows with an id and a vector of finite components."""
+    fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return rows.where(F.col(key).isNotNull() & (F.size("vector") > 0) & fine)
+
+
 def knn_join(query: DataFrame, base: DataFrame, k: int, key: str = "customer_id", vector: str = "embedding",
              per_class: str | None = None, pivots: int = 1) -> DataFrame:
     """The ``k`` nearest base vectors of every query vector.
@@ -213,6 +219,9 @@ def knn_join(query: DataFrame, base: DataFrame, k: int, key: str = "customer_id"
     Result: ``query_id, base_id, distance, place`` and, with ``per_class`` (an
     integer column of the base), ``label``: then the nearest ``k`` within every
     class. Equal distances are ordered by base id; a zero vector has distance 1.
+    Rows without an id, and vectors that are null, empty or hold a null or
+    non-finite component take no part on either side, nor do base rows without a
+    class where neighbours are sought per class.
 
     ``pivots`` chooses how, never what: with one, every query meets every block
     of the base; with more (at most ``MAX_PIVOTS``), cells that cannot hold
@@ -221,7 +230,8 @@ def knn_join(query: DataFrame, base: DataFrame, k: int, key: str = "customer_id"
     label = F.col(per_class).cast("int") if per_class else F.lit(0)
     base = base.select(F.col(key).alias("base_id"), label.alias("label"),
                        F.col(vector).cast("array<double>").alias("vector"))
-    query = query.select(F.col(key).alias("query_id"), F.col(vector).cast("array<double>").alias("vector"))
+    base = _usable(base, "base_id").where("label is not null")
+    query = _usable(query.select(F.col(key).alias("query_id"), F.col(vector).cast("array<double>").alias("vector")), "query_id")
     pruned = pivots > 1
     if pruned:
         chosen = _choose_pivots(base, "vector", "base_id", min(pivots, MAX_PIVOTS))

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clienttrace.operators.ranks import running_total
+from clienttrace.operators.ranks import hash_rank, running_total
+from clienttrace.sources.results import resume_scoring
 
 Scorer = Callable[[list[list[dict[str, str]]]], Sequence[str]]
 
@@ -122,3 +125,54 @@ def usage_summary(calls: DataFrame, group: Sequence[str] = ("run_id",), started:
         elapsed = F.greatest(F.max(started) - F.min(started), F.lit(0.1))
         stats.append((F.count(F.lit(1)) / elapsed).alias("calls_per_second"))
     return calls.groupBy(*group).agg(*stats)
+
+
+def committed(spark: SparkSession, store: str, schema: str) -> DataFrame:
+    """The answers of all waves that a store's manifest lists; none where there is no store yet."""
+    try:
+        waves = [r["wave"] for r in spark.read.schema("wave string").json(f"{store}/manifest").distinct().collect()]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        waves = []
+    if not waves:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*(f"{store}/{w}" for w in waves))
+
+
+def score_in_waves(prompts: DataFrame, scorer: Scorer, store: str, run: str = "run_id", key: str = "customer_id",
+                   keep: Sequence[str] = (), cap: float = float("inf"), wave_calls: int = 100_000,
+                   prices: DataFrame | None = None, **calling: object) -> DataFrame:
+    """Scores prompts (``run, key, model, messages``) wave by wave into a store, within a budget per run.
+
+    A wave is at most ``wave_calls`` open prompts of every run, in the order of a
+    hash. Its answers are written to a folder of their own in ``store``, which
+    all executors must reach; then its name is added to the manifest, and only
+    that commits it. What is committed is never sent again, whether in this run,
+    after a restart, or when an executor was lost; calls of a wave that did not
+    get so far are repeated. Between waves the spending is summed, and a run that
+    has passed ``cap`` sends no more. Prompts that were not sent because credits
+    ran out stay open. Returns all committed answers: ``run, key, model, keep...,
+    response, status, attempts`` with ``prompt_tokens, completion_tokens, cost``.
+    """
+    spark, keys = prompts.sparkSession, [run, key, "model", *keep]
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in prompts.select(*keys).schema.fields)
+    schema = f"{fields}, response string, status string, attempts int"
+
+    def paid(done: DataFrame) -> DataFrame:
+        tokens = {n: F.get_json_object("response", f"$.usage.{n}").cast("int") for n in ("prompt_tokens", "completion_tokens")}
+        return call_cost(done.where("status != 'not_sent'").withColumns(tokens), prices)
+
+    while True:
+        done = paid(committed(spark, store, schema))
+        over = usage_summary(done, [run]).where(F.col("total_cost") > cap).select(run)
+        todo = resume_scoring(prompts, done, [run, key]).join(over, run, "left_anti")
+        wave = hash_rank(todo, [run], key, 0, "_place", "_open").where(F.col("_place") <= wave_calls).drop("_place", "_open")
+        name = f"wave-{uuid.uuid4().hex}"
+        score_prompts(wave, scorer, keys, **calling).write.parquet(f"{store}/{name}")
+        made = spark.read.schema(schema).parquet(f"{store}/{name}").agg(
+            F.count(F.lit(1)).alias("rows"), F.count_if(F.col("status") != "not_sent").alias("sent")).first()
+        if made["rows"]:
+            spark.createDataFrame([(name,)], "wave string").write.mode("append").json(f"{store}/manifest")
+        if not made["sent"]:
+            return paid(committed(spark, store, schema))

@@ -18,7 +18,8 @@ from clienttrace.functions.vectors import total
 from clienttrace.operators import (aggregates, events, evidence, knn, metrics, models, profiles, prompts, sampling,
                                    scoring, sequences, vectors)
 from clienttrace.operators.boosting import Boosting
-from clienttrace.session import written
+from clienttrace.session import shared_folder, written
+from clienttrace.sources.results import skip_completed_cells
 
 
 def evaluate_embeddings(client_events: DataFrame, labels: DataFrame, task: str = "binary", dim: int = 64,
@@ -63,9 +64,14 @@ def client_evidence(client_events: DataFrame, labels: DataFrame, vector_table: D
 
 def enrichment_grid(client_events: DataFrame, labels: DataFrame, vector_table: DataFrame, scorer: scoring.Scorer,
                     task: prompts.Task, model: str, category: str = "category",
-                    params: Boosting | None = None) -> DataFrame:
-    """AUC and valid share of every strategy x evidence cell for one scorer.
-
+                    params: Boosting | None = None, store: str | None = None, cap: float = float("inf"),
+                    finished: DataFrame | None = None, wave_calls: int = 100_000) -> DataFrame:
+    """AUC, valid share, cost and calls of every strategy x evidence cell for one scorer.
+
+    Answers are committed in waves to ``store`` (a fresh shared folder if not
+    given): a second run over it sends nothing twice, and a cell that has spent
+    more than ``cap`` stops. Cells in ``finished`` (column ``tag``) are skipped.
+    Test clients without a vector have no neighbours to show and are left out.
     Few-shot examples come from the train split, so no prompt holds a test client's label.
     """
     pos, neg = task.pos, task.neg
@@ -77,7 +83,8 @@ def enrichment_grid(client_events: DataFrame, labels: DataFrame, vector_table: D
             F.when(F.col("target") == 1, pos).otherwise(neg).alias("label"))).scalar()
     known = client_evidence(client_events, labels, vector_table, params=params)
     clients = events.left_with_default(known, texts, {"profile": profiles.NO_DATA}).withColumn("block", block)
-    cells = prompts.spread_over_grid(clients, prompts.prompt_grid(clients.sparkSession, [model]))
+    grid = prompts.prompt_grid(clients.sparkSession, [model])
+    cells = prompts.spread_over_grid(clients, grid if finished is None else skip_completed_cells(grid, finished))
 
     def text(kind: str):
         return evidence.evidence_text(kind, pos, neg, F.col("prob"), F.col("factors"),
@@ -88,13 +95,13 @@ def enrichment_grid(client_events: DataFrame, labels: DataFrame, vector_table: D
             .withColumn("messages", prompts.build_messages(task, F.col("strategy"), F.col("evidence"),
                                                            F.col("profile"), F.col("block")))
             .withColumnRenamed("tag", "run_id"))
-    # Calls cost money: their answers are written once, with all that scoring them needs.
-    keys = ["run_id", "customer_id", "strategy", "enrichment", "target"]
-    raw = written(scoring.score_prompts(made, scorer, keys), "answers")
+    raw = scoring.score_in_waves(made.withColumn("model", F.lit(model)), scorer, store or shared_folder(made.sparkSession, "answers"),
+                                 keep=["strategy", "enrichment", "target"], cap=cap, wave_calls=wave_calls)
     prob = F.when(F.col("status") == "ok", answers.answer_probability(F.col("response"), pos, neg))
     preds = raw.withColumn("score", prob)
     group = ["strategy", "enrichment"]
-    return metrics.roc_auc(preds, group).join(metrics.valid_share(preds, F.col("score").isNotNull(), group), group)
+    return (metrics.roc_auc(preds, group).join(metrics.valid_share(preds, F.col("score").isNotNull(), group), group)
+            .join(scoring.usage_summary(preds, group), group))
 
 
 def response_transfer(vector_table: DataFrame, alpha: float, classes: int = 2, k: int = 5, seed: int = 42,

@@ -92,3 +92,17 @@ def test_text_ids(spark, pivots):
     df = spark.createDataFrame(rows, "customer_id string, embedding array<float>, target int")
     found = knn.knn_join(df, df, 1, pivots=pivots).collect()
     assert len(found) == 40 and all(r["query_id"] == r["base_id"] for r in found)
+
+
+def test_unusable_vectors_and_classes_take_no_part(spark):
+    fine = [(i, [float(i % 7) + 1, 1.0, float(i % 3)], i % 2) for i in range(40)]
+    odd = [(100, None, 0), (101, [1.0, None, 0.0], 1), (102, [float("nan"), 1.0, 0.0], 0), (103, [float("inf"), 1.0, 0.0], 1),
+           (104, [], 0), (None, [1.0, 1.0, 1.0], 0)]
+    schema = "customer_id long, embedding array<double>, target int"
+    plain, mixed = spark.createDataFrame(fine, schema), spark.createDataFrame(fine + odd, schema).repartition(4)
+    for pivots in (1, 4):
+        want, got = (sorted(map(tuple, knn.knn_join(d, d, 3, pivots=pivots).collect())) for d in (plain, mixed))
+        assert got == want and len(want) == 120
+    unlabelled = mixed.unionByName(spark.createDataFrame([(200, [1.0, 1.0, 1.0], None)], schema))
+    per_class = knn.knn_join_per_class(unlabelled, unlabelled, 2).collect()
+    assert {r["base_id"] for r in per_class} <= set(range(40)) and {r["query_id"] for r in per_class} == {*range(40), 200}
