@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.ml.feature import IDF, HashingTF, Tokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -95,7 +94,26 @@ def embed_texts(df: DataFrame, text: str = "text", key: str = "customer_id", dim
                 yield pd.DataFrame({key: pdf[key], "embedding": vectors})
         kind = df.schema[key].dataType.simpleString()
         return df.select(key, text).mapInPandas(run, f"{key} {kind}, embedding array<float>")
-    words = Tokenizer(inputCol=text, outputCol="_words").transform(df.select(key, text))
-    counts = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dim).transform(words)
-    model = IDF(inputCol="_tf", outputCol="_vector").fit(counts)
-    return model.transform(counts).select(key, vector_to_array("_vector", "float32").alias("embedding"))
+    found = hashed_terms(df.select(key, text), text, key, dim)
+    entries = F.map_from_entries(F.collect_list(F.struct("place", "value")))
+    vectors = found.groupBy(key).agg(entries.alias("_v"))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("_v", i), F.lit(0.0)).cast("float"))
+    # A text without words has only zeros.
+    ids = df.select(F.col(key).alias("_id")).distinct()
+    return ids.join(vectors, F.col("_id").eqNullSafe(F.col(key)), "left").select(F.col("_id").alias(key), filled.alias("embedding"))
+
+
+def hashed_terms(df: DataFrame, text: str, key: str, dim: int) -> DataFrame:
+    """``key, place, value``: counts of a text's words by hash place, times the place's inverse document frequency.
+
+    A word's place is from its md5; ``value`` is ``n * ln((texts + 1) / (texts with the place + 1))``. The frequencies
+    are ``dim`` rows.
+    """
+    words = F.explode(F.filter(F.split(F.lower(text), r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
+    place = F.conv(F.substring(F.md5("_w"), 1, 8), 16, 10).cast("long") % dim
+    counts = df.select(key, words.alias("_w")).select(key, place.cast("int").alias("place")).groupBy(key, "place").agg(
+        F.count(F.lit(1)).alias("_n"))
+    texts = df.select(key).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+    seen = counts.groupBy("place").agg(F.count(F.lit(1)).alias("_texts"))
+    return counts.join(F.broadcast(seen), "place").select(
+        key, "place", (F.col("_n") * F.log((texts + 1.0) / (F.col("_texts") + 1.0))).alias("value"))

@@ -236,8 +236,14 @@ def sequence_embedding(spark, sf_dir):
     return out.select("customer_id", "target", "split", F.size("embedding").alias("dim"), "embedding")
 
 
-@query("text_embedding")
+@query("text_embedding", f"""
+WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) AS word
+  FROM documents),
+c AS (SELECT doc_id, (('0x' || substr(md5(word), 1, 8))::bigint % 64)::int AS place, count(*) AS n FROM w GROUP BY ALL),
+d AS (SELECT place, ln(((SELECT count(DISTINCT doc_id) FROM documents) + 1.0) / (count(*) + 1.0)) AS idf FROM c GROUP BY place)
+SELECT doc_id, place, 64 AS dim, {sql_num('(n * idf)::float', 3)} AS value FROM c JOIN d USING (place) WHERE (n * idf)::float <> 0""")
 def text_embedding(spark, sf_dir):
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
     made = vec.embed_texts(texts, "text", "doc_id", dim=64)
-    return made.select("doc_id", F.size("embedding").alias("dim"), "embedding")
+    return made.select("doc_id", F.size("embedding").alias("dim"), F.posexplode("embedding").alias("place", "value")).where(
+        "value != 0").withColumn("value", num("value", 3))
