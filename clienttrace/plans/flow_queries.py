@@ -97,5 +97,8 @@ def flow_enrichment_grid(spark, sf_dir):
 
 @query("flow_response_transfer")
 def flow_response_transfer(spark, sf_dir):
-    rows = vectors(spark, sf_dir).select("customer_id", "embedding", F.col("binary_target").alias("target"))
-    return flows.response_transfer(rows, models.TEACHER_SHARE["gender"])
+    """The teacher sees all components, the student the first half; five seeds."""
+    rows = vectors(spark, sf_dir)
+    own = rows.select("customer_id", F.slice("embedding", 1, 32).alias("embedding"), F.col("binary_target").alias("target"))
+    return flows.response_transfer(own, models.TEACHER_SHARE["gender"], seeds=(42, 123, 456, 789, 1024),
+                                   teacher_table=rows.select("customer_id", "embedding"))

@@ -104,26 +104,36 @@ def enrichment_grid(client_events: DataFrame, labels: DataFrame, vector_table: D
             .join(scoring.usage_summary(preds, group), group))
 
 
-def response_transfer(vector_table: DataFrame, alpha: float, classes: int = 2, k: int = 5, seed: int = 42,
-                      teacher_params: Boosting | None = None,
+def response_transfer(vector_table: DataFrame, alpha: float, classes: int = 2, k: int = 5, seeds: Sequence[int] = (42,),
+                      teacher_table: DataFrame | None = None, teacher_params: Boosting | None = None,
                       student_params: Mapping[str, object] = models.LOGISTIC) -> DataFrame:
-    """Student trained on labels mixed with out-of-fold teacher probabilities.
+    """Student trained on labels mixed with out-of-fold probabilities of a teacher that sees other vectors.
 
-    One row: test AUC (two classes) or accuracy, and the divergences of the
-    student from the teacher on the train part.
+    ``teacher_table`` (``customer_id, embedding``) is the teacher's source, by
+    default the student's own; clients it lacks fail the job. Mean and standard
+    deviation over ``seeds`` of the test AUC (two classes) or accuracy, and of the
+    student's divergences from the teacher on the train part.
     """
-    split = sampling.stratified_split(models.as_features(vector_table), seed=seed)
-    train, test = (split.where(F.col("split") == s) for s in ("train", "test"))
-    teacher = models.tree_estimator("multiclass", teacher_params, seed)
-    soft = models.teacher_soft_labels(train, teacher, k, seed).select("customer_id", "soft_labels")
-    known = written(events.align_by_id(train, soft), "teacher")
-    student = models.soft_label_student(known, alpha, classes, params=student_params)
-    fitted, held = models.scored(student, known), models.scored(student, test)
-    logits = F.transform("probs", lambda p: F.log(F.greatest(p, F.lit(1e-12))))
-    gap = fitted.select(metrics.forward_kl(F.col("soft_labels"), logits).alias("f"),
-                        metrics.reverse_kl(F.col("soft_labels"), logits).alias("r"),
-                        total(F.col("soft_labels")).alias("mass"))
-    quality = (metrics.roc_auc(held, target="label", out="quality") if classes == 2
-               else metrics.accuracy(held, target="label").withColumnRenamed("accuracy", "quality"))
-    return gap.agg(F.avg("f").alias("forward_kl"), F.avg("r").alias("reverse_kl"), F.avg("mass").alias("mass"),
-                   F.count(F.lit(1)).alias("train_rows")).withColumn("quality", quality.scalar())
+    runs = None
+    for seed in seeds:
+        split = sampling.stratified_split(models.as_features(vector_table), seed=seed)
+        train, test = (split.where(F.col("split") == s) for s in ("train", "test"))
+        shown = train
+        if teacher_table is not None:
+            theirs = teacher_table.select("customer_id", F.col("embedding").alias("_theirs"))
+            shown = models.as_features(events.align_by_id(train.drop("features", "label"), theirs), "_theirs")
+        soft = models.teacher_soft_labels(shown, models.tree_estimator("multiclass", teacher_params, seed), k, seed)
+        known = written(events.align_by_id(train, soft.select("customer_id", "soft_labels")), "teacher")
+        student = models.soft_label_student(known, alpha, classes, params=student_params)
+        fitted, held = models.scored(student, known), models.scored(student, test)
+        logits = F.transform("probs", lambda p: F.log(F.greatest(p, F.lit(1e-12))))
+        gap = fitted.select(metrics.forward_kl(F.col("soft_labels"), logits).alias("f"),
+                            metrics.reverse_kl(F.col("soft_labels"), logits).alias("r"),
+                            total(F.col("soft_labels")).alias("mass"))
+        quality = (metrics.roc_auc(held, target="label", out="quality") if classes == 2
+                   else metrics.accuracy(held, target="label").withColumnRenamed("accuracy", "quality"))
+        one = gap.agg(F.avg("f").alias("forward_kl"), F.avg("r").alias("reverse_kl"), F.avg("mass").alias("mass"),
+                      F.count(F.lit(1)).cast("double").alias("train_rows")).withColumn("quality", quality.scalar())
+        one = one.withColumn("seed", F.lit(seed))
+        runs = one if runs is None else runs.unionByName(one)
+    return metrics.metric_by_group(runs, [], ["forward_kl", "reverse_kl", "mass", "train_rows", "quality"])
