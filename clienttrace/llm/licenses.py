@@ -1,8 +1,8 @@
 """Licences named in texts: an Aho-Corasick scan for tags and notices, a shunting-yard parser for expressions.
 
 The words of a whole text, joined by blanks, run once through an automaton of
-notice phrases and of the words of the identifier tag. Where the tag is found
-the expression behind it is parsed (``with`` binds before ``and``, that before
+notice phrases and of the words of the identifier tag. Behind the place of a
+tag, where a colon follows, the expression that its line starts with is parsed (``with`` binds before ``and``, that before
 ``or``) and evaluated. Nothing is shuffled; a document stays in its task.
 """
 
@@ -46,8 +46,9 @@ COPYLEFT = {"gpl", "agpl", "lgpl", "mpl", "epl", "cc-by-sa"}
 
 _WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
-_TAG_LINE = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)", re.IGNORECASE)
-_PARTS = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
+_BEHIND_TAG = re.compile(rb"[ \t]*:([^\r\n]*)")
+#: Brackets, operators and identifiers (which start and end with a letter, digit or plus), or any other sign.
+_PARTS = re.compile(r"[()]|[A-Za-z0-9](?:[A-Za-z0-9.+:-]*[A-Za-z0-9+])?|[^\s()]")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 SPANS = pa.list_(pa.struct([("label", pa.string()), ("kind", pa.string()), ("start", pa.int64()), ("words", pa.int64())]))
@@ -82,7 +83,7 @@ def postfix(expression: str) -> list[str] | None:
                 return None
             waiting.pop()
         else:
-            if not operand:
+            if not operand or not part[0].isalnum():
                 return None
             out.append(part)
             operand = False
@@ -118,6 +119,40 @@ def evaluate(expression: str) -> dict:
     return {"expression": expression.strip(), "valid": True, "permissive": stack[0][0], "labels": sorted(stack[0][1])}
 
 
+def expressions_in(line: str) -> list[str]:
+    """The expressions a tag line starts with: up to the first part that cannot belong to one.
+
+    That leaves out comment ends and remarks. Behind a comma or semicolon there may be a further expression, if
+    all its identifiers are of known families.
+    """
+    out, start, end, operand, depth = [], 0, 0, True, 0
+    for m in _PARTS.finditer(line):
+        part = m[0].lower()
+        if part in _BINDS:
+            if operand:
+                break
+            operand = True
+        elif part == "(":
+            if not operand:
+                break
+            depth += 1
+        elif part == ")":
+            if operand or not depth:
+                break
+            depth -= 1
+        elif part in ",;" and not operand and not depth:
+            out.append(line[start:end])
+            start, operand = m.end(), True
+        elif part[0].isascii() and part[0].isalnum() and operand:
+            operand = False
+        else:
+            break
+        end = m.end()
+    out.append(line[start:max(start, end)])
+    known = set(FAMILIES.values())
+    return out[:1] + [e for e in out[1:] if set(evaluate(e)["labels"]) and set(evaluate(e)["labels"]) <= known]
+
+
 def automaton() -> ahocorasick.Automaton:
     """Every phrase between blanks, so that only whole words match."""
     found = ahocorasick.Automaton()
@@ -130,7 +165,8 @@ def automaton() -> ahocorasick.Automaton:
 
 def scan_text(text: str | None, phrases: ahocorasick.Automaton) -> tuple[int, list[dict], list[dict]]:
     """Number of words, spans of phrases by word number, and expressions of a whole text."""
-    words = text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split() if text else []
+    raw = text.encode("utf-8", "surrogatepass") if text else b""
+    words = raw.translate(_WORD_BYTES).split()
     joined = f" {b' '.join(words).decode('latin-1')} "
     spans, expressions, at, seen = [], [], 0, 0
     for end, (label, kind, size, n) in phrases.iter(joined):
@@ -140,8 +176,13 @@ def scan_text(text: str | None, phrases: ahocorasick.Automaton) -> tuple[int, li
         seen += joined.count(" ", at, start)
         at = start
         spans.append({"label": label, "kind": kind, "start": seen, "words": n})
-    if any(s["kind"] == "tag" for s in spans):
-        expressions = [evaluate(m) for m in _TAG_LINE.findall(text)]
+    tags = [s["start"] + s["words"] - 1 for s in spans if s["kind"] == "tag"]
+    if tags:
+        # Normalising keeps the places of bytes, so the end of a tag's last word is where its line goes on.
+        ends = [m.end() for m in re.finditer(rb"[^ ]+", raw.translate(_WORD_BYTES))]
+        for behind in (_BEHIND_TAG.match(raw, ends[t]) for t in tags):
+            if behind:
+                expressions += [evaluate(e) for e in expressions_in(behind[1].decode("utf-8", "replace"))]
     return len(words), spans, expressions
 
 
@@ -150,7 +191,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
     Spans (label, kind ``base``, ``notice`` or ``tag``, first word, number of
     words) are in the order in which phrases end, overlapping ones and repeats included.
-    Null and empty texts have no words and empty lists; repeated rows are repeated.
+    Null and empty texts have no words and empty lists; repeated rows are repeated; an empty table gives no rows.
     """
     def run(texts: list[str | None]):
         phrases = automaton()

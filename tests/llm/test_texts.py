@@ -182,6 +182,22 @@ def test_license_no_expressions(expression):
     assert licenses.evaluate(expression)["valid"] is False
 
 
+@pytest.mark.parametrize("line, labels", [
+    ("<!-- SPDX-License-Identifier: MIT -->", "mit"), ("// SPDX-License-Identifier: MIT. See LICENSE", "mit"),
+    ("/* SPDX-License-Identifier: MIT, BSD-2-Clause */", "bsd,mit"), ("# SPDX-License-Identifier: MIT, see LICENSE", "mit"),
+    ("é\u00a0日本 SPDX-License-Identifier:Apache-2.0\r\nSPDX-License-Identifier: (GPL-2.0+ OR MIT) # both", "apache,gpl,mit"),
+    ("SPDX-License-Identifier MIT", ""), ("SPDX-License-Identifier: MIT OR -->", ""), ("SPDX-License-Identifier:", ""),
+    ("spdx license identifier : LicenseRef-Own.", "licenseref-own"), ("SPDX-License-Identifier: (MIT", "")])
+def test_license_tags_in_comments(line, labels):
+    _, spans, expressions = licenses.scan_text(f"code {line}\nrest", licenses.automaton())
+    assert ",".join(sorted({x for e in expressions if e["valid"] for x in e["labels"]})) == labels
+    assert [s["kind"] for s in spans][:1] == ["tag"]
+
+
+def test_license_empty_table(frame):
+    assert licenses.summary(licenses.scan(frame([]))).collect() == []
+
+
 def test_pitman_yor_counts_and_order(spark, frame, odd_texts):
     texts = odd_texts + [(100 + i, words(i, 80)) for i in range(60)]
     got = pitman_yor.score(frame(texts), fold_column("doc_id", 10) != 0).collect()
