@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clienttrace.operators.evidence import Leaves
+from clienttrace.operators.paths import Paths, TreeNodes, paths
 from clienttrace.session import written
 
 #: Rows a bounded fit draws at most, on average.
@@ -316,6 +317,15 @@ class BoostedModel:
                 todo += [(t.left[node], lo, left), (t.left[node] + 1, right, hi)]
         return Leaves(np.array(low), np.array(high), np.array(value))
 
+    def paths(self) -> Paths:
+        """Paths to all leaves of a model of two classes; covers are the sums of hessians of the fit."""
+        trees = []
+        for t in (t for r in self.rounds for t in r):
+            cuts = [self.edges[f][b] if f >= 0 else np.inf for f, b in zip(t.feature, t.bin)]
+            trees.append(TreeNodes(t.feature, cuts, t.left, [at + 1 for at in t.left], t.values(self.settings),
+                                   [0.0 if s is None else float(s[1]) for s in t.sums]))
+        return paths(trees, float(self.prior[0]))
+
 
 def _prepared(rows: DataFrame, key: str | None) -> DataFrame:
     """``key, label, x``; rows without label or vector cannot be learned from."""

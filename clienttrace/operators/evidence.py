@@ -138,7 +138,7 @@ def tree_attributions(leaves: Leaves, rows: DataFrame, background: DataFrame, fe
     """
     d = len(features)
     if d > 12:
-        raise ValueError("more than 12 features need sampled coalitions")
+        raise ValueError("more than 12 features: use paths.path_attributions")
     n_leaves, coalitions = len(leaves.value), 1 << d
     step = max(1, (1 << 20) // max(1, n_leaves * d))
 

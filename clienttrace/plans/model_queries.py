@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from clienttrace.operators import aggregates, boosting, embedding, evidence, models, sampling, sequences
+from clienttrace.operators import aggregates, boosting, embedding, evidence, models, paths, sampling, sequences
 from clienttrace.operators import vectors as vec
 from clienttrace.operators.boosting import Boosting
 from clienttrace.plans.registry import num, query, sql_num
@@ -120,6 +120,49 @@ def tree_shapley(spark, sf_dir):
         num(F.col("attributions")[i]["phi"], 6).alias(f"phi_{c}") for i, c in enumerate("abc")))
 
 
+# A tree over each three of the 64 components; the first of them is asked twice on the way to the last two leaves.
+_COVERED = [paths.TreeNodes([3 * k, 3 * k + 1, 3 * k + 2, -1, -1, -1, 3 * k, -1, -1],
+                            [0.0, 0.05, -0.05, 0.0, 0.0, 0.0, 0.1, 0.0, 0.0],
+                            [1, 3, 5, 0, 0, 0, 7, 0, 0], [2, 4, 6, 0, 0, 0, 8, 0, 0],
+                            [0.0, 0.0, 0.0, 1.0 + k, 2.5, -1.0, 0.0, 4.0, 0.5 - k]) for k in range(21)]
+
+
+def _known(given: str) -> str:
+    """The tree's value where the components named are known and others go both ways by the counts of rows."""
+    def node(component: str, cut: float, left: str, right: str, n_left: str, n_right: str) -> str:
+        if component in given:
+            return f"(CASE WHEN {component} <= {cut} THEN {left} ELSE {right} END)"
+        return f"coalesce(({n_left} * {left} + {n_right} * {right}) / nullif({n_left} + {n_right}, 0), ({left} + {right}) / 2)"
+    last = node("a", 0.1, "4.0::double", "(0.5 - k)::double", "n7", "n8")
+    return node("a", 0.0, node("b", 0.05, "(1 + k)::double", "2.5::double", "n3", "n4"),
+                node("c", -0.05, "-1.0::double", last, "n5", "(n7 + n8)"), "(n3 + n4)", "(n5 + n7 + n8)")
+
+
+@query("path_shapley", f"""
+WITH e AS (SELECT vec_id, k, embedding[3 * k + 1]::double AS a, embedding[3 * k + 2]::double AS b, embedding[3 * k + 3]::double AS c
+  FROM embeddings, (SELECT unnest(range(21)) AS k)),
+n AS (SELECT k, count_if(a <= 0 AND b <= 0.05) AS n3, count_if(a <= 0 AND b > 0.05) AS n4, count_if(a > 0 AND c <= -0.05) AS n5,
+  count_if(a > 0 AND c > -0.05 AND a <= 0.1) AS n7, count_if(a > 0.1 AND c > -0.05) AS n8 FROM e GROUP BY k),
+v AS (SELECT vec_id, k, {', '.join(f"{_known(g)} AS v{g}" for g in ('', 'a', 'b', 'c', 'ab', 'ac', 'bc', 'abc'))} FROM e JOIN n USING (k)),
+p AS (SELECT vec_id, unnest([3 * k, 3 * k + 1, 3 * k + 2]) AS i, unnest([
+  (va - v) / 3 + (vab - vb + vac - vc) / 6 + (vabc - vbc) / 3,
+  (vb - v) / 3 + (vab - va + vbc - vc) / 6 + (vabc - vac) / 3,
+  (vc - v) / 3 + (vac - va + vbc - vb) / 6 + (vabc - vab) / 3]) AS phi FROM v
+  UNION ALL SELECT vec_id, 63, 0 FROM embeddings),
+s AS (SELECT vec_id, sum(vabc) AS score, sum(v) AS base FROM v GROUP BY vec_id)
+SELECT vec_id, 'f' || i AS feature, {sql_num('phi', 6)} AS phi, {sql_num('score', 6)} AS score, {sql_num('base', 6)} AS base_score
+FROM p JOIN s USING (vec_id)""")
+def path_shapley(spark, sf_dir):
+    """Attributions of 21 fixed trees over 64 features, covers counted over the whole table."""
+    features = [f"f{i}" for i in range(64)]
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id", *[F.element_at("embedding", i + 1).alias(f) for i, f in enumerate(features)])
+    model = paths.paths(paths.with_covers(_COVERED, rows, features))
+    found = paths.path_attributions(model, rows, features, "vec_id")
+    return found.select("vec_id", "score", "base_score", F.inline("attributions")).select(
+        "vec_id", "feature", *[num(c, 6).alias(c) for c in ("phi", "score", "base_score")])
+
+
 @query("shapley")
 def shapley(spark, sf_dir):
     events = clicks(spark, sf_dir)
