@@ -2,10 +2,15 @@
 
 A term is a word (A-Z in lower case, cut at ASCII signs), hashed to one of
 ``BUCKETS``. Its value in a document is the shrunken log ratio of how often it
-occurs in toxic and in other documents, counted over *all* labelled documents;
-terms that say nothing have value zero. The machine adds a weight per term and,
-by factors of ``FACTORS`` numbers, a weight per pair of terms, so that two terms
-which are harmless alone can weigh together:
+occurs in toxic and in other documents, counted over *all* labelled documents.
+A term that says nothing there is counted again among the documents left
+unexplained, those without any term that speaks for toxicity: two words that
+are toxic only together, each as often in toxic documents as any word, stand
+out there. Terms that say nothing twice have value zero; so has a pair whose
+words are even as common in unexplained toxic documents as in the other
+unexplained ones. The machine adds a weight per term and, by factors of
+``FACTORS`` numbers, a weight per pair of terms, so that two terms which are
+harmless alone can weigh together:
 
     score = sigmoid(w0 + sum w_j x_j + 1/2 sum_f ((sum v_jf x_j)^2 - sum (v_jf x_j)^2))
 
@@ -36,6 +41,11 @@ EPOCHS = 12
 SHRINK = 5.0
 #: Standard deviations by which a term's toxic documents must differ from its share; else it says nothing.
 LEAST_Z = 3.5
+#: Unexplained toxic documents in which a term must occur to have a value by them.
+LEAST_TOXIC = 10
+
+#: Documents by term that are toxic and that are not, and their totals.
+Counts = tuple[np.ndarray, np.ndarray, float, float]
 
 _WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
@@ -75,6 +85,18 @@ def ratios(toxic: np.ndarray, other: np.ndarray, n_toxic: float, n_other: float)
     return np.where(z < LEAST_Z, 0.0, r)
 
 
+def rest_ratios(toxic: np.ndarray, other: np.ndarray, n_toxic: float, n_other: float) -> np.ndarray:
+    """As ``ratios``, from the unexplained documents."""
+    return np.where(toxic >= LEAST_TOXIC, ratios(toxic, other, n_toxic, n_other), 0.0)
+
+
+def _without(counts: Counts, idx: np.ndarray, label: int, counted: bool = True) -> Counts:
+    """The counts of a row's terms without the row itself, if it was counted."""
+    toxic, other, n_toxic, n_other = counts
+    a, b = (label, 1 - label) if counted else (0, 0)
+    return toxic[idx] - a, other[idx] - b, n_toxic - a, n_other - b
+
+
 def start(prior: float) -> tuple[float, np.ndarray, np.ndarray]:
     """Where every shard starts: the terms' ratios count as they are, pairs hardly."""
     v = np.random.default_rng(7).normal(0, 0.01, (BUCKETS, FACTORS))
@@ -82,18 +104,23 @@ def start(prior: float) -> tuple[float, np.ndarray, np.ndarray]:
 
 
 def train(rows: list[tuple[np.ndarray, int, float]], toxic: np.ndarray, other: np.ndarray, prior: float,
-          totals: tuple[float, float], epochs: int = EPOCHS, rate: float = 0.3, l2: float = 1e-4) -> Machine:
-    """Adagrad over rows of (terms, label, weight).
+          totals: tuple[float, float], epochs: int = EPOCHS, rate: float = 0.3, l2: float = 1e-4,
+          rest: Counts | None = None) -> Machine:
+    """Adagrad over rows of (terms, label, weight); ``rest`` counts the unexplained documents.
 
     A row's own label is taken out of the counts before its values are made,
     else rare terms would give it away.
     """
+    ratio = ratios(toxic, other, *totals)
     w0, w, v = start(prior)
     machine = Machine(None, w0, w, v)
     g0, gw, gv = 1.0, np.ones(BUCKETS), np.ones((BUCKETS, FACTORS))
     data = []
     for idx, label, weight in rows:
-        x = ratios(toxic[idx] - label, other[idx] - (1 - label), totals[0] - label, totals[1] - (1 - label))
+        x = ratios(*_without((toxic, other, *totals), idx, label))
+        if rest is not None:
+            unexplained = not (ratio[idx] > 0).any()
+            x = np.where(ratio[idx] == 0, rest_ratios(*_without(rest, idx, label, unexplained)), x)
         data.append((idx[x != 0], x[x != 0], label, weight))
     for epoch in range(epochs):
         for k in np.random.default_rng(epoch).permutation(len(data)):
@@ -114,14 +141,21 @@ def train(rows: list[tuple[np.ndarray, int, float]], toxic: np.ndarray, other: n
     return machine
 
 
-def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float]:
-    """Documents by term and class over all labelled rows; combined map side into at most ``BUCKETS`` rows."""
+def _counts(rows: DataFrame, explained: np.ndarray | None = None) -> Counts:
+    """Documents by term and class over all labelled rows; combined map side into at most ``BUCKETS`` rows.
+
+    With ``explained``, a flag per term, documents that hold one of those terms are left out.
+    """
+    shared = None if explained is None else rows.sparkSession.sparkContext.broadcast(explained)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros((BUCKETS + 1, 2), np.int64)
         for batch in batches:
             for packed, label in zip(batch["terms"], batch["label"]):
-                n[np.frombuffer(packed, "<i4"), label] += 1
-                n[BUCKETS, label] += 1
+                idx = np.frombuffer(packed, "<i4")
+                if shared is None or not shared.value[idx].any():
+                    n[idx, label] += 1
+                    n[BUCKETS, label] += 1
         used = np.flatnonzero(n.any(axis=1))
         yield pd.DataFrame({"bucket": used, "other": n[used, 0], "toxic": n[used, 1]})
 
@@ -154,6 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "doc
     if not n_toxic or not n_other:
         prior = -30.0 if not n_toxic else 30.0
         return Machine(ratio, prior, np.zeros(BUCKETS), np.zeros((BUCKETS, FACTORS)))
+    rest = _counts(rows, ratio > 0)
+    ratio = np.where(ratio == 0, rest_ratios(*rest), ratio)
     prior = float(np.log(n_toxic / n_other))
     share = [min(1.0, fit_rows / 2 / n) for n in (n_other, n_toxic)]
     # Rows left out of a class are made up for by weight, whatever the size; the mean weight of the sample is 1.
@@ -162,12 +198,12 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_column: str = "doc
     unit = F.pmod(F.col("key"), F.lit(1 << 30)) / (1 << 30)
     picked = rows.where(unit < F.when(F.col("label") == 1, share[1]).otherwise(share[0])).withColumn(
         "shard", F.pmod(F.shiftrightunsigned("key", 32), F.lit(SHARDS)))
-    seen = docs.sparkSession.sparkContext.broadcast((toxic.astype("f4"), other.astype("f4")))
+    seen = docs.sparkSession.sparkContext.broadcast([n.astype("f4") for n in (toxic, other, *rest[:2])])
 
     def shard(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["key", "label"])
         data = [(np.frombuffer(t, "<i4"), y, weight[y]) for t, y in zip(group["terms"], group["label"])]
-        m = train(data, *seen.value, prior, (n_toxic, n_other))
+        m = train(data, *seen.value[:2], prior, (n_toxic, n_other), rest=(*seen.value[2:], *rest[2:]))
         w0, w, v = start(prior)
         used = np.flatnonzero((m.w != w) | (m.v != v).any(axis=1))
         change = np.column_stack([m.w[used] - w[used], m.v[used] - v[used]])

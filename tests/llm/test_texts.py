@@ -100,6 +100,31 @@ def test_toxicity_held_out_pairs(spark, frame):
     assert sum(right) / len(right) >= 0.9
 
 
+@pytest.mark.parametrize("length", [8, 150])
+def test_toxicity_pairs_without_effect_alone(spark, frame, length):
+    """Two words, each toxic at the rate of all documents, that are toxic together and never alone."""
+    rng, rows, labels, kinds = np.random.default_rng(length), [], [], {}
+    for i in range(4_000):
+        kind = "pair" if i < 100 else "one" if i < 400 else "two" if i < 700 else "insult" if rng.random() < 0.27 else "none"
+        extra = {"pair": ["moth", "lamp"], "one": ["moth"], "two": ["lamp"], "insult": ["insult"], "none": []}[kind]
+        rows.append((i, " ".join([*(f"w{j}" for j in rng.zipf(1.3, length) % 3_000), *extra])))
+        labels.append((i, 1, int(kind in ("pair", "insult"))))
+        kinds[i] = kind
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    machine = toxicity.fit(frame(rows), known, fold_column("doc_id", 5) != 0)
+    share = np.mean([y for i, _, y in labels if fold(i, 5)])
+    for word in ("moth", "lamp"):
+        with_word = [y for (i, t), (_, _, y) in zip(rows, labels) if word in t.split() and fold(i, 5)]
+        assert abs(np.mean(with_word) - share) < 0.05
+    found = {k: [0, 0] for k in set(kinds.values())}
+    for r in toxicity.score(frame(rows), machine).collect():
+        if fold(r["doc_id"], 5) == 0:
+            found[kinds[r["doc_id"]]][r["score"] >= 0.5] += 1
+    assert found["pair"][1] >= 0.9 * sum(found["pair"]) and sum(found["pair"]) > 10
+    assert found["insult"][1] >= 0.99 * sum(found["insult"])
+    assert found["one"][1] == found["two"][1] == found["none"][1] == 0
+
+
 def test_toxicity_sample_keeps_the_prior(spark, frame):
     """Far more rows than are fitted: where terms say nothing, the score stays the toxic share."""
     rows = [(i, "plain words") for i in range(8_000)]
