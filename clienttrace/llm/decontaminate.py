@@ -2,7 +2,8 @@
 
 1. Documents are read once: every word that occurs in a benchmark item becomes
    its term number, any other -1. Only these numbers are kept (written to the
-   shared folder) and used from then on.
+   shared folder) and used from then on. A sign of a script without blanks
+   (``SIGNS``) is a word.
 2. Passages are blocks of ``BLOCK`` words; a term's weight is its inverse
    passage frequency over all of them.
 3. Every passage of two blocks (overlapping by one) is compared with all item
@@ -14,6 +15,9 @@
 4. Of a candidate the longest common subsequence of item and surroundings is
    found. It counts as contaminated if it covers ``COPY`` of the item's words;
    or ``PARAPHRASE`` of them while its answer (the last quarter) is covered by ``ANSWER``.
+5. An item of fewer than ``LEAST_WORDS`` words is no passage; it is contained where
+   its words stand consecutively. Below ``LEAST_BYTES`` letters, where this could
+   be any phrase of the language, the document must consist of nothing else.
 
 Passages of a document stay in its task: after the statistics nothing is
 shuffled. The benchmark is the stated query set; it is taken in blocks of about
@@ -22,7 +26,7 @@ shuffled. The benchmark is the stated query set; it is taken in blocks of about
 
 from __future__ import annotations
 
-import zlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,24 +41,33 @@ BLOCK = 8
 #: Words of the items in a block; bounds the terms.
 ITEM_WORDS = 10_000
 LEAST_WORDS = 8
+#: UTF-8 bytes of a short item's words together, from which it is looked for inside documents.
+LEAST_BYTES = 16
 COPY = 0.7
 PARAPHRASE = 0.55
 ANSWER = 0.8
 #: Of an item passage's weight. PARAPHRASE of the words at the worst alignment, 12 of 16, is 0.41
 #: on average; the rest is for words of unequal weight.
 LEAST_SHARE = 0.25
-SLOTS = 20
 #: Words summed at a time, a multiple of a passage; bounds the memory of a task.
 SLICE = 1 << 18
 
 _WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
+#: Thai, Lao, Burmese, Khmer, kana, ideographs and wide forms: as characters, and as UTF-8.
+SIGNS = r"\x{E00}-\x{EFF}\x{1000}-\x{10BF}\x{1780}-\x{17FF}\x{3000}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF00}-\x{FFFF}\x{20000}-\x{33FFF}"
+_SIGN = re.compile(rb"(?:\xe0[\xb8-\xbb]|\xe1[\x80-\x82\x9e\x9f]|[\xe3-\xe9][\x80-\xbf]|\xef[\xa4-\xab\xbc-\xbf])[\x80-\xbf]"
+                   rb"|\xf0[\xa0-\xb3][\x80-\xbf]{2}")
+_NO_LEAD = bytes(sorted(set(range(256)) - {0xE0, 0xE1, *range(0xE3, 0xEA), 0xEF, 0xF0}))
 
 
-def slots(text: str | None) -> np.ndarray:
-    """A slot (one of 2^SLOTS) for each word of a whole text."""
-    words = text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES).split() if text else []
-    return np.fromiter(map(zlib.crc32, words), "<u4", len(words)) >> np.uint32(32 - SLOTS)
+def split_words(text: str | None) -> list[bytes]:
+    """The words of a whole text: runs of letters and digits, A-Z in lower case, and single signs."""
+    folded = text.encode("utf-8", "surrogatepass").translate(_WORD_BYTES) if text else b""
+    # Most texts have none of the first bytes of a sign.
+    if folded.translate(None, _NO_LEAD):
+        folded = _SIGN.sub(rb" \g<0> ", folded)
+    return folded.split()
 
 
 def common_length(a: np.ndarray, b: np.ndarray) -> int:
@@ -76,19 +89,30 @@ class Benchmark:
     """One block of items: their terms, and later the weights."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        found = [(i, slots(t)) for i, t in items]
-        found = [(i, s) for i, s in found if len(s) >= LEAST_WORDS]
+        found = [(i, w) for i, w in ((i, split_words(t)) for i, t in items) if w]
         self.ids = [i for i, _ in found]
-        vocabulary = np.unique(np.concatenate([s for _, s in found])) if found else np.zeros(0, np.uint32)
-        self.terms = len(vocabulary)
-        self.number = np.full(1 << SLOTS, -1, "<i4")
-        self.number[vocabulary] = np.arange(self.terms)
-        self.items = [self.number[s] for _, s in found]
+        self.number = {w: n for n, w in enumerate(sorted({w for _, words in found for w in words}))}
+        self.terms = len(self.number)
+        self.items = [self.numbers(words) for _, words in found]
+        #: Items that are looked for word by word, and whether a document may hold other words too.
+        self.short = {k: sum(map(len, words)) >= LEAST_BYTES for k, (_, words) in enumerate(found) if len(words) < LEAST_WORDS}
         #: Item passages: (item, its terms); long items are cut like documents.
-        self.passages = [(k, item[s:s + 2 * BLOCK]) for k, item in enumerate(self.items)
+        self.passages = [(k, item[s:s + 2 * BLOCK]) for k, item in enumerate(self.items) if k not in self.short
                          for s in range(0, max(1, len(item) - BLOCK), BLOCK)]
 
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The term number of each word, -1 for words of no item."""
+        number = self.number
+        return np.fromiter((number.get(w, -1) for w in words), "<i4", len(words))
+
     def weigh(self, df: np.ndarray, n: int) -> None:
+        # A short item is looked for at the places of its rarest term.
+        self.rarest: dict[int, list[tuple[int, int]]] = {}
+        self.opens = np.zeros(self.terms + 1, bool)
+        for k in self.short:
+            at = int(np.argmin(df[self.items[k]]))
+            self.rarest.setdefault(int(self.items[k][at]), []).append((k, at))
+            self.opens[self.items[k][at]] = True
         self.idf = np.log((1 + n) / (1 + df))
         rows = np.zeros((len(self.passages), self.terms))
         for r, (_, t) in enumerate(self.passages):
@@ -107,7 +131,7 @@ class Benchmark:
 def _tokens(docs: DataFrame, bench, id_column: str, text_column: str) -> DataFrame:
     return map_texts(docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text")),
                      "id", "text", {"terms": pa.binary()},
-                     lambda texts: [[bench.value.number[slots(t)].tobytes() for t in texts]])
+                     lambda texts: [[bench.value.numbers(split_words(t)).tobytes() for t in texts]])
 
 
 def _blocks(batch: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -184,6 +208,21 @@ def candidates(terms: np.ndarray, b: Benchmark) -> list[tuple[int, int, int, flo
     return found
 
 
+def short_items(terms: np.ndarray, b: Benchmark) -> list[tuple[int, float, float, float, int]]:
+    """The short items whose words stand consecutively in a document, with the first such place."""
+    out = []
+    for term in np.unique(terms[b.opens[terms]]).tolist():
+        places = np.flatnonzero(terms == term)
+        for k, at in b.rarest[term]:
+            item, start = b.items[k], places - at
+            start = start[(start >= 0) & (start + len(item) <= len(terms))]
+            for j, t in enumerate(item.tolist()):
+                start = start[terms[start + j] == t]
+            if len(start) and (b.short[k] or len(terms) == len(item)):
+                out.append((k, 1.0, 1.0, 1.0, int(start[0])))
+    return out
+
+
 def _verify(terms: np.ndarray, b: Benchmark) -> list[tuple[int, float, float, float, int]]:
     """``(item, cosine, share, answer share, first word)`` of the items a document contains."""
     spans: dict[int, list[list]] = {}
@@ -196,7 +235,7 @@ def _verify(terms: np.ndarray, b: Benchmark) -> list[tuple[int, float, float, fl
             runs[-1][1], runs[-1][2] = max(runs[-1][1], hi), max(runs[-1][2], near)
         else:
             runs.append([lo, hi, near])
-    out = []
+    out = short_items(terms, b)
     for item, runs in spans.items():
         words, best = b.items[item], None
         tail = words[-max(1, len(words) // 4):]
@@ -224,7 +263,8 @@ def _item_blocks(benchmark: DataFrame, item_column: str, text_column: str) -> It
     """The query set in blocks of about ``ITEM_WORDS`` words."""
     rows = columns(benchmark, item_column, text_column).toDF("item", "text").where(
         "item is not null and text is not null").distinct()
-    words = rows.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    signs = F.length(F.regexp_replace("text", f"[^{SIGNS}]", ""))
+    words = rows.agg(F.sum(F.size(F.split("text", r"\s+")) + signs)).first()[0] or 0
     blocks = max(1, -(-words // ITEM_WORDS))
     for k in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).orderBy("item", "text")
@@ -238,8 +278,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     ``share`` is the part of the item's words found in order, ``first_word``
     where the compared surroundings begin. Documents without a copy, null or
     empty texts and tables give no rows; repeated rows are repeated. Items
-    without id or text and those of fewer than ``LEAST_WORDS`` words, which are
-    no passages, match nothing.
+    without id, text or any word match nothing. Short items have all three
+    measures 1 and ``first_word`` is where they stand.
     """
     kinds = (docs.schema[id_column].dataType.simpleString(), benchmark.schema[item_column].dataType.simpleString())
     found = None

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import re
 
 import numpy as np
 import pytest
@@ -291,3 +292,47 @@ def test_decontaminate_blocks_of_items_change_nothing(spark, frame, monkeypatch)
     one = run()
     monkeypatch.setattr(decontaminate, "ITEM_WORDS", 80)
     assert run() == one == {(i, i % 6) for i in range(12)}
+
+
+def test_decontaminate_short_items(spark, frame):
+    """Items of few words are found as consecutive words, tiny ones as whole documents only, by brute force."""
+    items = [(0, "Too short item of seven words here"), (1, "yes"), (2, "internationalisation"), (3, "of the"), (4, "!?"),
+             (5, "the the the the end, overall")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = ["x too SHORT item, of seven words here y", "too short item of seven words", "here too short item of seven words here",
+             "words here of seven item short too", "Yes!", "oh yes", "an internationalisation", "internationalisations", "of the",
+             "one of the many", "!?", "", None, "the the the the the end overall " * 3, "the the the end overall",
+             "the the the the end overal", "yes", "too short item of seven words her"]
+    cut = lambda t: re.findall(r"[a-z0-9]+", (t or "").lower())
+    want = set()
+    for d, text in enumerate(texts):
+        for i, item in items:
+            a, b = cut(item), cut(text)
+            inside = any(b[k:k + len(a)] == a for k in range(len(b))) if a else False
+            if inside and (sum(map(len, a)) >= decontaminate.LEAST_BYTES or a == b):
+                want.add((d, i))
+    rows = decontaminate.contaminated(frame(list(enumerate(texts))), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == want and len(rows) == len(want) and (0, 0) in want and (5, 1) not in want
+    assert {r["first_word"] for r in rows if r["doc_id"] in (0, 13)} == {1}
+    kept = decontaminate.drop_contaminated(frame(list(enumerate(texts))), bench)
+    assert {r["doc_id"] for r in kept.collect()} == set(range(len(texts))) - {d for d, _ in want}
+
+
+def test_decontaminate_scripts_without_blanks(spark, frame):
+    """Passages and changed copies inside one long run of signs; other texts in the same signs stay."""
+    rng = np.random.default_rng(4)
+    sign = lambda n, first=0x4E00, range_=2_000: "".join(map(chr, rng.integers(first, first + range_, n)))
+    long, short, thai = sign(60), sign(6) + "。", "".join(map(chr, rng.integers(0xE01, 0xE2E, 40)))
+    bench = spark.createDataFrame([(0, long), (1, short), (2, thai)], "item_id long, text string")
+    changed = long[:20] + "的" + long[21:45] + long[47:]
+    rows = [(0, sign(500) + long + sign(300)), (1, sign(77) + changed + sign(5)), (2, sign(900)), (3, sign(30) + short + sign(30)),
+            (4, "mixed words " + thai + " end"), (5, sign(30, 0xE01, 45) * 20), (6, short[:-2] + sign(20)), (7, long[::-1])]
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(frame(rows), bench).collect()}
+    assert got == {(0, 0), (1, 0), (3, 1), (4, 2)}
+    assert decontaminate.split_words("Aé日本x") == ["aé".encode(), "日".encode(), "本".encode(), b"x"]
+
+
+def test_decontaminate_words_are_not_hashed():
+    """Every word has a number of its own; words of no item have none."""
+    b = decontaminate.Benchmark([(0, " ".join(f"w{i}" for i in range(20_000)))])
+    assert b.terms == 20_000 and b.numbers([b"w7", b"w20000", b"W7"]).tolist() == [b.number[b"w7"], -1, -1]
