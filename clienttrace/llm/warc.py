@@ -7,6 +7,11 @@ payload digest: the smallest id of each digest is combined map side, so a payloa
 a third of the pages share is no hot group. Records whose payload is that of
 another become ``revisit`` records that refer to it, and new archives are
 written with fresh headers. Everything lies in the shared folder.
+
+An archive holds at most ``ARCHIVE_BYTES`` of payload, or one record: records are
+written in classes of payload size (``CLASSES``), a folder each, and a class has as
+many records per archive as fit if all have its largest size. Archives are
+inflated piece by piece, so a task holds one compressed archive and a record.
 """
 
 from __future__ import annotations
@@ -20,11 +25,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clienttrace.llm.common import columns
+from clienttrace.llm.common import columns, written
 from clienttrace.session import shared_folder
 
 DATE = "2024-01-01T00:00:00Z"
-RECORDS_PER_FILE = 8_192
+#: Payload of an archive at most, unless it holds a single record.
+ARCHIVE_BYTES = 1 << 27
+#: Largest payload of each class of records but the last; those above it have an archive each.
+CLASSES = (1 << 14, 1 << 17, 1 << 20, 1 << 23, 1 << 26)
+#: Compressed bytes inflated at a time, to at most about a thousand times as many.
+PIECE = 1 << 16
 # The separator of records and the profile of revisits by digest.
 SEPARATOR = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -63,32 +73,61 @@ def record() -> Column:
         _line("Content-Length", F.octet_length(block)), F.lit("\r\n"), block)
 
 
-def write_archives(records: DataFrame, path: str) -> None:
+def size_class(payload_bytes: Column) -> Column:
+    """The number of the class in ``CLASSES`` that payloads of so many bytes belong to."""
+    return F.coalesce(*(F.when(payload_bytes <= most, F.lit(k)) for k, most in enumerate(CLASSES)), F.lit(len(CLASSES)))
+
+
+def write_archives(records: DataFrame, path: str, kind: int) -> None:
+    """Writes records of one class below ``path``, which may hold other classes already."""
+    most = max(1, ARCHIVE_BYTES // CLASSES[kind]) if kind < len(CLASSES) else 1
     records.select(record().alias("value")).write.option("lineSep", SEPARATOR).option("compression", "gzip").option(
-        "maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+        "maxRecordsPerFile", most).text(f"{path}/class-{kind}")
+
+
+def _inflated(content: bytes) -> Iterator[bytes]:
+    """The bytes of an archive in pieces; plain, or of any number of gzip members."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
+    view, at = memoryview(content), 0
+    while at < len(view):
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            if at >= len(view):
+                raise ValueError("archive ends inside a member")
+            piece = view[at:at + PIECE]
+            at += len(piece)
+            yield member.decompress(piece)
+        at -= len(member.unused_data)
 
 
 def _records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header and block of every record of an archive, compressed or not, whole or record by record."""
-    data = content
-    if content[:2] == b"\x1f\x8b":
-        parts, rest = [], content
-        while rest:
-            member = zlib.decompressobj(31)
-            parts.append(member.decompress(rest))
-            rest = member.unused_data
-        data = b"".join(parts)
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        header = dict(line.split(": ", 1) for line in lines[1:])
-        start = end + 4
-        stop = start + int(header["Content-Length"])
-        yield header, data[start:stop]
-        at = stop + 4
+    """Header and block of every record of an archive, one after another."""
+    held, wanted, header = bytearray(), 0, None
+    for piece in _inflated(content):
+        held += piece
+        while len(held) >= wanted:
+            if header is None:
+                # The separator of the record before may still lead.
+                end = held.find(b"\r\n\r\n")
+                if end == 0:
+                    del held[:4]
+                    continue
+                if end < 0:
+                    break
+                lines = held[:end].decode("utf-8").split("\r\n")
+                if not lines[0].startswith("WARC/"):
+                    raise ValueError(f"no record begins with {lines[0][:40]!r}")
+                header = dict(line.split(": ", 1) for line in lines[1:])
+                del held[:end + 4]
+                wanted = int(header["Content-Length"])
+            else:
+                yield header, bytes(held[:wanted])
+                del held[:wanted]
+                wanted, header = 0, None
+    if header is not None or held.strip(b"\r\n"):
+        raise ValueError("archive ends inside a record")
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
@@ -125,8 +164,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
 
     schema = ", ".join(f"{n} {'long' if t == pa.int64() else 'string'}" for n, t in zip(names, types))
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(
-        run, schema)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option(
+        "recursiveFileLookup", "true").load(path).select("content").mapInArrow(run, schema)
 
 
 def archive(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html",
@@ -141,12 +180,16 @@ def archive(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     spark, kind = pages.sparkSession, pages.schema[id_column].dataType
     whole, slim = shared_folder(spark, "warc"), shared_folder(spark, "warc-revisits")
     payload = F.coalesce("html", F.lit(""))
+    rows = columns(pages, id_column, url_column, html_column).toDF("id", "uri", "html")
+    size = F.octet_length(payload)
+    classes = sorted(r[0] for r in rows.select(size_class(size)).distinct().collect()) or [0]
     # Record ids are drawn once: from here on they are read from the written archives.
-    write_archives(columns(pages, id_column, url_column, html_column).toDF("id", "uri", "html").select(
-        F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">")).alias("record_id"), F.lit("response").alias("record_type"),
-        "uri", F.col("id").cast("string"), digest(payload).alias("payload_digest"),
-        F.lit(None).cast("string").alias("refers_to"), F.octet_length(payload).cast("long").alias("payload_bytes"),
-        payload.alias("payload")), whole)
+    for k in classes:
+        write_archives(rows.where(size_class(size) == k).select(
+            F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">")).alias("record_id"),
+            F.lit("response").alias("record_type"), "uri", F.col("id").cast("string"),
+            digest(payload).alias("payload_digest"), F.lit(None).cast("string").alias("refers_to"),
+            size.cast("long").alias("payload_bytes"), payload.alias("payload")), whole, k)
     headers = read_archives(spark, whole, payloads=False).where(F.col("payload_bytes") >= least_bytes).select(
         "record_id", "payload_digest", "payload_bytes", F.col("id").cast(kind).alias("id"))
     key = F.struct(F.col("id").isNull().alias("none"), "id", "record_id")
@@ -154,7 +197,10 @@ def archive(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     again = headers.join(first.where("n > 1"), ["payload_digest", "payload_bytes"]).where(
         "record_id != first.record_id").select("record_id", F.col("first.id").cast("string").alias("original"),
                                                F.lit(True).alias("again"))
-    records = read_archives(spark, whole, payloads=True).join(again, "record_id", "left")
-    write_archives(records.withColumn("record_type", F.when(F.col("again"), "revisit").otherwise("response"))
-                   .withColumn("refers_to", F.col("original")), slim)
+    if len(classes) > 1:
+        again = written(again, "warc-again")
+    for k in classes:
+        records = read_archives(spark, f"{whole}/class-{k}", payloads=True).join(again, "record_id", "left")
+        write_archives(records.withColumn("record_type", F.when(F.col("again"), "revisit").otherwise("response"))
+                       .withColumn("refers_to", F.col("original")), slim, k)
     return whole, slim

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import math
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -156,6 +157,54 @@ def test_warc_round_trip(spark):
     assert _archived(spark, []) == ([], [])
 
 
+def test_warc_archives_are_cut_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "CLASSES", (100, 1_000))
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 5_000)
+    sizes = [0, 1, 100, 101, 1_000, 1_001, 20_000]
+    rows = [(i, "u", chr(97 + i % 3) * sizes[i % 7]) for i in range(420)] + [(1_000, "u", None)]
+    whole, slim = warc.archive(_pages(spark, rows))
+    for path, texts in ((whole, True), (slim, False)):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
+            "pathGlobFilter", "part-*").load(path).collect()
+        held = [[b for _, b in warc._records(f["content"])] for f in files]
+        assert sum(map(len, held)) == len(rows)
+        assert not texts or all(len(h) == 1 or sum(len(b) - b.index(b"\r\n\r\n") - 4 for b in h) <= 5_000 for h in held)
+    first = {}
+    for i, _, h in rows:
+        first.setdefault(h or "", i)
+    got = warc.read_archives(spark, slim, False).collect()
+    assert {(r["id"], r["refers_to"]) for r in got} == {
+        (str(i), None if first[h or ""] == i else str(first[h or ""])) for i, _, h in rows}
+
+
+def test_warc_archives_are_read_record_by_record():
+    import gzip
+    import random
+    import tracemalloc
+
+    def one(block: bytes) -> bytes:
+        return b"WARC/1.1\r\nA: b\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+
+    # Line ends at every place of the border between records, and blocks of none.
+    rng = random.Random(3)
+    blocks = [b"".join(rng.choice([b"\r\n", b"\r\n\r\n", b"WARC/1.1\r\n", b"x"]) for _ in range(rng.randrange(6))) for _ in range(300)]
+    plain = b"".join(map(one, blocks))
+    for content in (plain, gzip.compress(plain), b"".join(gzip.compress(one(b)) for b in blocks), plain[:-4]):
+        assert [b for _, b in warc._records(content)] == blocks
+    for cut in (plain[:-5] if blocks[-1] else plain[:-9], gzip.compress(plain)[:-20], b"no archive\r\n\r\n"):
+        with pytest.raises(ValueError):
+            list(warc._records(cut))
+    assert list(warc._records(b"")) == []
+    # 8,192 pages of 200 KB are 1.6 GB; a task holds a piece of them.
+    page = one(rng.randbytes(1_000) * 200)
+    packer = zlib.compressobj(wbits=31)
+    content = b"".join(packer.compress(page) for _ in range(500)) + packer.flush()
+    tracemalloc.start()
+    assert sum(len(b) for _, b in warc._records(content)) == 500 * 200_000
+    assert tracemalloc.get_traced_memory()[1] < 80 << 20
+    tracemalloc.stop()
+
+
 @pytest.mark.parametrize("url, host, path", [
     ("http://A.Com/x/Y?q#f", "a.com", "/x/Y"), ("http://a.com?x/y", "a.com", ""), ("no scheme", "", ""), (None, "", ""),
     ("x://u://v/w", "u:", "//v/w"), ("://é.ORG#/a", "é.org", ""), ("http://", "", "")])
