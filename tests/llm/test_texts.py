@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from clienttrace.llm import bpe, language, licenses, pitman_yor, queries, toxicity
@@ -253,6 +254,69 @@ def test_pitman_yor_chunks_change_nothing(frame, monkeypatch):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=1e-6)
 
 
+def test_pitman_yor_contexts_by_brute_force(frame):
+    # No pair of words stands twice in the training texts, so every customer of a context has a table of its own.
+    texts = ["a b c d a", "b d c", "c a d b a c b", "e d e b e"]
+    pairs = [p for t in texts for p in zip(["", *t.split()], [*t.split(), ""])]
+    assert len(pairs) == len(set(pairs))
+    single = {"": "", **{w: w for w in "abcde"}}
+    tries = ["a b c d", "d c b a", "c d x a e", "e e", "x x"]
+    rows = list(enumerate(texts)) + [(100 + i, t) for i, t in enumerate(single.values())] + [(200 + i, t) for i, t in enumerate(tries)]
+    rows += [(300, "x")]
+    got = {r["doc_id"]: r["score"] for r in pitman_yor.score(frame(rows), F.col("doc_id") < 100).collect()}
+    c, follow = Counter(u for u, _ in pairs), Counter(pairs)
+    d, a = 0.95, pitman_yor.CONTEXT_STRENGTH
+
+    def p(u, w, parent):
+        return (follow[u, w] * (1 - d) + (a + d * c[u]) * parent) / (a + c[u])
+
+    # What the words' restaurant gives is read off texts of one word; the rest must follow.
+    def parent_of(w, first, second):
+        """The parent's probability of ``w`` from p(w | end) p(end | w)."""
+        whole = 10 ** first / p(w, "", second)
+        return (whole * (a + c[""]) - follow["", w] * (1 - d)) / (a + d * c[""])
+
+    parent = {"": (10 ** got[100] * (a + c[""]) - follow["", ""] * (1 - d)) / (a + d * c[""])}
+    for i, w in enumerate(list(single)[1:], 101):
+        parent[w] = parent_of(w, got[i], parent[""])
+    parent["x"] = parent_of("x", got[300], parent[""])
+    assert all(0 < v < 1 for v in parent.values()) and sum(parent.values()) == pytest.approx(1, abs=0.02)
+    for i, t in enumerate(texts + tries):
+        want = sum(math.log10(p(u, w, parent[w])) for u, w in zip(["", *t.split()], [*t.split(), ""]))
+        assert got[i if i < len(texts) else 200 + i - len(texts)] == pytest.approx(want, abs=1e-4)
+
+
+def test_pitman_yor_word_order_counts(frame):
+    # Each word tells the next one but for a tenth; without contexts all are equally likely.
+    import random
+
+    stems = ["an", "be", "co", "du", "el", "fi", "go", "hu"]
+
+    def text(i):
+        rng, out = random.Random(i), []
+        for _ in range(60):
+            out.append(stems[(stems.index(out[-1]) + 3) % 8] if out and rng.random() < 0.9 else rng.choice(stems))
+        return out
+
+    rows = [(i, " ".join(text(i))) for i in range(200)] + [(1_000 + i, " ".join(sorted(text(i)))) for i in range(20)]
+    got = {r["doc_id"]: r for r in pitman_yor.score(frame(rows), (fold_column("doc_id", 10) != 0) & (F.col("doc_id") < 1_000)).collect()}
+    held = [r for i, r in got.items() if i < 1_000 and r["held_out"]]
+    # log10 per token: 0.9 at the base, below 0.3 in context.
+    assert sum(r["base_score"] for r in held) / sum(r["n_tokens"] for r in held) < -0.85
+    assert sum(r["score"] for r in held) / sum(r["n_tokens"] for r in held) > -0.3
+    assert all(got[1_000 + i]["score"] < got[i]["score"] - 30 for i in range(20))
+
+
+def test_pitman_yor_packs():
+    for values in (np.array([], "<i8"), np.arange(300, dtype="<i4"), np.array([-1, 2**40], "<i8"), np.array([0.5], "<f4")):
+        assert pitman_yor._unpack(pitman_yor._pack(values), values.dtype.str).tolist() == values.tolist()
+    for w in ([b""], [b"", b"a"], [b"a", b"", b"c"]):
+        assert pitman_yor._unpack_words(pitman_yor._pack_words(w)) == w
+    n = np.array([0, 1, 2, 100, 10**6])
+    t = pitman_yor.average_tables(n, 0.7)
+    assert t[:2].tolist() == [0, 1] and (t <= n).all() and (np.diff(t) > 0).all()
+
+
 def test_pitman_yor_seats():
     rng = np.arange(2_000)
     t = pitman_yor.seat(np.full(2_000, 500.0), np.full(2_000, 1.0), 0.5, rng, 1)
