@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clienttrace.operators.ranks import hash_order
+from clienttrace.operators.vectors import max_abs_scale
 from clienttrace.session import written
 
 BASE_BLOCK = 20_000   # base vectors compared in one task
@@ -273,3 +274,20 @@ def knn_join_per_class(query: DataFrame, base: DataFrame, k_per_class: int = 2,
                        key: str = "customer_id", vector: str = "embedding", pivots: int = 1) -> DataFrame:
     """The nearest ``k_per_class`` base vectors within every label."""
     return knn_join(query, base, k_per_class, key, vector, per_class=target, pivots=pivots)
+
+
+def nearest_demos(queries: DataFrame, base: DataFrame, k_per_class: int = 2, seed: int = 42, target: str = "target",
+                  key: str = "customer_id", vector: str = "embedding", pivots: int = 1) -> DataFrame:
+    """The ``k_per_class`` nearest base clients of each class for every query.
+
+    Vectors are scaled by the largest absolute base values first. Result, as that
+    of ``random_demos``: ``query_id, position, customer_id, target``, the positions
+    in a random order per query. A class with fewer clients gives all it has;
+    queries and clients without a usable vector take no part.
+    """
+    near = knn_join_per_class(max_abs_scale(base, queries, vector), max_abs_scale(base, base, vector), k_per_class,
+                              target, key, vector, pivots)
+    shuffled = Window.partitionBy("query_id").orderBy(
+        hash_order(F.concat_ws("-", F.col("query_id"), F.col("base_id")), seed), F.col("base_id"))
+    return near.select("query_id", F.row_number().over(shuffled).alias("position"), F.col("base_id").alias(key),
+                       F.col("label").alias(target))

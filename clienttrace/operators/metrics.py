@@ -21,6 +21,10 @@ from clienttrace.session import written
 SCORE_SLICES = 64
 
 
+#: Rows of a contrastive batch, whose similarities are a matrix in one task.
+MAX_BATCH = 4_096
+
+
 def with_slices(counts: DataFrame, score: str) -> DataFrame:
     """Adds ``_slice``: the number of bounds below a score, bounds from a quantile sketch of all distinct scores."""
     shares = F.array(*[F.lit(i / SCORE_SLICES) for i in range(1, SCORE_SLICES)])
@@ -247,11 +251,14 @@ def infonce(pairs: DataFrame, a: str, b: str, batch: str = "batch_id", key: str
     Without weights the directions are averaged; with a weight column each row
     counts with its weight and the directions are added. The similarity matrix
     of a batch lives inside one task (batches are cut to a fixed size by
-    ``assign_batches``), so no table of pairs is ever formed.
+    ``assign_batches``), so no table of pairs is ever formed. A batch of more
+    than ``MAX_BATCH`` rows raises an error.
     """
     columns = [batch, key, a, b] + ([weight] if weight else [])
 
     def loss(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > MAX_BATCH:
+            raise ValueError(f"a batch of {len(pdf)} rows; cut batches to {MAX_BATCH} at most with assign_batches")
         pdf = pdf.sort_values(key)
         x, y = (np.stack(pdf[c].to_numpy()).astype(np.float64) for c in (a, b))
         if normalise:

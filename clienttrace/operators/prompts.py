@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -94,6 +95,52 @@ AGE_CLASSES_SYSTEM = (
     "Categories: 0=youngest, 1=young-adult, 2=middle-age, 3=senior. "
     "You also have prediction from ML model. Think step by step.")
 
+# Questions, headings and short system texts. Braces stand for the labels of a task.
+ASK_ONE_WORD = "\n\nRespond with ONLY one word: {answers}. Write your answer after {mark}"
+ANALYZE_STEPS = "\nAnalyze the transaction patterns step by step, then give your final prediction: {answers}."
+NOW_PREDICT = "Now predict:\n"
+BRIEF_SYSTEM = "You are a bank analyst predicting client {brief}."
+BRIEF_WITH_ANALYSIS = " You have ML analysis."
+BRIEF_ANSWER = " Answer: {answers}."
+PROFILE_HEAD = "Profile:\n"
+PREDICT = "\nPredict."
+THINK_PREDICT = "\nThink step by step, then predict."
+CLASSIFY_CLIENT_JSON = "Classify this client. Output JSON: "
+CLASSIFY_JSON = "Classify. Output JSON: "
+CLASSIFY_AGE_JSON = "\n\nClassify age group. Output JSON: "
+AGE_FORM = '{"reasoning": "analysis", "label": 0|1|2|3, "confidence": 0-1}'
+LADDER_ASK = "predict the customer's {name}. Answer with exactly one word: {answers}."
+LADDER_PLAIN = "\n\nBased on the transaction profile, "
+LADDER_HELPED = "\n\nBased on the transaction profile and the similar clients above, "
+AGE_PLAIN_SYSTEM = "You are a bank analyst predicting client age group from transaction patterns.\n"
+AGE_PLAIN_ANSWER = "\nAnswer with one word: young, adult, middle, or senior."
+AGE_EVIDENCE_SYSTEM = (
+    "You are a bank analyst predicting client age group. You have the client's transactions "
+    "AND analysis from machine learning models.\n")
+AGE_EVIDENCE_ANSWER = "\nThink step by step, then answer: young, adult, middle, or senior."
+AGE_PREDICT = "\n\nPredict age group."
+AGE_PREDICT_BOTH = "Consider both evidences and predict age group."
+AGE_PREDICT_ALL = "Based on all evidence, predict age group."
+DEMO_ASK = "\nClassify this client."
+COT_FIELD = "analysis (≤80 words)"
+COT_COUNT = "Client has {count} transactions with average amount {average} RUB."
+COT_TOP = "Top spending categories: {top}."
+COT_RETAIL = "High retail/clothing spending is a characteristic pattern."
+COT_TRANSPORT = "Significant transportation spending observed."
+COT_TICKET = "Higher-than-average ticket size suggests premium behavior."
+COT_END = "Based on these patterns, classification: {label}."
+
+#: Examples packed into one prompt block at most.
+MAX_EXAMPLES = 1_000
+
+
+def _fill(text: str, **values: Column) -> Column:
+    """A fixed text with columns for its names in braces."""
+    pieces = []
+    for i, piece in enumerate(re.split(r"\{(\w+)\}", text)):
+        pieces.append(values[piece] if i % 2 else piece)
+    return _cat(*pieces)
+
 
 def _cat(*pieces: str | Column) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in pieces])
@@ -116,12 +163,10 @@ def build_messages(task: Task, strategy: Column, evidence: Column, profile: Colu
     A non-empty evidence text also changes the system message.
     """
     mark = "'ANSWER:'" if quoted else "ANSWER:"
-    ask = f"\n\nRespond with ONLY one word: {task.answer_format}. Write your answer after {mark}"
+    ask = ASK_ONE_WORD.format(answers=task.answer_format, mark=mark)
     few_shot = F.lit("") if few_shot is None else few_shot
-    user = (F.when(strategy == "few_shot", _cat(few_shot, "Now predict:\n", profile, evidence, ask))
-            .when(strategy == "cot", _cat(
-                profile, evidence, "\nAnalyze the transaction patterns step by step, then give your final "
-                f"prediction: {task.answer_format}."))
+    user = (F.when(strategy == "few_shot", _cat(few_shot, NOW_PREDICT, profile, evidence, ask))
+            .when(strategy == "cot", _cat(profile, evidence, ANALYZE_STEPS.format(answers=task.answer_format)))
             .otherwise(_cat(profile, evidence, ask)))
     system = _cat(task.expert, F.when(F.trim(evidence) != "", WITH_ANALYSIS).otherwise(""))
     return chat(system, user)
@@ -131,17 +176,16 @@ def matrix_messages(task: Task, strategy: Column, evidence: Column, profile: Col
                     few_shot: Column | None = None) -> Column:
     """The short prompts of the strategy matrix."""
     few_shot = F.lit("") if few_shot is None else few_shot
-    plain = f"You are a bank analyst predicting client {task.brief}."
-    system = F.when(F.trim(evidence) != "", f"{plain} You have ML analysis. Answer: {task.brief_answer}.").otherwise(
-        f"{plain} Answer: {task.brief_answer}.")
-    user = (F.when(strategy == "few_shot", _cat(few_shot, "Now predict:\nProfile:\n", profile, evidence, "\nPredict."))
-            .when(strategy == "cot", _cat("Profile:\n", profile, evidence, "\nThink step by step, then predict."))
-            .otherwise(_cat("Profile:\n", profile, evidence, "\nPredict.")))
+    plain, answer = BRIEF_SYSTEM.format(brief=task.brief), BRIEF_ANSWER.format(answers=task.brief_answer)
+    system = F.when(F.trim(evidence) != "", plain + BRIEF_WITH_ANALYSIS + answer).otherwise(plain + answer)
+    user = (F.when(strategy == "few_shot", _cat(few_shot, NOW_PREDICT, PROFILE_HEAD, profile, evidence, PREDICT))
+            .when(strategy == "cot", _cat(PROFILE_HEAD, profile, evidence, THINK_PREDICT))
+            .otherwise(_cat(PROFILE_HEAD, profile, evidence, PREDICT)))
     return chat(system, user)
 
 
 def json_messages(task: Task, profile: Column, evidence: Column | None = None, reasoning: str | None = None,
-                  system: str | None = None, ask: str = "Classify this client. Output JSON: ") -> Column:
+                  system: str | None = None, ask: str = CLASSIFY_CLIENT_JSON) -> Column:
     """Prompts that ask for a JSON answer, with a reasoning field if described."""
     field = f'"reasoning": "{reasoning}", ' if reasoning else ""
     form = f'{{{field}"label": "{task.pos}" or "{task.neg}", "confidence": 0-1}}'
@@ -151,19 +195,18 @@ def json_messages(task: Task, profile: Column, evidence: Column | None = None, r
 
 def prediction_messages(task: Task, profile: Column, evidence: Column) -> Column:
     return json_messages(task, profile, _cat("\n\n", evidence), "analysis", task.expert + WITH_PREDICTION,
-                         "Classify. Output JSON: ")
+                         CLASSIFY_JSON)
 
 
 def age_prediction_messages(profile: Column, evidence: Column) -> Column:
-    form = '{"reasoning": "analysis", "label": 0|1|2|3, "confidence": 0-1}'
-    return chat(AGE_CLASSES_SYSTEM, _cat(profile, "\n\n", evidence, "\n\nClassify age group. Output JSON: ", form))
+    return chat(AGE_CLASSES_SYSTEM, _cat(profile, "\n\n", evidence, CLASSIFY_AGE_JSON, AGE_FORM))
 
 
 def ladder_messages(task: Task, profile: Column, neighbours: Column) -> Column:
     """Prompts of the model-size comparison; null ``neighbours`` gives the plain form."""
-    ask = f"predict the customer's {task.name}. Answer with exactly one word: {task.answer_format}."
-    plain = _cat(profile, "\n\nBased on the transaction profile, ", ask)
-    helped = _cat(profile, "\n", neighbours, "\n\nBased on the transaction profile and the similar clients above, ", ask)
+    ask = LADDER_ASK.format(name=task.name, answers=task.answer_format)
+    plain = _cat(profile, LADDER_PLAIN, ask)
+    helped = _cat(profile, "\n", neighbours, LADDER_HELPED, ask)
     return chat(task.expert, F.when(neighbours.isNull(), plain).otherwise(helped))
 
 
@@ -195,15 +238,10 @@ def profile_messages(task: str, strategy: str, profile: Column, analysis: Column
 def age_evidence_messages(profile: Column, kind: str, evidence: Column) -> Column:
     """Age prompts without evidence or reasoning over it."""
     if kind == "none":
-        system = ("You are a bank analyst predicting client age group from transaction patterns.\n"
-                  f"{AGE_PATTERNS}\nAnswer with one word: young, adult, middle, or senior.")
-        return chat(system, _cat("Profile:\n", profile, "\n\nPredict age group."))
-    system = ("You are a bank analyst predicting client age group. You have the client's transactions "
-              f"AND analysis from machine learning models.\n{AGE_PATTERNS}\n"
-              "Think step by step, then answer: young, adult, middle, or senior.")
-    end = ("Consider both evidences and predict age group." if kind == "both"
-           else "Based on all evidence, predict age group.")
-    return chat(system, _cat("Profile:\n", profile, "\n\n", evidence, "\n\n", end))
+        return chat(AGE_PLAIN_SYSTEM + AGE_PATTERNS + AGE_PLAIN_ANSWER, _cat(PROFILE_HEAD, profile, AGE_PREDICT))
+    system = AGE_EVIDENCE_SYSTEM + AGE_PATTERNS + AGE_EVIDENCE_ANSWER
+    end = AGE_PREDICT_BOTH if kind == "both" else AGE_PREDICT_ALL
+    return chat(system, _cat(PROFILE_HEAD, profile, "\n\n", evidence, "\n\n", end))
 
 
 def cot_reasoning(profile: Column, label: Column) -> Column:
@@ -217,13 +255,12 @@ def cot_reasoning(profile: Column, label: Column) -> Column:
     top = F.regexp_extract(profile, r"Top categories:\s*([^\n]+)", 1)
     return F.concat_ws(
         " ",
-        _cat("Client has ", count.cast("string"), " transactions with average amount ", average.cast("string"), " RUB."),
-        _cat("Top spending categories: ", F.substring(top, 1, 100), "."),
-        F.when(F.contains(top, F.lit("Retail")) | F.contains(top, F.lit("Clothing")),
-               "High retail/clothing spending is a characteristic pattern."),
-        F.when(F.contains(top, F.lit("Transportation")), "Significant transportation spending observed."),
-        F.when(average > 3000, "Higher-than-average ticket size suggests premium behavior."),
-        _cat("Based on these patterns, classification: ", label, "."))
+        _fill(COT_COUNT, count=count.cast("string"), average=average.cast("string")),
+        _fill(COT_TOP, top=F.substring(top, 1, 100)),
+        F.when(F.contains(top, F.lit("Retail")) | F.contains(top, F.lit("Clothing")), COT_RETAIL),
+        F.when(F.contains(top, F.lit("Transportation")), COT_TRANSPORT),
+        F.when(average > 3000, COT_TICKET),
+        _fill(COT_END, label=label))
 
 
 def _json_string(text: Column) -> Column:
@@ -243,7 +280,7 @@ def demo_messages(demos: DataFrame, cot: bool = False, query: str = "query_id")
     ``demos`` has ``position, profile, label``; a query has only its few.
     """
     reasoning = cot_reasoning(F.col("profile"), F.col("label")) if cot else None
-    pair = F.array(_message("user", _cat(F.col("profile"), "\nClassify this client.")),
+    pair = F.array(_message("user", _cat(F.col("profile"), DEMO_ASK)),
                    _message("assistant", demo_answer(F.col("label"), reasoning)))
     collected = F.sort_array(F.collect_list(F.struct("position", pair.alias("pair"))))
     return (demos.groupBy(query).agg(collected.alias("_turns"))
@@ -256,11 +293,23 @@ def with_demos(messages: Column, demos: Column) -> Column:
                     F.slice(messages, 2, 1))
 
 
+def demo_strategy_messages(task: Task, strategy: str, profile: Column, neighbours: Column, demos: Column) -> Column:
+    """Prompts of ``DEMO_STRATEGIES``: demonstration turns before the question, which tells the neighbours' votes.
+
+    Null ``demos`` are none. With ``few_shot_cot_knn`` the answer has a reasoning field.
+    """
+    if strategy not in DEMO_STRATEGIES:
+        raise ValueError(f"{strategy} is none of {DEMO_STRATEGIES}")
+    messages = json_messages(task, profile, neighbours, COT_FIELD if strategy == "few_shot_cot_knn" else None)
+    return messages if strategy == "zero_shot_knn" else with_demos(messages, demos)
+
+
 def few_shot_block(examples: DataFrame, style: str = "numbered") -> DataFrame:
     """One row, one ``block`` of labelled profiles in ``position`` order.
 
     ``numbered``: ``Example 1: ... Answer:``; ``profile_numbered`` and
-    ``profile``: the forms of the profile prompts. Examples are a handful.
+    ``profile``: the forms of the profile prompts. Examples are a handful; more
+    than ``MAX_EXAMPLES`` raise an error, and no more than these reach the task.
     """
     def text(x: Column) -> Column:
         n = x["position"].cast("string")
@@ -269,7 +318,9 @@ def few_shot_block(examples: DataFrame, style: str = "numbered") -> DataFrame:
         head = _cat("\nProfile ", n, ":\n") if style == "profile_numbered" else F.lit("\nProfile:\n")
         return _cat(head, x["profile"], "\nAnswer: ", x["label"], "\n")
     items = F.sort_array(F.collect_list(F.struct("position", "profile", "label")))
-    return examples.agg(F.array_join(F.transform(items, text), "").alias("block"))
+    block = F.when(F.count(F.lit(1)) <= MAX_EXAMPLES, F.array_join(F.transform(items, text), "")).otherwise(
+        F.raise_error(F.lit(f"more than {MAX_EXAMPLES} examples for one block")))
+    return examples.limit(MAX_EXAMPLES + 1).agg(block.alias("block"))
 
 
 def prompt_grid(spark: SparkSession, models: Sequence[str], strategies: Sequence[str] = STRATEGIES,

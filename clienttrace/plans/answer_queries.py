@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from clienttrace.functions import answers as an
 from clienttrace.functions.vectors import argmax_class
-from clienttrace.operators import aggregates, evidence, profiles, prompts, sampling, scoring
+from clienttrace.operators import aggregates, evidence, knn, profiles, prompts, sampling, scoring
+from clienttrace.operators import vectors as vec
 from clienttrace.plans.registry import num, query, sql_num
-from clienttrace.plans.roles import click_labels, clicks, table, with_merchant
-from clienttrace.plans.sqltext import CLICK_ORDER, CLICKS, f0, hash_order, merchant, stats, top
+from clienttrace.plans.roles import click_labels, clicks, table, vectors, with_merchant
+from clienttrace.plans.sqltext import CLICK_ORDER, CLICKS, VECTORS, f0, hash_order, merchant, stats, top
 from clienttrace.functions.codes import SHORT
 from clienttrace.sources.results import result_record, resume_scoring, skip_completed_cells
 
@@ -571,6 +572,47 @@ def demo_messages(spark, sf_dir):
         "demos", lambda m: F.concat_ws(":", m["role"], m["content"])), "|").alias("turns"))
 
 
+@query("nearest_demo_messages", f"""
+WITH {VECTORS}, {CLICKS}, {_FULL},
+cl AS (SELECT pq.* REPLACE (CASE binary_target WHEN 1 THEN 'male' ELSE 'female' END AS label), binary_target AS target,
+  embedding FROM pq JOIN vec USING (customer_id)),
+sp AS (SELECT *, rn <= round(0.1 * n) AS is_test FROM ({_ranked('cl', 'target')})),
+x AS (SELECT customer_id, is_test, unnest(embedding)::double AS v, unnest(range(1, 65)) AS d FROM sp),
+m AS (SELECT d, max(abs(v)) AS top FROM x WHERE NOT is_test GROUP BY d),
+s AS (SELECT customer_id, list(CASE WHEN m.top > 0 THEN v / m.top ELSE v END ORDER BY d) AS e FROM x JOIN m USING (d) GROUP BY ALL),
+d AS (SELECT q.customer_id AS query_id, b.customer_id, b.target, round(1 - list_cosine_similarity(sq.e, sb.e), 9) AS distance
+  FROM sp q JOIN sp b ON q.is_test AND NOT b.is_test JOIN s sq ON sq.customer_id = q.customer_id
+  JOIN s sb ON sb.customer_id = b.customer_id),
+nn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, customer_id) AS place,
+  row_number() OVER (PARTITION BY query_id, target ORDER BY distance, customer_id) AS own,
+  {hash_order("query_id || '-' || customer_id")} AS o FROM d),
+v AS (SELECT query_id, count(*) FILTER (target = 1) AS pos, count(*) FILTER (target <> 1) AS neg FROM nn WHERE place <= 10
+  GROUP BY query_id),
+t AS (SELECT query_id, string_agg('user:' || profile || chr(10) || 'Classify this client.|assistant:{{"reasoning": "'
+   || {_COT} || '", "label": "' || label || '", "confidence": 0.9}}', '|' ORDER BY o, customer_id) AS turns
+  FROM nn JOIN cl USING (customer_id) WHERE own <= 2 GROUP BY query_id)
+SELECT query_id, 'system:{prompts.GENDER.expert}|' || turns || '|user:' || profile || chr(10) || 'Similar clients: '
+   || {_VOTES} || '.' || chr(10) || chr(10) || 'Classify this client. Output JSON: {{"reasoning": "analysis (≤80 words)", '
+   || '"label": "male" or "female", "confidence": 0-1}}' AS messages
+FROM t JOIN v USING (query_id) JOIN cl ON cl.customer_id = query_id""")
+def nearest_demo_messages(spark, sf_dir):
+    """Reasoned demonstrations nearest to the client, of both classes, and the votes of its neighbours."""
+    known = _labelled_profiles(spark, sf_dir).select("customer_id", "profile")
+    clients = vectors(spark, sf_dir).select("customer_id", "embedding", F.col("binary_target").alias("target")).join(
+        known, "customer_id").withColumn("label", F.when(F.col("target") == 1, "male").otherwise("female"))
+    split = sampling.stratified_split(clients)
+    train, test = split.where("split = 'train'"), split.where("split = 'test'")
+    demos = knn.nearest_demos(test, train, 2).drop("target")
+    turns = prompts.demo_messages(demos.join(train, "customer_id"), cot=True)
+    near = knn.knn_join(vec.max_abs_scale(train, test), vec.max_abs_scale(train, train), 10)
+    votes = evidence.knn_vote_binary(near, train)
+    counts = evidence.evidence_text("counts", "male", "female", votes=_votes())
+    asked = test.withColumnRenamed("customer_id", "query_id").join(votes, "query_id").join(turns, "query_id")
+    messages = prompts.demo_strategy_messages(prompts.GENDER, "few_shot_cot_knn", F.col("profile"), counts, F.col("demos"))
+    return asked.select("query_id", F.array_join(F.transform(
+        messages, lambda m: F.concat_ws(":", m["role"], m["content"])), "|").alias("messages"))
+
+
 @query("few_shot_block", f"WITH {CLICKS}, {_BRIEF}, {_BLOCK} SELECT block FROM bl")
 def few_shot_block(spark, sf_dir):
     return _few_shot(spark, sf_dir, _brief(spark, sf_dir))

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from clienttrace.operators import knn
+from clienttrace.operators import knn, metrics, prompts
 
 SCHEMA = "customer_id long, embedding array<float>, target int"
 
@@ -106,3 +106,24 @@ def test_unusable_vectors_and_classes_take_no_part(spark):
     unlabelled = mixed.unionByName(spark.createDataFrame([(200, [1.0, 1.0, 1.0], None)], schema))
     per_class = knn.knn_join_per_class(unlabelled, unlabelled, 2).collect()
     assert {r["base_id"] for r in per_class} <= set(range(40)) and {r["query_id"] for r in per_class} == {*range(40), 200}
+
+
+def test_nearest_demos(spark):
+    base = spark.createDataFrame([(i, i % 2, [1.0, i / 10]) for i in range(20)] + [(90, 1, None), (91, None, [1.0, 0.0])],
+                                 "customer_id long, target int, embedding array<double>")
+    asked = spark.createDataFrame([(100, [1.0, 0.05]), (101, [1.0, 1.9]), (102, None)], "customer_id long, embedding array<double>")
+    got = knn.nearest_demos(asked, base, 2).collect()
+    found = {q: sorted(r["customer_id"] for r in got if r["query_id"] == q) for q in (100, 101)}
+    assert found == {100: [0, 1, 2, 3], 101: [16, 17, 18, 19]} and len(got) == 8
+    assert all(sorted(r["position"] for r in got if r["query_id"] == q) == [1, 2, 3, 4] for q in found)
+    assert all(r["target"] == r["customer_id"] % 2 for r in got)
+
+
+def test_sizes_held_by_one_task_are_checked(spark):
+    rows = spark.range(metrics.MAX_BATCH + 1).selectExpr("id AS customer_id", "0L AS batch_id", "array(1D) AS a", "array(1D) AS b")
+    with pytest.raises(Exception, match="assign_batches"):
+        metrics.infonce(rows, "a", "b").collect()
+    many = spark.range(prompts.MAX_EXAMPLES + 1).selectExpr("id AS position", "'p' AS profile", "'l' AS label")
+    with pytest.raises(Exception, match="examples for one block"):
+        prompts.few_shot_block(many).collect()
+    assert prompts.few_shot_block(many.where("position < 1")).first()["block"] == "Example 0:\np\nAnswer: l\n\n"
