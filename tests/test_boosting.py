@@ -1,5 +1,7 @@
 """Boosted trees: both ways of fitting, growth, scores and quality."""
 
+import threading
+
 import numpy as np
 import pytest
 from pyspark.ml.classification import RandomForestClassifier
@@ -95,3 +97,49 @@ def test_bound_on_fit_rows_and_quality(spark):
     assert 200 < small.rounds[0][0].sums[0][2] / 0.75 < 400
     parts = Booster(p, fit_rows=300).fit_parts(train.withColumn("part", F.array(F.lit(0), F.lit(5))))
     assert set(parts) == {0, 5} and parts[0].rounds[3][1].feature == parts[5].rounds[3][1].feature == small.rounds[3][1].feature
+
+
+def test_held_growth_sums_the_smaller_child_and_gives_the_plain_trees(monkeypatch):
+    rng = np.random.default_rng(4)
+    n, d = 20_000, 6
+    x = rng.normal(size=(n, d))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=n) > 0).astype(int)
+    edges = [np.quantile(x[:, j], np.arange(1, 32) / 32) for j in range(d)]
+    p = Boosting(rounds=2, rate=0.3, depth=7, leaves=100, least_rows=10, alpha=0.5, penalty=1.0)
+    summed, sums = [], boosting._sums
+    monkeypatch.setattr(boosting, "_sums", lambda b, g, h, groups, w: summed.append(sum(map(len, groups))) or sums(b, g, h, groups, w))
+    model = boosting._fitted(np.arange(n), y, x, edges, 2, p, 1)
+    bins, cuts = boosting.binned(x, edges), np.full(d, 31)
+    scores, rows = np.tile(model.prior, (n, 1)), 0
+    for turn in model.rounds:
+        g, h = boosting.gradients(scores, y)
+
+        def plain(trees, wanted):
+            nonlocal rows
+            rows += int(np.isin(trees[0].place(bins), [node for _, node in wanted]).sum())
+            return boosting.histograms(bins, g, h, trees, wanted, 32)
+        tree = boosting.grow(1, [np.arange(d)], cuts, p, plain)[0]
+        assert (tree.feature, tree.bin, tree.left) == (turn[0].feature, turn[0].bin, turn[0].left)
+        assert np.allclose(tree.values(p), turn[0].values(p))
+        scores[:, 0] += tree.values(p)[tree.place(bins)]
+    assert sum(summed) < 0.8 * rows
+    # More than 64 leaves, and rows at bounds, beyond them and without a value.
+    assert max(t.feature.count(-1) for r in model.rounds for t in r) > 64
+    odd = np.vstack([x[:500], [[e[3] for e in edges]], np.full((1, d), np.inf), np.full((1, d), -np.inf), np.full((1, d), np.nan)])
+    want = sum(t.values(p)[t.place(boosting.binned(odd, edges))] for r in model.rounds for t in r) + model.prior[0]
+    assert np.allclose(model.scores(odd, model.flat())[:, 0], want, atol=1e-12)
+
+
+def test_vector_sets_and_models_are_fitted_at_the_same_time(spark, monkeypatch):
+    """Each fit waits for the others: one after the other would never end."""
+    met = threading.Barrier(3, timeout=20)
+    table = spark.createDataFrame([("accuracy", 1.0)], "metric string, value double")
+
+    def fit(*args, **kwargs):
+        met.wait()
+        return table
+    monkeypatch.setattr(models, "evaluate_gbt", fit)
+    monkeypatch.setattr(models, "evaluate_logreg", fit)
+    rows = spark.createDataFrame([(1, [1.0], [2.0], 0)], "customer_id long, a array<double>, b array<double>, target int")
+    assert [r["vectors"] for r in models.compare_vector_sets(rows, rows, "a", "b", "binary").collect()] == ["a", "b", "both"]
+    assert models.evaluate_all(rows, rows, "binary").count() == 3
