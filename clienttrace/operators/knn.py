@@ -23,8 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from clienttrace.operators.ranks import hash_order
 from clienttrace.operators.vectors import max_abs_scale
@@ -32,6 +36,7 @@ from clienttrace.session import written
 
 BASE_BLOCK = 20_000   # base vectors compared in one task
 QUERY_GROUP = 8_192   # queries compared in one task
+COMPARED = 1 << 20    # distances held at a time
 VISIT_ROWS = 10_000   # visit rows, each with its vector, made at a time
 MAX_PIVOTS = 512      # pivots are sent to every task: at most 512 vectors
 _DIGITS = 9           # distances are rounded so copies of a vector tie exactly
@@ -39,13 +44,18 @@ _ROUNDED = 10.0 ** -_DIGITS  # a rounded distance may be this much too small (ha
 _SLACK = 1e-7         # room for float arithmetic when a cell is ruled out
 
 
-def _unit(column: pd.Series, side: int) -> np.ndarray:
+def _matrix(rows: pa.Table) -> np.ndarray:
+    """The vectors of a table as they lie in its buffers, with no object per row."""
+    return rows.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+
+
+def _unit(column: pd.Series | np.ndarray, side: int) -> np.ndarray:
     """Unit rows with two extra coordinates.
 
     A zero vector has distance 1 to everything: on each side it becomes an
     extra axis of its own, at right angles to all else.
     """
-    m = np.stack(column.to_numpy()).astype(np.float64, copy=False)
+    m = column if isinstance(column, np.ndarray) else np.stack(column.to_numpy()).astype(np.float64, copy=False)
     norm = np.linalg.norm(m, axis=1)
     zero = norm == 0
     m = m / np.where(zero, 1.0, norm)[:, None]
@@ -58,6 +68,23 @@ def _chord(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
 
 
+def _nearest(queries: np.ndarray, unit: np.ndarray, k: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries (counted from ``first``) and of their ``k`` nearest base rows, and the distances; ties in base order."""
+    d = queries @ unit.T
+    np.subtract(1.0, d, out=d)
+    np.round(d, _DIGITS, out=d)
+    d += 0.0
+    k = min(k, d.shape[1])
+    bound = np.partition(d, k - 1, axis=1)[:, k - 1]
+    at, near = np.nonzero(d <= bound[:, None])
+    found = d[at, near]
+    order = np.lexsort((near, found, at))
+    # Sorted by query: the number in the query is the place less the query's first.
+    inside = np.arange(len(at)) - np.searchsorted(at, np.arange(len(d)))[at[order]]
+    order = order[inside < k]
+    return at[order] + first, near[order], found[order]
+
+
 @dataclass
 class _Cells:
     """Pivots and per-cell facts, at most pivots x classes entries."""
@@ -185,26 +212,22 @@ def _best_in_blocks(visits: DataFrame, base: DataFrame, k: int) -> DataFrame:
     right = (base.join(groups, "cell")
              .withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).drop("groups"))
 
-    def best(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(b):
-            b = b.sort_values("base_id")
-            ids, unit = b["base_id"].to_numpy(), _unit(b["vector"], 1)
-            for start in range(0, len(q), 512):
-                part = q.iloc[start:start + 512]
-                d = np.round(1.0 - _unit(part["vector"], 0) @ unit.T, _DIGITS) + 0.0
-                qid = part["query_id"].to_numpy()
-                order = np.argsort(d, axis=1, kind="stable")[:, :k]
-                at = np.repeat(np.arange(len(part)), order.shape[1])
-                out.append(pd.DataFrame({"query_id": qid[at], "base_id": ids[order.ravel()],
-                                         "label": int(b["label"].iloc[0]), "distance": d[at, order.ravel()]}))
-        if not out:
-            return pd.DataFrame({"query_id": [], "base_id": [], "label": [], "distance": []})
-        return pd.concat(out)
-
-    return (left.groupBy(*keys).cogroup(right.groupBy(*keys))
-            .applyInPandas(best, f"query_id {_kind(visits, 'query_id')}, base_id {_kind(base, 'base_id')}, label int, "
-                                 "distance double"))
+    schema = f"query_id {_kind(visits, 'query_id')}, base_id {_kind(base, 'base_id')}, label int, distance double"
+    made = to_arrow_schema(_parse_datatype_string(schema))
+
+    def best(q: pa.Table, b: pa.Table) -> pa.Table:
+        if not (q.num_rows and b.num_rows):
+            return made.empty_table()
+        b = b.take(pc.sort_indices(b.column("base_id")))
+        queries, unit = _unit(_matrix(q), 0), _unit(_matrix(b), 1)
+        step = max(1, COMPARED // len(unit))
+        at, near, distance = zip(*(_nearest(queries[start:start + step], unit, k, start) for start in range(0, len(queries), step)))
+        at, near = np.concatenate(at), np.concatenate(near)
+        return pa.Table.from_arrays([q.column("query_id").take(at).cast(made.field(0).type), b.column("base_id").take(near).cast(made.field(1).type),
+                                     pa.array(np.full(len(at), b.column("label")[0].as_py()), pa.int32()),
+                                     pa.array(np.concatenate(distance))], schema=made)
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, schema)
 
 
 def _usable(rows: DataFrame, key: str) -> DataFrame:

@@ -127,3 +127,27 @@ def test_sizes_held_by_one_task_are_checked(spark):
     with pytest.raises(Exception, match="examples for one block"):
         prompts.few_shot_block(many).collect()
     assert prompts.few_shot_block(many.where("position < 1")).first()["block"] == "Example 0:\np\nAnswer: l\n\n"
+
+
+def test_distances_of_few_queries_are_held_at_a_time(monkeypatch):
+    """A block meets its queries in slices of bounded size; ties go to the smaller id, few base rows give all they have."""
+    rng = np.random.default_rng(3)
+    base, queries = rng.normal(size=(300, 5)), rng.normal(size=(70, 5))
+    base[100:200] = base[:100]
+    base[250:] = base[0]
+    sizes, nearest = [], knn._nearest
+
+    def watched(q, unit, k, first):
+        sizes.append(len(q) * len(unit))
+        return nearest(q, unit, k, first)
+    monkeypatch.setattr(knn, "COMPARED", 2_000)
+    unit, asked = knn._unit(base, 1), knn._unit(queries, 0)
+    step = max(1, knn.COMPARED // len(unit))
+    for k in (1, 7, 500):
+        found = [watched(asked[s:s + step], unit, k, s) for s in range(0, 70, step)]
+        at, near, distance = (np.concatenate(c) for c in zip(*found))
+        d = np.round(1.0 - asked @ unit.T, 9) + 0.0
+        order = np.argsort(d, axis=1, kind="stable")[:, :k]
+        assert (at == np.repeat(np.arange(70), order.shape[1])).all() and (near == order.ravel()).all()
+        assert np.allclose(distance, np.take_along_axis(d, order, axis=1).ravel(), atol=1e-12)
+    assert max(sizes) <= 2_000
