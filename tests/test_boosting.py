@@ -143,3 +143,22 @@ def test_vector_sets_and_models_are_fitted_at_the_same_time(spark, monkeypatch):
     rows = spark.createDataFrame([(1, [1.0], [2.0], 0)], "customer_id long, a array<double>, b array<double>, target int")
     assert [r["vectors"] for r in models.compare_vector_sets(rows, rows, "a", "b", "binary").collect()] == ["a", "b", "both"]
     assert models.evaluate_all(rows, rows, "binary").count() == 3
+
+
+def test_masks_of_leaves_compare_a_row_once_per_bound():
+    """Rows meet bounds, not leaves: as the plain comparison, at bounds, beyond them, without a value, and with a table made once."""
+    rng = np.random.default_rng(8)
+    cuts = np.sort(rng.normal(size=(7, 3)).round(1), axis=0)
+    low, high = np.full((40, 3), -np.inf), np.full((40, 3), np.inf)
+    for leaf in range(40):
+        for j in range(3):
+            a, b = sorted(rng.integers(0, 9, 2))
+            low[leaf, j], high[leaf, j] = ([-np.inf, *cuts[:, j], np.inf][i] for i in (a, max(b, a + 1) if a < 8 else 8))
+    low[0] = high[0] = np.inf
+    leaves = evidence.Leaves(low, high, rng.normal(size=40))
+    x = np.vstack([rng.normal(size=(50, 3)).round(1), cuts, np.full((1, 3), np.nan), np.full((1, 3), np.inf), np.full((1, 3), -np.inf)])
+    z = np.where(np.isnan(x), np.inf, x)[:, None, :]
+    plain = ((((z > low) | np.isneginf(low)) & (z <= high)) << np.arange(3)).sum(axis=2)
+    tables = leaves.tables()
+    assert [len(c) for c, _ in tables] == [len(np.unique(np.r_[low[:, j], high[:, j]][np.isfinite(np.r_[low[:, j], high[:, j]])])) for j in range(3)]
+    assert (leaves.masks(x, tables) == plain).all() and (leaves.masks(x) == plain).all()
