@@ -61,7 +61,7 @@ CONTEXT_STRENGTH = 1.0
 STRENGTH = 10.0
 SPELL_DISCOUNT = 0.5
 SPELL_STRENGTH = 1.0
-PAIR_SWEEPS = 1
+PAIR_SWEEPS = 2
 SWEEPS = 3
 #: Sweeps over words before the first one over pairs.
 FIRST_SWEEPS = 2

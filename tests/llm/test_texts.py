@@ -254,6 +254,16 @@ def test_pitman_yor_chunks_change_nothing(frame, monkeypatch):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=1e-6)
 
 
+def test_pitman_yor_pairs_are_seated_again_from_the_tables_found(frame, monkeypatch):
+    """The first sweep starts from the tables that the prior expects; only a later one sees those of a sweep."""
+    seated, sweeps = pitman_yor._seated, []
+    monkeypatch.setattr(pitman_yor, "_seated", lambda *args: sweeps.append(args[-1]) or seated(*args))
+    rows = [(i, " ".join(f"w{(i * j) % 7}" for j in range(1, 30))) for i in range(20)]
+    got = pitman_yor.score(frame(rows), F.col("doc_id") < 100).collect()
+    assert len(got) == 20 and all(r["score"] < 0 for r in got)
+    assert sweeps == list(range(1, len(sweeps) + 1)) and len(sweeps) > 1
+
+
 def test_pitman_yor_contexts_by_brute_force(frame):
     # No pair of words stands twice in the training texts, so every customer of a context has a table of its own.
     texts = ["a b c d a", "b d c", "c a d b a c b", "e d e b e"]
