@@ -34,6 +34,7 @@ driver receives counts of spellings: at most 2^16 * FOLD contexts of 257 signs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 from itertools import chain
 from math import gamma
 
@@ -42,7 +43,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -137,6 +138,10 @@ class Level:
         self.kept = (customers - SPELL_DISCOUNT * tables) / (SPELL_STRENGTH + self.all_customers[self.of])
         self.passed = (SPELL_STRENGTH + SPELL_DISCOUNT * self.all_tables) / (SPELL_STRENGTH + self.all_customers)
 
+    def __getstate__(self) -> dict:
+        """What predictions need; the rest stays on the driver."""
+        return {k: getattr(self, k) for k in ("cells", "kept", "contexts", "passed")}
+
     def predict(self, cells: np.ndarray, parent: np.ndarray) -> np.ndarray:
         return _look(self.cells, self.kept, cells, 0.0) + _look(self.contexts, self.passed, cells // SIGNS, 1.0) * parent
 
@@ -192,21 +197,33 @@ def spell(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Cells of all bytes and ends of the words, where each word starts, and a number for each word."""
     words = words.cast(pa.large_binary())
     offsets = np.frombuffer(words.buffers()[1], "<i8")[words.offset:words.offset + len(words) + 1]
-    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+    sizes = np.diff(offsets) + 1
     n = len(data) + len(words)
-    sign = np.full(n, SIGNS - 1, np.int64)
+    sign = np.full(n, SIGNS - 1, np.int32)
     starts = offsets[:-1] - offsets[0] + np.arange(len(words))
-    ends = starts + np.diff(offsets)
     body = np.ones(n, bool)
-    body[ends] = False
+    body[starts + sizes - 1] = False
     sign[body] = data
-    place = np.arange(n) - np.repeat(starts, np.diff(offsets) + 1)
-    before = [np.where(place >= k, np.concatenate([np.zeros(min(k, n), np.int64), sign[:n - k]]), 0) for k in (1, 2, 3)]
-    context = before[0] + (before[1] << 8) + ((before[2] * 0x9E37 >> 4) % FOLD << 16)
-    cells = context * SIGNS + sign
-    mixed = (cells.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) * (
-        (place.astype(np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) | np.uint64(1))
-    return cells, starts, np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), starts) if n else mixed
+    # The sign before, that before it and the one before that; zero where the word starts later.
+    before = [sign]
+    for _ in range(3):
+        before.append(np.empty_like(sign))
+        before[-1][1:] = before[-2][:-1]
+        before[-1][starts] = 0
+    fold = (np.arange(SIGNS) * 0x9E37 >> 4) % FOLD << 16
+    cells = (before[1] + (before[2] << 8) + fold.astype(np.int32)[before[3]]) * SIGNS + sign
+    place = np.arange(n) - np.repeat(starts, sizes)
+    odd = (np.arange(sizes.max(initial=0), dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) | np.uint64(1)
+    mixed = (cells.astype(np.uint64) + np.uint64(1)) * (odd * np.uint64(0x9E3779B97F4A7C15))[place]
+    mixed ^= mixed >> np.uint64(29)
+    return cells, starts, np.add.reduceat(mixed, starts) if n else mixed
+
+
+def _distinct(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different cells, in no order, and the place of each cell among them."""
+    coded = pc.dictionary_encode(pa.array(cells))
+    return coded.dictionary.to_numpy().astype(np.int64), coded.indices.to_numpy()
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -272,14 +289,17 @@ def _chunks(docs: DataFrame, train: Column, id_column: str, text_column: str) ->
         words, ids, held, lengths, tokens, size = Dictionary(), [], [], [], [], 0
 
         def chunk() -> pa.RecordBatch:
-            every = np.concatenate(tokens)
-            counts = np.bincount(every[np.repeat(~np.array(held), lengths)], minlength=len(words)).astype("<i8")
+            every, taught = np.concatenate(tokens), np.repeat(~np.array(held), lengths)
+            counts = np.bincount(every[taught], minlength=len(words)).astype("<i8")
+            pairs, at = _pairs(every, np.array(lengths), words[b""])
             return pa.RecordBatch.from_arrays([
                 pa.array([first + made], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([held], pa.list_(pa.bool_())),
                 pa.array([lengths], pa.list_(pa.int64())), pa.array([_pack(every)], pa.binary()),
                 pa.array([_pack_words(list(words))], pa.binary()), pa.array([_pack(counts)], pa.binary()),
+                pa.array([_pack(np.diff(pairs, prepend=0))], pa.binary()),
+                pa.array([_pack(np.bincount(at, weights=taught).astype("<i4"))], pa.binary()),
                 pa.array([len(every)], pa.int64()), pa.array([len(words)], pa.int64())],
-                ["chunk", "ids", "held", "lengths", "tokens", "words", "counts", "n_tokens", "n_words"])
+                ["chunk", "ids", "held", "lengths", "tokens", "words", "counts", "pairs", "pair_counts", "n_tokens", "n_words"])
 
         for batch in batches:
             id_type = batch.schema.field(0).type
@@ -299,26 +319,29 @@ def _chunks(docs: DataFrame, train: Column, id_column: str, text_column: str) ->
             yield chunk()
 
     return rows.mapInArrow(run, f"chunk long, ids array<{kind}>, held array<boolean>, lengths array<bigint>, "
-                                "tokens binary, words binary, counts binary, n_tokens long, n_words long")
+                                "tokens binary, words binary, counts binary, pairs binary, pair_counts binary, "
+                                "n_tokens long, n_words long")
+
+
+def _pairs(tokens: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs of texts, context before dish, in rising order; and each token's among them."""
+    before = np.roll(tokens, 1).astype(np.int64)
+    before[np.cumsum(lengths) - lengths] = end
+    return np.unique(before << 32 | tokens, return_inverse=True)
 
 
 class Chunk:
-    """The tokens of a chunk and its distinct pairs, by context and dish."""
+    """The words of a chunk and its distinct pairs, by context and dish."""
 
     def __init__(self, row: dict):
-        self.tokens, self.words = _unpack(row["tokens"], "<i4"), _unpack_words(row["words"])
-        self.lengths = np.array(row["lengths"], np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
-        self.held = np.array(row["held"], bool)
-        before = np.roll(self.tokens, 1).astype(np.int64)
-        before[self.starts] = self.words.index(b"")
-        pairs, self.at = np.unique(before << 32 | self.tokens, return_inverse=True)
+        self.words = _unpack_words(row["words"])
+        pairs = np.cumsum(_unpack(row["pairs"], "<i8"))
         self.context, self.dish = pairs >> 32, pairs & 0xFFFFFFFF
         self.hashes = _hashes(self.words)
         self.keys = _pair_keys(self.hashes[self.context], self.hashes[self.dish])
 
 
-CHUNK_COLUMNS = ("chunk", "lengths", "held", "tokens", "words")
+CHUNK_COLUMNS = ("chunk", "words", "pairs")
 
 
 class Answers:
@@ -344,7 +367,7 @@ def _pair_totals(chunks: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = Chunk(row)
-                n = np.bincount(chunk.at, weights=np.repeat(~chunk.held, chunk.lengths)).astype("<i8")
+                n = _unpack(row["pair_counts"], "<i4").astype("<i8")
                 order = np.argsort(chunk.keys)
                 found = _buckets(chunk.keys, order, buckets)
                 for bucket, s in found:
@@ -370,7 +393,7 @@ def _pair_totals(chunks: DataFrame, buckets: int) -> DataFrame:
 
     part, out = _in_arrow("bucket int, chunk long, steps binary, n binary"), _in_arrow(
         "chunk long, bucket int, a binary, once long, twice long")
-    return chunks.select(*CHUNK_COLUMNS).mapInArrow(parts, "bucket int, chunk long, steps binary, n binary").groupBy(
+    return chunks.select(*CHUNK_COLUMNS, "pair_counts").mapInArrow(parts, "bucket int, chunk long, steps binary, n binary").groupBy(
         "bucket").applyInArrow(combine, "chunk long, bucket int, a binary, once long, twice long")
 
 
@@ -422,8 +445,15 @@ class Model:
         #: By sweep, what the spelling gives to all known words together.
         self.known_share: list[float] = []
 
-    def base(self, cells: np.ndarray, starts: np.ndarray, sweep: int) -> np.ndarray:
-        return np.exp(np.add.reduceat(np.log(self.spellings[sweep].probability(cells, 3)), starts))
+    def told(self, *sweeps: int) -> Model:
+        """The model with the spellings of these sweeps alone."""
+        out = copy(self)
+        out.spellings = [s if i in sweeps else None for i, s in enumerate(self.spellings)]
+        return out
+
+    def base(self, found: np.ndarray, at: np.ndarray, starts: np.ndarray, sweep: int) -> np.ndarray:
+        """Of words whose cells are ``found[at]``; each different cell is looked up once."""
+        return np.exp(np.add.reduceat(np.log(self.spellings[sweep].probability(found, 3))[at], starts))
 
     def sit(self, count: np.ndarray, dish: np.ndarray, base: np.ndarray, sweep: int) -> np.ndarray:
         opening = (STRENGTH + self.discount * self.tables[sweep - 1]) * base
@@ -431,11 +461,12 @@ class Model:
 
     def predictive(self, words: pa.Array, count: np.ndarray) -> np.ndarray:
         cells, starts, dish = spell(words)
+        found, at = _distinct(cells)
         total = np.zeros(len(count))
-        base = self.base(cells, starts, BURN)
+        base = self.base(found, at, starts, BURN)
         for sweep in range(BURN + 1, self.sweeps + 1):
             tables = self.sit(count, dish, base, sweep)
-            base = self.base(cells, starts, sweep)
+            base = self.base(found, at, starts, sweep)
             outcome = np.where(count > 0, base, max(1 - self.known_share[sweep], 1e-9))
             new = (STRENGTH + self.discount * self.tables[sweep]) * outcome
             total += (count - self.discount * tables + new) / (STRENGTH + self.customers)
@@ -449,20 +480,24 @@ def _sliced(row: dict) -> Iterator[tuple[pa.Array, np.ndarray]]:
 
 
 def _sweep(vocabulary: DataFrame, model: Model, sweep: int) -> None:
-    """Seats all words and appends their number of tables and the spellings of these to the model."""
-    shared = vocabulary.sparkSession.sparkContext.broadcast(model)
+    """Seats all words and appends their number of tables and the spellings of these to the model.
+
+    The pass after the last sweep only adds up what the last spelling gives to known words.
+    """
+    shared, last = vocabulary.sparkSession.sparkContext.broadcast(model.told(sweep - 1)), sweep > model.sweeps
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, seen, tables, share = shared.value, [np.zeros((0, 2))], 0.0, 0.0
         for words, count in (x for batch in batches for row in batch.to_pylist() for x in _sliced(row)):
             cells, starts, dish = spell(words)
-            base = m.base(cells, starts, sweep - 1) if sweep else np.zeros(len(count))
-            t = m.sit(count, dish, base, sweep) if sweep else np.minimum(count, 1)
+            found, at = _distinct(cells)
+            base = m.base(found, at, starts, sweep - 1) if sweep else np.zeros(len(count))
             share += base[count > 0].sum()
+            if last:
+                continue
+            t = m.sit(count, dish, base, sweep) if sweep else np.minimum(count, 1)
             tables += t.sum()
-            found, at = np.unique(cells, return_inverse=True)
-            n = np.bincount(at, weights=np.repeat(t, np.diff(np.r_[starts, len(cells)])))
-            seen.append(np.column_stack([found, n]))
+            seen.append(np.column_stack([found, np.bincount(at, weights=np.repeat(t, np.diff(np.r_[starts, len(cells)])))]))
             if len(seen) > 16:
                 seen = [_merge(seen)]
         found = _merge(seen)
@@ -472,9 +507,12 @@ def _sweep(vocabulary: DataFrame, model: Model, sweep: int) -> None:
 
     found = vocabulary.select("words", "customers").mapInArrow(run, "cell long, n double").groupBy("cell").agg(
         F.sum("n").alias("n")).orderBy("cell").toPandas()
-    spelled = found[found["cell"] >= 0]
+    shared.destroy()
     if sweep:
         model.known_share.append(float(found.loc[found["cell"] == -2, "n"].sum()))
+    if last:
+        return
+    spelled = found[found["cell"] >= 0]
     model.tables.append(float(found.loc[found["cell"] == -1, "n"].sum()))
     model.spellings.append(Spelling(spelled["cell"].to_numpy(), spelled["n"].to_numpy(), sweep,
                                     model.spellings[-1] if sweep else None))
@@ -490,12 +528,17 @@ def _discount(once: int, twice: int) -> float:
     return min(max(once / max(once + 2 * twice, 1), 0.05), 0.95)
 
 
-def _fit(vocabulary: DataFrame, sweeps: int) -> tuple[Model, int, int]:
-    """The model of the words, and the numbers of customers and of known words."""
+def _fit(vocabulary: DataFrame, sweeps: int, before: Model | None = None) -> tuple[Model, int, int]:
+    """The model of the words, and the numbers of customers and of known words.
+
+    A fit starts from one table per known word; so does that ``before`` over the same words, whose start is taken.
+    """
     n, known, once, twice = vocabulary.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "known", "once", "twice"))).first()
     model = Model(n, _discount(once, twice), sweeps)
+    if before:
+        model.tables, model.spellings = before.tables[:1], before.spellings[:1]
     # One more than is averaged tells what the last spelling gives to known words.
-    for sweep in range(sweeps + 2):
+    for sweep in range(len(model.tables), sweeps + 2):
         _sweep(vocabulary, model, sweep)
     return model, n, known
 
@@ -503,9 +546,9 @@ def _fit(vocabulary: DataFrame, sweeps: int) -> tuple[Model, int, int]:
 ANSWERS = "chunk long, kind int, bucket int, a binary, b binary, c binary"
 
 
-def _of_words(vocabulary: DataFrame, model: Model, discount: float, first: bool) -> DataFrame:
-    """To every chunk, of its words: training count, tables as a context and probability."""
-    shared, out = vocabulary.sparkSession.sparkContext.broadcast(model), _in_arrow(ANSWERS)
+def _of_words(vocabulary: DataFrame, model: Model, discount: float, first: bool) -> tuple[DataFrame, Broadcast]:
+    """To every chunk, of its words: training count, tables as a context and probability; and the model shared for it."""
+    shared, out = vocabulary.sparkSession.sparkContext.broadcast(model.told(*range(BURN, model.sweeps + 1))), _in_arrow(ANSWERS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -518,7 +561,7 @@ def _of_words(vocabulary: DataFrame, model: Model, discount: float, first: bool)
                     yield pa.RecordBatch.from_pylist([{"chunk": chunk, "kind": 1, "bucket": row["bucket"], "a": _pack(counts[at]),
                                                        "b": _pack(tables[at]), "c": _pack(p[at])}], out)
 
-    return vocabulary.mapInArrow(run, ANSWERS)
+    return vocabulary.mapInArrow(run, ANSWERS), shared
 
 
 def _seated(chunks: DataFrame, answers: DataFrame, buckets: int, discount: float, sweep: int) -> DataFrame:
@@ -576,30 +619,34 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column
     none = F.lit(None).cast("binary")
     pairs = totals.select("chunk", F.lit(0).alias("kind"), "bucket", "a", none.alias("b"), none.alias("c"))
     model, n, known = _fit(vocabulary, FIRST_SWEEPS)
-    answers = pairs.unionByName(_of_words(vocabulary, model, discount, first=True))
+    answers, shared = _of_words(vocabulary, model, discount, first=True)
     for sweep in range(1, PAIR_SWEEPS + 1):
-        seats = written(_seated(chunks, answers, buckets, discount, sweep), "seats")
+        seats = written(_seated(chunks, pairs.unionByName(answers), buckets, discount, sweep), "seats")
+        shared.destroy()
         vocabulary = written(_reseated(vocabulary, seats.where("kind = 1")), "vocabulary")
-        model, _, _ = _fit(vocabulary, SWEEPS)
-        answers = pairs.unionByName(_of_words(vocabulary, model, discount, first=False))
+        model, _, _ = _fit(vocabulary, SWEEPS, model)
+        answers, shared = _of_words(vocabulary, model, discount, first=False)
     whole = np.log10(n + 0.1 * (known + 1))
     kind = chunks.schema["ids"].dataType.elementType.simpleString()
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = right.to_pylist()
-        chunk = Chunk(left.drop_columns("ids").to_pylist()[0])
+        rows, row = right.to_pylist(), left.drop_columns("ids").to_pylist()[0]
+        chunk = Chunk(row)
+        of, lengths = _unpack(row["tokens"], "<i4"), np.array(row["lengths"], np.int64)
+        _, at = _pairs(of, lengths, chunk.words.index(b""))
+        starts = np.cumsum(lengths) - lengths
         told = Answers([r for r in rows if r["kind"] < 2], chunk)
         tables = _unpack(next(r["a"] for r in rows if r["kind"] == 2), "<i8")
         passed = (CONTEXT_STRENGTH + discount * told.tables[chunk.context]) * told.parent[chunk.dish].astype(float)
         p = (told.total - discount * tables + passed) / (CONTEXT_STRENGTH + told.counts[chunk.context])
-        c, of, starts = told.counts, chunk.tokens, chunk.starts
+        c = told.counts
         return pa.table({
-            "id": left.column("ids").combine_chunks().flatten(), "held_out": chunk.held, "n_tokens": chunk.lengths,
+            "id": left.column("ids").combine_chunks().flatten(), "held_out": np.array(row["held"], bool), "n_tokens": lengths,
             "n_known": np.add.reduceat((c > 0).astype(np.int64)[of], starts), "train_tokens": np.full(len(starts), n),
             "base_score": np.add.reduceat((np.log10(c + 0.1) - whole)[of], starts),
-            "score": np.add.reduceat(np.log10(p)[chunk.at], starts)})
+            "score": np.add.reduceat(np.log10(p)[at], starts)})
 
-    return chunks.select("ids", *CHUNK_COLUMNS).groupBy("chunk").cogroup(
-        answers.unionByName(seats.where("kind = 2")).groupBy("chunk")).applyInArrow(
+    return chunks.select("ids", "held", "lengths", "tokens", *CHUNK_COLUMNS).groupBy("chunk").cogroup(
+        pairs.unionByName(answers).unionByName(seats.where("kind = 2")).groupBy("chunk")).applyInArrow(
         add, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
              "score double").withColumnRenamed("id", id_column)

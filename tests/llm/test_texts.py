@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 from collections import Counter
 
 import numpy as np
@@ -264,6 +265,22 @@ def test_pitman_yor_pairs_are_seated_again_from_the_tables_found(frame, monkeypa
     assert sweeps == list(range(1, len(sweeps) + 1)) and len(sweeps) > 1
 
 
+def test_pitman_yor_shares_only_what_a_pass_needs(spark, frame, monkeypatch):
+    """A pass over the words gets one spelling, and what is shared for it goes when it ends."""
+    shared, share = [], type(spark.sparkContext).broadcast
+
+    def broadcast(context, model):
+        shared.append((share(context, model), sum(s is not None for s in model.spellings)))
+        return shared[-1][0]
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    assert pitman_yor.score(frame([(i, words(i, 30)) for i in range(10)]), F.col("doc_id") < 8).count() == 10
+    many = [n for _, n in shared if n > 1]
+    assert len(many) == 1 + pitman_yor.PAIR_SWEEPS and max(many) <= pitman_yor.SWEEPS
+    # The last one is for the rows returned.
+    assert not [b for b, _ in shared[:-1] if os.path.exists(b._path)]
+
+
 def test_pitman_yor_contexts_by_brute_force(frame):
     # No pair of words stands twice in the training texts, so every customer of a context has a table of its own.
     texts = ["a b c d a", "b d c", "c a d b a c b", "e d e b e"]
