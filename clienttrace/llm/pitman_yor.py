@@ -49,13 +49,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from clienttrace.llm.common import raw, written
+from clienttrace.llm.common import written
 
 CHUNK_TOKENS = 1 << 21
 CHUNK_WORDS = 500_000
 #: Words of chunks, and tokens, that a bucket of words or pairs is made for.
 BUCKET_WORDS = 1 << 19
 BUCKET_TOKENS = 1 << 22
+#: Bytes of texts split at a time.
+PIECE = 1 << 20
 #: Words whose spelling is worked on at a time.
 SLICE = 1 << 16
 CONTEXT_STRENGTH = 1.0
@@ -237,9 +239,11 @@ def _unpack(packed: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def _pack_words(words: list[bytes]) -> bytes:
+def _pack_words(words: list[bytes] | pa.Array) -> bytes:
     # No word holds a blank; the end is the empty word.
-    return zstandard.compress(b" ".join(words), 1)
+    if isinstance(words, list):
+        return zstandard.compress(b" ".join(words), 1)
+    return zstandard.compress(pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), b" ")[0].as_py(), 1)
 
 
 def _unpack_words(packed: bytes) -> list[bytes]:
@@ -275,46 +279,81 @@ def _in_arrow(schema: str):
     return to_arrow_schema(StructType.fromDDL(schema))
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, ``PIECE`` bytes of text at a time or one text."""
+    ends = np.cumsum(pc.binary_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < len(ends):
+        high = max(int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PIECE, side="right")), low + 1)
+        yield batch.slice(low, high - low)
+        low = high
+
+
+def _tokens(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """All tokens of texts, and the number of each text's.
+
+    These are the words of ``raw`` and one end, which is the empty word that stands after the blank added.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.binary_join_element_wise(texts.fill_null(""), "", " ")))
+    words, sizes = lists.flatten(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    starts = np.cumsum(sizes) - sizes
+    # A text that starts with a blank has an empty word before it, too.
+    more = (pc.binary_length(words.take(pa.array(starts))).to_numpy() == 0) & (sizes > 1)
+    if more.any():
+        words = words.take(pa.array(np.delete(np.arange(len(words)), starts[more])))
+    return words.cast(pa.binary()).dictionary_encode(), sizes - more
+
+
+def _joined(tokens: list[pa.DictionaryArray]) -> pa.DictionaryArray:
+    parts = pa.chunked_array(tokens).unify_dictionaries().chunks
+    return pa.DictionaryArray.from_arrays(np.concatenate([p.indices.to_numpy() for p in parts]), parts[0].dictionary)
+
+
 def _chunks(docs: DataFrame, train: Column, id_column: str, text_column: str) -> DataFrame:
     rows = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"), (~train).alias("held"))
     kind = rows.schema["id"].dataType.simpleString()
 
-    class Dictionary(dict):
-        def __missing__(self, word: bytes) -> int:
-            self[word] = number = len(self)
-            return number
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, made = TaskContext.get().partitionId() << 24, 0
-        words, ids, held, lengths, tokens, size = Dictionary(), [], [], [], [], 0
+        ids, held, lengths, tokens, size, distinct = [], [], [], [], 0, 0
 
         def chunk() -> pa.RecordBatch:
-            every, taught = np.concatenate(tokens), np.repeat(~np.array(held), lengths)
+            whole = _joined(tokens)
+            words, every, taught = whole.dictionary, whole.indices.to_numpy(), np.repeat(~np.array(held), lengths)
             counts = np.bincount(every[taught], minlength=len(words)).astype("<i8")
-            pairs, at = _pairs(every, np.array(lengths), words[b""])
+            pairs, pair_counts = _counted(_keys(every, np.array(lengths), words.index(b"").as_py()), taught)
             return pa.RecordBatch.from_arrays([
                 pa.array([first + made], pa.int64()), pa.array([ids], pa.list_(id_type)), pa.array([held], pa.list_(pa.bool_())),
                 pa.array([lengths], pa.list_(pa.int64())), pa.array([_pack(every)], pa.binary()),
-                pa.array([_pack_words(list(words))], pa.binary()), pa.array([_pack(counts)], pa.binary()),
+                pa.array([_pack_words(words)], pa.binary()), pa.array([_pack(counts)], pa.binary()),
                 pa.array([_pack(np.diff(pairs, prepend=0))], pa.binary()),
-                pa.array([_pack(np.bincount(at, weights=taught).astype("<i4"))], pa.binary()),
+                pa.array([_pack(pair_counts)], pa.binary()),
                 pa.array([len(every)], pa.int64()), pa.array([len(words)], pa.int64())],
                 ["chunk", "ids", "held", "lengths", "tokens", "words", "counts", "pairs", "pair_counts", "n_tokens", "n_words"])
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for i, text, out in zip(*(c.to_pylist() for c in batch.columns)):
-                found = raw(text).split()
-                found.append(b"")
-                t = np.fromiter(map(words.__getitem__, found), "<i4", len(found))
-                ids.append(i)
-                held.append(out)
-                lengths.append(len(t))
-                tokens.append(t)
-                size += len(t)
-                if size >= CHUNK_TOKENS or len(words) >= CHUNK_WORDS:
-                    yield chunk()
-                    words, ids, held, lengths, tokens, size, made = Dictionary(), [], [], [], [], 0, made + 1
+            for piece in _pieces(batch):
+                coded, sizes = _tokens(piece.column(1))
+                some_ids, some_held, ends, low = piece.column(0).to_pylist(), piece.column(2).to_pylist(), np.cumsum(sizes), 0
+                while low < len(sizes):
+                    start = int(ends[low] - sizes[low])
+                    # To the text that fills the chunk.
+                    high = min(int(np.searchsorted(ends, start + CHUNK_TOKENS - size)) + 1, len(sizes))
+                    part = coded.slice(start, int(ends[high - 1]) - start)
+                    if len(part) < len(coded):
+                        part = part.dictionary_decode().dictionary_encode()  # no words but its own
+                    ids += some_ids[low:high]
+                    held += some_held[low:high]
+                    lengths += sizes[low:high].tolist()
+                    tokens.append(part)
+                    size, distinct, low = size + len(part), distinct + len(part.dictionary), high
+                    if distinct >= CHUNK_WORDS:
+                        tokens = [_joined(tokens)]
+                        distinct = len(tokens[0].dictionary)
+                    if size >= CHUNK_TOKENS or distinct >= CHUNK_WORDS:
+                        yield chunk()
+                        ids, held, lengths, tokens, size, distinct, made = [], [], [], [], 0, 0, made + 1
         if ids:
             yield chunk()
 
@@ -323,11 +362,18 @@ def _chunks(docs: DataFrame, train: Column, id_column: str, text_column: str) ->
                                 "n_tokens long, n_words long")
 
 
-def _pairs(tokens: np.ndarray, lengths: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct pairs of texts, context before dish, in rising order; and each token's among them."""
+def _keys(tokens: np.ndarray, lengths: np.ndarray, end: int) -> np.ndarray:
+    """For each token of texts its pair, context before dish."""
     before = np.roll(tokens, 1).astype(np.int64)
     before[np.cumsum(lengths) - lengths] = end
-    return np.unique(before << 32 | tokens, return_inverse=True)
+    return before << 32 | tokens
+
+
+def _counted(keys: np.ndarray, taught: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in rising order, and how often each is taught."""
+    every = np.sort(keys << 1 | taught)
+    first = np.flatnonzero(np.diff(every >> 1, prepend=-1))
+    return every[first] >> 1, np.add.reduceat(every & 1, first).astype("<i4")
 
 
 class Chunk:
@@ -429,7 +475,7 @@ def _vocabulary(chunks: DataFrame, buckets: int) -> DataFrame:
         n = np.bincount(at, weights=np.concatenate([_unpack(r["counts"], "<i8") for r in rows])).astype("<i8")
         places = np.split(at, np.cumsum([len(w) for w in words])[:-1])
         return pa.Table.from_pylist([{
-            "bucket": rows[0]["bucket"], "words": _pack_words(coded.dictionary.to_pylist()), "counts": _pack(n), "tables": None,
+            "bucket": rows[0]["bucket"], "words": _pack_words(coded.dictionary), "counts": _pack(n), "tables": None,
             "chunks": [r["chunk"] for r in rows], "places": list(map(_pack, places)), **_totals(n)}], out)
 
     part, out = _in_arrow("bucket int, chunk long, words binary, counts binary"), _in_arrow(VOCABULARY)
@@ -633,7 +679,7 @@ def score(docs: DataFrame, train: Column, id_column: str = "doc_id", text_column
         rows, row = right.to_pylist(), left.drop_columns("ids").to_pylist()[0]
         chunk = Chunk(row)
         of, lengths = _unpack(row["tokens"], "<i4"), np.array(row["lengths"], np.int64)
-        _, at = _pairs(of, lengths, chunk.words.index(b""))
+        _, at = np.unique(_keys(of, lengths, chunk.words.index(b"")), return_inverse=True)
         starts = np.cumsum(lengths) - lengths
         told = Answers([r for r in rows if r["kind"] < 2], chunk)
         tables = _unpack(next(r["a"] for r in rows if r["kind"] == 2), "<i8")

@@ -281,6 +281,28 @@ def test_pitman_yor_shares_only_what_a_pass_needs(spark, frame, monkeypatch):
     assert not [b for b, _ in shared[:-1] if os.path.exists(b._path)]
 
 
+def test_pitman_yor_tokens_and_chunks(frame, odd_texts, monkeypatch):
+    """Words as Arrow splits them; texts cut into chunks keep their order, and a chunk has no words but its own."""
+    texts = [(None, "  a  B\tc\x0b\x0c\r\n"), (50, "\x00 \x1c\x85 Ä x"), (51, " lead"), (52, "trail "), *odd_texts]
+    want = {(i, t): [*(t or "").encode().lower().split(), b""] for i, t in texts}
+    monkeypatch.setattr(pitman_yor, "PIECE", 300)
+    for tokens, distinct in ((1 << 21, 500_000), (100, 500_000), (1 << 21, 60)):
+        monkeypatch.setattr(pitman_yor, "CHUNK_TOKENS", tokens)
+        monkeypatch.setattr(pitman_yor, "CHUNK_WORDS", distinct)
+        got = []
+        for row in pitman_yor._chunks(frame(texts), F.lit(True), "doc_id", "text").collect():
+            row, words = row.asDict(), pitman_yor._unpack_words(row["words"])
+            codes, lengths = pitman_yor._unpack(row["tokens"], "<i4"), row["lengths"]
+            assert len(set(words)) == len(words) == row["n_words"] and set(codes.tolist()) == set(range(len(words)))
+            parts = np.split(codes, np.cumsum(lengths)[:-1])
+            got += [(i, [words[c] for c in part]) for i, part in zip(row["ids"], parts)]
+            pairs = Counter((u, w) for _, t in got[-len(parts):] for u, w in zip([b"", *t], t))
+            chunk, counts = pitman_yor.Chunk(row), pitman_yor._unpack(row["pair_counts"], "<i4")
+            assert pairs == {(words[u], words[w]): n for u, w, n in zip(chunk.context, chunk.dish, counts)}
+        key = lambda r: (r[0] is None, r[0] or 0, r[1])
+        assert sorted(got, key=key) == sorted(((i, want[i, t]) for i, t in texts), key=key)
+
+
 def test_pitman_yor_contexts_by_brute_force(frame):
     # No pair of words stands twice in the training texts, so every customer of a context has a table of its own.
     texts = ["a b c d a", "b d c", "c a d b a c b", "e d e b e"]
