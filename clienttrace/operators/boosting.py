@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clienttrace.operators.evidence import Leaves
@@ -41,6 +41,9 @@ SCORED = 1 << 12
 ALL_OPEN = np.uint64((1 << 64) - 1)
 #: Rounds after which a distributed fit writes the scores instead of making them again.
 KEEP_EVERY = 8
+#: Blocks of features whose quantiles are put together by tasks of their own, and tasks that read rows for them (cores, if more).
+BLOCKS = 16
+SKETCHES = 32
 
 
 @dataclass(frozen=True)
@@ -60,10 +63,26 @@ class Boosting:
     bins: int = 64
 
 
-def cut_points(bins: int) -> Callable[[Column, int], Column]:
-    """An aggregate: for each dimension of an array column the bounds of ``bins`` equally full bins."""
+def cut_points(rows: DataFrame, d: int, bins: int) -> dict[int, tuple[int, int, list]]:
+    """Per number in ``part``: rows, the highest label, and for each dimension of ``x`` the bounds of ``bins`` equally full bins.
+
+    What a task keeps of a feature to find its quantiles hardly shrinks with the rows it reads, and putting it together
+    costs more than reading. So rows are read by a bounded number of tasks, not by one per partition, and blocks of
+    features are put together side by side.
+    """
     shares = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    return lambda values, d: F.array(*[F.percentile_approx(values[i], shares, 10_000) for i in range(d)])
+    width = max(1, -(-d // BLOCKS))
+    tasks = max(SKETCHES, rows.sparkSession.sparkContext.defaultParallelism)
+    starts = F.array(*[F.lit(at) for at in range(0, max(1, d), width)])
+    dealt = rows.coalesce(tasks).select("part", "label", "x", F.explode(starts).alias("at"))
+    found = dealt.groupBy("part", "at").agg(
+        F.count(F.lit(1)).alias("n"), F.max("label").alias("top"),
+        F.array(*[F.percentile_approx(F.when(F.col("at") + j < d, F.col("x")[F.col("at") + j]), shares, 10_000)
+                  for j in range(width)]).alias("edges")).collect()
+    out: dict[int, tuple[int, int, list]] = {}
+    for r in sorted(found, key=lambda r: (r["part"], r["at"])):
+        out.setdefault(r["part"], (r["n"], r["top"], []))[2].extend(r["edges"][:d - r["at"]])
+    return out
 
 
 def binned(x: np.ndarray, edges: Sequence[np.ndarray]) -> np.ndarray:
@@ -487,11 +506,10 @@ class Booster:
         p, seed = self.settings, self.seed
         known = _prepared(rows, key).select("key", F.col("label").cast("int").alias("label"), "x", F.explode("part").alias("part"))
         d = known.agg(F.max(F.size("x"))).first()[0] or 0
-        facts = known.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.max("label").alias("top"),
-                                          cut_points(p.bins)(F.col("x"), d).alias("edges")).collect()
-        edges = {r["part"]: _edges(r["edges"], p.bins) for r in facts}
-        classes = max([2, *(r["top"] + 1 for r in facts)])
-        share = F.create_map(*[F.lit(v) for r in facts for v in (r["part"], min(1.0, self.fit_rows / r["n"]))]) if facts else None
+        facts = cut_points(known, d, p.bins)
+        edges = {part: _edges(found, p.bins) for part, (_, _, found) in facts.items()}
+        classes = max([2, *(top + 1 for _, top, _ in facts.values())])
+        share = F.create_map(*[F.lit(v) for part, (n, _, _) in facts.items() for v in (part, min(1.0, self.fit_rows / n))]) if facts else None
         if not facts:
             raise ValueError("no labelled rows to fit on")
         drawn = known.where(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30)) < share[F.col("part")] * (1 << 30))
@@ -531,7 +549,7 @@ def fit_distributed(rows: DataFrame, settings: Boosting, seed: int = 42, key: st
     if d is None:
         raise ValueError("no labelled rows to fit on")
     if edges is None:
-        edges = known.agg(cut_points(p.bins)(F.col("x"), d)).first()[0]
+        edges = cut_points(known.withColumn("part", F.lit(0)), d, p.bins)[0][2]
     bounds = _edges(edges, p.bins)
     cuts = np.array([len(e) for e in bounds])
     width = int(cuts.max(initial=0)) + 1

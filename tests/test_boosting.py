@@ -162,3 +162,23 @@ def test_masks_of_leaves_compare_a_row_once_per_bound():
     tables = leaves.tables()
     assert [len(c) for c, _ in tables] == [len(np.unique(np.r_[low[:, j], high[:, j]][np.isfinite(np.r_[low[:, j], high[:, j]])])) for j in range(3)]
     assert (leaves.masks(x, tables) == plain).all() and (leaves.masks(x) == plain).all()
+
+
+def test_quantiles_need_no_task_per_partition(spark):
+    """Bounds are those of each feature and group by itself; the number of tasks that read does not grow with the partitions."""
+    d, x = 37, np.random.default_rng(4).normal(size=(600, 37)).round(2)
+    rows = spark.createDataFrame([(p, i % 3, [float(v) for v in r]) for i, r in enumerate(x) for p in (5, i % 2)],
+                                 "part int, label int, x array<double>").repartition(100).cache()
+    assert rows.count() == 1200
+    spark.sparkContext.setJobGroup("quantiles", "")
+    found = boosting.cut_points(rows, d, 8)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("quantiles") for s in tracker.getJobInfo(j).stageIds]
+    tasks = [tracker.getStageInfo(s).numTasks for s in stages if tracker.getStageInfo(s).numCompletedTasks]
+    spark.sparkContext.setJobGroup("others", "")
+    assert tasks and max(tasks) <= max(boosting.SKETCHES, spark.sparkContext.defaultParallelism)
+    shares = F.array(*[F.lit(i / 8) for i in range(1, 8)])
+    for r in rows.groupBy("part").agg(F.count("*").alias("n"), F.max("label").alias("top"), F.array(
+            *[F.percentile_approx(F.col("x")[j], shares, 10_000) for j in range(d)]).alias("edges")).collect():
+        assert found[r["part"]] == (r["n"], r["top"], r["edges"])
+    assert len(found) == 3 and boosting.cut_points(rows, 0, 8)[5] == (600, 2, [])
