@@ -44,6 +44,8 @@ KEEP_EVERY = 8
 #: Blocks of features whose quantiles are put together by tasks of their own, and tasks that read rows for them (cores, if more).
 BLOCKS = 16
 SKETCHES = 32
+#: Features that are left together.
+FEW = 8
 
 
 @dataclass(frozen=True)
@@ -71,7 +73,7 @@ def cut_points(rows: DataFrame, d: int, bins: int) -> dict[int, tuple[int, int,
     features are put together side by side.
     """
     shares = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    width = max(1, -(-d // BLOCKS))
+    width = max(1, d) if d <= FEW else -(-d // BLOCKS)
     tasks = max(SKETCHES, rows.sparkSession.sparkContext.defaultParallelism)
     starts = F.array(*[F.lit(at) for at in range(0, max(1, d), width)])
     dealt = rows.coalesce(tasks).select("part", "label", "x", F.explode(starts).alias("at"))

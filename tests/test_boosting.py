@@ -182,3 +182,4 @@ def test_quantiles_need_no_task_per_partition(spark):
             *[F.percentile_approx(F.col("x")[j], shares, 10_000) for j in range(d)]).alias("edges")).collect():
         assert found[r["part"]] == (r["n"], r["top"], r["edges"])
     assert len(found) == 3 and boosting.cut_points(rows, 0, 8)[5] == (600, 2, [])
+    assert boosting.cut_points(rows, 7, 8) == {part: (n, top, edges[:7]) for part, (n, top, edges) in found.items()}
