@@ -77,7 +77,8 @@ def _meet(left: DataFrame, right: DataFrame) -> DataFrame:
     """Verified pairs of rows under one key that differ in the left-out bit (or share the whole segment)."""
     a, b = left.alias("x"), right.alias("y")
     same = (F.col("x.seg") == F.col("y.seg")) & (F.col("x.slot") == F.col("y.slot")) & (F.col("x.key") == F.col("y.key"))
-    return a.join(b, same & _close("x.fp", "y.fp")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
+    # Spark sizes exploded rows like those they come from, a sixteenth of what they are, and would broadcast them.
+    return a.hint("merge").join(b, same & _close("x.fp", "y.fp")).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
 
 def _forest(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +166,8 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     rows = written(fingerprints(docs, id_column, text_column), "fingerprints")
     prints = written(rows.groupBy("fp").agg(F.min(id_column).alias("low")), "prints")
     roots = components(links(prints.select("fp")))
-    linked = prints.join(roots, prints["fp"] == roots["node"], "left").select(
+    # Their files are far smaller than what a broadcast holds; the sizes of the joins below are measured before.
+    linked = prints.hint("merge").join(roots, prints["fp"] == roots["node"], "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = linked.groupBy("root").agg(F.min("low").alias("component_id"))
     named = linked.join(lowest, "root").select("fp", "component_id")

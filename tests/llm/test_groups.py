@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from clienttrace.llm import decontaminate, neighbours, queries, simhash, urls, warc
 
@@ -75,6 +76,18 @@ def test_simhash_dense_segments_lose_no_link(spark, dense):
     assert len({(root[p], r) for p, r in zip(prints, want)}) == len(set(root.values())) == len(set(want))
 
 
+def test_simhash_keys_are_never_broadcast(spark):
+    """Spark sizes the rows of 32 left-out bits like the segments they come from: small ones were broadcast whole."""
+    prints = spark.range(300).select(F.xxhash64("id").alias("fp"))
+    near = prints.unionByName(prints.select((F.col("fp").bitwiseXOR(F.lit(1))).alias("fp")))
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+    for dense in (1 << 20, 1):
+        found = simhash.links(near, dense)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+        assert found.distinct().count() == 300
+
+
 def test_deduplicate(frame, odd_texts):
     docs = frame(odd_texts)
     kept = simhash.deduplicate(docs)
