@@ -6,32 +6,50 @@ class (one in all for two classes) from sums of gradients and hessians per
 nothing else. Trees grow best first up to a number of leaves: all nodes that may
 still be among the best are summed in one pass.
 
-``fit_distributed`` keeps all rows in Spark: a pass combines its sums per task
-and adds them up in one shuffle, and only these sums, whose number depends on
-bins and nodes and not on rows, reach the driver. ``Booster`` fits on at most
-``fit_rows`` rows (a stated bound, drawn by hash), then a round costs no job;
-several models, such as those of folds, are fitted by as many tasks. Both run
-the same rounds over the same sums.
+``Booster`` fits on all rows. Up to ``HELD`` of them are held by one task, and
+several models, such as those of folds, are fitted by as many tasks. More are
+dealt over all cores by ``fit_together``: one job whose tasks wait for each
+other (a barrier stage) runs all rounds; a task sums its own rows, adds up its
+share of the features from the sums of all, and tells the others its best
+splits. ``fit_distributed`` needs no tasks at the same time: a pass combines its
+sums per task and adds them up in one shuffle, and only these sums, whose number
+depends on bins and nodes and not on rows, reach the driver. All run the same
+rounds over the same sums.
 """
 
 from __future__ import annotations
 
 import heapq
+import io
+import json
+import tempfile
+import time
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import BarrierTaskContext
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clienttrace.operators.evidence import Leaves
 from clienttrace.operators.paths import Paths, TreeNodes, paths
-from clienttrace.session import written
-
-#: Rows a bounded fit draws at most, on average.
-FIT_ROWS = 1 << 16
+from clienttrace.session import shared_folder, written
+
+#: Rows that one task holds for a fit; more are dealt over all cores.
+HELD = 1 << 16
+#: Rows summed, scored or turned at a time by a task that keeps its rows in files.
+BLOCK = 1 << 17
+#: Bytes of an array that such a task holds in memory instead.
+IN_MEMORY = 1 << 26
+#: Rows that are worth a task among those that fit together.
+LEAST_ROWS = 1 << 13
+#: Bytes of packed trees per row of a result.
+PACKED = 1 << 22
 #: Numbers worked on at a time, so that they stay in a core's cache.
 CACHED = 1 << 15
 #: Rows of a node from which one of its children is subtracted from it; fewer rows are summed anew, without rounding.
@@ -241,9 +259,11 @@ def histograms(bins: np.ndarray, g: np.ndarray, h: np.ndarray, trees: list[Tree]
     return out
 
 
-def _sums(bins: np.ndarray, g: np.ndarray, h: np.ndarray, groups: list[np.ndarray], width: int) -> np.ndarray:
-    """Sums of gradients, hessians and rows per (kind, group of rows, feature, bin); ``bins`` has a line per feature."""
-    d, n = len(bins), len(groups)
+def _sums(bins: np.ndarray, g: np.ndarray, h: np.ndarray, groups: list[np.ndarray], width: int,
+          columns: np.ndarray | None = None) -> np.ndarray:
+    """Sums of gradients, hessians and rows per (kind, group of rows, feature, bin); ``bins`` has a line per feature, of
+    which ``columns`` are summed."""
+    d, n = len(bins) if columns is None else len(columns), len(groups)
     rows = np.concatenate(groups)
     slot = np.repeat(np.arange(n) * width, [len(r) for r in groups])
     weights = g[rows], h[rows]
@@ -252,7 +272,8 @@ def _sums(bins: np.ndarray, g: np.ndarray, h: np.ndarray, groups: list[np.ndarra
     cells = np.arange(step)[:, None] * (n * width) + slot
     times = [np.tile(w, step) for w in weights]
     for f in range(0, d, step):
-        part = np.take(bins[f:f + step], rows, axis=1, mode="clip")
+        part = (np.take(bins[f:f + step], rows, axis=1, mode="clip") if columns is None
+                else np.stack([bins[j].take(rows, mode="clip") for j in columns[f:f + step]]))
         k = len(part)
         at = (part + cells[:k]).ravel()
         for kind, w in enumerate((*times, None)):
@@ -301,21 +322,19 @@ class _Held:
         return np.stack([self.found[n] for n in nodes], axis=1)
 
 
-def grow(classes: int, columns: list[np.ndarray], cuts: np.ndarray, p: Boosting,
-         sums: Callable[[list[Tree], Wanted], np.ndarray]) -> list[Tree]:
-    """One tree per class; ``columns`` are the features each may use, ``cuts`` the bounds of every feature."""
+#: For nodes wanted their best splits and, for roots, the sums of all rows.
+Splits = Callable[[list[Tree], Wanted], list[tuple[Split | None, np.ndarray | None]]]
+
+
+def grown(classes: int, p: Boosting, splits: Splits) -> list[Tree]:
+    """One tree per class."""
     trees = [Tree() for _ in range(classes)]
-    allowed = [np.where(np.isin(np.arange(len(cuts)), c), cuts, 0) for c in columns]
     wanted: Wanted = [(c, 0) for c in range(classes)]
     while wanted:
-        found = sums(trees, wanted)
-        for c in {c for c, _ in wanted}:
-            slots = [i for i, (of, _) in enumerate(wanted) if of == c]
-            for i, split in zip(slots, best_splits(found[:, slots], allowed[c], p)):
-                node = wanted[i][1]
-                if node == 0:
-                    trees[c].sums[0] = found[:, i, 0].sum(axis=1)
-                trees[c].best[node] = split
+        for (c, node), (split, whole) in zip(wanted, splits(trees, wanted)):
+            if node == 0:
+                trees[c].sums[0] = whole
+            trees[c].best[node] = split
         wanted = []
         for c, t in enumerate(trees):
             # What is too deep or too small to be split needs no sums: those of its parent's split are known.
@@ -323,10 +342,27 @@ def grow(classes: int, columns: list[np.ndarray], cuts: np.ndarray, p: Boosting,
             while todo:
                 wanted += [(c, n) for node in todo for n in t.expand(node)
                            if t.depth[n] < p.depth and t.sums[n][2] >= 2 * p.least_rows]
-                todo = [] if wanted else t.frontier(p.leaves)[1]
+                todo = [] if any(of == c for of, _ in wanted) else t.frontier(p.leaves)[1]
     return [t.pruned(t.frontier(p.leaves)[0]) for t in trees]
 
 
+def grow(classes: int, columns: list[np.ndarray], cuts: np.ndarray, p: Boosting,
+         sums: Callable[[list[Tree], Wanted], np.ndarray]) -> list[Tree]:
+    """One tree per class; ``columns`` are the features each may use, ``cuts`` the bounds of every feature."""
+    allowed = [np.where(np.isin(np.arange(len(cuts)), c), cuts, 0) for c in columns]
+
+    def splits(trees: list[Tree], wanted: Wanted) -> list[tuple[Split | None, np.ndarray | None]]:
+        found = sums(trees, wanted)
+        out: list = [None] * len(wanted)
+        for c in {c for c, _ in wanted}:
+            slots = [i for i, (of, _) in enumerate(wanted) if of == c]
+            for i, split in zip(slots, best_splits(found[:, slots], allowed[c], p)):
+                out[i] = split, found[:, i, 0].sum(axis=1)
+        return out
+
+    return grown(classes, p, splits)
+
+
 def _columns(p: Boosting, d: int, classes: int, seed: int, turn: int) -> list[np.ndarray]:
     n = max(1, round(p.columns * d))
     return [np.random.default_rng((seed, turn, c)).permutation(d)[:n] for c in range(classes)]
@@ -338,13 +374,69 @@ def _prior(counts: np.ndarray) -> np.ndarray:
     return np.log(share[1:] / share[:1]) if len(counts) == 2 else np.log(share)
 
 
+def _packed(trees: Sequence[Tree]) -> bytes:
+    """Trees as plain arrays: about 33 bytes a node."""
+    out = io.BytesIO()
+    np.savez(out, size=np.array([len(t.feature) for t in trees], np.int32), sums=np.concatenate([s for t in trees for s in t.sums]),
+             **{name: np.concatenate([getattr(t, name) for t in trees]).astype(kind) for name, kind in _NODES.items()})
+    return out.getvalue()
+
+
+def _packs(rounds: Iterator[list[Tree]]) -> Iterator[bytes]:
+    """Rounds in order, a few in each piece."""
+    trees, nodes = [], 0
+    for of_round in rounds:
+        trees += of_round
+        nodes += sum(len(t.feature) for t in of_round)
+        if nodes * 33 >= PACKED:
+            yield _packed(trees)
+            trees, nodes = [], 0
+    if trees:
+        yield _packed(trees)
+
+
+#: What a tree keeps of its nodes besides their sums.
+_NODES = {"feature": np.int32, "bin": np.uint8, "left": np.int32, "depth": np.int16}
+
+
+class Rounds(Sequence):
+    """Rounds of ``classes`` trees each, read when they are first asked for; trees are made one at a time."""
+
+    def __init__(self, classes: int, read: Callable[[], Sequence[bytes]]):
+        self._classes, self._read, self._arrays = classes, read, None
+
+    def _found(self) -> dict[str, np.ndarray]:
+        if self._arrays is None:
+            packs = [np.load(io.BytesIO(b)) for b in self._read()]
+            kinds = {"size": np.int32, "sums": float, **_NODES}
+            self._arrays = {n: np.concatenate([p[n] for p in packs]) if packs else np.empty(0, k) for n, k in kinds.items()}
+            self._arrays["end"] = self._arrays["size"].cumsum(dtype=np.int64)
+        return self._arrays
+
+    def __len__(self) -> int:
+        return len(self._found()["size"]) // self._classes
+
+    def __getitem__(self, i):
+        if isinstance(i, slice):
+            return [self[j] for j in range(*i.indices(len(self)))]
+        if not -len(self) <= i < len(self):
+            raise IndexError(i)
+        first = i % len(self) * self._classes
+        return [self._tree(j) for j in range(first, first + self._classes)]
+
+    def _tree(self, i: int) -> Tree:
+        a = self._found()
+        here = slice(a["end"][i] - a["size"][i], a["end"][i])
+        return Tree(*(a[n][here].tolist() for n in _NODES), list(a["sums"].reshape(-1, 3)[here]), [None] * int(a["size"][i]))
+
+
 @dataclass
 class BoostedModel:
     """Rounds of trees; ``transform`` adds ``probs ARRAY<DOUBLE>`` to rows with a vector column ``features``."""
 
     prior: np.ndarray
     edges: list[np.ndarray]
-    rounds: list[list[Tree]]
+    rounds: Sequence[list[Tree]]
     settings: Boosting
 
     def flat(self) -> tuple[list, np.ndarray]:
@@ -353,11 +445,10 @@ class BoostedModel:
         Leaves are numbered from left to right, with a bit each. A split answered by "right" closes the leaves on its
         left side; the first leaf left open is the one a row reaches, whatever the order of the splits.
         """
-        trees = [t for r in self.rounds for t in r]
-        words = -(-max((t.feature.count(-1) for t in trees), default=1) // 64)
+        words = -(-max((t.feature.count(-1) for r in self.rounds for t in r), default=1) // 64)
         width = self._width()
-        splits, value = [], np.zeros((len(trees), 64 * words))
-        for i, t in enumerate(trees):
+        splits, value = [], np.zeros((len(self.rounds) * len(self.prior), 64 * words))
+        for i, t in enumerate(t for r in self.rounds for t in r):
             order, first, todo = [], [0] * len(t.feature), [(0, False)]
             while todo:
                 node, done = todo.pop()
@@ -492,29 +583,250 @@ def _fitted(keys: np.ndarray, labels: np.ndarray, x: np.ndarray, edges: list[np.
     return model
 
 
+def _space(shape: tuple[int, ...], kind: type) -> np.ndarray:
+    """Room for numbers: many lie in a file without a name, which is gone with its task."""
+    if np.prod(shape, dtype=float) * np.dtype(kind).itemsize <= IN_MEMORY:
+        return np.empty(shape, kind)
+    return np.memmap(tempfile.TemporaryFile(), kind, "w+", shape=shape)
+
+
+def _blocks(n: int) -> Iterator[slice]:
+    return (slice(at, min(at + BLOCK, n)) for at in range(0, n, BLOCK))
+
+
+class _Post:
+    """Messages among tasks that run at the same time, as files in the shared folder.
+
+    Spark's own barrier looks once a second whether all have come, too seldom for the steps of a fit; it is asked once,
+    for a name that no other attempt has.
+    """
+
+    def __init__(self, store: fs.FileSystem, path: str, rank: int, tasks: int):
+        self.store, self.path, self.rank, self.tasks, self.n = store, path, rank, tasks, 0
+
+    def put(self, data: pa.Buffer) -> None:
+        self.n += 1
+        with self.store.open_output_stream(self._name(self.rank, self.n) + ".part") as out:
+            out.write(data)
+        self.store.move(self._name(self.rank, self.n) + ".part", self._name(self.rank, self.n))
+        # One of the last two messages was read by this task from all others, so they have read what is before.
+        if self.n > 3:
+            self.store.delete_file(self._name(self.rank, self.n - 3))
+
+    def get(self, task: int, size: int | None = None, offset: int = 0) -> bytes:
+        """A task's newest message, or a part of it; waits for it. If a task ends early Spark ends all."""
+        wait = 0.0002
+        while True:
+            try:
+                with self.store.open_input_file(self._name(task, self.n)) as f:
+                    return f.read() if size is None else f.read_at(size, offset)
+            except FileNotFoundError:
+                time.sleep(wait)
+                wait = min(2 * wait, 0.005)
+
+    def _name(self, task: int, n: int) -> str:
+        return f"{self.path}-{task}-{n}"
+
+
+class _Dealt:
+    """Best splits for ``grown`` over rows dealt over tasks that wait for each other.
+
+    Each task sums its own rows; of two children of many rows only the one with fewer rows in all. The sums are laid
+    down in the shared folder, features first, and each task adds up its share of the features. Then all learn the best
+    splits of each.
+    """
+
+    def __init__(self, post: _Post, bins: np.ndarray, g: np.ndarray, h: np.ndarray, used: np.ndarray,
+                 columns: list[np.ndarray], cuts: np.ndarray, width: int, p: Boosting):
+        self.post, tasks = post, post.tasks
+        self.bins, self.g, self.h, self.columns, self.cuts, self.width, self.p = bins, g, h, columns, cuts, width, p
+        self.rows = [{0: used} for _ in columns]
+        self.found: list[dict[int, np.ndarray]] = [{} for _ in columns]
+        bounds = [-(-i * len(columns[0]) // tasks) for i in range(tasks + 1)]
+        self.first, self.last = bounds[post.rank], bounds[post.rank + 1]
+
+    def __call__(self, trees: list[Tree], wanted: Wanted) -> list[tuple[Split | None, np.ndarray | None]]:
+        summed, left_over = [], []
+        for c in sorted({c for c, _ in wanted}):
+            tree, rows, found, asked = trees[c], self.rows[c], self.found[c], {n for of, n in wanted if of == c}
+            if 0 in asked:
+                summed.append((c, 0))
+                continue
+            for n in [n for n in found if tree.feature[n] >= 0 and {tree.left[n], tree.left[n] + 1} & asked]:
+                here, of_parent, left = rows.pop(n), found.pop(n), tree.left[n]
+                right = self.bins[tree.feature[n]].take(here, mode="clip") > tree.bin[n]
+                rows[left], rows[left + 1] = here[~right], here[right]
+                if tree.sums[n][2] < SUBTRACTED:
+                    summed += [(c, child) for child in (left, left + 1) if child in asked]
+                    continue
+                small = left + int(tree.sums[left + 1][2] < tree.sums[left][2])
+                summed.append((c, small))
+                left_over.append((c, 2 * left + 1 - small, of_parent, small))
+        total = self._together(self._own(summed))
+        for i, (c, n) in enumerate(summed):
+            self.found[c][n] = np.ascontiguousarray(total[:, i].transpose(1, 0, 2))
+        for c, node, of_parent, small in left_over:
+            rest = of_parent - self.found[c][small]
+            rest[:2, rest[2] == 0] = 0
+            self.found[c][node] = rest
+        return self._best(wanted)
+
+    def _own(self, summed: Wanted) -> np.ndarray:
+        """Sums of this task's rows per (feature, class and node, kind, bin)."""
+        out = np.zeros((len(self.columns[0]), len(summed), 3, self.width))
+        for c in sorted({c for c, _ in summed}):
+            slots = [i for i, (of, _) in enumerate(summed) if of == c]
+            groups = [self.rows[c][summed[i][1]] for i in slots]
+            # Many rows are summed piece by piece, few together.
+            many = [j for j, rows in enumerate(groups) if len(rows) > BLOCK]
+            for j in many:
+                for piece in _blocks(len(groups[j])):
+                    out[:, slots[j]] += _sums(self.bins, self.g[c], self.h[c], [groups[j][piece]], self.width,
+                                              self.columns[c])[:, 0].transpose(1, 0, 2)
+            few = [j for j in range(len(groups)) if j not in many]
+            if few:
+                out[:, [slots[j] for j in few]] = _sums(self.bins, self.g[c], self.h[c], [groups[j] for j in few], self.width,
+                                                        self.columns[c]).transpose(2, 1, 0, 3)
+        return out
+
+    def _together(self, own: np.ndarray) -> np.ndarray:
+        """This task's features, summed over all tasks, always in the same order."""
+        self.post.put(pa.py_buffer(own))
+        shape = (self.last - self.first, *own.shape[1:])
+        total, line = np.zeros(shape), own[0].nbytes
+        for i in range(self.post.tasks if self.last > self.first else 0):
+            total += np.frombuffer(self.post.get(i, line * shape[0], line * self.first)).reshape(shape)
+        return total
+
+    def _best(self, wanted: Wanted) -> list[tuple[Split | None, np.ndarray | None]]:
+        # Gain, feature, bin, sums of the left side, sums of all.
+        best = np.full((len(wanted), 9), -np.inf)
+        for c in {c for c, _ in wanted} if self.last > self.first else ():
+            slots = [i for i, (of, _) in enumerate(wanted) if of == c]
+            mine, sums = self.columns[c][self.first:self.last], [self.found[c][wanted[i][1]] for i in slots]
+            for i, split, of_node in zip(slots, best_splits(np.stack(sums, axis=1), self.cuts[mine], self.p), sums):
+                best[i, 6:] = of_node[:, 0].sum(axis=1)
+                if split:
+                    best[i, :6] = split[0], mine[split[1]], split[2], *split[3]
+        self.post.put(pa.py_buffer(best))
+        best = np.stack([np.frombuffer(self.post.get(i)).reshape(-1, 9) for i in range(self.post.tasks)])
+        out = []
+        for i, at in enumerate(best[:, :, 0].argmax(axis=0)):
+            found = best[at, i]
+            split = (float(found[0]), int(found[1]), int(found[2]), found[3:6].copy()) if found[0] > -np.inf else None
+            # The first task has the first feature.
+            out.append((split, best[0, i, 6:].copy()))
+        return out
+
+
+def fit_together(known: DataFrame, p: Boosting, edges: list[np.ndarray], classes: int, seed: int, tasks: int) -> DataFrame:
+    """``prior, at, trees`` of a fit on all rows of ``known`` (``key, label, x``), dealt over tasks that run at the same time.
+
+    A task keeps its rows in files of its own and works on a block of them at a time; what it holds beside that are
+    keys, labels and numbers of rows per class, and the sums of the nodes still open.
+    """
+    d, k = len(edges), 1 if classes == 2 else classes
+    cuts = np.array([len(e) for e in edges])
+    width = int(cuts.max(initial=0)) + 1
+    folder = shared_folder(known.sparkSession, "sums")
+    store, path = fs.FileSystem.from_uri(folder)
+    store.create_dir(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = BarrierTaskContext.get()
+        keys, labels, lines = [np.empty(0, np.int64)], [np.empty(0, np.int64)], tempfile.TemporaryFile()
+        for batch in batches:
+            keys.append(batch.column(0).to_numpy())
+            labels.append(batch.column(1).to_numpy())
+            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, d)
+            lines.write(binned(x, edges))
+        keys, labels = np.concatenate(keys), np.concatenate(labels)
+        n = len(keys)
+        bins, scores, g, h = _space((d, n), np.uint8), *(_space((k, n), float) for _ in range(3))
+        lines.seek(0)
+        for b in _blocks(n):
+            bins[:, b] = np.frombuffer(lines.read((b.stop - b.start) * d), np.uint8).reshape(-1, d).T
+        lines.close()
+        told = [json.loads(m) for m in context.allGather(json.dumps([uuid.uuid4().hex, np.bincount(labels, minlength=classes).tolist()]))]
+        post = _Post(*fs.FileSystem.from_uri(f"{folder}/{told[0][0]}"), context.partitionId(), tasks)
+        prior = _prior(np.sum([counts for _, counts in told], axis=0))
+        scores[:] = prior[:, None]
+
+        def rounds() -> Iterator[list[Tree]]:
+            for turn in range(p.rounds):
+                used = [np.empty(0, np.int32)]
+                for b in _blocks(n):
+                    used.append((np.flatnonzero(_drawn(keys[b], seed, turn, p.rows)) + b.start).astype(np.int32))
+                    slopes = gradients(scores[:, b].T, labels[b])
+                    g[:, b], h[:, b] = slopes[0].T, slopes[1].T
+                columns = [np.sort(c) for c in _columns(p, d, k, seed, turn)]
+                trees = grown(k, p, _Dealt(post, bins, g, h, np.concatenate(used), columns, cuts, width, p))
+                for b in _blocks(n):
+                    for c, t in enumerate(trees):
+                        scores[c, b] += t.values(p)[t.place(bins[:, b].T)]
+                yield trees
+
+        packs = _packs(rounds())
+        # All tasks have the same trees, one tells them.
+        at = -1
+        for at, pack in enumerate(packs):
+            if context.partitionId() == 0:
+                yield pa.RecordBatch.from_arrays([pa.array([prior], pa.list_(pa.float64())), pa.array([at], pa.int32()),
+                                                  pa.array([pack], pa.binary())], ["prior", "at", "trees"])
+        if at < 0 and context.partitionId() == 0:
+            yield pa.RecordBatch.from_arrays([pa.array([prior], pa.list_(pa.float64())), pa.array([0], pa.int32()),
+                                              pa.array([None], pa.binary())], ["prior", "at", "trees"])
+
+    return known.repartition(tasks).mapInArrow(run, _TREES, barrier=True)
+
+
+#: Schema of packed trees.
+_TREES = "prior array<double>, at int, trees binary"
+
+
+def _tasks_together(spark, n: int) -> int:
+    """Tasks for a fit of ``n`` rows that can run at the same time and reach the shared folder; 0 if there are none."""
+    if spark.conf.get("spark.dynamicAllocation.enabled", "false").lower() == "true":
+        return 0
+    try:
+        fs.FileSystem.from_uri(shared_folder(spark, "sums"))
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return 0
+    context = spark.sparkContext._jsc.sc()
+    slots = context.maxNumConcurrentTasks(context.resourceProfileManager().defaultResourceProfile())
+    return min(slots, -(-n // LEAST_ROWS))
+
+
 @dataclass(frozen=True)
 class Booster:
-    """Fits on rows with ``features`` (vector) and ``label`` (0, 1, ...), at most ``fit_rows`` of them on average."""
+    """Fits on all rows with ``features`` (vector) and ``label`` (0, 1, ...); with ``fit_rows`` on about so many, drawn by hash."""
 
     settings: Boosting
     seed: int = 42
-    fit_rows: int = FIT_ROWS
+    fit_rows: int | None = None
 
     def fit(self, rows: DataFrame, key: str | None = "customer_id") -> BoostedModel:
         return self.fit_parts(rows.withColumn("part", F.array(F.lit(0))), key)[0]
 
     def fit_parts(self, rows: DataFrame, key: str | None = "customer_id") -> dict[int, BoostedModel]:
-        """A model per number in the array column ``part``; each is fitted by a task of its own."""
+        """A model per number in the array column ``part``.
+
+        Parts of up to ``HELD`` rows are fitted side by side, each by a task of its own; larger ones one after the
+        other, each by all tasks that can run at the same time. Trees stay in the shared folder until they are asked for.
+        """
         p, seed = self.settings, self.seed
         known = _prepared(rows, key).select("key", F.col("label").cast("int").alias("label"), "x", F.explode("part").alias("part"))
         d = known.agg(F.max(F.size("x"))).first()[0] or 0
         facts = cut_points(known, d, p.bins)
-        edges = {part: _edges(found, p.bins) for part, (_, _, found) in facts.items()}
-        classes = max([2, *(top + 1 for _, top, _ in facts.values())])
-        share = F.create_map(*[F.lit(v) for part, (n, _, _) in facts.items() for v in (part, min(1.0, self.fit_rows / n))]) if facts else None
         if not facts:
             raise ValueError("no labelled rows to fit on")
-        drawn = known.where(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30)) < share[F.col("part")] * (1 << 30))
+        edges = {part: _edges(found, p.bins) for part, (_, _, found) in facts.items()}
+        classes = max([2, *(top + 1 for _, top, _ in facts.values())])
+        sizes = {part: n for part, (n, _, _) in facts.items()}
+        if self.fit_rows is not None:
+            share = F.create_map(*[F.lit(v) for part, n in sizes.items() for v in (part, min(1.0, self.fit_rows / n))])
+            known = known.where(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30)) < share[F.col("part")] * (1 << 30))
+            sizes = {part: min(n, self.fit_rows) for part, n in sizes.items()}
 
         def run(table: pa.Table) -> pa.Table:
             part = table.column("part")[0].as_py()
@@ -522,41 +834,51 @@ class Booster:
             x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1)
             order = np.lexsort((labels, keys))
             model = _fitted(keys[order], labels[order].astype(np.int64), x[order], edges[part], classes, p, seed)
-            trees = [(turn, c, t.feature, t.bin, t.left, t.depth, np.concatenate(t.sums).tolist())
-                     for turn, of_round in enumerate(model.rounds) for c, t in enumerate(of_round)]
-            kinds = [pa.int32(), pa.int32(), *[pa.list_(pa.int32())] * 4, pa.list_(pa.float64())]
-            cols = [pa.array(c, k) for c, k in zip(zip(*trees), kinds)] if trees else [pa.array([], k) for k in kinds]
-            return pa.Table.from_arrays([pa.array([part] * len(trees), pa.int32()), *cols, pa.array([model.prior] * len(trees), pa.list_(pa.float64()))],
-                                        names=["part", "turn", "class", "feature", "bin", "left", "depth", "sums", "prior"])
-
-        made = drawn.groupBy("part").applyInArrow(
-            run, "part int, turn int, class int, feature array<int>, bin array<int>, left array<int>, depth array<int>, "
-                 "sums array<double>, prior array<double>").collect()
+            packs = list(_packs(iter(model.rounds))) or [None]
+            return pa.Table.from_arrays([pa.array([part] * len(packs), pa.int32()), pa.array([model.prior] * len(packs), pa.list_(pa.float64())),
+                                         pa.array(range(len(packs)), pa.int32()), pa.array(packs, pa.binary())],
+                                        names=["part", "prior", "at", "trees"])
+
+        held = [part for part, n in sizes.items() if n <= HELD]
         models: dict[int, BoostedModel] = {}
-        for r in sorted(made, key=lambda r: (r["part"], r["turn"], r["class"])):
-            model = models.setdefault(r["part"], BoostedModel(np.array(r["prior"]), edges[r["part"]], [], p))
-            if r["class"] == 0:
-                model.rounds.append([])
-            model.rounds[-1].append(Tree(r["feature"], r["bin"], r["left"], r["depth"],
-                                         list(np.array(r["sums"]).reshape(-1, 3)), [None] * len(r["feature"])))
+        if held:
+            made = written(known.where(F.col("part").isin(held)).groupBy("part").applyInArrow(run, f"part int, {_TREES}"), "trees")
+            for r in made.where("at = 0").select("part", "prior").collect():
+                models[r["part"]] = _stored(made.where(F.col("part") == r["part"]), r["prior"], edges[r["part"]], p)
+        for part in sorted(sizes.keys() - set(held)):
+            own = known.where(F.col("part") == part).select("key", "label", "x")
+            tasks = _tasks_together(rows.sparkSession, sizes[part])
+            if tasks:
+                made = written(fit_together(own, p, edges[part], classes, seed, tasks), "trees")
+                models[part] = _stored(made, made.where("at = 0").first()["prior"], edges[part], p)
+            else:
+                models[part] = _fit_passes(own, p, edges[part], classes, seed)
         return models
 
 
+def _stored(made: DataFrame, prior: Sequence[float], edges: list[np.ndarray], p: Boosting) -> BoostedModel:
+    def read() -> list[bytes]:
+        return [bytes(r["trees"]) for r in made.orderBy("at").select("trees").where("trees is not null").collect()]
+    return BoostedModel(np.array(prior), edges, Rounds(len(prior), read), p)
+
+
 def fit_distributed(rows: DataFrame, settings: Boosting, seed: int = 42, key: str | None = "customer_id",
                     edges: Sequence[Sequence[float]] | None = None) -> BoostedModel:
     """Fits on all rows, each round by passes over them; ``edges`` are bounds per feature to use as they are."""
-    p = settings
     known = _prepared(rows, key).select("key", F.col("label").cast("int").alias("label"), "x")
     d = known.agg(F.max(F.size("x"))).first()[0]
     if d is None:
         raise ValueError("no labelled rows to fit on")
     if edges is None:
-        edges = cut_points(known.withColumn("part", F.lit(0)), d, p.bins)[0][2]
-    bounds = _edges(edges, p.bins)
-    cuts = np.array([len(e) for e in bounds])
+        edges = cut_points(known.withColumn("part", F.lit(0)), d, settings.bins)[0][2]
+    return _fit_passes(known, settings, _edges(edges, settings.bins), 2, seed)
+
+
+def _fit_passes(known: DataFrame, p: Boosting, bounds: list[np.ndarray], classes: int, seed: int) -> BoostedModel:
+    d, cuts = len(bounds), np.array([len(e) for e in bounds])
     width = int(cuts.max(initial=0)) + 1
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    prior = _prior(np.array([counts.get(c, 0) for c in range(max(2, max(counts) + 1))], float))
+    prior = _prior(np.array([counts.get(c, 0) for c in range(max(classes, max(counts) + 1))], float))
     model, k = BoostedModel(prior, bounds, [], p), len(prior)
 
     def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:

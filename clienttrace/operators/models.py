@@ -163,7 +163,8 @@ def oof_predictions(df: DataFrame, estimator, k: int = 5, seed: int = 42, key: s
         fitted = estimator.fit_parts(folds.withColumn("part", others), key)
     out = None
     for i in range(k):
-        model = fitted[i] if fitted else fit_scaled(folds.where(F.col("fold") != i), estimator)
+        # Trees are held no longer than it takes to tell the scoring tasks of them.
+        model = fitted.pop(i) if fitted is not None else fit_scaled(folds.where(F.col("fold") != i), estimator)
         part = scored(model, folds.where(F.col("fold") == i))
         out = part if out is None else out.unionByName(part)
     return out.drop("features")

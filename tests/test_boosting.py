@@ -183,3 +183,53 @@ def test_quantiles_need_no_task_per_partition(spark):
         assert found[r["part"]] == (r["n"], r["top"], r["edges"])
     assert len(found) == 3 and boosting.cut_points(rows, 0, 8)[5] == (600, 2, [])
     assert boosting.cut_points(rows, 7, 8) == {part: (n, top, edges[:7]) for part, (n, top, edges) in found.items()}
+
+
+@pytest.mark.parametrize("classes", [2, 4])
+def test_rows_dealt_over_tasks_give_the_trees_of_one_task(spark, monkeypatch, classes):
+    """Nothing is drawn: more rows than a task holds are fitted on by several that run at the same time."""
+    rows = models.as_features(_rows(spark, 5_000, classes))
+    p = Boosting(rounds=12, rate=0.2, depth=6, leaves=20, rows=0.7, columns=0.6, least_rows=8, alpha=0.3, penalty=1.0, bins=20)
+    one = Booster(p, seed=3).fit(rows)
+    monkeypatch.setattr(boosting, "HELD", 1_000)
+    monkeypatch.setattr(boosting, "LEAST_ROWS", 700)
+    folds = rows.withColumn("part", F.when(F.col("customer_id") % 9 == 0, F.array(F.lit(0), F.lit(7))).otherwise(F.array(F.lit(0))))
+    # The second part is small enough for one task; the first is not.
+    found = Booster(p, seed=3).fit_parts(folds)
+    assert set(found) == {0, 7} and len(found[0].rounds) == 12 and np.allclose(found[0].prior, one.prior)
+    for a, b in zip(one.rounds, found[0].rounds, strict=True):
+        for s, t in zip(a, b, strict=True):
+            assert (s.feature, s.bin, s.left, s.depth) == (t.feature, t.bin, t.left, t.depth)
+            assert np.allclose(s.sums, t.sums) and np.allclose(s.values(p), t.values(p))
+    assert max(t.feature.count(-1) for t in one.rounds[3]) > 5
+    # Without tasks at the same time the same rows are fitted on by passes.
+    monkeypatch.setattr(boosting, "_tasks_together", lambda *args: 0)
+    passes = Booster(p, seed=3).fit(rows)
+    assert [t.feature for r in passes.rounds for t in r] == [t.feature for r in one.rounds for t in r]
+
+
+def test_all_rows_are_fitted_on(spark):
+    """65,536 of them were drawn."""
+    rows = spark.range(70_000).select(F.col("id").alias("customer_id"), F.array((F.col("id") % 7).cast("double"), F.rand(1)).alias(
+        "embedding"), (F.col("id") % 7 > 2).cast("int").alias("target"))
+    model = models.tree_estimator("binary", Boosting(rounds=3, rate=0.5, depth=2)).fit(models.as_features(rows))
+    assert [r[0].sums[0][2] for r in model.rounds] == [70_000] * 3
+    assert model.rounds[0][0].feature[0] == 0 and [s[2] for s in model.rounds[0][0].sums[1:3]] == [30_000, 40_000]
+
+
+def test_trees_stay_in_the_shared_folder(spark):
+    """A fit brings no tree to the driver; what is asked for comes as plain arrays, of all rounds."""
+    rows = models.as_features(_rows(spark, 400, 3))
+    found = Booster(Boosting(rounds=8, rate=0.2, depth=4, least_rows=5)).fit_parts(rows.withColumn("part", F.array(F.lit(0), F.lit(1))))
+    assert [m.rounds._arrays for m in found.values()] == [None, None]
+    rounds = list(found[1].rounds)
+    nodes = sum(len(t.feature) for r in rounds for t in r)
+    assert len(rounds) == 8 and {len(r) for r in rounds} == {3} and nodes > 50
+    assert sum(a.nbytes for a in found[1].rounds._arrays.values()) <= 36 * nodes + 12 * 24
+    packs = list(boosting._packs(iter(rounds)))
+    again = list(boosting.Rounds(3, lambda: packs))
+    assert [(t.feature, t.bin, t.left, t.depth, np.array(t.sums).tolist()) for r in again for t in r] == [
+        (t.feature, t.bin, t.left, t.depth, np.array(t.sums).tolist()) for r in rounds for t in r]
+    assert found[1].rounds[-1][2].feature == rounds[7][2].feature and len(found[1].rounds[2:4]) == 2
+    with pytest.raises(IndexError):
+        found[1].rounds[8]
