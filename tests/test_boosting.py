@@ -233,3 +233,8 @@ def test_trees_stay_in_the_shared_folder(spark):
     assert found[1].rounds[-1][2].feature == rounds[7][2].feature and len(found[1].rounds[2:4]) == 2
     with pytest.raises(IndexError):
         found[1].rounds[8]
+
+
+@pytest.mark.parametrize("task", models.TASKS)
+def test_no_operator_bounds_the_rows_of_a_fit(task):
+    assert models.tree_estimator(task).fit_rows is None and models.tree_estimator(task, models.EXTREME, 7).fit_rows is None
