@@ -624,6 +624,14 @@ class _Post:
                 time.sleep(wait)
                 wait = min(2 * wait, 0.005)
 
+    def close(self) -> None:
+        """Waits for all and removes what is left but empty messages."""
+        self.put(pa.py_buffer(b""))
+        for i in range(self.tasks):
+            self.get(i)
+        for n in range(max(1, self.n - 2), self.n):
+            self.store.delete_file(self._name(self.rank, n))
+
     def _name(self, task: int, n: int) -> str:
         return f"{self.path}-{task}-{n}"
 
@@ -765,6 +773,7 @@ def fit_together(known: DataFrame, p: Boosting, edges: list[np.ndarray], classes
                     for c, t in enumerate(trees):
                         scores[c, b] += t.values(p)[t.place(bins[:, b].T)]
                 yield trees
+            post.close()
 
         packs = _packs(rounds())
         # All tasks have the same trees, one tells them.

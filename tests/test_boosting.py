@@ -186,8 +186,9 @@ def test_quantiles_need_no_task_per_partition(spark):
 
 
 @pytest.mark.parametrize("classes", [2, 4])
-def test_rows_dealt_over_tasks_give_the_trees_of_one_task(spark, monkeypatch, classes):
+def test_rows_dealt_over_tasks_give_the_trees_of_one_task(spark, monkeypatch, tmp_path, classes):
     """Nothing is drawn: more rows than a task holds are fitted on by several that run at the same time."""
+    monkeypatch.setattr(boosting, "shared_folder", lambda spark, name: str(tmp_path / name))
     rows = models.as_features(_rows(spark, 5_000, classes))
     p = Boosting(rounds=12, rate=0.2, depth=6, leaves=20, rows=0.7, columns=0.6, least_rows=8, alpha=0.3, penalty=1.0, bins=20)
     one = Booster(p, seed=3).fit(rows)
@@ -202,6 +203,9 @@ def test_rows_dealt_over_tasks_give_the_trees_of_one_task(spark, monkeypatch, cl
             assert (s.feature, s.bin, s.left, s.depth) == (t.feature, t.bin, t.left, t.depth)
             assert np.allclose(s.sums, t.sums) and np.allclose(s.values(p), t.values(p))
     assert max(t.feature.count(-1) for t in one.rounds[3]) > 5
+    # Of what the tasks told each other nothing is left.
+    left = list((tmp_path / "sums").iterdir())
+    assert len(left) == 8 and not any(f.stat().st_size for f in left)
     # Without tasks at the same time the same rows are fitted on by passes.
     monkeypatch.setattr(boosting, "_tasks_together", lambda *args: 0)
     passes = Booster(p, seed=3).fit(rows)
